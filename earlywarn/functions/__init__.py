@@ -13,8 +13,9 @@ from earlywarn.functions.risk import class_at, risk_label, risk_level, risk_perc
 from earlywarn.functions.status import half_year_index, match_route, status_to_binary, time_index
 from earlywarn.functions.text import (
     blank_placeholders,
-    clean_category,
+    clean_categories,
     fold_accents,
+    named,
     normalise_header,
     normalise_status,
     null_tokens,
@@ -23,8 +24,8 @@ from earlywarn.functions.text import (
 )
 
 __all__ = [
-    "age_in_years", "blank_placeholders", "class_at", "clean_category", "first_present",
-    "fold_accents", "half_year_index", "match_route", "normalise_header", "normalise_status",
+    "age_in_years", "blank_placeholders", "class_at", "clean_categories", "first_present",
+    "fold_accents", "half_year_index", "match_route", "named", "normalise_header", "normalise_status",
     "null_tokens", "parse_day_first", "parse_decimal_comma", "parse_grouped_decimal",
     "parse_number", "parse_record_date", "parse_yes_no", "present_sum", "risk_label", "risk_level",
     "risk_percent", "share", "status_to_binary", "strip_all", "time_index", "upper_trimmed",

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earlywarn.presets import NA_TOKENS, PLACEHOLDER_TOKENS
 
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Every character Python's str.strip() removes.
+_SPACES = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 _NON_ASCII = r"[^\x00-\x7F]"
 
 
+def named(name: str) -> Column:
+    """A column by its literal name: source headers may hold dots, spaces or back-ticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return named(c) if isinstance(c, str) else c
 
 
 def _ascii_of(char: str) -> str:
@@ -37,7 +43,7 @@ def _accent_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
         if len(folded) == 1:
             source.append(chr(code))
             target.append(folded)
-    for code in [*range(0x80, 0x250), 0x2122, *range(0xFB00, 0xFB07)]:
+    for code in [*range(0x80, 0x250), *range(0xFB00, 0xFB07), 0x2122]:
         folded = _ascii_of(chr(code))
         if len(folded) > 1 and chr(code) == chr(code).lower():
             wide.append((chr(code), folded))
@@ -46,19 +52,25 @@ def _accent_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 def strip_all(c: Column | str) -> Column:
     """Trim every kind of Unicode white space, not just blanks."""
-    return F.regexp_replace(_col(c).cast("string"), _EDGE_SPACE, "")
+    return F.btrim(_col(c).cast("string"), F.lit(_SPACES))
 
 
 def fold_accents(c: Column | str) -> Column:
-    """Lower-case, drop accents (compatibility decomposition), remove what is left beyond ASCII."""
+    """Lower-case, drop accents (compatibility decomposition), remove what is left beyond ASCII.
+
+    The input is read several times: give it a plain column, not a long expression.
+    """
     source, target, wide = _accent_tables()
-    text = F.lower(_col(c).cast("string"))
-    widened = text
+    raw = _col(c).cast("string")
+    widened = F.lower(raw)
     for char, folded in wide:
         widened = F.replace(widened, F.lit(char), F.lit(folded))
-    has_wide = text.rlike("[" + "".join(char for char, _ in wide) + "]")
-    text = F.when(has_wide, widened).otherwise(text)
-    return F.regexp_replace(F.translate(text, source, target), _NON_ASCII, "")
+    capitals = "".join(char.upper() for char, _ in wide if len(char.upper()) == 1)
+    has_wide = raw.rlike("[" + "".join(char for char, _ in wide) + capitals + "\u01c5\u01c8\u01cb\u01f2]")
+    spelled = F.when(has_wide, widened).otherwise(F.lower(raw))
+    folded_text = F.regexp_replace(F.translate(spelled, source, target), _NON_ASCII, "")
+    # Comparing two lengths is far cheaper than the rewriting, and most values are plain ASCII.
+    return F.when(F.octet_length(raw) == F.length(raw), F.lower(raw)).otherwise(folded_text)
 
 
 def normalise_header(c: Column | str) -> Column:
@@ -86,6 +98,9 @@ def blank_placeholders(c: Column | str, tokens: Iterable[str] = tuple(PLACEHOLDE
     return F.when(~F.lower(text).isin(list(tokens)), text)
 
 
-def clean_category(c: Column | str) -> Column:
-    """The categorical clean-up used before encoding: placeholders out, then accent fold."""
-    return fold_accents(blank_placeholders(c))
+
+def clean_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The clean-up before encoding: placeholders out, then accent fold, as two projections so that
+    the trimmed text is computed once."""
+    trimmed = df.withColumns({c: blank_placeholders(c) for c in columns})
+    return trimmed.withColumns({c: fold_accents(c) for c in columns})

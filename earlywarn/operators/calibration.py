@@ -30,7 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from earlywarn.operators.features import FeatureEncoder, FeatureEncoderModel, FeatureSpec
+from earlywarn.operators.features import (
+    FeatureEncoder,
+    FeatureEncoderModel,
+    FeatureSpec,
+    prepare,
+    restore,
+)
 from earlywarn.operators.filters import check_labels, require_both_classes
 from earlywarn.operators.splits import hash_fold, usable_folds
 
@@ -112,12 +118,12 @@ class Member:
     def __init__(self, encoder: FeatureEncoderModel, classifier: Any, calibrator: Any = None):
         self.encoder, self.classifier, self.calibrator = encoder, classifier, calibrator
 
-    def score(self, df: DataFrame, output: str) -> DataFrame:
-        raw = self.classifier.transform(self.encoder.transform(df))
+    def score_prepared(self, prepared: DataFrame, output: str) -> DataFrame:
+        """Append the probability to prepared rows, in the same pass."""
+        raw = self.classifier.transform(self.encoder.assemble(prepared, "_features"))
         classes = list(range(self.classifier.numClasses))
         scored = raw.withColumn("_p", positive_probability("_prob", classes))
-        out = self._calibrate(scored)
-        return out.select(*df.columns, F.col("_cal").alias(output))
+        return self._calibrate(scored).select(*prepared.columns, F.col("_cal").alias(output))
 
     def _calibrate(self, df: DataFrame) -> DataFrame:
         if self.calibrator is None:
@@ -188,18 +194,39 @@ def fit_calibrator(scored: DataFrame, label: str, method: str):
 
 
 def fit_member(
-    df: DataFrame, label: str, features: FeatureSpec, spec: ModelSpec
+    prepared: DataFrame,
+    label: str,
+    features: FeatureSpec,
+    spec: ModelSpec,
+    counts: dict[str, int],
 ) -> Member:
+    """Encoder and classifier on prepared rows. The classifier keeps its own compact copy of the
+    vectors while it iterates, so they are not cached here as well."""
+    require_both_classes(counts, "training")
+    encoder = FeatureEncoder(spec=features, labelCol=label).fit_prepared(prepared)
+    y = prepared.withColumn("_y", F.col("_keep").getField(label))
+    rows = with_balanced_weights(encoder.assemble(y, "_features"), "_y", counts)
+    total = float(counts["negative"] + counts["positive"])
+    classifier = build_classifier(spec, total).fit(rows.select("_features", "_label", "_weight"))
+    return Member(encoder, classifier)
+
+
+def _folded(df: DataFrame, label: str, keys: Sequence[str], features: FeatureSpec, spec: ModelSpec):
+    """Prepared rows with their fold, cached, and the class counts outside each fold."""
     counts = check_labels(df, label)
     require_both_classes(counts, "training")
-    encoder = FeatureEncoder(spec=features, labelCol=label, outputCol="_features").fit(df)
-    rows = encoder.transform(with_balanced_weights(df, label, counts))
-    rows = rows.select("_features", "_label", "_weight").persist()
-    try:
-        total = float(counts["negative"] + counts["positive"])
-        return Member(encoder, build_classifier(spec, total).fit(rows))
-    finally:
-        rows.unpersist()
+    folds = usable_folds(spec.folds, counts)
+    marked = df.withColumn("_fold", hash_fold(keys, folds, spec.seed))
+    prepared = prepare(marked, features, marked.columns).persist()
+    fold, y = F.col("_keep").getField("_fold"), F.col("_keep").getField(label)
+    inside = prepared.groupBy(fold.alias("fold")).agg(
+        F.count_if(y == 0).alias("negative"), F.count_if(y == 1).alias("positive")
+    )
+    outside = [dict(counts) for _ in range(folds)]
+    for r in inside.collect():
+        for name in ("negative", "positive"):
+            outside[r["fold"]][name] -= r[name]
+    return prepared, fold, outside
 
 
 def fit_ensemble(
@@ -212,30 +239,36 @@ def fit_ensemble(
     """Fit the configured model on ``df``.
 
     With calibration the whole chain, encoders included, is fitted on the other folds and the
-    calibrator on the held-out fold, so no statistic leaks into its own calibration.
+    calibrator on the held-out fold, so no statistic leaks into its own calibration. Cleaning does
+    not look at other rows, so it runs once for all folds.
     """
     if not spec.calibrate:
-        return CalibratedModel([fit_member(df, label, features, spec)])
-    counts = check_labels(df, label)
-    require_both_classes(counts, "training")
-    folds = usable_folds(spec.folds, counts)
-    marked = df.withColumn("_fold", hash_fold(keys, folds, spec.seed)).persist()
+        counts = check_labels(df, label)
+        prepared = prepare(df, features, [label]).persist()
+        try:
+            return CalibratedModel([fit_member(prepared, label, features, spec, counts)])
+        finally:
+            prepared.unpersist()
+    prepared, fold, outside = _folded(
+        df.select(*dict.fromkeys([*_inputs(df, features), *keys, label])), label, keys, features, spec
+    )
 
-    def one(fold: int) -> Member:
-        fitted = fit_member(
-            marked.where(F.col("_fold") != fold).drop("_fold"), label, features, spec
-        )
-        held = marked.where(F.col("_fold") == fold).drop("_fold")
-        fitted.calibrator = fit_calibrator(
-            fitted.score(held, "_p"), label, spec.method
-        )
+    def one(k: int) -> Member:
+        fitted = fit_member(prepared.where(fold != k), label, features, spec, outside[k])
+        held = fitted.score_prepared(prepared.where(fold == k), "_p")
+        held = held.select("_p", F.col("_keep").getField(label).alias("_y"))
+        fitted.calibrator = fit_calibrator(held, "_y", spec.method)
         return fitted
 
     try:
-        jobs = [lambda fold=fold: one(fold) for fold in range(folds)]
+        jobs = [lambda k=k: one(k) for k in range(len(outside))]
         return CalibratedModel(in_parallel(jobs, spec.parallelism))
     finally:
-        marked.unpersist()
+        prepared.unpersist()
+
+
+def _inputs(df: DataFrame, features: FeatureSpec) -> list[str]:
+    return [c for c in (*features.numeric, *features.categorical) if c in df.columns]
 
 
 def out_of_fold_scores(
@@ -247,19 +280,20 @@ def out_of_fold_scores(
     output: str = "prob_evasao",
 ) -> DataFrame:
     """Every row scored exactly once, by a model that did not see it."""
-    counts = check_labels(df, label)
-    folds = usable_folds(spec.folds, counts)
-    marked = df.withColumn("_fold", hash_fold(keys, folds, spec.seed)).persist()
+    prepared, fold, outside = _folded(df, label, keys, features, spec)
 
-    def one(fold: int) -> Member:
-        return fit_member(marked.where(F.col("_fold") != fold).drop("_fold"), label, features, spec)
+    def one(k: int) -> Member:
+        return fit_member(prepared.where(fold != k), label, features, spec, outside[k])
 
-    members = in_parallel([lambda fold=fold: one(fold) for fold in range(folds)], spec.parallelism)
+    try:
+        members = in_parallel([lambda k=k: one(k) for k in range(len(outside))], spec.parallelism)
+    finally:
+        prepared.unpersist()
     parts = [
-        m.score(marked.where(F.col("_fold") == fold), output).withColumnRenamed("_fold", "fold")
-        for fold, m in enumerate(members)
+        restore(m.score_prepared(prepared.where(fold == k), output), [output])
+        for k, m in enumerate(members)
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("_fold", "fold")
 
 
 class CalibratedModel(Model, MLWritable, MLReadable):
@@ -271,13 +305,13 @@ class CalibratedModel(Model, MLWritable, MLReadable):
         self.output = output
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        # Each member appends one column in the same pass over the rows.
-        df = dataset
+        # All members share one clean-up; each appends one column in the same pass over the rows.
+        df = prepare(dataset, self.members[0].encoder.spec, dataset.columns)
         names = [f"_m{i}" for i in range(len(self.members))]
         for name, member in zip(names, self.members, strict=True):
-            df = member.score(df, name)
-        total = reduce(lambda a, b: a + b, [F.col(n) for n in names])
-        return df.withColumn(self.output, total / F.lit(float(len(names)))).drop(*names)
+            df = member.score_prepared(df, name)
+        mean = reduce(lambda a, b: a + b, [F.col(n) for n in names]) / F.lit(float(len(names)))
+        return restore(df.withColumn(self.output, mean), [self.output])
 
     def fold_importances(self, spark: SparkSession) -> DataFrame:
         rows = [

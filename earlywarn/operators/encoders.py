@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earlywarn.functions import named
 from earlywarn.operators.lookups import MAX_BROADCAST_ROWS, lookup_join
 
 
@@ -22,7 +23,7 @@ def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str | Column
     """One row per (row, column): ``feature``, ``value`` plus ``keep``. Narrow, no shuffle."""
     pairs = F.array(
         *[
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
+            F.struct(F.lit(c).alias("feature"), named(c).cast("string").alias("value"))
             for c in columns
         ]
     )

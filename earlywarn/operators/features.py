@@ -21,7 +21,7 @@ from pyspark.ml.util import (
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earlywarn.functions import clean_category, present_sum, share
+from earlywarn.functions import clean_categories, named, present_sum, share
 from earlywarn.operators.encoders import EncoderSpec, category_counts, smoothed_mean
 from earlywarn.operators.lookups import lookup_join
 from earlywarn.operators.quantiles import exact_medians
@@ -85,12 +85,12 @@ def prepare(df: DataFrame, spec: FeatureSpec, keep: Sequence[str] = ()) -> DataF
 
     Model inputs get an ``x_`` prefix so that passed-through columns keep their original values.
     """
-    kept = F.struct(*keep) if keep else F.lit(None)
+    kept = F.struct(*[named(c) for c in keep]) if keep else F.lit(None)
     base = drop_technical(df.withColumn("_keep", kept), spec.technical)
-    source = ensure_typed(base, spec.numeric, spec.categorical)
+    source = clean_categories(ensure_typed(base, spec.numeric, spec.categorical), spec.categorical)
     typed = source.select(
         *[F.col(c) for c in spec.numeric],
-        *[F.coalesce(clean_category(c), F.lit(spec.missing_word)).alias(c) for c in spec.categorical],
+        *[F.coalesce(F.col(c), F.lit(spec.missing_word)).alias(c) for c in spec.categorical],
         "_keep",
     )
     ready = engineer(typed, spec)
@@ -134,6 +134,12 @@ def impute_and_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: s.apply(F.col(c)) for c, s in zip(columns, stats, strict=True)})
 
 
+def restore(prepared: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """The columns that :func:`prepare` kept, followed by ``extra``."""
+    kept = prepared.schema["_keep"].dataType.names
+    return prepared.select(*[F.col("_keep").getField(c).alias(c) for c in kept], *extra)
+
+
 class FeatureEncoder(Estimator):
     """Fits medians, means, deviations, vocabularies and target encodings on the rows given to it."""
 
@@ -148,8 +154,18 @@ class FeatureEncoder(Estimator):
         self.spec = spec or FeatureSpec()
 
     def _fit(self, dataset: DataFrame) -> FeatureEncoderModel:
-        spec, label = self.spec, self.getOrDefault(self.labelCol)
-        rows = prepare(dataset, spec, [label]).withColumn("_y", F.col(f"_keep.{label}").cast("double"))
+        label = self.getOrDefault(self.labelCol)
+        rows = prepare(dataset, self.spec, [label]).persist()
+        try:
+            return self.fit_prepared(rows)
+        finally:
+            rows.unpersist()
+
+    def fit_prepared(self, prepared: DataFrame) -> FeatureEncoderModel:
+        """Fit on rows that already went through :func:`prepare` and kept the label."""
+        spec = self.spec
+        label = F.col("_keep").getField(self.getOrDefault(self.labelCol))
+        rows = prepared.withColumn("_y", label.cast("double"))
         numeric = [f"x_{c}" for c in spec.all_numeric]
         stats = numeric_statistics(rows, numeric)
         state: dict[str, Any] = {
@@ -173,31 +189,36 @@ class FeatureEncoder(Estimator):
         spec = self.spec
         columns = [f"x_{c}" for c in spec.categorical]
         # The reduction is used for the cardinalities, the vocabularies and the encodings.
-        stats = pin(category_counts(rows, columns, "_y"))
-        sizes = {
-            r["feature"]: r
-            for r in stats.groupBy("feature")
-            .agg(F.count("*").alias("k"), F.sum("n").alias("rows"),
-                 F.sum(F.col("n") * F.col("mean")).alias("y"))
-            .collect()
-        }
-        few = [c for c in columns if c in sizes and sizes[c]["k"] <= spec.encoder.max_onehot]
-        many = [c for c in columns if c in sizes and sizes[c]["k"] > spec.encoder.max_onehot]
-        for c in columns:
-            if c not in many:
-                state["onehot"][c[2:]] = []
-        # At most max_onehot values per column come back.
-        for r in stats.where(F.col("feature").isin(few)).orderBy("feature", "value").collect():
-            state["onehot"][r["feature"][2:]].append(r["value"])
-        if not many:
-            return None
-        state["target"] = [c[2:] for c in many]
-        state["prior"] = sizes[many[0]]["y"] / sizes[many[0]]["rows"]
-        state["encoding_rows"] = sum(sizes[c]["k"] for c in many)
-        encoded = smoothed_mean(F.col("n"), F.col("mean"), F.lit(state["prior"]), spec.encoder)
-        return stats.where(F.col("feature").isin(many)).select(
-            F.substring("feature", 3, 1_000_000).alias("feature"), "value", encoded.alias("encoded")
-        )
+        stats = category_counts(rows, columns, "_y").persist()
+        try:
+            sizes = {
+                r["feature"]: r
+                for r in stats.groupBy("feature")
+                .agg(F.count("*").alias("k"), F.sum("n").alias("rows"),
+                     F.sum(F.col("n") * F.col("mean")).alias("y"))
+                .collect()
+            }
+            few = [c for c in columns if c in sizes and sizes[c]["k"] <= spec.encoder.max_onehot]
+            many = [c for c in columns if c in sizes and sizes[c]["k"] > spec.encoder.max_onehot]
+            state["onehot"] = {c[2:]: [] for c in columns if c not in many}
+            # At most max_onehot values per column come back.
+            for r in stats.where(F.col("feature").isin(few)).orderBy("feature", "value").collect():
+                state["onehot"][r["feature"][2:]].append(r["value"])
+            if not many:
+                return None
+            state["target"] = [c[2:] for c in many]
+            state["prior"] = sizes[many[0]]["y"] / sizes[many[0]]["rows"]
+            state["encoding_rows"] = sum(sizes[c]["k"] for c in many)
+            encoded = smoothed_mean(F.col("n"), F.col("mean"), F.lit(state["prior"]), spec.encoder)
+            # Scoring must not depend on the training rows any more.
+            return pin(
+                stats.where(F.col("feature").isin(many)).select(
+                    F.expr("substring(feature, 3)").alias("feature"), "value",
+                    encoded.alias("encoded"),
+                )
+            )
+        finally:
+            stats.unpersist()
 
 
 class FeatureEncoderModel(Model, MLWritable, MLReadable):
@@ -223,10 +244,13 @@ class FeatureEncoderModel(Model, MLWritable, MLReadable):
     def feature_names(self) -> list[str]:
         return [name for name, _ in self.lineage]
 
-    def encode(self, dataset: DataFrame) -> DataFrame:
-        """Encoded columns ``f0 … fn`` in lineage order beside the untouched input columns."""
-        spec = FeatureSpec.from_dict(self.state["spec"])
-        ready = prepare(dataset, spec, dataset.columns)
+    @property
+    def spec(self) -> FeatureSpec:
+        return FeatureSpec.from_dict(self.state["spec"])
+
+    def encode_prepared(self, prepared: DataFrame) -> DataFrame:
+        """Append encoded columns ``f0 … fn`` in lineage order."""
+        ready = prepared
         for c in self.state["target"]:
             table = self.encodings.where(F.col("feature") == c).select(
                 F.col("value").alias(f"x_{c}"), F.col("encoded").alias(f"t_{c}")
@@ -239,16 +263,24 @@ class FeatureEncoderModel(Model, MLWritable, MLReadable):
             out += [(F.col(f"x_{source}") == F.lit(v)).cast("double") for v in values]
         for c in self.state["target"]:
             out.append(F.coalesce(F.col(f"t_{c}"), F.lit(float(self.state["prior"]))))
-        # Struct fields are read by position-free names, so odd source names are safe.
-        kept = [F.col("_keep").getField(c).alias(c) for c in dataset.columns]
-        return ready.select(*kept, *[c.alias(f"f{i}") for i, c in enumerate(out)])
+        return ready.select(*prepared.columns, *[c.alias(f"f{i}") for i, c in enumerate(out)])
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        encoded = self.encode(dataset)
+    def assemble(self, prepared: DataFrame, output: str) -> DataFrame:
+        """Append the feature vector to prepared rows."""
         names = [f"f{i}" for i in range(len(self.lineage))]
-        output = self.getOrDefault(self.outputCol)
         assembler = VectorAssembler(inputCols=names, outputCol=output, handleInvalid="error")
-        return assembler.transform(encoded).drop(*names)
+        return assembler.transform(self.encode_prepared(prepared)).drop(*names)
+
+    def encode(self, dataset: DataFrame) -> DataFrame:
+        """Encoded columns ``f0 … fn`` beside the untouched input columns."""
+        encoded = self.encode_prepared(prepare(dataset, self.spec, dataset.columns))
+        return restore(encoded, [f"f{i}" for i in range(len(self.lineage))])
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        output = self.getOrDefault(self.outputCol)
+        return restore(
+            self.assemble(prepare(dataset, self.spec, dataset.columns), output), [output]
+        )
 
     def write(self) -> MLWriter:
         return _EncoderWriter(self)

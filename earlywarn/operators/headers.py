@@ -1,9 +1,9 @@
 """Header matching for a whole landing zone: (file, position, header) -> canonical field.
 
 Per (file, field) the first of these wins: an exact alias, the special rule for the field, the number
-of hint words in the header, a fuzzy name score. Every stage is a row-wise expression on a header; the
-choice of the best header per (file, field) is a ``max_by`` aggregation, which combines map-side, so
-no task ever holds all candidates of a file.
+of hint words in the header, a fuzzy name score. Every stage is a row-wise expression on a header, and the
+choice of the best header is one maximum per field in a single aggregation by file. That combines
+map-side, so no task ever holds all headers of a file, and needs neither a join nor an explode.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earlywarn.functions import normalise_header
@@ -32,59 +32,55 @@ class MatchSpec:
     threshold: float = FUZZY_THRESHOLD
 
 
-def fuzzy_score(a: Column, b: Column) -> Column:
-    """0-100 from the edit distance, the better of the plain and the word-sorted spelling."""
+def _text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def ratio(x: Column, y: Column) -> Column:
-        longest = F.greatest(F.length(x), F.length(y))
-        return F.lit(100.0) * (
-            F.lit(1.0) - F.levenshtein(x, y) / F.greatest(longest, F.lit(1)).cast("double")
-        )
 
-    def words(x: Column) -> Column:
-        spaced = F.translate(x, "_", " ")
-        return F.array_join(F.array_sort(F.split(spaced, " ")), " ")
+def _spell(df: DataFrame) -> DataFrame:
+    """Add the forms of the header that the scores look at."""
+    words = df.selectExpr("*", "translate(norm, '_', ' ') AS plain", "length(norm) AS size")
+    return words.selectExpr("*", "array_join(array_sort(split(plain, ' ')), ' ') AS sorted")
 
-    return F.greatest(ratio(F.translate(a, "_", " "), F.translate(b, "_", " ")),
-                      ratio(words(a), words(b)))
 
+def _fuzzy_sql(name: str, spec: MatchSpec) -> str:
+    """0-100 from the edit distance, the better of the plain and the word-sorted spelling.
 
-def _alias_table(spark: SparkSession, spec: MatchSpec) -> DataFrame:
-    rows = [(k, v) for k, v in spec.aliases.items() if v is not None and v in spec.fields]
-    return spark.createDataFrame(rows, "norm string, field string")
+    The distance is at least the difference in length, which rules most pairs out without computing
+    it: those score NULL.
+    """
+    n, words = len(name), name.replace("_", " ")
+    ordered = " ".join(sorted(words.split(" ")))
+    return f"""CASE WHEN abs(size - {n}) <= greatest(size, {n}) * {1.0 - spec.threshold / 100.0!r}D
+        THEN 100D * (1D - least(levenshtein({_text(words)}, plain), levenshtein({_text(ordered)}, sorted))
+                          / CAST(greatest(size, {n}) AS DOUBLE)) END"""
 
 
-def _candidates(headers: DataFrame, spec: MatchSpec) -> DataFrame:
-    """Score each distinct header against the fields once; most headers repeat across files.
+def _fit_sql(i: int, name: str, spec: MatchSpec) -> str:
+    """How well the row's header fits one field: (stage, grade) or NULL.
 
-    ``stage`` 3 special, 2 hints, 1 fuzzy; ``grade`` orders headers within a stage.
+    Stage 4 alias, 3 special rule, 2 hints, 1 fuzzy; the grade orders headers within a stage.
     """
-    norm = F.col("norm")
-    options = []
-    for name in spec.fields:
-        allowed = F.lit(True)
-        for family in spec.families:
-            if family in name:
-                allowed = allowed & norm.contains(family)
-        special, hints = spec.special.get(name), spec.hints.get(name, ())
-        fuzzy = fuzzy_score(F.lit(name), norm)
-        stage = F.when(fuzzy >= spec.threshold, F.lit(1))
-        grade = fuzzy
-        if hints:
-            found = sum((norm.contains(h).cast("int") for h in hints), F.lit(0))
-            stage = F.when(found > 0, F.lit(2)).otherwise(stage)
-            grade = F.when(found > 0, found.cast("double")).otherwise(grade)
-        if special:
-            must, second = special
-            fits = norm.contains(must)
-            stage = F.when(fits, F.lit(3)).otherwise(stage)
-            rank = F.when(norm.contains(second), F.lit(0.0)).otherwise(F.lit(1.0))
-            grade = F.when(fits, rank).otherwise(grade)
-        options.append(
-            F.struct(F.lit(name).alias("field"), F.when(allowed, stage).alias("stage"),
-                     grade.alias("grade"))
-        )
-    return headers.select("norm", F.inline(F.array(*options))).where(F.col("stage").isNotNull())
+
+    def fit(stage: int, grade: str) -> str:
+        return f"named_struct('stage', {stage}, 'grade', CAST({grade} AS DOUBLE))"
+
+    def holds(word: str) -> str:
+        return f"contains(norm, {_text(word)})"
+
+    rules = []
+    aliases = [alias for alias, target in spec.aliases.items() if target == name]
+    if aliases:
+        rules.append((f"norm IN ({', '.join(map(_text, aliases))})", fit(4, "0")))
+    rules += [(f"NOT {holds(f)}", "NULL") for f in spec.families if f in name]
+    if name in spec.special:
+        must, second = spec.special[name]
+        rules.append((holds(must), fit(3, f"IF({holds(second)}, 0, 1)")))
+    if name in spec.hints:
+        found = " + ".join(f"CAST({holds(h)} AS INT)" for h in spec.hints[name])
+        rules.append((f"{found} > 0", fit(2, found)))
+    rules.append((f"z{i} >= {float(spec.threshold)!r}D", fit(1, f"z{i}")))
+    return "CASE " + " ".join(f"WHEN {test} THEN {then}" for test, then in rules) + " END"
 
 
 def match_headers(catalogue: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
@@ -93,37 +89,28 @@ def match_headers(catalogue: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFr
     ``catalogue`` has columns ``file``, ``position``, ``header``. One header may serve several
     fields; an alias that points nowhere does not take its header out of the later stages.
     """
-    spark = catalogue.sparkSession
-    named = catalogue.withColumn("norm", normalise_header("header"))
-    exact = named.join(F.broadcast(_alias_table(spark, spec)), "norm").select(
-        "file", "position", "header", "field", F.lit(4).alias("stage"), F.lit(0.0).alias("grade")
+    fields = list(enumerate(spec.fields))
+    base = catalogue.select("file", "position", "header", normalise_header("header").alias("norm"))
+    spelled = _spell(base).selectExpr("*", *[f"{_fuzzy_sql(name, spec)} AS z{i}" for i, name in fields])
+    fitted = spelled.selectExpr(
+        "file", "position", "header", *[f"{_fit_sql(i, name, spec)} AS c{i}" for i, name in fields]
     )
-    scored = _candidates(named.select("norm").distinct(), spec)
-    # The scored table has as many rows as matching (header, field) pairs; the runtime broadcasts it
-    # when that is small, and otherwise splits hot headers on the catalogue side.
-    others = named.join(scored, "norm").select(
-        "file", "position", "header", "field", "stage", "grade"
+    # Ordered by stage, then grade, then the earliest header.
+    full = "named_struct('stage', {0}.stage, 'grade', {0}.grade, 'early', -position, 'header', header)"
+    scored = fitted.selectExpr(
+        "file", *[f"CASE WHEN c{i} IS NOT NULL THEN {full.format(f'c{i}')} END AS c{i}" for i, _ in fields]
     )
-    order = F.struct("stage", "grade", -F.col("position"))
-    best = (
-        exact.unionByName(others)
-        .groupBy("file", "field")
-        .agg(F.max_by(F.struct("header", "position", "stage", "grade"), order).alias("b"))
-        .select("file", "field", "b.*")
+    best = scored.groupBy("file").agg(
+        *[F.max(f"c{i}").alias(f"c{i}") for i in range(len(spec.fields))]
     )
-    files = named.select("file").distinct()
-    slots = files.select(
-        "file",
-        F.posexplode(F.array(*[F.lit(f) for f in spec.fields])).alias("field_order", "field"),
+    slots = ", ".join(
+        f"named_struct('field_order', {i}, 'field', {_text(name)}, 'header', c{i}.header, "
+        f"'stage', c{i}.stage, 'grade', c{i}.grade)"
+        for i, name in fields
     )
-    return slots.join(best, ["file", "field"], "left").select(
-        "file", "field_order", "field", "header",
-        F.element_at(
-            F.create_map(
-                *[x for k, v in _STAGES.items() for x in (F.lit(k), F.lit(v))]
-            ), F.col("stage"),
-        ).alias("matched_by"),
-        "grade",
+    names = " ".join(f"WHEN {stage} THEN '{text}'" for stage, text in _STAGES.items())
+    return best.selectExpr("file", f"inline(array({slots}))").selectExpr(
+        "file", "field_order", "field", "header", f"CASE stage {names} END AS matched_by", "grade"
     )
 
 

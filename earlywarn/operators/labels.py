@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from earlywarn.functions import half_year_index, normalise_status
+from earlywarn.functions import half_year_index, named, normalise_status
 from earlywarn.operators.lookups import lookup_join
 from earlywarn.operators.ordered import MAX_GROUP_ROWS, next_name, with_followers
 from earlywarn.presets import COMPLETED_STATUSES, DROPOUT_STATUSES
@@ -73,7 +73,7 @@ def label_future_events(df: DataFrame, spec: LabelSpec = LabelSpec()) -> DataFra
     if spec.require_observed_future:
         valid = valid & F.col(next_name("_t", 1)).isNotNull()
     out = ahead.withColumns({spec.label: hit.cast("double"), spec.valid: valid})
-    return out.select(*df.columns, spec.label, spec.valid)
+    return out.select(*[named(c) for c in [*df.columns, spec.label, spec.valid]])
 
 
 def label_time_range(df: DataFrame, spec: LabelSpec = LabelSpec()) -> DataFrame:
@@ -102,4 +102,4 @@ def label_time_range(df: DataFrame, spec: LabelSpec = LabelSpec()) -> DataFrame:
     out = joined.withColumns(
         {spec.label: F.coalesce(F.col("_hit"), F.lit(False)).cast("double"), spec.valid: valid}
     )
-    return out.select(*df.columns, spec.label, spec.valid)
+    return out.select(*[named(c) for c in [*df.columns, spec.label, spec.valid]])

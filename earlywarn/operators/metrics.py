@@ -24,14 +24,29 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.select("label", "n", weight.cast("double").alias("weight"))
 
 
-def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Exact area under the ROC curve, ties counted half; NULL when a class is absent."""
-    steps = score_steps(df, score, label)
+def _won_pairs() -> Column:
     # Pairs (positive, negative) the score puts in the right order, ties as a half.
-    won = F.col("pos") * (F.col("neg_upto") - F.col("neg") + F.col("neg") / 2.0)
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    return F.sum(pos * (F.col("neg_upto") - neg + neg / F.lit(2.0)))
+
+
+def _auc() -> Column:
     pairs = F.first("pos_all").cast("double") * F.first("neg_all")
-    return steps.agg(
-        F.try_divide(F.sum(won.cast("double")), F.when(pairs != 0, pairs)).alias("roc_auc"),
+    return F.try_divide(_won_pairs(), F.when(pairs != 0, pairs))
+
+
+def _average_precision() -> Column:
+    tp = F.col("pos_all") - F.col("pos_upto") + F.col("pos")
+    fp = F.col("neg_all") - F.col("neg_upto") + F.col("neg")
+    total = F.first("pos_all")
+    gained = F.sum((F.col("pos") * tp / (tp + fp)).cast("double"))
+    return F.try_divide(gained, F.when(total != 0, total))
+
+
+def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Exact area under the ROC curve, ties counted half; NULL when a class is absent."""
+    return score_steps(df, score, label).agg(
+        _auc().alias("roc_auc"),
         F.coalesce(F.first("pos_all"), F.lit(0)).alias("positives"),
         F.coalesce(F.first("neg_all"), F.lit(0)).alias("negatives"),
     )
@@ -39,14 +54,7 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def pr_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the precision-recall curve, by average precision over distinct scores."""
-    steps = score_steps(df, score, label)
-    tp = F.col("pos_all") - F.col("pos_upto") + F.col("pos")
-    fp = F.col("neg_all") - F.col("neg_upto") + F.col("neg")
-    gained = F.col("pos") * tp / (tp + fp)
-    total = F.first("pos_all")
-    return steps.agg(
-        F.try_divide(F.sum(gained.cast("double")), F.when(total != 0, total)).alias("pr_auc")
-    )
+    return score_steps(df, score, label).agg(_average_precision().alias("pr_auc"))
 
 
 def brier(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -117,11 +125,15 @@ def confusion(df: DataFrame, score: str, label: str, cut: float = 0.5) -> DataFr
 
 
 def holdout_metrics(df: DataFrame, score: str, label: str) -> dict[str, float | None]:
-    auc = roc_auc(df, score, label).first()
-    quality = brier(df, score, label).first()
-    return {
-        "roc_auc": auc["roc_auc"],
-        "pr_auc": pr_auc(df, score, label).first()["pr_auc"],
-        "brier_score": quality["brier"],
-        "brier_base_rate": quality["brier_base"],
-    }
+    """All hold-out measures from one reduction to distinct scores."""
+    p = F.col("score")
+    error = F.col("pos") * F.pow(F.lit(1.0) - p, F.lit(2.0)) + F.col("neg") * p * p
+    rows = F.sum("pos") + F.sum("neg")
+    base = F.try_divide(F.sum("pos"), rows)
+    row = score_steps(df, score, label).agg(
+        _auc().alias("roc_auc"),
+        _average_precision().alias("pr_auc"),
+        F.try_divide(F.sum(error), rows).alias("brier_score"),
+        (base * (F.lit(1.0) - base)).alias("brier_base_rate"),
+    )
+    return row.first().asDict()

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from earlywarn.functions import named
 from earlywarn.session import pin
 
 # A history longer than this is cut into ranges; below it one task sorts it comfortably.
@@ -66,8 +67,8 @@ def with_followers(
     picked = long_keys.drop("count")
     if found["n"] <= MAX_BROADCAST_KEYS:
         picked = F.broadcast(picked)
-    usual = df.join(picked, list(keys), "left_anti").select(*df.columns)
-    heavy = df.join(picked, list(keys), "left_semi").select(*df.columns)
+    usual = df.join(picked, list(keys), "left_anti").select(*[named(c) for c in df.columns])
+    heavy = df.join(picked, list(keys), "left_semi").select(*[named(c) for c in df.columns])
     ranges = math.ceil(2 * found["rows"] / max_group_rows)
     out = _ranged_leads(heavy, keys, order, values, depth, ranges)
     return _with_leads(usual, keys, order, values, depth).unionByName(out)

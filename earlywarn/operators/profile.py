@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from earlywarn.functions import named
 from earlywarn.operators.encoders import long_form
 from earlywarn.presets import BOOLEAN_TOKENS
 
@@ -31,7 +32,7 @@ def missing_fractions(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     columns = list(columns or df.columns)
     counted = df.agg(
         F.count("*").alias("rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(columns)],
+        *[F.count_if(named(c).isNull()).alias(f"_m{i}") for i, c in enumerate(columns)],
     )
     pairs = F.array(
         *[
@@ -55,7 +56,7 @@ def high_missing(df: DataFrame, cut: float = HIGH_MISSING) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Counts per value, NULL being a value."""
-    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return df.groupBy(named(column).alias("value")).agg(F.count("*").alias("n"))
 
 
 def distinct_counts(
@@ -65,7 +66,7 @@ def distinct_counts(
 
     A sketch settles the columns far from the limit; only the close calls are counted exactly.
     """
-    rough = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"c{i}") for i, c in enumerate(columns)])
+    rough = df.agg(*[F.approx_count_distinct(named(c), 0.02).alias(f"c{i}") for i, c in enumerate(columns)])
     row = rough.first()
     out = {c: (row[i], row[i] <= limit) for i, c in enumerate(columns)}
     close = [c for c in columns if abs(out[c][0] - limit) <= max(2, margin * limit)]

@@ -8,22 +8,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Once this few candidate values per column are left, one bounded list per column finishes the job.
+# A column's remaining candidates are listed in one place only when there are at most this many.
 FINAL_VALUES = 20_000
+# The sketch's rank error is at most rows / _ACCURACY; the bracket reaches _MARGIN to either side.
 _ACCURACY = 10_000
 _MARGIN = 0.001
+_SPREAD = 2 * _MARGIN + 4 / _ACCURACY
 
 
 @dataclass
 class _Bracket:
-    """Open interval known to hold the wanted order statistics, and how many values lie below it."""
+    """Open interval known to hold the wanted ranks, how many values lie below and inside it, and
+    sketched values just around the wanted ranks."""
 
     column: str
     ranks: tuple[int, ...]
+    size: int
+    below: int = 0
     low: float | None = None
     high: float | None = None
-    below: int = 0
-    size: int = 0
+    ends: tuple[float, float] | None = None
 
     def inside(self) -> Column:
         c = F.col(self.column)
@@ -34,6 +38,13 @@ class _Bracket:
             test = test & (c < self.high)
         return F.when(test, c)
 
+    def around(self) -> list[float]:
+        shares = [(r - self.below + 0.5) / self.size for r in self.ranks]
+        return [max(0.0, shares[0] - _MARGIN), min(1.0, shares[-1] + _MARGIN)]
+
+    def holds(self, rank: int) -> bool:
+        return self.below <= rank < self.below + self.size
+
 
 def exact_medians(
     df: DataFrame, columns: Sequence[str], final_values: int = FINAL_VALUES
@@ -42,77 +53,79 @@ def exact_medians(
 
     Every step is a single aggregation over all columns at once, combined map-side. Sketch quantiles
     bracket the middle; exact counts below, at and between the bracket ends say which side holds the
-    wanted rank, so the sketch only affects how fast the bracket shrinks, never the answer.
+    wanted rank, so the sketch only affects how fast the bracket shrinks, never the answer. Two
+    passes settle columns of up to a few million values, three or four any size.
     """
     if not columns:
         return {}
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    middle = [0.5 - _MARGIN, 0.5 + _MARGIN]
+    first = df.agg(
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(c, middle, _ACCURACY).alias(f"q{i}") for i, c in enumerate(columns)],
+    ).first()
     found: dict[tuple[str, int], float] = {}
-    open_brackets: list[_Bracket] = []
     wanted: dict[str, tuple[int, ...]] = {}
+    brackets = []
     for i, c in enumerate(columns):
-        n = counts[i]
+        n = first[f"n{i}"]
         if n:
             wanted[c] = ((n - 1) // 2,) if n % 2 else (n // 2 - 1, n // 2)
-            open_brackets.append(_Bracket(c, wanted[c], size=n))
-    while open_brackets:
-        small = [b for b in open_brackets if b.size <= final_values]
-        large = [b for b in open_brackets if b.size > final_values]
-        _finish(df, small, found)
-        open_brackets = _narrow(df, large, found) if large else []
+            brackets.append(_Bracket(c, wanted[c], n, ends=tuple(first[f"q{i}"])))
+    while brackets:
+        brackets = _settle(df, brackets, found, final_values)
+        stuck = [b for b in brackets if b.size > final_values]
+        if stuck:
+            row = df.agg(
+                *[F.percentile_approx(b.inside(), b.around(), _ACCURACY) for b in stuck]
+            ).first()
+            for b, ends in zip(stuck, row, strict=True):
+                b.ends = tuple(ends)
     out: dict[str, float | None] = {c: None for c in columns}
     for c, ranks in wanted.items():
         out[c] = sum(found[c, r] for r in ranks) / len(ranks)
     return out
 
 
-def _finish(df: DataFrame, brackets: list[_Bracket], found: dict) -> None:
-    if not brackets:
-        return
-    picks = []
-    for i, b in enumerate(brackets):
-        values = F.sort_array(F.collect_list(b.inside()))
-        picks += [values[r - b.below].alias(f"v{i}_{r}") for r in b.ranks]
-    row = df.agg(*picks).first()
-    for i, b in enumerate(brackets):
-        for r in b.ranks:
-            found[b.column, r] = row[f"v{i}_{r}"]
-
-
-def _narrow(df: DataFrame, brackets: list[_Bracket], found: dict) -> list[_Bracket]:
-    sketches = []
+def _settle(
+    df: DataFrame, brackets: list[_Bracket], found: dict, final_values: int
+) -> list[_Bracket]:
+    """One pass: place the wanted ranks, read off those that can be, return what is left."""
+    aggs = []
     for i, b in enumerate(brackets):
-        shares = [(r - b.below + 0.5) / b.size for r in b.ranks]
-        around = [max(0.0, shares[0] - _MARGIN), min(1.0, shares[-1] + _MARGIN)]
-        sketches.append(F.percentile_approx(b.inside(), around, _ACCURACY).alias(f"q{i}"))
-    ends = df.agg(*sketches).first()
-    counters = []
-    for i, b in enumerate(brackets):
-        c, (low, high) = b.inside(), ends[i]
-        counters += [
+        c = b.inside()
+        if b.size <= final_values:
+            aggs.append(F.sort_array(F.collect_list(c)).alias(f"all{i}"))
+            continue
+        low, high = b.ends
+        between = F.when((c > low) & (c < high), c)
+        aggs += [
             F.count_if(c < low).alias(f"a{i}"),
             F.count_if(c == low).alias(f"b{i}"),
-            F.count_if((c > low) & (c < high)).alias(f"c{i}"),
+            F.count(between).alias(f"c{i}"),
             F.count_if((c == high) & F.lit(high > low)).alias(f"d{i}"),
         ]
-    seen = df.agg(*counters).first()
+        # The sketch bounds how many values can lie strictly between its two ends.
+        if b.size * _SPREAD <= final_values:
+            aggs.append(F.sort_array(F.collect_list(between)).alias(f"mid{i}"))
+    row = df.agg(*aggs).first().asDict()
     rest: list[_Bracket] = []
     for i, b in enumerate(brackets):
-        low, high = ends[i]
+        if f"all{i}" in row:
+            found.update({(b.column, r): row[f"all{i}"][r - b.below] for r in b.ranks})
+            continue
+        low, high = b.ends
+        sizes = [row[f"{s}{i}"] for s in "abcd"]
+        limits = [(b.low, low), (low, low), (low, high), (high, high), (high, b.high)]
         start = b.below
-        # Consecutive segments: below the low end, the low end, between, the high end, above it.
-        segments = [
-            (seen[f"a{i}"], b.low, low),
-            (seen[f"b{i}"], low, None),
-            (seen[f"c{i}"], low, high),
-            (seen[f"d{i}"], high, None),
-        ]
-        segments.append((b.size - sum(s[0] for s in segments), high, b.high))
-        for k, (size, lower, upper) in enumerate(segments):
-            ranks = tuple(r for r in b.ranks if start <= r < start + size)
+        for k, size in enumerate([*sizes, b.size - sum(sizes)]):
+            part = _Bracket(b.column, (), size, start, *limits[k])
+            ranks = tuple(r for r in b.ranks if part.holds(r))
             if ranks and k in (1, 3):
-                found.update({(b.column, r): lower for r in ranks})
+                found.update({(b.column, r): part.low for r in ranks})
+            elif ranks and k == 2 and f"mid{i}" in row:
+                found.update({(b.column, r): row[f"mid{i}"][r - start] for r in ranks})
             elif ranks:
-                rest.append(_Bracket(b.column, ranks, lower, upper, start, size))
+                part.ranks = ranks
+                rest.append(part)
             start += size
     return rest

@@ -88,22 +88,20 @@ def roll_up_sources(
     """Sum encoded-column values up to their source column.
 
     ``contributions`` is long (``row``, ``feature``, value); ``lineage`` says which source each
-    encoded feature came from, one row per feature. With ``rows`` every (row, source) pair is
-    present, a source without a contribution being 0.
+    encoded feature came from, one row per feature. ``rows`` lists all row ids: with it every
+    (row, source) pair is present, a source without a contribution being 0.
     """
     sized = lineage.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     table = F.broadcast(lineage) if sized else lineage
     keys = [row] if row else []
-    sums = (
-        contributions.join(table, "feature")
-        .groupBy(*keys, "source")
-        .agg(F.sum(value).alias(value))
-    )
-    if rows is None:
-        return sums
-    # Sources are columns of a table, so their list is short.
-    sources = [r[0] for r in lineage.select("source").distinct().orderBy("source").collect()]
-    every = rows.select(row, F.explode(F.array(*[F.lit(s) for s in sources])).alias("source"))
-    return every.join(sums, [row, "source"], "left").withColumn(
-        value, F.coalesce(F.col(value), F.lit(0.0))
-    )
+    parts = contributions.join(table, "feature").select(*keys, "source", value)
+    if rows is not None:
+        # Sources are columns of a table, so their list is short. Adding a zero for every pair keeps
+        # it one shuffle, where an outer join would take two.
+        sources = [r[0] for r in lineage.select("source").distinct().orderBy("source").collect()]
+        zeros = rows.select(
+            row, F.explode(F.array(*[F.lit(s) for s in sources])).alias("source"),
+            F.lit(0.0).alias(value),
+        )
+        parts = parts.unionByName(zeros)
+    return parts.groupBy(*keys, "source").agg(F.sum(value).alias(value))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from earlywarn.functions import parse_number, parse_record_date
+from earlywarn.functions import named, parse_number, parse_record_date
 from earlywarn.presets import DISPLAY_FIRST, TECHNICAL_COLUMNS, RecordPreset
 
 
@@ -24,9 +24,9 @@ def as_number(df: DataFrame, name: str, parse=parse_number) -> Column:
     """A column as double: numbers are cast, text is parsed, NaN becomes NULL."""
     kind = column_type(df, name)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(name), F.col(name).cast("double"))
+        return F.when(~F.isnan(named(name)), named(name).cast("double"))
     if isinstance(kind, (T.NumericType, T.BooleanType)):
-        return F.col(name).cast("double")
+        return named(name).cast("double")
     return parse(name)
 
 
@@ -63,7 +63,7 @@ def rename_columns(
 def keep_fields(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """The canonical columns that exist, in canonical order."""
     present = set(df.columns)
-    return df.select(*[c for c in fields if c in present])
+    return df.select(*[named(c) for c in fields if c in present])
 
 
 def dropped_columns(
@@ -83,7 +83,7 @@ def dropped_columns(
         kept = set(renames)
     else:
         kept = {c for c in df.columns if renames.get(c, c) in allowed}
-    return df.select(*sorted(set(df.columns) - kept))
+    return df.select(*[named(c) for c in sorted(set(df.columns) - kept)])
 
 
 def ensure_columns(df: DataFrame, names: Iterable[str], kind: str = "string") -> DataFrame:
@@ -108,7 +108,7 @@ def order_scoring(df: DataFrame, preset: RecordPreset) -> DataFrame:
     present = set(df.columns)
     ids = [c for c in reversed(preset.ids) if c in present]
     body = [c for c in preset.features if c in present]
-    return df.select(*dict.fromkeys([*ids, *body, preset.status]))
+    return df.select(*[named(c) for c in dict.fromkeys([*ids, *body, preset.status])])
 
 
 def order_training(df: DataFrame, preset: RecordPreset) -> DataFrame:
@@ -117,7 +117,7 @@ def order_training(df: DataFrame, preset: RecordPreset) -> DataFrame:
     body = [c for c in preset.features if c in present]
     others = [c for c in df.columns if c not in set(body) and c != preset.status]
     tail = [preset.status] if preset.status in present else []
-    return df.select(*body, *others, *tail)
+    return df.select(*[named(c) for c in [*body, *others, *tail]])
 
 
 def model_input(
@@ -126,7 +126,7 @@ def model_input(
     """Exact feature order with missing ones as NULL; status last when present; extras go."""
     df = ensure_columns(df, features)
     tail = [status] if status is not None and status in df.columns else []
-    return df.select(*dict.fromkeys([*keep, *features, *tail]))
+    return df.select(*[named(c) for c in dict.fromkeys([*keep, *features, *tail])])
 
 
 def drop_technical(df: DataFrame, columns: Sequence[str] = tuple(TECHNICAL_COLUMNS)) -> DataFrame:
@@ -136,7 +136,8 @@ def drop_technical(df: DataFrame, columns: Sequence[str] = tuple(TECHNICAL_COLUM
 def display_order(df: DataFrame, first: Sequence[str] = tuple(DISPLAY_FIRST)) -> DataFrame:
     present = set(df.columns)
     lead = [c for c in first if c in present]
-    return df.select(*lead, *[c for c in df.columns if c not in set(lead)])
+    rest = [c for c in df.columns if c not in set(lead)]
+    return df.select(*[named(c) for c in [*lead, *rest]])
 
 
 def typed_records(

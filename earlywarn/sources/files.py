@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from earlywarn.functions import null_tokens
+from earlywarn.functions import named, null_tokens
 from earlywarn.operators.filters import UnusableData
 from earlywarn.presets import CRITICAL_COLUMNS, REQUIRED_COLUMNS
 
@@ -40,7 +43,7 @@ def read_delimited(
     )
     df = reader.csv(path if isinstance(path, str) else list(path))
     wanted = list(columns) if columns is not None else names
-    return df.select(*[null_tokens(F.col(f"`{c}`")).alias(c) for c in wanted])
+    return df.select(*[null_tokens(named(c)).alias(c) for c in wanted])
 
 
 def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
@@ -49,25 +52,35 @@ def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return reader.option("escape", '"').csv(path).columns
 
 
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        heads = []
+        for path in batch["path"]:
+            # Hadoop writes local paths as file:/x, which the Arrow reader wants as a plain path.
+            system, inner = FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+            data = b""
+            with system.open_input_stream(inner) as stream:
+                while b"\n" not in data and (block := stream.read(65536)):
+                    data += block
+            heads.append(data.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r"))
+        yield pd.DataFrame({"file": batch["path"], "head": heads})
+
+
 def header_catalogue(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """(file, position, header) for every file below ``path``, in one job.
 
-    The first line of a file is in its first block, so later blocks are filtered out and each file
-    contributes one line to the shuffle.
+    Files are listed without their content; each task then opens its files and reads no further than
+    the first line.
     """
-    lines = (
-        spark.read.text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("start"))
-        .where(F.col("start") == 0)
-        .withColumn("_line", F.monotonically_increasing_id())
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     )
-    first = lines.groupBy("file").agg(F.min_by("value", "_line").alias("head"))
+    first = listed.mapInPandas(_first_lines, "file string, head string").where("head <> ''")
     # Separators inside quotes do not count.
     outside = f'\\Q{sep}\\E(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    named = first.select("file", F.posexplode(F.split("head", outside)))
+    split = first.select("file", F.posexplode(F.split("head", outside)))
     bare = F.replace(F.regexp_replace("col", '^"|"$', ""), F.lit('""'), F.lit('"'))
-    return named.select("file", F.col("pos").alias("position"), bare.alias("header"))
+    return split.select("file", F.col("pos").alias("position"), bare.alias("header"))
 
 
 def detect_separator(spark: SparkSession, path: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from earlywarn.functions import (
     age_in_years,
     blank_placeholders,
-    clean_category,
+    clean_categories,
     first_present,
     parse_day_first,
     parse_decimal_comma,
@@ -131,10 +131,9 @@ SELECT doc_id, upper(source) AS source,
 FROM s""",
 )
 def accent_clean(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", upper_trimmed(F.concat(F.lit("  "), "source", F.lit("\t"))).alias("source"),
-        clean_category("text").alias("cleaned"),
-    )
+    docs = clean_categories(table(spark, sf_dir, "documents"), ["text"])
+    source = upper_trimmed(F.concat(F.lit("  "), "source", F.lit("\t")))
+    return docs.select("doc_id", source.alias("source"), F.col("text").alias("cleaned"))
 
 
 @query(
