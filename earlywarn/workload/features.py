@@ -19,7 +19,7 @@ from earlywarn.workload.registry import LABELLED_ORDERS_SQL, query, r6, table
 
 _SCALE_SQL = """n AS (SELECT p_partkey, CAST(nullif(p_size, 10) AS DOUBLE) AS a,
   CASE WHEN p_retailprice > 950 THEN p_retailprice END AS b FROM part),
-m AS (SELECT median(a) AS ma, median(b) AS mb FROM n),
+m AS (SELECT coalesce(median(a), 0) AS ma, coalesce(median(b), 0) AS mb FROM n),
 f AS (SELECT p_partkey, coalesce(a, ma) AS a, coalesce(b, mb) AS b FROM n, m),
 s AS (SELECT avg(a) AS aa, nullif(stddev_pop(a), 0) AS sa, avg(b) AS ab, nullif(stddev_pop(b), 0) AS sb FROM f)"""
 
