@@ -64,8 +64,9 @@ class ModelSpec:
 
 def in_parallel(jobs: Sequence[Callable[[], Any]], threads: int) -> list[Any]:
     """Run driver-side fits side by side; Spark shares the executors among their jobs."""
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        started = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        started = [pool.submit(inherit(job)) for job in jobs]
         return [s.result() for s in started]
 
 

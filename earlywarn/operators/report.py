@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from earlywarn.functions import risk_label, risk_percent
 from earlywarn.operators.filters import is_active
-from earlywarn.operators.lookups import MAX_BROADCAST_ROWS
+from earlywarn.operators.lookups import MAX_BROADCAST_ROWS, lookup_join
 from earlywarn.operators.quantiles import exact_medians
 from earlywarn.presets import ACTIVE_STATUS, DEFAULT_RISK_THRESHOLD, RISK_LABELS
 
@@ -91,10 +91,10 @@ def roll_up_sources(
     encoded feature came from, one row per feature. ``rows`` lists all row ids: with it every
     (row, source) pair is present, a source without a contribution being 0.
     """
-    sized = lineage.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    table = F.broadcast(lineage) if sized else lineage
     keys = [row] if row else []
-    parts = contributions.join(table, "feature").select(*keys, "source", value)
+    features = lineage.limit(MAX_BROADCAST_ROWS + 1).count()
+    joined = lookup_join(contributions, lineage, ["feature"], rows=features)
+    parts = joined.where(F.col("source").isNotNull()).select(*keys, "source", value)
     if rows is not None:
         # Sources are columns of a table, so their list is short. Adding a zero for every pair keeps
         # it one shuffle, where an outer join would take two.

@@ -20,6 +20,7 @@ from earlywarn.functions import (
     parse_yes_no,
     upper_trimmed,
 )
+from earlywarn.operators.filters import terminal_only
 from earlywarn.operators.labels import LabelSpec, label_future_events
 from earlywarn.operators.schema import (
     as_number,
@@ -96,7 +97,7 @@ def clean_records(
     kept = keep_fields(rename_columns(raw, mapping or {}, preset.fields), preset.fields)
     extra = [preset.status] + ([preset.birth_date] if preset.birth_date else [])
     df = ensure_columns(kept, [*preset.features, *extra])
-    df = fill_age(df, preset, as_of or date.today())
+    df = fill_age(df, preset, date.today() if as_of is None else as_of)
     df = parse_numbers(df, preset, thousands, yes_no)
     return upper_text(fill_and_mask_grades(df, preset), preset)
 
@@ -117,11 +118,14 @@ def records_for_training(
     mapping: Mapping[str, str | None] | None = None,
     preset: RecordPreset = TRAINING_PRESET,
     label: LabelSpec | None = None,
+    decided_only: bool = False,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Like :func:`records_for_scoring`, labelled when the history columns are there.
 
-    The audit lists every column that was not renamed.
+    The audit lists every column that was not renamed. ``decided_only`` keeps rows whose status is
+    final (after labelling, which needs the whole history); it is off because undecided rows are
+    what a prospective model learns from.
     """
     df = clean_records(raw, mapping, preset, **options)
     spec = label or LabelSpec()
@@ -131,6 +135,8 @@ def records_for_training(
         if not spec.tie:
             df, spec = df.withColumn("_tie", F.xxhash64(*df.columns)), replace(spec, tie=("_tie",))
         df = label_future_events(df, spec).drop("_tie")
+    if decided_only:
+        df = terminal_only(df, preset.status)
     return order_training(df, preset), dropped_columns(
         raw, mapping or {}, preset.fields, renamed_only=True
     )

@@ -82,6 +82,13 @@ def training_rows(df: DataFrame, spec: TrainSpec) -> DataFrame:
     return rows
 
 
+def used_columns(rows: DataFrame, spec: TrainSpec) -> DataFrame:
+    """Only what the job reads, so that caching it does not carry the rest of a wide table."""
+    inputs = (*spec.keys, spec.year, spec.half, *spec.features.numeric, *spec.features.categorical)
+    wanted = [c for c in dict.fromkeys([*inputs, spec.label]) if c in rows.columns]
+    return rows.select(*wanted)
+
+
 def split_column(rows: DataFrame, spec: TrainSpec) -> tuple[Column, str]:
     if spec.split is not None:
         return spec.split.column(spec.year), "configured_years"
@@ -168,7 +175,7 @@ def train(
     best_params: dict[str, Any] | None = None,
 ) -> TrainedRun:
     """Validate on the hold-out, refit on all rows, record, and save when a registry is given."""
-    rows = training_rows(df, spec).persist()
+    rows = used_columns(training_rows(df, spec), spec).persist()
     try:
         counts = check_labels(rows, spec.label)
         metrics, validation, strategy = validate_holdout(rows, spec)
@@ -207,7 +214,7 @@ def search(df: DataFrame, spec: TrainSpec) -> DataFrame:
     The split and the encoders do not depend on the trial, so they are computed once and the
     assembled vectors are kept; a trial only refits the trees, with early stopping on the later side.
     """
-    rows = training_rows(df, spec).persist()
+    rows = used_columns(training_rows(df, spec), spec).persist()
     train_rows, held, _ = _halves(rows, spec)
     counts = check_labels(train_rows, spec.label)
     require_both_classes(counts, "training")
@@ -222,13 +229,14 @@ def search(df: DataFrame, spec: TrainSpec) -> DataFrame:
         .select("_features", "_label", "_weight", "_held").persist()
     )
 
-    def attempt(params: dict[str, Any]) -> float | None:
+    def attempt(params: dict[str, Any]) -> tuple[float | None, int]:
         options = {**params, "n_estimators": spec.model.options.get("n_estimators", 1000)}
         trial = replace(spec.model, kind=GBT, params=tuple(options.items()))
         classifier = build_classifier(trial, 0.0).setValidationIndicatorCol("_held")
-        scored = classifier.fit(vectors).transform(vectors.where("_held"))
+        fitted = classifier.fit(vectors)
+        scored = fitted.transform(vectors.where("_held"))
         slim = scored.select(positive_probability("_prob", [0, 1]).alias("p"), "_label")
-        return roc_auc(slim, "p", "_label").first()["roc_auc"]
+        return roc_auc(slim, "p", "_label").first()["roc_auc"], fitted.getNumTrees
 
     draws = draw_trials(spec.trials, spec.model.seed)
     try:
@@ -236,9 +244,11 @@ def search(df: DataFrame, spec: TrainSpec) -> DataFrame:
     finally:
         vectors.unpersist()
         rows.unpersist()
+    # The number of trees at the early stop is part of the setting, for the final fit to repeat.
     table = [
-        (i, 0.5 if auc is None else 1.0 - auc, {k: str(v) for k, v in d.items()})
-        for i, (auc, d) in enumerate(zip(scores, draws, strict=True))
+        (i, 0.5 if auc is None else 1.0 - auc,
+         {k: str(v) for k, v in {**d, "n_estimators": trees}.items()})
+        for i, ((auc, trees), d) in enumerate(zip(scores, draws, strict=True))
     ]
     spark = df.sparkSession
     return spark.createDataFrame(table, "trial int, loss double, params map<string,string>").orderBy(

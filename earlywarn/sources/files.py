@@ -52,30 +52,30 @@ def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return reader.option("escape", '"').csv(path).columns
 
 
-def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        heads = []
-        for path in batch["path"]:
-            # Hadoop writes local paths as file:/x, which the Arrow reader wants as a plain path.
-            system, inner = FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
-            data = b""
-            with system.open_input_stream(inner) as stream:
-                while b"\n" not in data and (block := stream.read(65536)):
-                    data += block
-            heads.append(data.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r"))
-        yield pd.DataFrame({"file": batch["path"], "head": heads})
-
-
 def header_catalogue(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """(file, position, header) for every file below ``path``, in one job.
 
     Files are listed without their content; each task then opens its files and reads no further than
     the first line.
     """
+
+    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            heads = []
+            for path in batch["path"]:
+                # Hadoop writes local paths as file:/x, which Arrow wants as a plain path.
+                system, inner = FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+                data = b""
+                with system.open_input_stream(inner) as stream:
+                    while b"\n" not in data and (block := stream.read(65536)):
+                        data += block
+                heads.append(data.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r"))
+            yield pd.DataFrame({"file": batch["path"], "head": heads})
+
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     )
-    first = listed.mapInPandas(_first_lines, "file string, head string").where("head <> ''")
+    first = listed.mapInPandas(first_lines, "file string, head string").where("head <> ''")
     # Separators inside quotes do not count.
     outside = f'\\Q{sep}\\E(?=(?:[^"]*"[^"]*")*[^"]*$)'
     split = first.select("file", F.posexplode(F.split("head", outside)))
@@ -143,6 +143,15 @@ def as_records(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
 
 
+def write_training_table(df: DataFrame, path: str, year: str = "ano_ingresso") -> None:
+    """Labelled rows as Parquet, one folder per year, so that a year split reads only its years.
+
+    The rebalance keeps files at a sensible size: a year with few rows becomes one file and a year
+    with a third of all rows is written by many tasks.
+    """
+    df.hint("rebalance", year).write.partitionBy(year).parquet(path)
+
+
 def preview(df: DataFrame, n: int = 20) -> DataFrame:
     return df.limit(n)
 

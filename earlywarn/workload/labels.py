@@ -18,6 +18,8 @@ from earlywarn.operators.splits import (
     hash_fold,
     random_split,
 )
+from earlywarn.session import scratch_path
+from earlywarn.sources.files import write_training_table
 from earlywarn.workload.registry import LABELLED_ORDERS_SQL, order_history, query, r6, table
 
 ORDER_LABEL = LabelSpec(
@@ -137,6 +139,20 @@ def valid_year_filter(spark, sf_dir):
     return rows.select("o_orderkey", "target_evasao", YEARS.column("year").alias("split"))
 
 
+@query(
+    "training_table",
+    f"""WITH {LABELLED_ORDERS_SQL}
+SELECT o_orderkey, target_evasao, is_target_valid, CAST(year AS BIGINT) AS year
+FROM labelled WHERE year IN (1999, 2000)""",
+)
+def training_table(spark, sf_dir):
+    path = scratch_path(spark, "labelled")
+    write_training_table(labelled_orders(spark, sf_dir), path, "year")
+    rows = in_years(spark.read.parquet(path), [*YEARS.val_years, *YEARS.test_years], "year")
+    year = F.col("year").cast("bigint").alias("year")
+    return rows.select("o_orderkey", "target_evasao", "is_target_valid", year)
+
+
 @query(
     "available_years",
     "SELECT DISTINCT CAST(year(o_orderdate) AS BIGINT) AS year FROM orders",

@@ -18,7 +18,7 @@ from earlywarn.operators.report import (
 )
 from earlywarn.operators.splits import hash_fold
 from earlywarn.session import scratch_path
-from earlywarn.sources.files import write_delimited
+from earlywarn.sources.files import preview, read_delimited, write_delimited
 from earlywarn.streaming.arrivals import arriving_files, run_to_table, run_with_statistics
 from earlywarn.workload.registry import query, r6, table
 
@@ -92,6 +92,28 @@ def risk_filter(spark, sf_dir):
     return df.select("codigo_aluno", "ano_ingresso")
 
 
+@query(
+    "filtered_export",
+    f"""WITH {_SCORED} SELECT CAST(codigo_aluno AS VARCHAR) AS codigo_aluno, risk_label FROM risk
+WHERE situacao = 'Regular' AND p BETWEEN 0.5 AND 1 AND y BETWEEN 2000 AND 2030""",
+)
+def filtered_export(spark, sf_dir):
+    path = scratch_path(spark, "export")
+    chosen = filter_scored(scored(spark, sf_dir), statuses=["Regular"], risk=(0.5, 1.0))
+    write_delimited(with_risk(chosen), path)
+    return read_delimited(spark, path, ",").select("codigo_aluno", "risk_label")
+
+
+@query(
+    "preview_rows",
+    f"WITH {_SCORED} SELECT codigo_aluno, risk_label FROM risk ORDER BY codigo_aluno LIMIT 20",
+)
+def preview_rows(spark, sf_dir):
+    return preview(with_risk(scored(spark, sf_dir)).orderBy("codigo_aluno")).select(
+        "codigo_aluno", "risk_label"
+    )
+
+
 @query(
     "risk_filter_defaults",
     f"WITH {_SCORED} SELECT codigo_aluno FROM risk WHERE p BETWEEN 0 AND 1 AND y BETWEEN 2000 AND 2030",

@@ -146,3 +146,10 @@ def test_typed_filter_reaches_the_scan(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_totalprice") > 1).select("o_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+
+
+def test_decided_rows_only(spark):
+    rows = [("a", "2020", "1", "Regular"), ("a", "2020", "2", " TRANCADO")]
+    raw = spark.createDataFrame(rows, "codigo_aluno string, ano_referencia string, periodo_referencia string, situacao string")
+    df, _ = records_for_training(raw, {}, decided_only=True, as_of=F.lit(AS_OF))
+    assert [r["situacao"] for r in df.collect()] == [" TRANCADO"]

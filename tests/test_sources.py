@@ -108,3 +108,16 @@ def test_new_files_only(spark, tmp_path):
     put(folder, "2.csv", "k,v\nc,xyz\n")
     assert run() == {"a": 2, "b": None, "c": 3}
     assert spark.read.parquet(target).count() == 3
+
+
+def test_training_table_prunes_years(spark, tmp_path):
+    from earlywarn.operators.filters import in_years
+    from earlywarn.sources.files import write_training_table
+
+    path = str(tmp_path / "t")
+    df = spark.range(100).select("id", (F.col("id") % 4 + 2014).cast("int").alias("ano_ingresso"))
+    write_training_table(df, path)
+    read = in_years(spark.read.parquet(path), [2015])
+    assert read.count() == 25
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ano_ingresso" in plan
