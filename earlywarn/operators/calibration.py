@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -45,6 +46,8 @@ ISOTONIC, SIGMOID = "isotonic", "sigmoid"
 # Calibrators are fitted on (score, mean outcome, weight) with scores on a grid this fine, so that
 # what they collect is bounded however many rows there are.
 CALIBRATION_DIGITS = 5
+# Iterative fits go over the rows many times; below this many rows a task is mostly overhead.
+MIN_ROWS_PER_TASK = 25_000
 
 
 @dataclass(frozen=True)
@@ -208,8 +211,14 @@ def fit_member(
     y = prepared.withColumn("_y", F.col("_keep").getField(label))
     rows = with_balanced_weights(encoder.assemble(y, "_features"), "_y", counts)
     total = float(counts["negative"] + counts["positive"])
-    classifier = build_classifier(spec, total).fit(rows.select("_features", "_label", "_weight"))
-    return Member(encoder, classifier)
+    rows = sized_tasks(rows.select("_features", "_label", "_weight"), total)
+    return Member(encoder, build_classifier(spec, total).fit(rows))
+
+
+def sized_tasks(rows: DataFrame, n: float) -> DataFrame:
+    """Merge partitions too small to be worth a task in each of the many passes of a fit. Never adds
+    partitions, so a large input keeps the parallelism it came with."""
+    return rows.coalesce(max(1, math.ceil(n / MIN_ROWS_PER_TASK)))
 
 
 def _folded(df: DataFrame, label: str, keys: Sequence[str], features: FeatureSpec, spec: ModelSpec):

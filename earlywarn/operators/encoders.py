@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earlywarn.functions import named
-from earlywarn.operators.lookups import MAX_BROADCAST_ROWS, lookup_join
+from earlywarn.operators.lookups import lookup_join
+from earlywarn.session import pin
 
 
 @dataclass(frozen=True)
@@ -49,11 +50,18 @@ def smoothed_mean(n: Column, mean: Column, prior: Column, spec: EncoderSpec) ->
 def target_encodings(
     df: DataFrame, columns: Sequence[str], label: str, spec: EncoderSpec = EncoderSpec()
 ) -> DataFrame:
-    """(feature, value, n, mean, prior, encoded) for every category of every column."""
-    prior = df.agg(F.avg(F.col(label).cast("double")).alias("prior"))
-    stats = category_counts(df, columns, label).withColumn("prior", prior.scalar())
+    """(feature, value, n, mean, prior, encoded) for every category of every column.
+
+    The rows are read once: the overall mean follows from the per-category sums, as every row has
+    exactly one category (possibly NULL) in each column.
+    """
+    # The reduction is read twice below; materialised, it is not computed twice.
+    stats = pin(category_counts(df, columns, label))
+    one = stats.where(F.col("feature") == columns[0])
+    prior = one.agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n"))).scalar()
+    full = stats.withColumn("prior", prior)
     encoded = smoothed_mean(F.col("n"), F.col("mean"), F.col("prior"), spec)
-    return stats.withColumn("encoded", encoded)
+    return full.withColumn("encoded", encoded)
 
 
 def one_hot(column: Column, values: Sequence[str]) -> list[Column]:
@@ -86,11 +94,12 @@ def encode_by_target(
     df: DataFrame, fitted_on: DataFrame, column: str, label: str, spec: EncoderSpec = EncoderSpec()
 ) -> DataFrame:
     """Append ``{column}_encoded``; values unseen in ``fitted_on`` get the overall mean."""
-    table = target_encodings(fitted_on, [column], label, spec).select(
+    fitted = target_encodings(fitted_on, [column], label, spec)
+    rows = fitted.count()
+    prior = fitted.agg(F.first("prior")).scalar()
+    table = fitted.select(
         F.col("value").alias(column), F.col("encoded").alias(f"{column}_encoded")
     )
-    rows = table.limit(MAX_BROADCAST_ROWS + 1).count()
-    prior = fitted_on.agg(F.avg(F.col(label).cast("double"))).scalar()
     joined = lookup_join(df, table, [column], rows=rows)
     encoded = F.coalesce(F.col(f"{column}_encoded"), prior)
     return joined.withColumn(f"{column}_encoded", encoded)

@@ -16,12 +16,20 @@ def score_bucket(p: Column | str, buckets: int) -> Column:
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Balanced weights: n / (classes * n of the class)."""
-    counts = df.groupBy(F.col(label).cast("int").alias("label")).agg(F.count("*").alias("n"))
-    totals = counts.agg(F.sum("n").alias("total"))
-    classes = counts.agg(F.count("*").alias("classes"))
-    weight = totals.scalar() / (classes.scalar() * F.col("n"))
-    return counts.select("label", "n", weight.cast("double").alias("weight"))
+    """Balanced weights of the binary classes that occur: n / (classes * n of the class)."""
+    y = F.col(label).cast("int")
+    counts = df.agg(F.count_if(y == 0).alias("n0"), F.count_if(y == 1).alias("n1"))
+    rows = counts.select(
+        (F.col("n0") + F.col("n1")).alias("total"),
+        ((F.col("n0") > 0).cast("int") + (F.col("n1") > 0).cast("int")).alias("classes"),
+        F.inline(
+            F.array(
+                *[F.struct(F.lit(k).alias("label"), F.col(f"n{k}").alias("n")) for k in (0, 1)]
+            )
+        ),
+    )
+    weight = F.col("total").cast("double") / (F.col("classes") * F.col("n"))
+    return rows.where("n > 0").select("label", "n", weight.alias("weight"))
 
 
 def _won_pairs() -> Column:

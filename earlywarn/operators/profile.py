@@ -107,11 +107,11 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top: int
     )
     # The rank filter is applied before the shuffle too, so a column with very many values sends
     # only its best few from each task.
-    w = Window.partitionBy("feature").orderBy(F.desc("n"), F.asc("value"))
+    # NULL ranks last instead of being filtered first, so that both uses share one reduction.
+    w = Window.partitionBy("feature").orderBy(~known, F.desc("n"), F.asc("value"))
     best = (
-        counts.where(known)
-        .withColumn("_rank", F.row_number().over(w))
-        .where(F.col("_rank") <= top)
+        counts.withColumn("_rank", F.row_number().over(w))
+        .where((F.col("_rank") <= top) & known)
         .groupBy("feature")
         .agg(F.sort_array(F.collect_list(F.struct("_rank", "value", "n"))).alias("_best"))
     )
@@ -152,28 +152,26 @@ def category_drift(
 ) -> DataFrame:
     """Shares per (column, value) in two batches, their difference and the PSI contribution.
 
-    NULL is a value here, so missing rates drift too. The batches meet as counts, not rows.
+    NULL is a value here, so missing rates drift too. Both batches are counted in one aggregation,
+    without a join.
     """
-
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        counts = long_form(df, columns).groupBy("feature", "value").agg(F.count("*").alias("n"))
-        total = df.agg(F.count("*").alias("n")).scalar()
-        return counts.select(
-            F.col("feature").alias("column"),
-            F.col("value").isNull().alias("missing"),
-            F.coalesce("value", F.lit("")).alias("value"),
-            F.try_divide(F.col("n"), total).alias(name),
-        )
-
-    keys = ["column", "missing", "value"]
-    both = shares(before, "share_before").join(shares(after, "share_after"), keys, "full")
-    a = F.coalesce(F.col("share_before"), F.lit(0.0))
-    b = F.coalesce(F.col("share_after"), F.lit(0.0))
-    low = F.lit(floor)
-    psi = (F.greatest(b, low) - F.greatest(a, low)) * F.log(F.greatest(b, low) / F.greatest(a, low))
-    return both.select(
-        *keys, a.alias("share_before"), b.alias("share_after"), (b - a).alias("change"),
-        psi.alias("psi"),
+    both = before.select(*columns, F.lit(True).alias("_old")).unionByName(
+        after.select(*columns, F.lit(False).alias("_old"))
+    )
+    counts = long_form(both, columns, ["_old"]).groupBy("feature", "value").agg(
+        F.count_if("_old").alias("n_before"), F.count_if(~F.col("_old")).alias("n_after")
+    )
+    totals = both.agg(F.count_if("_old").alias("a"), F.count_if(~F.col("_old")).alias("b"))
+    a = F.coalesce(F.try_divide("n_before", totals.select("a").scalar()), F.lit(0.0))
+    b = F.coalesce(F.try_divide("n_after", totals.select("b").scalar()), F.lit(0.0))
+    shares = counts.select(
+        F.col("feature").alias("column"), F.col("value").isNull().alias("missing"),
+        F.coalesce("value", F.lit("")).alias("value"),
+        a.alias("share_before"), b.alias("share_after"),
+    )
+    p, q = F.greatest("share_before", F.lit(floor)), F.greatest("share_after", F.lit(floor))
+    return shares.withColumns(
+        {"change": F.col("share_after") - F.col("share_before"), "psi": (q - p) * F.log(q / p)}
     )
 
 

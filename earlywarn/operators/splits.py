@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from earlywarn.functions import time_index
 from earlywarn.operators.filters import UnusableData
+from earlywarn.session import pin
 
 TRAIN, VALIDATION, TEST = "train", "val", "test"
 MIN_SIDE_ROWS = 50
@@ -101,12 +102,16 @@ def usable_folds(requested: int, class_counts: Mapping[str, int]) -> int:
     return min(requested, class_counts["negative"], class_counts["positive"])
 
 
-def cutoff_time(df: DataFrame, year: str, half: str | None) -> DataFrame:
+def period_counts(df: DataFrame, year: str, half: str | None) -> DataFrame:
+    """Rows per period: the one pass over the data that the automatic split needs."""
+    return pin(df.groupBy(time_index(year, half).alias("t")).agg(F.count("*").alias("n")))
+
+
+def cutoff_time(periods: DataFrame) -> DataFrame:
     """One row: number of periods and the cut-off (second-latest of four or more, else latest)."""
-    periods = df.select(time_index(year, half).alias("t")).where(F.col("t").isNotNull()).distinct()
-    # Only the two latest periods and a count are needed; no sort of the rows.
-    latest = periods.agg(F.count("*").alias("periods"), F.max("t").alias("last"))
-    second = periods.where(F.col("t") < latest.select("last").scalar()).agg(F.max("t").alias("t"))
+    known = periods.where(F.col("t").isNotNull())
+    latest = known.agg(F.count("*").alias("periods"), F.max("t").alias("last"))
+    second = known.where(F.col("t") < known.agg(F.max("t")).scalar()).agg(F.max("t"))
     return latest.select(
         "periods",
         F.when(F.col("periods") >= 4, second.scalar()).otherwise(F.col("last")).alias("cutoff"),
@@ -125,11 +130,16 @@ def automatic_split(
     if year not in df.columns:
         return random_split(keys, seed), "random"
     half = half if half in df.columns else None
-    cut = cutoff_time(df, year, half).first()
+    periods = period_counts(df, year, half)
+    cut = cutoff_time(periods).first()
     if cut["periods"] < 2:
         return random_split(keys, seed), "random"
-    late = F.coalesce(time_index(year, half) >= cut["cutoff"], F.lit(False))
-    sizes = df.agg(F.count_if(late).alias("val"), F.count_if(~late).alias("train")).first()
+    late = F.coalesce(F.col("t") >= cut["cutoff"], F.lit(False))
+    sizes = periods.agg(
+        F.coalesce(F.sum(F.when(late, F.col("n"))), F.lit(0)),
+        F.coalesce(F.sum(F.when(~late, F.col("n"))), F.lit(0)),
+    ).first()
     if min(sizes) < min_rows:
         return random_split(keys, seed), "random"
-    return F.when(late, F.lit(VALIDATION)).otherwise(F.lit(TRAIN)), "time"
+    after = F.coalesce(time_index(year, half) >= cut["cutoff"], F.lit(False))
+    return F.when(after, F.lit(VALIDATION)).otherwise(F.lit(TRAIN)), "time"

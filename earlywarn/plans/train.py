@@ -21,6 +21,7 @@ from earlywarn.operators.calibration import (
     fit_ensemble,
     in_parallel,
     positive_probability,
+    sized_tasks,
     with_balanced_weights,
 )
 from earlywarn.operators.features import FeatureEncoder, FeatureSpec
@@ -224,10 +225,10 @@ def search(df: DataFrame, spec: TrainSpec) -> DataFrame:
     marked = train_rows.withColumn("_held", F.lit(False)).unionByName(
         held.withColumn("_held", F.lit(True))
     )
-    vectors = (
-        with_balanced_weights(encoder.transform(marked), spec.label, counts)
-        .select("_features", "_label", "_weight", "_held").persist()
-    )
+    weighted = with_balanced_weights(encoder.transform(marked), spec.label, counts)
+    vectors = sized_tasks(
+        weighted.select("_features", "_label", "_weight", "_held"), sum(counts.values())
+    ).persist()
 
     def attempt(params: dict[str, Any]) -> tuple[float | None, int]:
         options = {**params, "n_estimators": spec.model.options.get("n_estimators", 1000)}

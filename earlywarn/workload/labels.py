@@ -16,6 +16,7 @@ from earlywarn.operators.splits import (
     cutoff_time,
     distinct_sorted,
     hash_fold,
+    period_counts,
     random_split,
 )
 from earlywarn.session import scratch_path
@@ -172,7 +173,7 @@ c AS (SELECT CAST(n AS BIGINT) AS periods, CAST(t AS BIGINT) AS cutoff FROM r
 
 @query("auto_cutoff", f"WITH {_PERIODS_SQL} SELECT periods, cutoff FROM c")
 def auto_cutoff(spark, sf_dir):
-    return cutoff_time(order_history(spark, sf_dir), "year", "half")
+    return cutoff_time(period_counts(order_history(spark, sf_dir), "year", "half"))
 
 
 @query(

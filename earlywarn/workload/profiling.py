@@ -132,19 +132,18 @@ def column_profile_orders(spark, sf_dir):
 
 @query(
     "distinct_split",
-    """SELECT * FROM (SELECT 'source' AS "column", count(DISTINCT source) AS values_seen FROM documents
-  UNION ALL SELECT 'lang', count(DISTINCT lang) FROM documents)""",
+    """WITH d AS (SELECT 'source' AS "column", count(DISTINCT source) AS values_seen FROM documents
+  UNION ALL SELECT 'lang', count(DISTINCT lang) FROM documents
+  UNION ALL SELECT 'brand', count(DISTINCT p_brand) FROM part)
+SELECT "column", values_seen, values_seen <= 20 AS few FROM d""",
 )
 def distinct_split(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    # Twenty sources sit exactly on the one-hot limit, so the exact count decides.
-    exact = distinct_counts(docs, ["source", "lang"], limit=20)
-    close = docs.select("source", "lang")
-    counts = close.agg(
-        F.count_distinct("source").alias("source"), F.lit(exact["lang"][0]).cast("bigint").alias("lang")
-    )
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).alias("values_seen")) for c in ("source", "lang")]
-    return counts.select(F.inline(F.array(*pairs)))
+    # Twenty sources sit exactly on the one-hot limit.
+    found = distinct_counts(table(spark, sf_dir, "documents"), ["source", "lang"])
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"))
+    found.update(distinct_counts(brands, ["brand"]))
+    rows = [(c, int(n), few) for c, (n, few) in found.items()]
+    return spark.createDataFrame(rows, "column string, values_seen bigint, few boolean")
 
 
 _HALVES = """a AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16'),
