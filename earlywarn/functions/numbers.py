@@ -33,10 +33,14 @@ def parse_grouped_decimal(c: Column | str, thousands: str = ".") -> Column:
     return F.when(text.contains(","), grouped).otherwise(parse_number(text))
 
 
-def parse_yes_no(c: Column | str, tokens: Mapping[str, float] = BOOLEAN_TOKENS) -> Column:
+def parse_yes_no(
+    c: Column | str,
+    tokens: Mapping[str, float] = BOOLEAN_TOKENS,
+    otherwise: Column | None = None,
+) -> Column:
     """Yes/no words to 1.0/0.0, anything else through the number parser."""
     word = F.lower(strip_all(c))
-    out = parse_decimal_comma(c)
+    out = parse_decimal_comma(c) if otherwise is None else otherwise
     for token, value in tokens.items():
         out = F.when(word == token, F.lit(value)).otherwise(out)
     return out

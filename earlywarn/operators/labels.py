@@ -23,7 +23,8 @@ class LabelSpec:
     status: str = "situacao"
     # Ready-made integer time column; when set, year and half are not used.
     time: str | None = None
-    # Columns that put rows of one entity and one time in a fixed order.
+    # Columns that put rows of one entity and one time in a fixed order; by default a hash of the
+    # whole row, which is stable and keeps even one crowded moment divisible.
     tie: tuple[str, ...] = ()
     events: tuple[str, ...] = tuple(DROPOUT_STATUSES)
     terminals: tuple[str, ...] = tuple(DROPOUT_STATUSES + COMPLETED_STATUSES)
@@ -59,8 +60,10 @@ def label_future_events(df: DataFrame, spec: LabelSpec = LabelSpec()) -> DataFra
         {"_t": when, "_event": F.coalesce(status.isin(list(spec.events)), F.lit(False))}
     )
     order = [spec.time] if spec.time else [spec.year, spec.half]
+    if not spec.tie:
+        marked = marked.withColumn("_tie", F.xxhash64(*[named(c) for c in df.columns]))
     ahead = with_followers(
-        marked, [spec.entity], [*order, *spec.tie], ["_t", "_event"], spec.horizon,
+        marked, [spec.entity], [*order, *(spec.tie or ("_tie",))], ["_t", "_event"], spec.horizon,
         spec.max_group_rows,
     )
     hits = [

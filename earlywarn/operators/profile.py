@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from earlywarn.functions import named
 from earlywarn.operators.encoders import long_form
+from earlywarn.operators.quantiles import exact_medians
 from earlywarn.presets import BOOLEAN_TOKENS
 
 HIGH_MISSING = 0.3
@@ -178,26 +179,31 @@ def category_drift(
 def numeric_drift(
     before: DataFrame, after: DataFrame, columns: Sequence[str], label: str | None = None
 ) -> DataFrame:
-    """Mean, deviation and missing rate per column in two batches; the label rate is one of them."""
+    """Mean, median, deviation and missing rate per column in two batches; the label rate is one of
+    them."""
     names = [*columns, *([label] if label else [])]
 
     def stats(df: DataFrame, suffix: str) -> DataFrame:
+        numbers = df.select(*[named(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)])
+        medians = exact_medians(numbers, numbers.columns)
         aggs = []
-        for i, c in enumerate(names):
-            x = F.col(c).cast("double")
+        for i in range(len(names)):
+            x = F.col(f"_x{i}")
             aggs += [F.avg(x).alias(f"_a{i}"), F.stddev_pop(x).alias(f"_s{i}"),
                      F.avg(x.isNull().cast("double")).alias(f"_m{i}")]
         rows = F.array(
             *[
                 F.struct(
                     F.lit(c).alias("column"), F.col(f"_a{i}").alias(f"mean_{suffix}"),
+                    F.lit(medians[f"_x{i}"]).cast("double").alias(f"median_{suffix}"),
                     F.col(f"_s{i}").alias(f"std_{suffix}"), F.col(f"_m{i}").alias(f"missing_{suffix}"),
                 )
                 for i, c in enumerate(names)
             ]
         )
-        return df.agg(*aggs).select(F.inline(rows))
+        return numbers.agg(*aggs).select(F.inline(rows))
 
+    # One row per column on either side.
     both = stats(before, "before").join(stats(after, "after"), "column")
     shift = F.try_divide(F.col("mean_after") - F.col("mean_before"), F.col("std_before"))
     return both.withColumn("shift", shift)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -58,9 +57,8 @@ def parse_numbers(
     """
 
     def parse(name: str) -> Column:
-        if yes_no:
-            return parse_yes_no(name)
-        return parse_grouped_decimal(name, thousands) if thousands else parse_decimal_comma(name)
+        number = parse_grouped_decimal(name, thousands) if thousands else parse_decimal_comma(name)
+        return parse_yes_no(name, otherwise=number) if yes_no else number
 
     grades = [c for c in df.columns if c.startswith(preset.grade_prefix)]
     wanted = [c for c in dict.fromkeys([*preset.decimals, *grades]) if c in df.columns]
@@ -132,9 +130,7 @@ def records_for_training(
     if set(spec.needed) <= set(df.columns):
         when = [] if spec.time else [spec.year, spec.half]
         df = df.withColumns({c: as_number(df, c).cast("int") for c in when})
-        if not spec.tie:
-            df, spec = df.withColumn("_tie", F.xxhash64(*df.columns)), replace(spec, tie=("_tie",))
-        df = label_future_events(df, spec).drop("_tie")
+        df = label_future_events(df, spec)
     if decided_only:
         df = terminal_only(df, preset.status)
     return order_training(df, preset), dropped_columns(

@@ -52,7 +52,7 @@ def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return reader.option("escape", '"').csv(path).columns
 
 
-def header_catalogue(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def header_catalogue(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """(file, position, header) for every file below ``path``, in one job.
 
     Files are listed without their content; each task then opens its files and reads no further than
@@ -76,9 +76,17 @@ def header_catalogue(spark: SparkSession, path: str, sep: str = ",") -> DataFram
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     )
     first = listed.mapInPandas(first_lines, "file string, head string").where("head <> ''")
-    # Separators inside quotes do not count.
-    outside = f'\\Q{sep}\\E(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    split = first.select("file", F.posexplode(F.split("head", outside)))
+    # Separators inside quotes do not count. Without a given one, each file uses the candidate that
+    # splits its first line into most cells.
+    outside = '(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    ways = []
+    for rank, s in enumerate((sep,) if sep else SEPARATORS):
+        cells = F.split("head", f"\\Q{s}\\E{outside}")
+        ways.append(
+            F.struct(F.size(cells).alias("n"), F.lit(-rank).alias("rank"), cells.alias("cells"))
+        )
+    best = ways[0] if len(ways) == 1 else F.greatest(*ways)
+    split = first.select("file", F.posexplode(best["cells"]))
     bare = F.replace(F.regexp_replace("col", '^"|"$', ""), F.lit('""'), F.lit('"'))
     return split.select("file", F.col("pos").alias("position"), bare.alias("header"))
 

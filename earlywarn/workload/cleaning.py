@@ -22,6 +22,7 @@ from earlywarn.functions import (
     upper_trimmed,
 )
 from earlywarn.operators.headers import MatchSpec, match_headers
+from earlywarn.operators.labels import LabelSpec
 from earlywarn.operators.schema import (
     display_order,
     drop_technical,
@@ -283,11 +284,6 @@ SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(year AS BIGINT) AS ano_ref
        target_evasao, is_target_valid, st AS situacao FROM labelled""",
 )
 def etl_training(spark, sf_dir):
-    from dataclasses import replace
-
-    from earlywarn.operators.labels import LabelSpec
-    from earlywarn.presets import TRAINING_PRESET
-
     raw = order_history(spark, sf_dir).select(
         F.col("o_custkey").cast("string").alias("codigo"),
         F.col("year").cast("string").alias("ano_referencia"),
@@ -298,7 +294,7 @@ def etl_training(spark, sf_dir):
     )
     spec = LabelSpec(events=("f",), terminals=("f", "p"), tie=("periodo",))
     mapping = {"codigo_aluno": "codigo", "coeficiente_rendimento": "CR"}
-    df, _ = records_for_training(raw, mapping, replace(TRAINING_PRESET), spec)
+    df, _ = records_for_training(raw, mapping, label=spec)
     return df.select(
         F.col("periodo").alias("o_orderkey"),
         F.col("ano_referencia").cast("bigint").alias("ano_referencia"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -52,8 +53,6 @@ SELECT o_orderkey, target_evasao, is_target_valid AND t1 IS NOT NULL AS is_targe
 FROM labelled""",
 )
 def label_observed_future(spark, sf_dir):
-    from dataclasses import replace
-
     spec = replace(ORDER_LABEL, require_observed_future=True)
     df = label_future_events(order_history(spark, sf_dir), spec)
     return df.select("o_orderkey", "target_evasao", "is_target_valid")
@@ -98,7 +97,7 @@ SELECT event_id, user_id, CAST(day AS BIGINT) AS day,
 FROM a WHERE event_type <> 'error'""",
 )
 def label_events(spark, sf_dir):
-    start = F.lit(datetime(2024, 1, 1).date())
+    start = F.lit(date(2024, 1, 1))
     days = table(spark, sf_dir, "events").withColumn("day", F.datediff(F.to_date("ts"), start))
     df = valid_labels(label_future_events(days, EVENT_LABEL))
     return df.select("event_id", "user_id", F.col("day").cast("bigint").alias("day"), "target_evasao")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from earlywarn.operators.profile import (
@@ -152,7 +150,7 @@ b AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-16')"""
 
 def _halves(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    middle = F.lit(datetime(2024, 1, 16)).cast("timestamp_ntz")
+    middle = F.lit("2024-01-16").cast("timestamp_ntz")
     return events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle)
 
 
@@ -183,7 +181,7 @@ def drift_of_categories(spark, sf_dir):
 
 def _moments_sql(source: str, suffix: str) -> str:
     def one(name: str, x: str) -> str:
-        return f"""SELECT '{name}' AS "column", avg({x}) AS mean_{suffix}, stddev_pop({x}) AS std_{suffix},
+        return f"""SELECT '{name}' AS "column", avg({x}) AS mean_{suffix}, median({x}) AS median_{suffix}, stddev_pop({x}) AS std_{suffix},
   avg(CASE WHEN {x} IS NULL THEN 1e0 ELSE 0e0 END) AS missing_{suffix} FROM {source}"""
 
     value = "CASE WHEN value >= 5 THEN value END"
@@ -194,7 +192,8 @@ def _moments_sql(source: str, suffix: str) -> str:
 @query(
     "numeric_drift",
     f"""WITH {_HALVES}, x AS ({_moments_sql('a', 'before')}), y AS ({_moments_sql('b', 'after')})
-SELECT "column", round(mean_before, 6) AS mean_before, round(std_before, 6) AS std_before,
+SELECT "column", round(mean_before, 6) AS mean_before, round(median_before, 6) AS median_before,
+  round(median_after, 6) AS median_after, round(std_before, 6) AS std_before,
   round(missing_before, 6) AS missing_before, round(mean_after, 6) AS mean_after,
   round(std_after, 6) AS std_after, round(missing_after, 6) AS missing_after,
   round((mean_after - mean_before) / nullif(std_before, 0), 6) AS shift

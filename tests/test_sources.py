@@ -56,12 +56,13 @@ def test_missing_tokens_and_pruning(spark, tmp_path):
 def test_header_catalogue_reads_only_heads(spark, tmp_path):
     put(tmp_path, "a.csv", 'id,"last, first","say ""hi"""\r\n1,2,3\n')
     put(tmp_path, "b.csv", "﻿x,y")
+    put(tmp_path, "c.csv", 'p;"q;r,s"\n1,5;2,5\n')
     put(tmp_path, "empty.csv", "")
     got = header_catalogue(spark, str(tmp_path)).collect()
     by_file = {}
     for r in got:
         by_file.setdefault(os.path.basename(r["file"]), {})[r["position"]] = r["header"]
-    assert by_file == {"a.csv": {0: "id", 1: "last, first", 2: 'say "hi"'}, "b.csv": {0: "x", 1: "y"}}
+    assert by_file == {"a.csv": {0: "id", 1: "last, first", 2: 'say "hi"'}, "b.csv": {0: "x", 1: "y"}, "c.csv": {0: "p", 1: "q;r,s"}}
 
 
 def test_contract(spark):

@@ -289,3 +289,25 @@ def test_positive_class_lookup(spark):
     assert df.select(positive_probability("p", [0, 1])).first()[0] == 0.7
     assert df.select(positive_probability("p", [1, 0])).first()[0] == 0.3
     assert df.select(positive_probability("p", [0, 2])).first()[0] == 0.7
+
+
+def test_arriving_files_are_scored_like_a_batch(spark, run, tmp_path):
+    from earlywarn.streaming.arrivals import arriving_files, run_with_statistics
+
+    folder = str(tmp_path / "in")
+    rows = [(str(i), f"0,{i}", "Regular", f"Town {i}") for i in range(10, 60)]
+    names = "codigo string, CR string, situacao string, municipio string"
+    raw = spark.createDataFrame(rows, names)
+    raw.repartition(3).write.option("header", True).csv(folder)
+    mapping = {"codigo_aluno": "codigo", "coeficiente_rendimento": "CR", "municipio_residencia": "municipio"}
+
+    def transform(df):
+        return score_raw(run.model, df, mapping).select("codigo_aluno", "prob_evasao", "risk_label")
+
+    target, stats, state = (str(tmp_path / n) for n in ("out", "stats", "state"))
+    stream = arriving_files(spark, folder, raw.columns, files_per_batch=2)
+    run_with_statistics(stream, transform, target, stats, state).awaitTermination()
+    got = spark.read.parquet(target).drop("batch")
+    assert got.count() == 50 and got.exceptAll(transform(raw)).isEmpty()
+    risk = spark.read.parquet(stats).where("kind = 'risk'")
+    assert risk.agg(F.sum("n")).first()[0] == 50 and risk.select("batch").distinct().count() == 2
