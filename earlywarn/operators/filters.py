@@ -83,20 +83,21 @@ def active_above(
     return df.where(is_active(status, active) & (F.col(score) > threshold))
 
 
-def guard_counts(df: DataFrame, **conditions: Column) -> dict[str, int]:
-    """Count every condition in one pass."""
-    row = df.agg(*[F.count_if(c).alias(n) for n, c in conditions.items()]).first()
-    return row.asDict()
+def guard_counts(df: DataFrame, **conditions: Column) -> DataFrame:
+    """Rows that meet each condition, all counted in one pass."""
+    return df.agg(*[F.count_if(c).alias(n) for n, c in conditions.items()])
 
 
-def check_labels(df: DataFrame, label: str) -> dict[str, int]:
-    """Counts per class in one pass; a label outside {0, 1} or a single class is an error."""
-    counts = guard_counts(
-        df,
-        negative=F.col(label) == 0,
-        positive=F.col(label) == 1,
-        other=F.coalesce(~F.col(label).isin(0, 1), F.lit(True)),
+def label_counts(df: DataFrame, label: str) -> DataFrame:
+    y = F.col(label)
+    return guard_counts(
+        df, negative=y == 0, positive=y == 1, other=F.coalesce(~y.isin(0, 1), F.lit(True))
     )
+
+
+def check_labels(df: DataFrame, label: str) -> dict[str, int]:
+    """Counts per class; a label outside {0, 1} or no labelled row at all is an error."""
+    counts = label_counts(df, label).first().asDict()
     if counts["other"]:
         raise UnusableData(f"{counts['other']} rows carry a label other than 0 or 1")
     if not counts["negative"] + counts["positive"]:

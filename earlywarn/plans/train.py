@@ -6,6 +6,7 @@ import json
 import logging
 import math
 import random
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 from typing import Any
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from earlywarn.operators.calibration import (
     GBT,
+    ISOTONIC,
+    LOGREG,
     CalibratedModel,
     ModelSpec,
     build_classifier,
@@ -34,6 +37,7 @@ from earlywarn.operators.filters import (
 )
 from earlywarn.operators.metrics import holdout_metrics, roc_auc
 from earlywarn.operators.report import mean_importance
+from earlywarn.operators.schema import as_number, column_type
 from earlywarn.operators.splits import (
     TRAIN,
     VALIDATION,
@@ -47,6 +51,9 @@ from earlywarn.sources.registry import new_model_id, save_run
 log = logging.getLogger(__name__)
 
 
+_KINDS = {"logreg": LOGREG, "lightgbm": GBT, "gbt": GBT}
+
+
 @dataclass(frozen=True)
 class TrainSpec:
     label: str = "target_evasao"
@@ -62,6 +69,30 @@ class TrainSpec:
     trials: int = 20
 
 
+    @classmethod
+    def from_config(cls, raw: Mapping[str, Any], **overrides: Any) -> TrainSpec:
+        """Read the job's plain configuration mapping (as found in a JSON request)."""
+        kind = _KINDS.get(raw.get("model_type", LOGREG))
+        if kind is None:
+            raise UnusableData(f"unknown model_type {raw['model_type']!r}, use one of {list(_KINDS)}")
+        model = ModelSpec(
+            kind=kind,
+            params=tuple((raw.get("model_params") or {}).items()),
+            calibrate=bool(raw.get("calibrate", True)),
+            method=raw.get("calibration_method", ISOTONIC),
+            folds=int(raw.get("calibration_cv", 5)),
+            seed=int(raw.get("random_state", 42)),
+        )
+        split = raw.get("split_config")
+        return cls(
+            model=model,
+            split=YearSplit.from_config(split) if split else None,
+            version=raw.get("version", "1.0.0"),
+            trials=int(raw.get("optimize_trials", 20)),
+            **overrides,
+        )
+
+
 @dataclass
 class TrainedRun:
     model: CalibratedModel
@@ -69,12 +100,21 @@ class TrainedRun:
     validation: DataFrame
 
 
+def _typed(df: DataFrame, spec: TrainSpec) -> DataFrame:
+    """Label, flag and time columns as numbers and booleans, also when the table came from text."""
+    casts = {spec.label: as_number(df, spec.label)}
+    if column_type(df, spec.valid).typeName() == "string":
+        casts[spec.valid] = F.lower(spec.valid).isin("true", "1", "1.0")
+    casts.update({c: as_number(df, c).cast("int") for c in (spec.year, spec.half) if c in df.columns})
+    return df.withColumns(casts)
+
+
 def training_rows(df: DataFrame, spec: TrainSpec) -> DataFrame:
     """Rows with a usable label, limited to the years of the configured split."""
     absent = [c for c in (spec.label, spec.valid) if c not in df.columns]
     if absent:
         raise UnusableData(f"label columns are missing, run the labelling plan first: {absent}")
-    rows = valid_labels(df, spec.valid)
+    rows = valid_labels(_typed(df, spec), spec.valid)
     if spec.split is not None:
         if spec.year not in df.columns:
             raise UnusableData(f"a temporal split needs the column {spec.year}")
@@ -192,6 +232,16 @@ def train(
     return TrainedRun(model, record, validation)
 
 
+def train_from_config(
+    df: DataFrame, raw: Mapping[str, Any], registry: str | None = None, **overrides: Any
+) -> TrainedRun:
+    """The whole job from a plain configuration; ``optimize`` asks for the search first."""
+    spec = TrainSpec.from_config(raw, **overrides)
+    model_id = raw.get("model_id")
+    job = tune_and_train if raw.get("optimize") else train
+    return job(df, spec, registry, model_id)
+
+
 def draw_trials(n: int, seed: int) -> list[dict[str, Any]]:
     """Seeded random draws from the search ranges."""
     rng = random.Random(seed)

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import types as T
+
 # --------------------------------------------------------------------------------------------
 # Column names, their order, status words, tokens and thresholds that results
 # depend on.
@@ -252,9 +254,55 @@ HEADER_ALIASES = {
     "ra": "codigo_aluno",
 }
 
+# Declared types of the canonical fields; every field that is not listed is text.
+DATE_FIELDS = ["data_nascimento"]
+INTEGER_FIELDS = [
+    "idade",
+    "disciplinas_aprovadas",
+    "disciplinas_reprovadas_nota",
+    "total_semestres_cursados",
+    "periodo",
+    "ano_ingresso",
+    "semestre_ingresso",
+    "calouro",
+    "ano_referencia",
+    "periodo_referencia",
+]
+DECIMAL_FIELDS = ["coeficiente_rendimento", *ENEM_GRADES, *VESTIBULAR_GRADES]
+
+# The short record form accepted one by one: name and type.
+SHORT_RECORD = [
+    ("id_aluno", T.LongType()),
+    ("nome", T.StringType()),
+    ("data_nascimento", T.DateType()),
+    ("sexo", T.StringType()),
+    ("escola", T.StringType()),
+    ("serie", T.StringType()),
+    ("turno", T.StringType()),
+    ("ano_letivo", T.LongType()),
+    ("situacao", T.StringType()),
+]
+
 # ------------------------------------------------------------------------------ end of fixed values
 
 
+def canonical_schema(fields: list[str]) -> T.StructType:
+    """Declared schema of the canonical fields, all nullable."""
+
+    def kind(name: str) -> T.DataType:
+        if name in DATE_FIELDS:
+            return T.DateType()
+        if name in INTEGER_FIELDS:
+            return T.LongType()
+        return T.DoubleType() if name in DECIMAL_FIELDS else T.StringType()
+
+    return T.StructType([T.StructField(f, kind(f)) for f in fields])
+
+
+def short_record_schema() -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in SHORT_RECORD])
+
+
 @dataclass(frozen=True)
 class RouteRule:
     """Rows whose route matches ``pattern`` get ``blank`` columns set to NULL."""

@@ -31,11 +31,12 @@ from earlywarn.operators.schema import (
     typed_records,
 )
 from earlywarn.plans.etl import fill_and_mask_grades, records_for_scoring, records_for_training
-from earlywarn.presets import RecordPreset, RouteRule
+from earlywarn.presets import RecordPreset, RouteRule, short_record_schema
 from earlywarn.session import scratch_path
 from earlywarn.sources.files import (
     header_catalogue,
     read_delimited,
+    write_clean_and_dropped,
     write_delimited,
     write_records,
 )
@@ -454,6 +455,50 @@ def csv_pruned_scan(spark, sf_dir):
     ).where("c_acctbal > 5000")
 
 
+@query(
+    "clean_and_dropped",
+    """SELECT 'clean' AS kind, CAST(o_orderkey AS VARCHAR) AS first, CAST(year(o_orderdate) AS VARCHAR) || '.0' AS second
+FROM orders UNION ALL SELECT 'dropped', CAST(o_custkey AS VARCHAR), 'x' FROM orders""",
+)
+def clean_and_dropped(spark, sf_dir):
+    clean, dropped = records_for_scoring(raw_extract(spark, sf_dir), MAPPING, as_of=date(2002, 1, 1))
+    kept, left = write_clean_and_dropped(clean, dropped, scratch_path(spark, "cleaned"))
+    a = read_delimited(spark, kept, ",").selectExpr(
+        "'clean' AS kind", "codigo_aluno AS first", "ano_ingresso AS second"
+    )
+    b = read_delimited(spark, left, ",").selectExpr(
+        "'dropped' AS kind", "cliente AS first", "Sede AS second"
+    )
+    return a.unionByName(b)
+
+
+@query(
+    "short_records",
+    """SELECT o_orderkey AS id_aluno, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END
+  AS data_nascimento, CAST(year(o_orderdate) AS BIGINT) AS ano_letivo, lower(o_orderpriority) AS serie,
+  CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderstatus END AS situacao,
+  CASE WHEN o_orderstatus = 'O' THEN 'situacao: required' WHEN o_orderstatus = 'P' THEN 'data_nascimento: not a date' END AS problem
+FROM orders""",
+)
+def short_records(spark, sf_dir):
+    shown = (
+        F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "dd-MM-yyyy"))
+        .when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "dd/MM/yyyy"))
+        .otherwise(F.date_format("o_orderdate", "MMM d"))
+    )
+    raw = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id_aluno"), shown.alias("data_nascimento"),
+        F.year("o_orderdate").cast("string").alias("ano_letivo"),
+        F.lower("o_orderpriority").alias("serie"),
+        F.nullif("o_orderstatus", F.lit("O")).alias("situacao"), F.lit("-").alias("unknown"),
+    )
+    df = typed_records(raw, short_record_schema(), ["data_nascimento"], ["situacao"], "problem")
+    return df.select(
+        "id_aluno", F.col("data_nascimento").cast("string").alias("data_nascimento"), "ano_letivo",
+        "serie", "situacao", "problem",
+    )
+
+
 @query(
     "header_scan",
     """SELECT * FROM (VALUES ('orders', 0, 'o_orderkey'), ('orders', 1, 'o_custkey'),

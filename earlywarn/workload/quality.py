@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earlywarn.functions import class_at, risk_level
+from earlywarn.operators.calibration import ISOTONIC, fit_calibrator
+from earlywarn.operators.filters import label_counts
 from earlywarn.operators.metrics import (
     brier,
     confusion,
@@ -115,6 +117,33 @@ def decile_lift(spark, sf_dir):
     return df.select("top_rows", *[r6(c).alias(c) for c in ("top_rate", "base_rate", "lift")])
 
 
+@query(
+    "isotonic_calibrator",
+    f"""WITH {_SCORED},
+g AS (SELECT p, avg(y) AS y, CAST(count(*) AS DOUBLE) AS n FROM scored GROUP BY p),
+c AS (SELECT p, row_number() OVER w AS i, sum(n * y) OVER w AS s, sum(n) OVER w AS k FROM g
+      WINDOW w AS (ORDER BY p ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT i, p, s, k, lag(s, 1, 0) OVER (ORDER BY i) AS s0, lag(k, 1, 0) OVER (ORDER BY i) AS k0 FROM c),
+m AS (SELECT a.i AS a, b.i AS i, b.p, min((b.s - a.s0) / (b.k - a.k0)) OVER (
+        PARTITION BY a.i ORDER BY b.i DESC ROWS UNBOUNDED PRECEDING) AS low FROM z a JOIN z b ON b.i >= a.i)
+SELECT round(p, 6) AS score, round(max(low), 6) AS calibrated FROM m GROUP BY p""",
+)
+def isotonic_calibrator(spark, sf_dir):
+    rows = scored_orders(spark, sf_dir).select(F.col("p").alias("_p"), "y")
+    fitted = fit_calibrator(rows, "y", ISOTONIC)
+    out = fitted.transform(rows.select("_p").distinct())
+    return out.select(r6("_p").alias("score"), r6("_cal").alias("calibrated"))
+
+
+@query(
+    "label_guard",
+    f"""WITH {_SCORED} SELECT count_if(y = 0) AS negative, count_if(y = 1) AS positive,
+  count_if(y IS NULL OR y NOT IN (0, 1)) AS other FROM scored""",
+)
+def label_guard(spark, sf_dir):
+    return label_counts(scored_orders(spark, sf_dir), "y")
+
+
 @query(
     "confusion",
     f"""WITH {_SCORED} SELECT CAST(y AS BIGINT) AS actual, CAST(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS predicted,

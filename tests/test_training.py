@@ -311,3 +311,73 @@ def test_arriving_files_are_scored_like_a_batch(spark, run, tmp_path):
     assert got.count() == 50 and got.exceptAll(transform(raw)).isEmpty()
     risk = spark.read.parquet(stats).where("kind = 'risk'")
     assert risk.agg(F.sum("n")).first()[0] == 50 and risk.select("batch").distinct().count() == 2
+
+
+def test_logistic_regression_matches_the_penalised_optimum(spark):
+    """C * sum(w * logloss) + |b|^2 / 2, intercept free, balanced weights: solved by Newton steps."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 3))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [1.0, -0.5, 0.0] - 1)))).astype(float)
+    w = np.where(y == 1, 400 / (2 * y.sum()), 400 / (2 * (400 - y.sum())))
+    a = np.hstack([x, np.ones((400, 1))])
+    penalty = np.diag([1.0, 1.0, 1.0, 0.0])
+    beta, c = np.zeros(4), 0.7
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-a @ beta))
+        grad = c * a.T @ (w * (p - y)) + penalty @ beta
+        hess = c * (a * (w * p * (1 - p))[:, None]).T @ a + penalty
+        beta -= np.linalg.solve(hess, grad)
+    from pyspark.ml.linalg import Vectors
+
+    from earlywarn.operators.calibration import build_classifier, with_balanced_weights
+
+    df = spark.createDataFrame([(Vectors.dense(r), float(t)) for r, t in zip(x.tolist(), y)], ["_features", "t"])
+    counts = {"negative": int(400 - y.sum()), "positive": int(y.sum())}
+    spec = ModelSpec(params=(("C", c), ("max_iter", 200), ("tol", 1e-10)))
+    fitted = build_classifier(spec, 400.0).fit(with_balanced_weights(df, "t", counts))
+    assert np.allclose([*fitted.coefficients.toArray(), fitted.intercept], beta, atol=1e-4)
+
+
+def test_configuration_mapping(students):
+    from earlywarn.plans.train import train_from_config
+
+    raw = {
+        "model_type": "lightgbm", "model_params": {"n_estimators": 7}, "calibration_cv": 3,
+        "calibration_method": "sigmoid", "random_state": 1, "version": "2.0.0", "optimize_trials": 4,
+        "split_config": {"train_range": [2014, 2017], "val_year": 2018, "test_year": 2019},
+    }
+    spec = TrainSpec.from_config(raw)
+    assert (spec.model.kind, spec.model.folds, spec.model.seed, spec.trials) == (GBT, 3, 1, 4)
+    assert spec.split == YearSplit((2014, 2017), (2018,), (2019,)) and spec.version == "2.0.0"
+    assert TrainSpec.from_config({}) == TrainSpec()
+    with pytest.raises(UnusableData):
+        TrainSpec.from_config({"model_type": "svm"})
+    # A table read back from CSV is all text.
+    text = students.select(*[F.col(c).cast("string").alias(c) for c in students.columns])
+    features = FeatureSpec(numeric=("coeficiente_rendimento",), categorical=(), totals=(), shares=())
+    run = train_from_config(text, {"calibrate": False, "version": "3"}, features=features)
+    assert run.record["version"] == "3" and run.record["metrics"]["roc_auc"] > 0.6
+
+
+def test_score_file(spark, run, registry, tmp_path):
+    from earlywarn.plans.score import score_file
+
+    with open(tmp_path / "new.csv", "w") as f:
+        f.write("codigo;CR;municipio\n1;0,9;Town 3\n2;0,1;Town 20\n")
+    mapping = {"codigo_aluno": "codigo", "coeficiente_rendimento": "CR", "municipio_residencia": "municipio"}
+    target = str(tmp_path / "scored")
+    score_file(spark, str(tmp_path / "new.csv"), "first", registry, target, mapping)
+    got = {r["codigo_aluno"]: r for r in spark.read.json(target).collect()}
+    assert set(got) == {"1", "2"} and got["1"]["prob_evasao"] < got["2"]["prob_evasao"]
+
+
+def test_canonical_schema():
+    from earlywarn.presets import SCORING_FIELDS, canonical_schema
+
+    schema = canonical_schema(SCORING_FIELDS)
+    kinds = {f.name: f.dataType.typeName() for f in schema.fields}
+    assert schema.names == SCORING_FIELDS and all(f.nullable for f in schema.fields)
+    assert (kinds["idade"], kinds["data_nascimento"], kinds["sexo"]) == ("long", "date", "string")
+    assert kinds["nota_enem_redacao"] == "double"
