@@ -1,7 +1,8 @@
-"""Date parsing per value: each row is tried against an ordered list of formats."""
+"""Date parsing per value: each row is read with the format whose shape it has."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import date
 
@@ -11,18 +12,37 @@ from pyspark.sql import functions as F
 from earlywarn.functions.text import _col, strip_all
 
 DAY_FIRST = ("d/M/yyyy", "yyyy-M-d", "d-M-yyyy")
-RECORD_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy")
+RECORD_FORMATS = ("yyyy-M-d", "d/M/yyyy", "d-M-yyyy")
 
+_SHAPES = {"yyyy": r"\d{4}", "MM": r"\d{2}", "dd": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
 
-def parse_day_first(c: Column | str, formats: Sequence[str] = DAY_FIRST) -> Column:
+
+def _shape(fmt: str) -> str:
+    parts = re.split(r"(yyyy|MM|dd|M|d)", fmt)
+    return "^" + "".join(_SHAPES.get(p, re.escape(p)) for p in parts) + "$"
+
+
+def parse_dates(c: Column | str, formats: Sequence[str]) -> Column:
+    """The first format whose digit layout fits decides; an impossible date is NULL.
+
+    Choosing by layout keeps each value to one parse. Trying the formats in turn would raise and
+    catch an error for every value that is not in the first one.
+    """
     text = strip_all(c)
-    return F.coalesce(*[F.try_to_date(text, f) for f in formats])
+    out = F.when(text.rlike(_shape(formats[0])), F.try_to_date(text, formats[0]))
+    for fmt in formats[1:]:
+        out = out.when(text.rlike(_shape(fmt)), F.try_to_date(text, fmt))
+    return out
+
+
+def parse_day_first(c: Column | str, formats: Sequence[str] = DAY_FIRST) -> Column:
+    return parse_dates(c, formats)
 
 
 def parse_record_date(c: Column | str) -> tuple[Column, Column]:
     """The parsed date and a flag marking non-empty text that no accepted format fits."""
     text = strip_all(c)
-    parsed = F.coalesce(*[F.try_to_date(text, f) for f in RECORD_FORMATS])
+    parsed = parse_dates(c, RECORD_FORMATS)
     return parsed, F.coalesce(text != "", F.lit(False)) & parsed.isNull()
 
 

@@ -102,3 +102,11 @@ def test_no_python_workers_in_cleaning(spark):
     df = spark.range(3).select(F.col("id").cast("string").alias("v"))
     plan = clean_categories(df, ["v"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_record_dates(spark):
+    texts = ["2000-05-01", "1/5/2000", "01-05-2000", "2000-5-1", "20000501", "1/5/00", "32/1/2000", "", None]
+    first = date(2000, 5, 1)
+    assert values(spark, texts, lambda c: fn.parse_record_date(c)[0]) == [first] * 4 + [None] * 5
+    bad = values(spark, texts, lambda c: fn.parse_record_date(c)[1])
+    assert bad == [False] * 4 + [True] * 3 + [False, False]
