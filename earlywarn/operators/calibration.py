@@ -31,10 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
+from earlywarn.functions import named
 from earlywarn.operators.features import (
     FeatureEncoder,
     FeatureEncoderModel,
     FeatureSpec,
+    kept,
     prepare,
     restore,
 )
@@ -127,7 +129,8 @@ class Member:
         raw = self.classifier.transform(self.encoder.assemble(prepared, "_features"))
         classes = list(range(self.classifier.numClasses))
         scored = raw.withColumn("_p", positive_probability("_prob", classes))
-        return self._calibrate(scored).select(*prepared.columns, F.col("_cal").alias(output))
+        columns = map(named, prepared.columns)
+        return self._calibrate(scored).select(*columns, F.col("_cal").alias(output))
 
     def _calibrate(self, df: DataFrame) -> DataFrame:
         if self.calibrator is None:
@@ -208,7 +211,7 @@ def fit_member(
     vectors while it iterates, so they are not cached here as well."""
     require_both_classes(counts, "training")
     encoder = FeatureEncoder(spec=features, labelCol=label).fit_prepared(prepared)
-    y = prepared.withColumn("_y", F.col("_keep").getField(label))
+    y = prepared.withColumn("_y", kept(label))
     rows = with_balanced_weights(encoder.assemble(y, "_features"), "_y", counts)
     total = float(counts["negative"] + counts["positive"])
     rows = sized_tasks(rows.select("_features", "_label", "_weight"), total)
@@ -228,7 +231,7 @@ def _folded(df: DataFrame, label: str, keys: Sequence[str], features: FeatureSpe
     folds = usable_folds(spec.folds, counts)
     marked = df.withColumn("_fold", hash_fold(keys, folds, spec.seed))
     prepared = prepare(marked, features, marked.columns).persist()
-    fold, y = F.col("_keep").getField("_fold"), F.col("_keep").getField(label)
+    fold, y = kept("_fold"), kept(label)
     inside = prepared.groupBy(fold.alias("fold")).agg(
         F.count_if(y == 0).alias("negative"), F.count_if(y == 1).alias("positive")
     )
@@ -266,7 +269,7 @@ def fit_ensemble(
     def one(k: int) -> Member:
         fitted = fit_member(prepared.where(fold != k), label, features, spec, outside[k])
         held = fitted.score_prepared(prepared.where(fold == k), "_p")
-        held = held.select("_p", F.col("_keep").getField(label).alias("_y"))
+        held = held.select("_p", kept(label).alias("_y"))
         fitted.calibrator = fit_calibrator(held, "_y", spec.method)
         return fitted
 

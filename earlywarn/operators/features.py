@@ -83,19 +83,25 @@ def engineer(df: DataFrame, spec: FeatureSpec) -> DataFrame:
 def prepare(df: DataFrame, spec: FeatureSpec, keep: Sequence[str] = ()) -> DataFrame:
     """Raw columns -> typed, cleaned, engineered model inputs, with ``keep`` passed through.
 
-    Model inputs get an ``x_`` prefix so that passed-through columns keep their original values.
+    Model inputs get an ``x_`` prefix and passed-through columns a ``k_`` prefix, so neither disturbs
+    the other and an unused column is still pruned from the scan.
     """
-    kept = F.struct(*[named(c) for c in keep]) if keep else F.lit(None)
-    base = drop_technical(df.withColumn("_keep", kept), spec.technical)
+    passed = [f"k_{c}" for c in keep]
+    base = drop_technical(df.withColumns({f"k_{c}": named(c) for c in keep}), spec.technical)
     source = clean_categories(ensure_typed(base, spec.numeric, spec.categorical), spec.categorical)
     typed = source.select(
         *[F.col(c) for c in spec.numeric],
         *[F.coalesce(F.col(c), F.lit(spec.missing_word)).alias(c) for c in spec.categorical],
-        "_keep",
+        *map(named, passed),
     )
     ready = engineer(typed, spec)
     inputs = [*spec.all_numeric, *spec.categorical]
-    return ready.select(*[F.col(c).alias(f"x_{c}") for c in inputs], "_keep")
+    return ready.select(*[F.col(c).alias(f"x_{c}") for c in inputs], *map(named, passed))
+
+
+def kept(name: str) -> Column:
+    """A passed-through column of prepared rows."""
+    return named(f"k_{name}")
 
 
 @dataclass(frozen=True)
@@ -136,8 +142,8 @@ def impute_and_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def restore(prepared: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """The columns that :func:`prepare` kept, followed by ``extra``."""
-    kept = prepared.schema["_keep"].dataType.names
-    return prepared.select(*[F.col("_keep").getField(c).alias(c) for c in kept], *extra)
+    names = [c[2:] for c in prepared.columns if c.startswith("k_")]
+    return prepared.select(*[kept(c).alias(c) for c in names], *extra)
 
 
 class FeatureEncoder(Estimator):
@@ -164,7 +170,7 @@ class FeatureEncoder(Estimator):
     def fit_prepared(self, prepared: DataFrame) -> FeatureEncoderModel:
         """Fit on rows that already went through :func:`prepare` and kept the label."""
         spec = self.spec
-        label = F.col("_keep").getField(self.getOrDefault(self.labelCol))
+        label = kept(self.getOrDefault(self.labelCol))
         rows = prepared.withColumn("_y", label.cast("double"))
         numeric = [f"x_{c}" for c in spec.all_numeric]
         stats = numeric_statistics(rows, numeric)
@@ -263,7 +269,8 @@ class FeatureEncoderModel(Model, MLWritable, MLReadable):
             out += [(F.col(f"x_{source}") == F.lit(v)).cast("double") for v in values]
         for c in self.state["target"]:
             out.append(F.coalesce(F.col(f"t_{c}"), F.lit(float(self.state["prior"]))))
-        return ready.select(*prepared.columns, *[c.alias(f"f{i}") for i, c in enumerate(out)])
+        columns = map(named, prepared.columns)
+        return ready.select(*columns, *[c.alias(f"f{i}") for i, c in enumerate(out)])
 
     def assemble(self, prepared: DataFrame, output: str) -> DataFrame:
         """Append the feature vector to prepared rows."""

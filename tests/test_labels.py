@@ -86,3 +86,39 @@ def test_one_shuffle_for_all_leads(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("Window [") == 1
+
+
+@pytest.mark.parametrize("horizon", [1, 2, 4])
+def test_random_histories_against_brute_force(spark, horizon):
+    import random
+
+    rng = random.Random(horizon)
+    statuses = ["Regular", "Desistente", " trancado", "Formado", None, "Transferido"]
+    rows = [
+        (rng.choice(["a", "b", "c", "d", None]), rng.randrange(2015, 2019), rng.choice([1, 2]), rng.choice(statuses))
+        for _ in range(250)
+    ]
+    table = [(i, *r) for i, r in enumerate(rows)]
+    want = {}
+    for i, key, year, half, status in table:
+        own = sorted(r for r in ((y, h, n, s) for n, k, y, h, s in table if key is not None and k == key))
+        later = [r for r in own if r[:3] > (year, half, i)][:horizon]
+        hit = any(
+            s is not None and s.strip().lower() in ("desistente", "trancado")
+            and (y * 2 + h) - (year * 2 + half) <= horizon
+            for y, h, _, s in later
+        )
+        terminal = status is not None and status.strip().lower() in ("desistente", "trancado", "formado")
+        want[i] = (float(hit), not terminal)
+    for limit in (None, 10):
+        out = label_future_events(history(spark, rows), replace(SPEC, horizon=horizon, max_group_rows=limit))
+        assert {r["n"]: (r["target_evasao"], r["is_target_valid"]) for r in out.collect()} == want
+
+
+def test_default_order_is_stable(spark):
+    rows = [("A", 2020, 1, s) for s in ("Regular", "Desistente", "Formado", "Regular")]
+    df = history(spark, rows)
+    a = label_future_events(df, LabelSpec()).collect()
+    b = label_future_events(df.repartition(3, "n"), LabelSpec(max_group_rows=1)).collect()
+    assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str)
+    assert a[0].__fields__ == [*df.columns, "target_evasao", "is_target_valid"]
