@@ -42,8 +42,12 @@ from earlywarn.operators.features import (
 )
 from earlywarn.operators.filters import check_labels, require_both_classes
 from earlywarn.operators.splits import hash_fold, usable_folds
+from earlywarn.session import scratch_path
 
 LOGREG, GBT = "logreg", "gbt"
+# Where the cleaned rows wait while the folds are fitted: in the executors' memory and disks, or as a
+# table in the shared folder, one directory per fold, which no lost executor can take along.
+CACHE, TABLE = "cache", "table"
 ISOTONIC, SIGMOID = "isotonic", "sigmoid"
 # Calibrators are fitted on (score, mean outcome, weight) with scores on a grid this fine, so that
 # what they collect is bounded however many rows there are.
@@ -61,6 +65,7 @@ class ModelSpec:
     folds: int = 5
     seed: int = 42
     parallelism: int = 4
+    storage: str = CACHE
 
     @property
     def options(self) -> dict[str, Any]:
@@ -224,13 +229,29 @@ def sized_tasks(rows: DataFrame, n: float) -> DataFrame:
     return rows.coalesce(max(1, math.ceil(n / MIN_ROWS_PER_TASK)))
 
 
-def _folded(df: DataFrame, label: str, keys: Sequence[str], features: FeatureSpec, spec: ModelSpec):
-    """Prepared rows with their fold, cached, and the class counts outside each fold."""
-    counts = check_labels(df, label)
+def _stored(prepared: DataFrame, spec: ModelSpec, by: Sequence[str] = ()) -> DataFrame:
+    if spec.storage == CACHE:
+        return prepared.persist()
+    spark = prepared.sparkSession
+    path = scratch_path(spark, "prepared")
+    prepared.write.partitionBy(*by).parquet(path)
+    return spark.read.parquet(path).select(*map(named, prepared.columns))
+
+
+def _folded(
+    df: DataFrame,
+    label: str,
+    keys: Sequence[str],
+    features: FeatureSpec,
+    spec: ModelSpec,
+    counts: dict[str, int] | None,
+):
+    """Prepared rows with their fold, stored, and the class counts outside each fold."""
+    counts = counts or check_labels(df, label)
     require_both_classes(counts, "training")
     folds = usable_folds(spec.folds, counts)
     marked = df.withColumn("_fold", hash_fold(keys, folds, spec.seed))
-    prepared = prepare(marked, features, marked.columns).persist()
+    prepared = _stored(prepare(marked, features, marked.columns), spec, ["k__fold"])
     fold, y = kept("_fold"), kept(label)
     inside = prepared.groupBy(fold.alias("fold")).agg(
         F.count_if(y == 0).alias("negative"), F.count_if(y == 1).alias("positive")
@@ -248,23 +269,23 @@ def fit_ensemble(
     keys: Sequence[str],
     features: FeatureSpec,
     spec: ModelSpec,
+    counts: dict[str, int] | None = None,
 ) -> CalibratedModel:
-    """Fit the configured model on ``df``.
+    """Fit the configured model on ``df``; ``counts`` are its class counts when already known.
 
     With calibration the whole chain, encoders included, is fitted on the other folds and the
     calibrator on the held-out fold, so no statistic leaks into its own calibration. Cleaning does
     not look at other rows, so it runs once for all folds.
     """
     if not spec.calibrate:
-        counts = check_labels(df, label)
-        prepared = prepare(df, features, [label]).persist()
+        counts = counts or check_labels(df, label)
+        prepared = _stored(prepare(df, features, [label]), spec)
         try:
             return CalibratedModel([fit_member(prepared, label, features, spec, counts)])
         finally:
             prepared.unpersist()
-    prepared, fold, outside = _folded(
-        df.select(*dict.fromkeys([*_inputs(df, features), *keys, label])), label, keys, features, spec
-    )
+    wanted = dict.fromkeys([*_inputs(df, features), *keys, label])
+    prepared, fold, outside = _folded(df.select(*wanted), label, keys, features, spec, counts)
 
     def one(k: int) -> Member:
         fitted = fit_member(prepared.where(fold != k), label, features, spec, outside[k])
@@ -293,7 +314,7 @@ def out_of_fold_scores(
     output: str = "prob_evasao",
 ) -> DataFrame:
     """Every row scored exactly once, by a model that did not see it."""
-    prepared, fold, outside = _folded(df, label, keys, features, spec)
+    prepared, fold, outside = _folded(df, label, keys, features, spec, None)
 
     def one(k: int) -> Member:
         return fit_member(prepared.where(fold != k), label, features, spec, outside[k])

@@ -137,28 +137,29 @@ def split_column(rows: DataFrame, spec: TrainSpec) -> tuple[Column, str]:
     return column, f"automatic_{how}"
 
 
-def _halves(rows: DataFrame, spec: TrainSpec) -> tuple[DataFrame, DataFrame, str]:
+def _halves(rows: DataFrame, spec: TrainSpec):
+    """Training side, later side, their class counts, and the strategy."""
     column, strategy = split_column(rows, spec)
     marked = rows.withColumn("_split", column)
-    train = marked.where(F.col("_split") == TRAIN).drop("_split")
-    held = marked.where(F.col("_split") == VALIDATION).drop("_split")
-    sizes = marked.groupBy("_split").count().collect()
-    counts = {r["_split"]: r["count"] for r in sizes}
-    if not counts.get(TRAIN) or not counts.get(VALIDATION):
+    counts = {side: {"negative": 0, "positive": 0} for side in (TRAIN, VALIDATION)}
+    for r in marked.groupBy("_split", spec.label).count().collect():
+        if r["_split"] in counts:
+            counts[r["_split"]]["positive" if r[spec.label] == 1 else "negative"] += r["count"]
+    if not all(sum(c.values()) for c in counts.values()):
         raise UnusableData(f"a side of the split is empty: {counts}")
-    return train, held, strategy
+    require_both_classes(counts[TRAIN], "training")
+    if not all(counts[VALIDATION].values()):
+        log.warning("the validation rows hold a single class, ROC AUC is undefined: %s", counts)
+    train, held = (marked.where(F.col("_split") == s).drop("_split") for s in (TRAIN, VALIDATION))
+    return train, held, counts, strategy
 
 
 def validate_holdout(
     rows: DataFrame, spec: TrainSpec
 ) -> tuple[dict[str, float | None], DataFrame, str]:
     """Fit on the training side, score the later side, measure."""
-    train, held, strategy = _halves(rows, spec)
-    require_both_classes(check_labels(train, spec.label), "training")
-    counts = check_labels(held, spec.label)
-    if not counts["negative"] or not counts["positive"]:
-        log.warning("the validation rows hold a single class, ROC AUC is undefined: %s", counts)
-    model = fit_ensemble(train, spec.label, spec.keys, spec.features, spec.model)
+    train, held, counts, strategy = _halves(rows, spec)
+    model = fit_ensemble(train, spec.label, spec.keys, spec.features, spec.model, counts[TRAIN])
     scored = model.transform(held)
     slim = scored.select(model.output, spec.label).persist()
     try:
@@ -220,7 +221,7 @@ def train(
     try:
         counts = check_labels(rows, spec.label)
         metrics, validation, strategy = validate_holdout(rows, spec)
-        model = fit_ensemble(rows, spec.label, spec.keys, spec.features, spec.model)
+        model = fit_ensemble(rows, spec.label, spec.keys, spec.features, spec.model, counts)
         record = run_record(
             model, counts["negative"] + counts["positive"], metrics, strategy, spec, best_params,
             model_id or new_model_id(), df.sparkSession,
@@ -266,9 +267,9 @@ def search(df: DataFrame, spec: TrainSpec) -> DataFrame:
     assembled vectors are kept; a trial only refits the trees, with early stopping on the later side.
     """
     rows = used_columns(training_rows(df, spec), spec).persist()
-    train_rows, held, _ = _halves(rows, spec)
-    counts = check_labels(train_rows, spec.label)
-    require_both_classes(counts, "training")
+    check_labels(rows, spec.label)
+    train_rows, held, sides, _ = _halves(rows, spec)
+    counts = sides[TRAIN]
     encoder = FeatureEncoder(
         spec=spec.features, labelCol=spec.label, outputCol="_features"
     ).fit(train_rows)

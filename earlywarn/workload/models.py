@@ -19,7 +19,7 @@ from earlywarn.operators.filters import valid_labels
 from earlywarn.operators.metrics import brier, roc_auc
 from earlywarn.operators.report import with_risk
 from earlywarn.plans.score import score
-from earlywarn.plans.train import TrainSpec, search, train
+from earlywarn.plans.train import TrainSpec, search, train, training_rows, validate_holdout
 from earlywarn.session import scratch_path
 from earlywarn.sources.registry import importance_of, list_runs, load_model
 from earlywarn.workload.features import ORDER_FEATURES, labelled_docs, order_inputs
@@ -118,8 +118,9 @@ def importance_lookup(spark, sf_dir):
 
 @query("holdout_quality")
 def holdout_quality(spark, sf_dir):
-    run = train(training_orders(spark, sf_dir), replace(SPEC, model=replace(LOGREG_SPEC, calibrate=False)))
-    held = run.validation
+    spec = replace(SPEC, model=replace(LOGREG_SPEC, calibrate=False))
+    rows = training_rows(training_orders(spark, sf_dir), spec)
+    _, held, _ = validate_holdout(rows, spec)
     auc = roc_auc(held, "prob_evasao", "target_evasao").select("roc_auc")
     quality = brier(held, "prob_evasao", "target_evasao")
     return quality.withColumn("roc_auc", auc.scalar())

@@ -227,10 +227,11 @@ def test_raw_rows_to_risk_table(spark, run):
     "spec",
     [
         replace(FAST, method=SIGMOID),
-        replace(FAST, calibrate=False),
+        replace(FAST, calibrate=False, storage="table"),
+        replace(FAST, storage="table"),
         ModelSpec(GBT, params=(("n_estimators", 5), ("max_depth", 3)), folds=2),
     ],
-    ids=["sigmoid", "plain", "boosted"],
+    ids=["sigmoid", "plain", "from a table", "boosted"],
 )
 def test_other_models_round_trip(spark, students, tmp_path, spec):
     features = FeatureSpec(
