@@ -15,7 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earlywarn.functions import normalise_header
-from earlywarn.presets import FUZZY_THRESHOLD, HEADER_ALIASES, HEADER_HINTS, SCORING_FIELDS
+from earlywarn.presets import (
+    FUZZY_THRESHOLD,
+    HEADER_ALIASES,
+    HEADER_HINTS,
+    ID_COLUMNS,
+    SCORING_FIELDS,
+    TRAINING_FIELDS,
+)
 
 
 @dataclass(frozen=True)
@@ -32,6 +39,12 @@ class MatchSpec:
     threshold: float = FUZZY_THRESHOLD
 
 
+def training_match() -> MatchSpec:
+    """Matching for training extracts: id and time fields have no aliases, only fuzzy scores."""
+    aliases = {k: v for k, v in HEADER_ALIASES.items() if v not in ID_COLUMNS}
+    return MatchSpec(fields=tuple(TRAINING_FIELDS), aliases=aliases)
+
+
 def _text(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -37,8 +37,10 @@ class YearSplit:
 
         if not raw.get("train_range"):
             raise UnusableData("split configuration lacks train_range")
-        start, end = raw["train_range"]
-        return cls((int(start), int(end)), years("val_years", "val_year"),
+        bounds = [int(y) for y in raw["train_range"]]
+        if len(bounds) != 2 or bounds[0] > bounds[1]:
+            raise UnusableData(f"train_range must be [first, last], not {bounds}")
+        return cls((bounds[0], bounds[1]), years("val_years", "val_year"),
                    years("test_years", "test_year"))
 
     @property

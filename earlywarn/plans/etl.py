@@ -36,8 +36,9 @@ from earlywarn.presets import SCORING_PRESET, TRAINING_PRESET, RecordPreset
 
 def fill_age(df: DataFrame, preset: RecordPreset, as_of: date | Column) -> DataFrame:
     """A given age wins; otherwise it is computed from the birth date."""
-    if preset.birth_date is None or preset.birth_date not in df.columns:
+    if preset.age is None or preset.birth_date is None or preset.birth_date not in df.columns:
         return df
+    df = ensure_columns(df, [preset.age])
     kind = column_type(df, preset.birth_date).typeName()
     born = F.col(preset.birth_date) if kind in ("date", "timestamp", "timestamp_ntz") else (
         parse_day_first(preset.birth_date)

@@ -65,7 +65,10 @@ def test_year_split_rules():
     split = YearSplit.from_config(raw)
     assert split.years == [*range(2014, 2021)]
     split.validate(range(2014, 2021))
-    for change in ({"val_year": None}, {"train_range": None}, {"test_years": []}):
+    for change in (
+        {"val_year": None}, {"train_range": None}, {"test_years": []}, {"train_range": [2018, 2014]},
+        {"train_range": [2014]},
+    ):
         with pytest.raises(UnusableData):
             YearSplit.from_config({**raw, **change})
     for bad in (YearSplit((2014, 2019), (2019,), (2020,)), YearSplit((2014, 2016), (2020,), (2020,))):
