@@ -55,9 +55,11 @@ def running_totals(
 
 
 def score_steps(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Distinct scores with their positives and negatives, and running totals of both."""
+    """Distinct scores with their positives and negatives, and running totals of both. Rows without a
+    score or a label do not count."""
+    usable = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
     steps = (
-        df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+        df.where(usable & F.col(label).isNotNull())
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(
             F.sum(F.col(label).cast("bigint")).alias("pos"),

@@ -150,3 +150,11 @@ def test_roll_up_keeps_silent_sources(spark):
     rows = spark.createDataFrame([(1,), (2,)], "r int")
     got = {(r["r"], r["source"]): round(r["contribution"], 6) for r in roll_up_sources(parts, lineage, "r", rows).collect()}
     assert got == {(1, "c"): 0.3, (1, "n"): 0.0, (1, "u"): 0.0, (2, "c"): 0.0, (2, "n"): 1.0, (2, "u"): 0.0}
+
+
+def test_missing_scores_do_not_count(spark):
+    df = spark.createDataFrame(
+        [(0.2, 0), (0.8, 1), (None, 1), (float("nan"), 0), (0.9, None)], "p double, y int"
+    )
+    row = roc_auc(df, "p", "y").first()
+    assert (row["roc_auc"], row["positives"], row["negatives"]) == (1.0, 1, 1)
