@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earlywarn.llm.exact_dedup import exact_groups
+from earlywarn.llm.licenses import scan_licenses
 from earlywarn.llm.mixing import mix_plan
+from earlywarn.llm.personal import find_personal
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +82,23 @@ def op6_mixing(spark, sf_dir):
     first = F.when(F.size("positions") > 0, F.col("positions")[0])
     out = plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
     return out.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
+@query("op9_licenses")
+def op9_licenses(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
+@query("op10_personal")
+def op10_personal(spark, sf_dir):
+    found = find_personal(table(spark, sf_dir, "documents"))
+    kinds = ("email", "ip", "card", "phone")
+    named = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    of = lambda *wanted: F.filter("spans", lambda s: s["kind"].isin(*wanted))
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(named(of(*kinds)), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"),
+    )
