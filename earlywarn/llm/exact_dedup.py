@@ -27,8 +27,9 @@ def exact_groups(
 
     Rows are grouped by ``content_hash``; only the rows of groups of two and more are then read
     again and compared byte by byte with the row that stays. Should a hash join different texts, its
-    group is divided by the 256-bit digest. Signatures are counted map-side, and the joins on the
-    hash have a plain exchange on either side, so adaptive execution splits a hot group.
+    group is divided by the 256-bit digest. Signatures are counted map-side. The joins on the hash are
+    merge joins at every size (the list of groups grows with the input, so it is not to be broadcast)
+    with a plain exchange on either side, so adaptive execution splits a hot group.
     """
     text = text_of(text_col)
     plain = docs.select(
@@ -44,18 +45,18 @@ def exact_groups(
         "signatures",
     )
     groups = stored(_first_of(rows, "key"), "groups")
-    members = hashed.join(groups.select("key", "first"), "key")
+    members = hashed.join(groups.select("key", "first").hint("merge"), "key")
     leads = members["doc_id"].eqNullSafe(F.col("first.doc_id")) & (F.col("chars") == F.col("first.chars"))
     members = stored(members.select("key", "plain", leads.alias("leads")), "members")
     lead = members.where("leads").groupBy("key").agg(F.first("plain").alias("lead"))
-    odd = members.where("NOT leads").join(stored(lead, "leads"), "key").where("plain <> lead")
+    odd = members.where("NOT leads").join(stored(lead, "leads").hint("merge"), "key").where("plain <> lead")
     odd = stored(odd.select("key").distinct().withColumn("collided", F.lit(True)), "collisions")
     if not odd.isEmpty():
         rows = rows.join(odd, "key", "left").withColumn(
             "key", F.when(F.col("collided"), F.concat("key", F.unhex("text_sha256"))).otherwise(F.col("key"))
         ).drop("collided")
         groups = stored(_first_of(rows, "key"), "groups")
-    return rows.join(groups, "key", "left").select(
+    return rows.join(groups.hint("merge"), "key", "left").select(
         "doc_id",
         F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
