@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from earlywarn.llm.exact_dedup import exact_groups
 from earlywarn.llm.licenses import scan_licenses
 from earlywarn.llm.mixing import mix_plan
+from earlywarn.llm.packing import pack_documents
 from earlywarn.llm.personal import find_personal
+from earlywarn.llm.rules import fit_rules, judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,3 +104,18 @@ def op10_personal(spark, sf_dir):
         *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds],
         F.sha2(named(of(*kinds)), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"),
     )
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    verdicts = judge(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
+    return verdicts.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "kept", "rule",
+    )
+
+
+@query("op8_packing")
+def op8_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"))
