@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from earlywarn.llm.exact_dedup import exact_groups
 from earlywarn.llm.licenses import scan_licenses
+from earlywarn.llm.line_quality import fit_lines, score_quality
 from earlywarn.llm.mixing import mix_plan
+from earlywarn.llm.ngram_join import similar_groups
 from earlywarn.llm.packing import pack_documents
 from earlywarn.llm.personal import find_personal
 from earlywarn.llm.rules import fit_rules, judge
@@ -33,6 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_line_quality")
+def op1_line_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    bucket = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))) % 5
+    model = fit_lines(docs, table(spark, sf_dir, "labels"), use=bucket("id") != 0)
+    scored = score_quality(docs, model)
+    return scored.select(
+        "doc_id", (bucket("doc_id") == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "n_lines", "n_bad_lines",
+    )
+
+
 @query("op3_exact_dedup", r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -47,6 +61,28 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op5_ngram_join", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
+             ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS s
+      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+           FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
+          WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
+          UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.b) AS component_id
+FROM documents AS d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+GROUP BY d.doc_id, n.n
+""")
+def op5_ngram_join(spark, sf_dir):
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op6_mixing", r"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,

@@ -20,12 +20,13 @@ from earlywarn.llm.statistics import (
     UPPER,
     code_points,
     count_of,
+    echoes,
     repeated_lines,
     repeated_words,
 )
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper",
-          "n_letters", "n_digits", "n_marks", "n_distinct")
+          "n_letters", "n_digits", "n_marks", "n_distinct", "n_echoes")
 
 #: What conditions may compare: ratios, which do not depend on a text's length.
 FEATURES = {
@@ -37,6 +38,7 @@ FEATURES = {
     "digit_share": "n_digits / greatest(word_chars, 1)",
     "mark_share": "n_marks / greatest(word_chars, 1)",
     "distinct_share": "n_distinct / greatest(n_words, 1)",
+    "echo_share": "n_echoes / greatest(n_words, 1)",
     "words_per_line": "n_words / greatest(n_lines, 1)",
 }
 
@@ -48,7 +50,7 @@ def text_counts(data: bytes) -> tuple[int, ...]:
     return (
         len(words), code_points(joined), count_of(joined, SYMBOLS), repeated_lines(lines), repeated_words(words),
         len(lines), count_of(joined, UPPER), count_of(joined, LETTERS), count_of(joined, DIGITS),
-        count_of(joined, b"!?"), len(set(words)),
+        count_of(joined, b"!?"), len(set(words)), echoes(words),
     )
 
 

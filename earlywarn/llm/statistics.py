@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from operator import eq
 
 #: What makes up a symbol, an upper-case letter, a digit in ASCII.
 SYMBOLS = b"#*$%&|<>"
@@ -41,3 +42,8 @@ def repeated_lines(lines: list[bytes]) -> int:
     """Lines with a word that equal an earlier line."""
     spoken = [line for line in lines if line.split()]
     return len(spoken) - len(set(spoken))
+
+
+def echoes(words: list[bytes]) -> int:
+    """Words that say the word before them again."""
+    return sum(map(eq, words, words[1:]))
