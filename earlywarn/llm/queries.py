@@ -13,6 +13,7 @@ from earlywarn.llm.line_quality import fit_lines, score_quality
 from earlywarn.llm.mixing import mix_plan
 from earlywarn.llm.ngram_join import similar_groups
 from earlywarn.llm.packing import pack_documents
+from earlywarn.llm.passages import repeated_passages
 from earlywarn.llm.personal import find_personal
 from earlywarn.llm.rules import fit_rules, judge
 
@@ -47,6 +48,11 @@ def op1_line_quality(spark, sf_dir):
     )
 
 
+@query("op2_passages")
+def op2_passages(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op3_exact_dedup", r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
