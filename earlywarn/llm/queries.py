@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earlywarn.llm.exact_dedup import exact_groups
+from earlywarn.llm.language_model import score_texts
 from earlywarn.llm.licenses import scan_licenses
 from earlywarn.llm.line_quality import fit_lines, score_quality
 from earlywarn.llm.mixing import mix_plan
@@ -67,6 +68,13 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op4_language_model")
+def op4_language_model(spark, sf_dir):
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    scored = score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), *[c for c in scored.columns if c != "doc_id"])
+
+
 @query("op5_ngram_join", r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
