@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as contract
 from tools.check import kind, rows_of
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = contract.QUERIES, contract.ORACLES
 SLOW = {
     "train_logreg", "train_boosted", "search_boosted", "score_batch", "model_registry",
     "importance_lookup", "holdout_quality", "out_of_fold", "calibrated_scores",
