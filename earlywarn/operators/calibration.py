@@ -49,9 +49,10 @@ LOGREG, GBT = "logreg", "gbt"
 # table in the shared folder, one directory per fold, which no lost executor can take along.
 CACHE, TABLE = "cache", "table"
 ISOTONIC, SIGMOID = "isotonic", "sigmoid"
-# Calibrators are fitted on (score, mean outcome, weight) with scores on a grid this fine, so that
-# what they collect is bounded however many rows there are.
-CALIBRATION_DIGITS = 5
+# Calibrators are fitted on cells of the log-odds, so many per unit, each standing at the exact mean
+# score and mean log-odds of its rows. Log-odds end at +-27.7, so at most 55,263 cells are collected
+# however many rows there are, and a score is never moved by more than a cell's width.
+CALIBRATION_CELLS = 1000
 # Iterative fits go over the rows many times; below this many rows a task is mostly overhead.
 MIN_ROWS_PER_TASK = 25_000
 
@@ -165,11 +166,14 @@ def sigmoid_input(p: Column) -> Column:
 
 
 def _grid(scored: DataFrame, label: str) -> DataFrame:
-    """Held-out scores reduced to (score, outcome, weight): bounded, every row counted."""
+    """Held-out scores reduced to (score, log-odds, outcome, weight): bounded, every row counted."""
+    x = sigmoid_input(F.col("_p"))
     return (
-        scored.groupBy(F.round("_p", CALIBRATION_DIGITS).alias("_p"))
-        .agg(F.avg(F.col(label).cast("double")).alias("_y"),
+        scored.groupBy(F.round(x * CALIBRATION_CELLS).alias("_cell"))
+        .agg(F.avg("_p").alias("_p"), F.avg(x).alias("_x"),
+             F.avg(F.col(label).cast("double")).alias("_y"),
              F.count("*").cast("double").alias("_n"))
+        .where(F.col("_p").isNotNull())
     )
 
 
@@ -190,7 +194,7 @@ def fit_calibrator(scored: DataFrame, label: str, method: str):
     low = 1.0 / (n["all"] - n["pos"] + 2.0)
     target = F.col("_y") * F.lit(high) + (F.lit(1.0) - F.col("_y")) * F.lit(low)
     pairs = grid.select(
-        sigmoid_input(F.col("_p")).alias("_x"),
+        "_x",
         F.inline(
             F.array(
                 F.struct(F.lit(1.0).alias("_t"), (F.col("_n") * target).alias("_w")),

@@ -13,6 +13,10 @@ from earlywarn.operators.lookups import lookup_join
 from earlywarn.session import pin
 
 
+# Fixed value: what a missing category is called before it is encoded.
+MISSING = "missing"
+
+
 @dataclass(frozen=True)
 class EncoderSpec:
     max_onehot: int = 20
@@ -93,13 +97,17 @@ def one_hot_frame(df: DataFrame, column: str, spec: EncoderSpec = EncoderSpec())
 def encode_by_target(
     df: DataFrame, fitted_on: DataFrame, column: str, label: str, spec: EncoderSpec = EncoderSpec()
 ) -> DataFrame:
-    """Append ``{column}_encoded``; values unseen in ``fitted_on`` get the overall mean."""
-    fitted = target_encodings(fitted_on, [column], label, spec)
+    """Append ``{column}_encoded``; values unseen in ``fitted_on`` get the overall mean.
+
+    NULL is the value :data:`MISSING` on both sides, as in the feature pipeline.
+    """
+    filled = F.coalesce(F.col(column).cast("string"), F.lit(MISSING))
+    fitted = target_encodings(fitted_on.withColumn(column, filled), [column], label, spec)
     rows = fitted.count()
     prior = fitted.agg(F.first("prior")).scalar()
     table = fitted.select(
-        F.col("value").alias(column), F.col("encoded").alias(f"{column}_encoded")
+        F.col("value").alias("_filled"), F.col("encoded").alias(f"{column}_encoded")
     )
-    joined = lookup_join(df, table, [column], rows=rows)
+    joined = lookup_join(df.withColumn("_filled", filled), table, ["_filled"], rows=rows)
     encoded = F.coalesce(F.col(f"{column}_encoded"), prior)
-    return joined.withColumn(f"{column}_encoded", encoded)
+    return joined.withColumn(f"{column}_encoded", encoded).drop("_filled")

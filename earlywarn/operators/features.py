@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earlywarn.functions import clean_categories, named, present_sum, share
-from earlywarn.operators.encoders import EncoderSpec, category_counts, smoothed_mean
+from earlywarn.operators.encoders import MISSING, EncoderSpec, category_counts, smoothed_mean
 from earlywarn.operators.lookups import lookup_join
 from earlywarn.operators.quantiles import exact_medians
 from earlywarn.operators.schema import drop_technical, ensure_typed
@@ -44,7 +44,7 @@ class FeatureSpec:
         ("aprovacao_ratio", "disciplinas_aprovadas", "disciplinas_reprovadas_nota"),
     )
     technical: tuple[str, ...] = tuple(TECHNICAL_COLUMNS)
-    missing_word: str = "missing"
+    missing_word: str = MISSING
     encoder: EncoderSpec = field(default_factory=EncoderSpec)
 
     @property

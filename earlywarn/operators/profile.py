@@ -61,23 +61,20 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def distinct_counts(
-    df: DataFrame, columns: Sequence[str], limit: int = 20, margin: float = 0.2
+    df: DataFrame, columns: Sequence[str], limit: int = 20
 ) -> dict[str, tuple[int, bool]]:
-    """Distinct non-null values per column and whether there are at most ``limit``.
+    """Distinct non-null values per column, and whether there are at most ``limit``; always exact.
 
-    A sketch settles the columns far from the limit; only the close calls are counted exactly.
+    The values are made distinct map-side first; one count per column comes back.
     """
-    rough = df.agg(*[F.approx_count_distinct(named(c), 0.02).alias(f"c{i}") for i, c in enumerate(columns)])
-    row = rough.first()
-    out = {c: (row[i], row[i] <= limit) for i, c in enumerate(columns)}
-    close = [c for c in columns if abs(out[c][0] - limit) <= max(2, margin * limit)]
-    if close:
-        exact = (
-            long_form(df, close).where(F.col("value").isNotNull()).distinct()
-            .groupBy("feature").count().collect()
-        )
-        out.update({r["feature"]: (r["count"], r["count"] <= limit) for r in exact})
-    return out
+    if not columns:
+        return {}
+    exact = (
+        long_form(df, columns).where(F.col("value").isNotNull()).distinct()
+        .groupBy("feature").count().collect()
+    )
+    counts = {r["feature"]: r["count"] for r in exact}
+    return {c: (counts.get(c, 0), counts.get(c, 0) <= limit) for c in columns}
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top: int = 5) -> DataFrame:

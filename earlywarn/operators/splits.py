@@ -79,6 +79,13 @@ def available_years(df: DataFrame, year: str = "ano_ingresso") -> list[int]:
     return [int(r[0]) for r in distinct_sorted(df, year).collect()]
 
 
+def years_present(df: DataFrame, wanted: Sequence[int], year: str = "ano_ingresso") -> list[int]:
+    """Which of the wanted years have rows: one flag per year comes back, whatever the column holds."""
+    listed = sorted(set(wanted))
+    row = df.agg(*[F.count_if(F.col(year) == y).alias(f"y{i}") for i, y in enumerate(listed)]).first()
+    return [y for i, y in enumerate(listed) if row[i]]
+
+
 def hash_fraction(keys: Sequence[str | Column], seed: int = 42) -> Column:
     """A stable pseudo-random number in [0, 1) from the row's own key."""
     text = F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys],

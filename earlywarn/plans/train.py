@@ -43,7 +43,7 @@ from earlywarn.operators.splits import (
     VALIDATION,
     YearSplit,
     automatic_split,
-    available_years,
+    years_present,
 )
 from earlywarn.presets import COMPLETED_STATUSES, DROPOUT_STATUSES
 from earlywarn.sources.registry import new_model_id, save_run
@@ -118,7 +118,7 @@ def training_rows(df: DataFrame, spec: TrainSpec) -> DataFrame:
     if spec.split is not None:
         if spec.year not in df.columns:
             raise UnusableData(f"a temporal split needs the column {spec.year}")
-        spec.split.validate(available_years(rows, spec.year))
+        spec.split.validate(years_present(rows, spec.split.years, spec.year))
         rows = in_years(rows, spec.split.years, spec.year)
     return rows
 

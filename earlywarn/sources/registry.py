@@ -6,6 +6,7 @@ import json
 from datetime import UTC, datetime
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,8 +52,11 @@ def save_run(model: CalibratedModel, run: dict[str, Any], root: str) -> str:
 def load_model(model_id: str, root: str) -> CalibratedModel:
     try:
         return CalibratedModel.load(f"{_folder(root, model_id)}/model")
-    except Exception as exc:
-        raise ModelNotFound(f"no readable model {model_id!r} under {root}") from exc
+    except (Py4JJavaError, AnalysisException) as exc:
+        # Only a missing path means that there is no such model; everything else is reported as it is.
+        if "does not exist" not in str(exc) and "PATH_NOT_FOUND" not in str(exc):
+            raise
+        raise ModelNotFound(f"no model {model_id!r} under {root}") from exc
 
 
 def list_runs(spark: SparkSession, root: str) -> DataFrame:

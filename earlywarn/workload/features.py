@@ -70,6 +70,12 @@ w AS (SELECT *, 1e0 / (1e0 + exp(-(n - 20e0) / 10e0)) AS w FROM g, p),
 e AS (SELECT source, n, mean, prior, prior * (1e0 - w) + mean * w AS encoded FROM w)"""
 
 
+# The same over a table in which one source is missing: missing is a value of its own.
+_MISSING_SQL = _TARGET_SQL.replace(
+    "g AS (SELECT source,", "g AS (SELECT coalesce(nullif(source, 'src3'), 'missing') AS source,"
+).replace("GROUP BY source", "GROUP BY ALL")
+
+
 @query(
     "target_encode",
     f"WITH {_TARGET_SQL} SELECT source AS value, n, round(mean, 6) AS mean, round(encoded, 6) AS encoded FROM e",
@@ -81,15 +87,16 @@ def target_encode(spark, sf_dir):
 
 @query(
     "target_encode_rows",
-    f"""WITH {_TARGET_SQL}
+    f"""WITH {_MISSING_SQL}
 SELECT d.doc_id, round(coalesce(e.encoded, (SELECT prior FROM p)), 6) AS encoded
-FROM (SELECT doc_id, nullif(source, 'src3') AS source FROM documents) d LEFT JOIN e USING (source)""",
+FROM (SELECT doc_id, coalesce(nullif(source, 'src3'), 'missing') AS source FROM documents) d LEFT JOIN e USING (source)""",
 )
 def target_encode_rows(spark, sf_dir):
     every = table(spark, sf_dir, "documents").select(
         "doc_id", F.nullif("source", F.lit("src3")).alias("source")
     )
-    df = encode_by_target(every, labelled_docs(spark, sf_dir), "source", "toxic")
+    fitted_on = labelled_docs(spark, sf_dir).withColumn("source", F.nullif("source", F.lit("src3")))
+    df = encode_by_target(every, fitted_on, "source", "toxic")
     return df.select("doc_id", r6("source_encoded").alias("encoded"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earlywarn.functions import class_at, risk_level
-from earlywarn.operators.calibration import ISOTONIC, fit_calibrator
+from earlywarn.operators.calibration import ISOTONIC, SIGMOID, fit_calibrator, sigmoid_input
 from earlywarn.operators.filters import label_counts
 from earlywarn.operators.metrics import (
     brier,
@@ -135,6 +135,27 @@ def isotonic_calibrator(spark, sf_dir):
     return out.select(r6("_p").alias("score"), r6("_cal").alias("calibrated"))
 
 
+@query(
+    "sigmoid_calibrator",
+    f"""WITH {_SCORED} SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, TRUE AS optimal, TRUE AS rising
+FROM scored""",
+)
+def sigmoid_calibrator(spark, sf_dir):
+    """Fitted on scores down to 1e-7; at the optimum the likelihood of all rows has no slope left."""
+    tiny = F.pow(F.lit(10.0), F.col("p") * 6.5 - 7.0)
+    rows = scored_orders(spark, sf_dir).select(F.least(tiny, F.lit(1.0)).alias("_p"), "y")
+    slope, intercept = fit_calibrator(rows, "y", SIGMOID)
+    x = sigmoid_input(F.col("_p"))
+    n, pos = rows.agg(F.count("*"), F.sum("y")).first()
+    high, low = (pos + 1.0) / (pos + 2.0), 1.0 / (n - pos + 2.0)
+    gap = F.when(F.col("y") == 1, high).otherwise(low) - 1.0 / (1.0 + F.exp(-(x * slope + intercept)))
+    flat = (F.abs(F.avg(gap)) < 1e-4) & (F.abs(F.avg(gap * x)) < 1e-3)
+    return rows.agg(
+        F.count("*").alias("n"), F.sum("y").alias("positives"), flat.alias("optimal"),
+        F.lit(slope != 0.0).alias("rising"),
+    )
+
+
 @query(
     "label_guard",
     f"""WITH {_SCORED} SELECT count_if(y = 0) AS negative, count_if(y = 1) AS positive,
