@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +17,53 @@ from earlywarn.operators.filters import UnusableData
 from earlywarn.presets import CRITICAL_COLUMNS, REQUIRED_COLUMNS
 
 SEPARATORS = (",", ";", "\t", "|")
-# Sniffing looks at this many lines; the scan itself always reads everything.
-SNIFF_LINES = 50
+# What to do with rows whose number of cells is not that of the header.
+FAIL, DROP = "fail", "drop"
+_BROKEN = "_broken_row"
+
+
+def reader_options(sep: str, encoding: str = "UTF-8", multiline: bool = False) -> dict[str, str]:
+    """How every delimited file is read, in batch and as a stream."""
+    return {
+        "header": "true", "sep": sep, "multiLine": str(multiline).lower(), "escape": '"',
+        "mode": "PERMISSIVE", "enforceSchema": "false", "encoding": encoding,
+    }
+
+
+def _raw(
+    spark: SparkSession, paths: list[str], sep: str, names: Sequence[str], encoding: str, multiline: bool,
+    broken: bool,
+) -> DataFrame:
+    fields = [T.StructField(n, T.StringType()) for n in names]
+    reader = spark.read.options(**reader_options(sep, encoding, multiline))
+    if broken:
+        # Cells are only counted when no column is left out of the parsing.
+        fields.append(T.StructField(_BROKEN, T.StringType()))
+        reader = reader.option("columnNameOfCorruptRecord", _BROKEN).option("columnPruning", "false")
+    return reader.schema(T.StructType(fields)).csv(paths)
+
+
+def _parsed(names: Sequence[str]) -> Column:
+    """Always true, but looks at a cell: the reader refuses to tell broken rows by themselves."""
+    return F.length(F.concat_ws("", named(names[0]))) >= 0
+
+
+def file_groups(
+    spark: SparkSession, path: str | Sequence[str], sep: str | None = None, encoding: str = "UTF-8"
+) -> list[tuple[str, list[str], list[str]]]:
+    """(separator, header, files) for each layout among the files; the header line of a file decides."""
+    paths = [path] if isinstance(path, str) else list(path)
+    heads = header_catalogue(spark, paths, sep, encoding)
+    each = heads.groupBy("file").agg(
+        F.first("sep").alias("sep"), F.sort_array(F.collect_list(F.struct("position", "header"))).alias("cells")
+    )
+    layouts = each.groupBy("sep", F.col("cells.header").alias("header")).agg(
+        F.sort_array(F.collect_list("file")).alias("files")
+    )
+    found = [(r["sep"], list(r["header"]), list(r["files"])) for r in layouts.collect()]
+    if not found:
+        raise UnusableData(f"{path} is empty")
+    return sorted(found, key=lambda g: g[2])
 
 
 def read_delimited(
@@ -26,24 +72,47 @@ def read_delimited(
     sep: str | None = None,
     columns: Sequence[str] | None = None,
     multiline: bool = False,
+    encoding: str = "UTF-8",
+    bad_rows: str = FAIL,
 ) -> DataFrame:
     """Read with a header row, every column as text, missing markers as NULL.
 
-    Types are never inferred: that would need a second pass and could differ between files. Files of
-    one call share a header. ``columns`` prunes the scan.
+    Types are never inferred: that would need a second pass and could differ between files. Files may
+    differ in separator and order of columns; each is read by its own header line, and a column that
+    a file lacks is NULL there. ``columns`` prunes the result.
+
+    A row with more or fewer cells than its header is never bent into shape: the read fails on it, or,
+    with ``bad_rows="drop"``, leaves it to :func:`malformed_rows`.
     """
-    first = path if isinstance(path, str) else path[0]
-    sep = sep or detect_separator(spark, first)
-    names = header_of(spark, first, sep)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    reader = (
-        spark.read.option("header", True).option("sep", sep).option("multiLine", multiline)
-        .option("escape", '"').option("mode", "PERMISSIVE")
-        .option("enforceSchema", False).schema(schema)
-    )
-    df = reader.csv(path if isinstance(path, str) else list(path))
-    wanted = list(columns) if columns is not None else names
-    return df.select(*[null_tokens(named(c)).alias(c) for c in wanted])
+    if bad_rows not in (FAIL, DROP):
+        raise ValueError("bad_rows is 'fail' or 'drop'")
+    parts = []
+    for own_sep, names, files in file_groups(spark, path, sep, encoding):
+        df = _raw(spark, files, own_sep, names, encoding, multiline, broken=True)
+        broken, fits = named(_BROKEN), _parsed(names) & named(_BROKEN).isNull()
+        if bad_rows == FAIL:
+            stop = F.raise_error(F.concat(F.lit("a row does not fit its header: "), broken))
+            fits = F.when(fits, True).otherwise(stop.cast("boolean"))
+        df = df.where(fits)
+        wanted = [c for c in (columns if columns is not None else names) if c in names]
+        parts.append(df.select(*[null_tokens(named(c)).alias(c) for c in wanted]))
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    absent = [c for c in (columns or []) if c not in out.columns]
+    if absent:
+        raise UnusableData(f"no file has the columns {absent}")
+    return out.select(*map(named, columns)) if columns is not None else out
+
+
+def malformed_rows(
+    spark: SparkSession, path: str | Sequence[str], sep: str | None = None, encoding: str = "UTF-8"
+) -> DataFrame:
+    """(file, record): the rows whose number of cells is not that of their file's header."""
+    parts = []
+    for own_sep, names, files in file_groups(spark, path, sep, encoding):
+        df = _raw(spark, files, own_sep, names, encoding, False, broken=True)
+        df = df.where(_parsed(names) & named(_BROKEN).isNotNull())
+        parts.append(df.select(F.col("_metadata.file_path").alias("file"), named(_BROKEN).alias("record")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
@@ -52,62 +121,73 @@ def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return reader.option("escape", '"').csv(path).columns
 
 
-def header_catalogue(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """(file, position, header) for every file below ``path``, in one job.
+def _first_lines(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
+    """(file, head, error) for every file, in one job.
 
     Files are listed without their content; each task then opens its files and reads no further than
-    the first line.
+    the first line. A file that cannot be read or decoded is reported, not fatal.
     """
 
     def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            heads = []
+            heads, errors = [], []
             for path in batch["path"]:
-                # Hadoop writes local paths as file:/x, which Arrow wants as a plain path.
-                system, inner = FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
-                data = b""
-                with system.open_input_stream(inner) as stream:
-                    while b"\n" not in data and (block := stream.read(65536)):
-                        data += block
-                heads.append(data.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r"))
-            yield pd.DataFrame({"file": batch["path"], "head": heads})
+                head, error = None, None
+                try:
+                    # Hadoop writes local paths as file:/x and has names of its own for object stores.
+                    plain = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "/", path))
+                    system, inner = FileSystem.from_uri(plain)
+                    data = b""
+                    with system.open_input_stream(inner) as stream:
+                        while b"\n" not in data and (block := stream.read(65536)):
+                            data += block
+                    head = data.split(b"\n", 1)[0].decode(encoding).removeprefix("\ufeff").rstrip("\r")
+                except Exception as exc:  # noqa: BLE001
+                    error = f"{type(exc).__name__}: {exc}"
+                heads.append(head)
+                errors.append(error)
+            yield pd.DataFrame({"file": batch["path"], "head": heads, "error": errors})
 
     listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("path")
     )
-    first = listed.mapInPandas(first_lines, "file string, head string").where("head <> ''")
-    # Separators inside quotes do not count. Without a given one, each file uses the candidate that
-    # splits its first line into most cells.
+    return listed.mapInPandas(first_lines, "file string, head string, error string")
+
+
+def unreadable_files(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> DataFrame:
+    """(file, error): the files whose header line cannot be read in this encoding."""
+    paths = [path] if isinstance(path, str) else path
+    return _first_lines(spark, paths, encoding).where("error IS NOT NULL").select("file", "error")
+
+
+def header_catalogue(
+    spark: SparkSession, path: str | Sequence[str], sep: str | None = None, encoding: str = "UTF-8"
+) -> DataFrame:
+    """(file, position, header, sep) for every readable file below ``path``; see :func:`unreadable_files`.
+
+    Separators inside quotes do not count. Without a given one, each file uses the candidate that
+    splits its first line into most cells.
+    """
+    paths = [path] if isinstance(path, str) else path
+    first = _first_lines(spark, paths, encoding).where("head <> ''")
     outside = '(?=(?:[^"]*"[^"]*")*[^"]*$)'
     ways = []
     for rank, s in enumerate((sep,) if sep else SEPARATORS):
         cells = F.split("head", f"\\Q{s}\\E{outside}")
         ways.append(
-            F.struct(F.size(cells).alias("n"), F.lit(-rank).alias("rank"), cells.alias("cells"))
+            F.struct(
+                F.size(cells).alias("n"), F.lit(-rank).alias("rank"), cells.alias("cells"), F.lit(s).alias("sep")
+            )
         )
     best = ways[0] if len(ways) == 1 else F.greatest(*ways)
-    split = first.select("file", F.posexplode(best["cells"]))
+    split = first.select("file", best["sep"].alias("sep"), F.posexplode(best["cells"]))
     bare = F.replace(F.regexp_replace("col", '^"|"$', ""), F.lit('""'), F.lit('"'))
-    return split.select("file", F.col("pos").alias("position"), bare.alias("header"))
+    return split.select("file", F.col("pos").alias("position"), bare.alias("header"), "sep")
 
 
 def detect_separator(spark: SparkSession, path: str) -> str:
-    """The separator that splits a sample of lines most consistently; a comma when none does."""
-    lines = spark.read.text(path).where(F.col("value") != "").limit(SNIFF_LINES)
-    unquoted = F.regexp_replace("value", '"[^"]*"', "")
-    widths = [F.size(F.split(unquoted, f"\\Q{s}\\E")) for s in SEPARATORS]
-    row = lines.agg(
-        *[F.min(w).alias(f"lo{i}") for i, w in enumerate(widths)],
-        *[F.max(w).alias(f"hi{i}") for i, w in enumerate(widths)],
-    ).first()
-    if row["lo0"] is None:
-        raise UnusableData(f"{path} is empty")
-    steady = [
-        (row[f"lo{i}"] == row[f"hi{i}"], row[f"lo{i}"], s)
-        for i, s in enumerate(SEPARATORS)
-        if row[f"lo{i}"] > 1
-    ]
-    return max(steady, key=lambda x: (x[0], x[1]))[2] if steady else ","
+    """The separator of the first file's header line; a comma when none splits it."""
+    return file_groups(spark, path)[0][0]
 
 
 def check_contract(

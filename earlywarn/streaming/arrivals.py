@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from earlywarn.functions import null_tokens
 from earlywarn.operators.profile import missing_fractions
 from earlywarn.operators.report import label_counts
+from earlywarn.sources.files import read_delimited, reader_options
 
 
 def arriving_files(
@@ -25,9 +26,12 @@ def arriving_files(
     sep: str = ",",
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """Stream of text records from CSV files that appear in ``folder``."""
+    """Stream of text records from CSV files that appear in ``folder``, all with these columns in this
+    order. Files are read as in batch; a file with another header stops the stream instead of being
+    read into the wrong columns. :func:`run_files_to_table` takes files of any layout.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.readStream.schema(schema).option("header", True).option("sep", sep)
+    reader = spark.readStream.schema(schema).options(**reader_options(sep))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     df = reader.csv(folder)
@@ -48,6 +52,39 @@ def run_to_table(
     )
 
 
+def run_files_to_table(
+    spark: SparkSession,
+    folder: str,
+    columns: Sequence[str],
+    transform: Callable[[DataFrame], DataFrame],
+    target: str,
+    checkpoint: str,
+    files_per_batch: int = 1000,
+) -> StreamingQuery:
+    """Read each arriving file by its own header and separator, transform, and write Parquet.
+
+    The stream only tells which files are new; their rows are read as every batch read does, so
+    columns are bound by name. Output stands under the batch number and is overwritten, so a replayed
+    batch replaces itself. At most ``files_per_batch`` paths come to the driver at a time.
+    """
+    listed = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("maxFilesPerTrigger", files_per_batch).load(folder).select("path")
+    )
+
+    def one_batch(batch: DataFrame, number: int) -> None:
+        paths = [r["path"] for r in batch.collect()]
+        if paths:
+            rows = read_delimited(batch.sparkSession, paths, columns=columns)
+            transform(rows).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return (
+        listed.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
 def run_with_statistics(
     stream: DataFrame,
     transform: Callable[[DataFrame], DataFrame],

@@ -34,8 +34,11 @@ from earlywarn.plans.etl import fill_and_mask_grades, records_for_scoring, recor
 from earlywarn.presets import RecordPreset, RouteRule, short_record_schema
 from earlywarn.session import scratch_path
 from earlywarn.sources.files import (
+    DROP,
     header_catalogue,
+    malformed_rows,
     read_delimited,
+    unreadable_files,
     write_clean_and_dropped,
     write_delimited,
     write_records,
@@ -504,16 +507,49 @@ def short_records(spark, sf_dir):
     """SELECT * FROM (VALUES ('orders', 0, 'o_orderkey'), ('orders', 1, 'o_custkey'),
   ('orders', 2, 'o_orderstatus'), ('orders', 3, 'o_totalprice'), ('orders', 4, 'o_orderdate'),
   ('orders', 5, 'o_orderpriority'), ('customer', 0, 'c_custkey'), ('customer', 1, 'c_name'),
-  ('customer', 2, 'c_nationkey'), ('customer', 3, 'c_acctbal'), ('customer', 4, 'c_mktsegment'))
+  ('customer', 2, 'c_nationkey'), ('customer', 3, 'c_acctbal'), ('customer', 4, 'c_mktsegment'),
+  ('region', 0, 'r_regionkey'), ('region', 1, 'r_name'), ('broken', -1, 'unreadable'))
   AS t(name, position, header)""",
 )
 def header_scan(spark, sf_dir):
     root = scratch_path(spark, "landing")
-    for name in ("orders", "customer"):
-        write_delimited(table(spark, sf_dir, name), f"{root}/{name}")
-    found = header_catalogue(spark, f"{root}/*")
-    name = F.element_at(F.split("file", "/"), -2)
-    return found.select(name.alias("name"), "position", "header").distinct()
+    for name, sep in (("orders", ","), ("customer", ";"), ("region", "|")):
+        write_delimited(table(spark, sf_dir, name), f"{root}/{name}", sep=sep)
+    latin = table(spark, sf_dir, "region").select(F.lit("ação,é").alias("value")).limit(1)
+    latin.coalesce(1).write.option("encoding", "ISO-8859-1").csv(f"{root}/broken", encoding="ISO-8859-1")
+    name = F.element_at(F.split("file", "/"), -2).alias("name")
+    found = header_catalogue(spark, f"{root}/*").select(name, "position", "header").distinct()
+    bad = unreadable_files(spark, f"{root}/*").select(
+        name, F.lit(-1).alias("position"), F.lit("unreadable").alias("header")
+    )
+    return found.unionByName(bad)
+
+
+@query(
+    "malformed_rows",
+    """SELECT o_orderkey, o_orderpriority, 'kept' AS kind FROM orders WHERE o_orderkey % 7 > 1
+UNION ALL SELECT o_orderkey, NULL, 'malformed' FROM orders WHERE o_orderkey % 7 <= 1""",
+)
+def broken_and_kept(spark, sf_dir):
+    """Every row with a cell too many or too few is reported, and none of them is read."""
+    path = scratch_path(spark, "broken")
+    cells = [F.col("o_orderkey").cast("string"), F.lit("x"), F.concat(F.lit('"'), "o_orderpriority", F.lit(', ""q"""'))]
+    line = (
+        F.when(F.col("o_orderkey") % 7 == 0, F.concat_ws(",", *cells, F.lit("more")))
+        .when(F.col("o_orderkey") % 7 == 1, F.concat_ws(",", *cells[:2])).otherwise(F.concat_ws(",", *cells))
+    )
+    lines = table(spark, sf_dir, "orders").select(line.alias("value"))
+    head = spark.range(1).select(F.lit("key,filler,priority").alias("value"))
+    head.unionByName(lines).coalesce(1).write.text(path)
+    good = read_delimited(spark, path, bad_rows=DROP).select(
+        F.col("key").try_cast("bigint").alias("o_orderkey"),
+        F.replace("priority", F.lit(', "q"'), F.lit("")).alias("o_orderpriority"), F.lit("kept").alias("kind"),
+    )
+    bad = malformed_rows(spark, path).select(
+        F.substring_index("record", ",", 1).try_cast("bigint").alias("o_orderkey"),
+        F.lit(None).cast("string").alias("o_orderpriority"), F.lit("malformed").alias("kind"),
+    )
+    return good.unionByName(bad)
 
 
 @query("json_records", "SELECT event_id, event_type, value, nullif(event_type, 'view') AS kind FROM events")

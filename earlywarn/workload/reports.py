@@ -19,7 +19,12 @@ from earlywarn.operators.report import (
 from earlywarn.operators.splits import hash_fold
 from earlywarn.session import scratch_path
 from earlywarn.sources.files import preview, read_delimited, write_delimited
-from earlywarn.streaming.arrivals import arriving_files, run_to_table, run_with_statistics
+from earlywarn.streaming.arrivals import (
+    arriving_files,
+    run_files_to_table,
+    run_to_table,
+    run_with_statistics,
+)
 from earlywarn.workload.registry import query, r6, table
 
 _SCORED = """scored AS (SELECT o_orderkey AS codigo_aluno,
@@ -254,8 +259,31 @@ _EVENT_RISK = """e AS (SELECT event_id, least(value / 100e0, 1e0) AS p FROM even
 r AS (SELECT event_id, p, CASE WHEN p < 0.33 THEN 'Baixo' WHEN p < 0.4 THEN 'Médio' ELSE 'Alto' END AS risk_label FROM e)"""
 
 
-@query("score_stream", f"WITH {_EVENT_RISK} SELECT event_id, round(p, 6) AS prob_evasao, risk_label FROM r")
+@query(
+    "score_stream",
+    f"""WITH {_EVENT_RISK} SELECT event_id, round(p, 6) AS prob_evasao, risk_label,
+  event_type || ', "' || props || '"' AS note FROM r JOIN events USING (event_id)""",
+)
 def score_stream(spark, sf_dir):
+    """Arriving files with two orders of columns, two separators, quotes and separators in the text."""
+    folder, target, state = (scratch_path(spark, n) for n in ("arrivals", "scored", "state"))
+    note = F.concat("event_type", F.lit(', "'), "props", F.lit('"')).alias("note")
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("situacao"), note, F.col("value").cast("string").alias("value")
+    )
+    write_delimited(events.where("event_id % 2 = 0"), folder)
+    turned = events.where("event_id % 2 = 1").select("note", "value", "situacao", "event_id")
+    write_delimited(turned, folder, sep=";", mode="append")
+    names = ["event_id", "situacao", "note", "value"]
+    run_files_to_table(spark, folder, names, _dress, target, state).awaitTermination()
+    return spark.read.parquet(target).select(
+        F.col("event_id").try_cast("bigint").alias("event_id"),
+        r6("prob_evasao").alias("prob_evasao"), "risk_label", "note",
+    )
+
+
+@query("stream_to_table", f"WITH {_EVENT_RISK} SELECT event_id, round(p, 6) AS prob_evasao, risk_label FROM r")
+def stream_to_table(spark, sf_dir):
     target, state = scratch_path(spark, "scored"), scratch_path(spark, "state")
     run_to_table(_stream_input(spark, sf_dir), _dress, target, state).awaitTermination()
     return spark.read.parquet(target).select(

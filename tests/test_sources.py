@@ -12,12 +12,14 @@ from earlywarn.sources.files import (
     detect_separator,
     header_catalogue,
     header_of,
+    malformed_rows,
+    unreadable_files,
     preview,
     read_delimited,
     write_clean_and_dropped,
     write_records,
 )
-from earlywarn.streaming.arrivals import arriving_files, run_to_table
+from earlywarn.streaming.arrivals import arriving_files, run_files_to_table, run_to_table
 
 
 def put(folder, name, text):
@@ -122,3 +124,37 @@ def test_training_table_prunes_years(spark, tmp_path):
     assert read.count() == 25
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ano_ingresso" in plan
+
+
+def test_rows_that_do_not_fit_their_header(spark, tmp_path):
+    put(tmp_path, "a.csv", 'a,b\n1,2\n3,4,5\n6\n"7,8",9\n')
+    put(tmp_path, "b.csv", "b;a\n10;11\n")
+    path = str(tmp_path)
+    with pytest.raises(Exception, match="does not fit its header"):
+        read_delimited(spark, path).collect()
+    good = read_delimited(spark, path, bad_rows="drop")
+    assert sorted((r["a"], r["b"]) for r in good.collect()) == [("1", "2"), ("11", "10"), ("7,8", "9")]
+    assert sorted(r["record"] for r in malformed_rows(spark, path).collect()) == ["3,4,5", "6"]
+
+
+def test_other_encodings_and_bad_files(spark, tmp_path):
+    with open(tmp_path / "latin.csv", "wb") as f:
+        f.write("ação,b\né,1\n".encode("latin-1"))
+    put(tmp_path, "utf.csv", "x,y\n1,2\n")
+    bad = unreadable_files(spark, str(tmp_path)).collect()
+    assert [os.path.basename(r["file"]) for r in bad] == ["latin.csv"] and "UnicodeDecodeError" in bad[0]["error"]
+    assert {r["header"] for r in header_catalogue(spark, str(tmp_path)).collect()} == {"x", "y"}
+    df = read_delimited(spark, str(tmp_path / "latin.csv"), encoding="ISO-8859-1")
+    assert df.columns == ["ação", "b"] and df.first()[0] == "é"
+
+
+def test_arriving_files_of_any_layout_equal_the_batch(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    put(landing, "1.csv", 'a,b\n1,"say ""hi"", x"\n')
+    put(landing, "2.csv", 'b;a\n"p;q";2\n')
+    query = run_files_to_table(spark, str(landing), ["a", "b"], lambda df: df, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    got = sorted((r["a"], r["b"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    batch = sorted((r["a"], r["b"]) for r in read_delimited(spark, str(landing)).collect())
+    assert got == batch == [("1", 'say "hi", x'), ("2", "p;q")]
