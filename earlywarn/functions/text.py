@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import sys
 import unicodedata
 from collections.abc import Iterable, Sequence
 from functools import cache
@@ -30,24 +32,21 @@ def _ascii_of(char: str) -> str:
 
 
 @cache
-def _accent_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Derive the accent table from the Unicode database.
+def _accent_tables() -> tuple[str, str, dict[str, str]]:
+    """The accent table, derived from the whole Unicode database.
 
-    One-to-one folds become a single ``translate``. Characters that fold to several letters
-    (ligatures, vulgar fractions, the trade mark sign) become a short chain of replacements; only
-    the Latin blocks are covered there, to keep the expression small.
+    Characters that fold to one letter become a ``translate``; those that fold to several (ligatures,
+    fractions, unit signs, the ellipsis) are looked up, in the few values that hold any.
     """
-    source, target, wide = [], [], []
-    for code in range(0x80, 0x2000):
+    source, target, wide = [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
         folded = _ascii_of(chr(code))
         if len(folded) == 1:
             source.append(chr(code))
             target.append(folded)
-    for code in [*range(0x80, 0x250), *range(0xFB00, 0xFB07), 0x2122]:
-        folded = _ascii_of(chr(code))
-        if len(folded) > 1 and chr(code) == chr(code).lower():
-            wide.append((chr(code), folded))
-    return "".join(source), "".join(target), tuple(wide)
+        elif folded:
+            wide[chr(code)] = folded
+    return "".join(source), "".join(target), wide
 
 
 def strip_all(c: Column | str) -> Column:
@@ -62,15 +61,14 @@ def fold_accents(c: Column | str) -> Column:
     """
     source, target, wide = _accent_tables()
     raw = _col(c).cast("string")
-    widened = F.lower(raw)
-    for char, folded in wide:
-        widened = F.replace(widened, F.lit(char), F.lit(folded))
-    capitals = "".join(char.upper() for char, _ in wide if len(char.upper()) == 1)
-    has_wide = raw.rlike("[" + "".join(char for char, _ in wide) + capitals + "\u01c5\u01c8\u01cb\u01f2]")
-    spelled = F.when(has_wide, widened).otherwise(F.lower(raw))
-    folded_text = F.regexp_replace(F.translate(spelled, source, target), _NON_ASCII, "")
+    lowered = F.lower(raw)
+    folds = F.from_json(F.lit(json.dumps(wide)), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(lowered, ""), lambda x: F.coalesce(F.try_element_at(folds, x), x)), "")
+    has_wide = lowered.rlike("[" + "".join(wide) + "]")
+    folded = F.translate(F.when(has_wide, spelled).otherwise(lowered), source, target)
     # Comparing two lengths is far cheaper than the rewriting, and most values are plain ASCII.
-    return F.when(F.octet_length(raw) == F.length(raw), F.lower(raw)).otherwise(folded_text)
+    plain = F.octet_length(raw) == F.length(raw)
+    return F.when(plain, lowered).otherwise(F.regexp_replace(folded, _NON_ASCII, ""))
 
 
 def normalise_header(c: Column | str) -> Column:

@@ -12,6 +12,7 @@ from earlywarn.functions import (
     blank_placeholders,
     clean_categories,
     first_present,
+    fold_accents,
     parse_day_first,
     parse_decimal_comma,
     parse_grouped_decimal,
@@ -141,6 +142,34 @@ def accent_clean(spark, sf_dir):
     return docs.select("doc_id", source.alias("source"), F.col("text").alias("cleaned"))
 
 
+@query(
+    "accent_wide",
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'abc ' WHEN 1 THEN 'sao... ' WHEN 2 THEN '5kg 1' ELSE 'ffi (a)TM ' END
+  || CASE WHEN p_partkey % 4 = 2 THEN '4 ' ELSE '' END || lower(p_name) AS folded FROM part""",
+)
+def accent_wide(spark, sf_dir):
+    """Full-width letters, the ellipsis, unit signs, fractions and ligatures fold to all their letters."""
+    shown = F.array(*map(F.lit, ("ＡＢＣ ", "São… ", "5㎏ ¼ ", "ﬃ ⒜™ ")))
+    part = table(spark, sf_dir, "part")
+    text = F.concat(F.get(shown, (F.col("p_partkey") % 4).cast("int")), "p_name").alias("text")
+    folded = F.translate(fold_accents("text"), "/", "")
+    return part.select("p_partkey", text).select("p_partkey", folded.alias("folded"))
+
+
+@query(
+    "lenient_dates",
+    """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders""",
+)
+def lenient_dates(spark, sf_dir):
+    """Dates with a time of day, slashes, dots and two-digit years."""
+    formats = ["yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm", "yyyy/M/d", "d/M/yy", "d.M.yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'"]
+    kind, text = F.col("o_orderkey") % len(formats), F.lit(None)
+    for i, fmt in enumerate(formats):
+        text = F.when(kind == i, F.date_format("o_orderdate", fmt)).otherwise(text)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    return rows.select("o_orderkey", parse_day_first("text").alias("day"))
+
+
 @query(
     "placeholders",
     """SELECT event_id, CASE WHEN event_type = 'signup' THEN 'keep' END AS word FROM events""",
