@@ -32,10 +32,18 @@ def reachable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+#: Rows that ``map_arrow`` functions see at a time; what they hold besides the batch stays small.
+SLICE = 1_000
+
+
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """``mapInArrow`` with workers that can import this package."""
+    """``mapInArrow`` in small slices, with workers that can import this package."""
     reachable(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def sliced(batches):
+        return fn(batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def text_of(column: str) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earlywarn.llm.common import map_arrow, stored, text_of
@@ -23,6 +23,8 @@ class JoinSpec:
     ``buckets`` (a power of two) counts how often shingles occur, by hash: the order of rarity, and a
     table of so many bytes that every task gets. ``cells`` divide a set for the bound on overlaps.
     ``broadcast_ids``: up to so many candidate ids are sent to all tasks, more are joined by shuffle.
+    ``hub_rounds``: how often entries are compared with one of their bucket before all that are still
+    apart are paired.
     """
 
     words: int = 3
@@ -30,6 +32,7 @@ class JoinSpec:
     buckets: int = 1 << 18
     cells: int = 64
     broadcast_ids: int = 500_000
+    hub_rounds: int = 4
 
     def required(self, a: Column, b: Column) -> Column:
         """Shared shingles that sets of these sizes need at least."""
@@ -122,10 +125,9 @@ def _set_rows(batches: Iterator[pa.RecordBatch], spec: JoinSpec) -> Iterator[pa.
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
         links = []
-        for x, y in zip(left, right):
-            x, y = np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64")
+        for i in range(batch.num_rows):
+            x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "uint64") for c in ("left", "right"))
             shared = len(np.intersect1d(x, y, assume_unique=True))
             links.append(100 * shared >= percent * (len(x) + len(y) - shared))
         keep = pa.array(links, pa.bool_())
@@ -146,6 +148,7 @@ class _Join:
         self.classes = stored(each, "classes")
         self.levels = self._levels(rows)
         self.buckets = self._buckets()
+        self.sets = self._sets()
 
     def _levels(self, rows: DataFrame) -> bytes:
         """An eighth of a doubling of a bucket's count is one level; one byte per bucket."""
@@ -162,36 +165,55 @@ class _Join:
         h = F.xxhash64("sig")
         shared = index.groupBy("token").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi")
         entries = index.join(shared.select("token").hint("merge"), "token").dropDuplicates(["token", "sig"])
-        return stored(entries, "buckets")
+        # Only shared shingles can be common; how many of them stand before this one in the set.
+        before = F.row_number().over(Window.partitionBy("sig").orderBy("pos")) - 1
+        return stored(entries.withColumn("before", before), "buckets")
+
+    def _sets(self) -> DataFrame:
+        """Whole sets of the classes that have an entry in some bucket."""
+        wanted = self.classes.join(self.buckets.select("sig").distinct().hint("merge"), "sig").select("doc_id", "sig")
+        ids = stored(wanted.select("doc_id").distinct(), "wanted")
+        few = ids.count() <= self.spec.broadcast_ids
+        texts = self.texts.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id").select("text")
+        spec = self.spec
+        sets = map_arrow(texts, lambda b: _set_rows(b, spec), "sig binary, members binary")
+        return stored(sets.dropDuplicates(["sig"]), "sets")
 
     def _fits(self, x: str, y: str) -> Column:
         """Length, prefix and position filters for an entry of either side."""
         c = F.col
         nx, ny, px, py = c(f"{x}.n"), c(f"{y}.n"), c(f"{x}.pos"), c(f"{y}.pos")
+        earlier = F.least(c(f"{x}.before"), c(f"{y}.before"))
         length = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * self.spec.percent
         early = F.when(nx < ny, c(f"{x}.early")).when(ny < nx, c(f"{y}.early")).otherwise(
             c(f"{x}.early") | c(f"{y}.early")
         )
-        most = F.least(px, py) + 1 + F.least(nx - px, ny - py) - 1
+        most = earlier + F.least(nx - px, ny - py)
         return length & early & (most >= self.spec.required(nx, ny))
 
-    def star_pairs(self) -> DataFrame:
-        """Every entry with one entry of its bucket, another one in each bucket."""
-        entry = F.struct(F.xxhash64("token", "sig").alias("by"), "sig", "n", "pos", "early")
-        hubs = stored(self.buckets.groupBy("token").agg(F.min(entry).alias("hub")), "hubs")
-        hubs = hubs.select("token", "hub.sig", "hub.n", "hub.pos", "hub.early")
-        x, y = self.buckets.alias("x"), hubs.hint("merge").alias("y")
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") != F.col("y.sig")) & self._fits("x", "y"))
-        return self._distinct(pairs)
-
-    def rest_pairs(self, roots: DataFrame) -> DataFrame:
-        """Pairs of entries whose sets are not yet in one group."""
-        named = self.buckets.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
-        named = stored(named.withColumn("root", F.coalesce("root", "sig")), "named")
+    def named(self, roots: DataFrame | None) -> DataFrame:
+        """The entries of buckets whose sets are not all in one group yet, with their groups."""
+        if roots is None:
+            return self.buckets.withColumn("root", F.col("sig"))
+        entries = self.buckets.join(roots.withColumnRenamed("node", "sig").hint("merge"), "sig", "left")
+        entries = stored(entries.withColumn("root", F.coalesce("root", "sig")), "named")
         h = F.xxhash64("root")
-        mixed = named.groupBy("token").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi")
-        mixed = stored(named.join(mixed.select("token").hint("merge"), "token"), "mixed")
-        x, y = mixed.alias("x"), mixed.hint("merge").alias("y")
+        mixed = entries.groupBy("token").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi")
+        return stored(entries.join(mixed.select("token").hint("merge"), "token"), "mixed")
+
+    def hub_pairs(self, entries: DataFrame, turn: int) -> DataFrame:
+        """Every entry with one of its bucket from another group, another one in each bucket and turn."""
+        parts = ("sig", "n", "pos", "early", "before", "root")
+        entry = F.struct(F.xxhash64("token", "sig", F.lit(turn)).alias("by"), *parts)
+        hubs = stored(entries.groupBy("token").agg(F.min(entry).alias("hub")), "hubs")
+        hubs = hubs.select("token", *[F.col(f"hub.{c}").alias(c) for c in parts])
+        x, y = entries.alias("x"), hubs.hint("merge").alias("y")
+        apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
+        return self._distinct(x.join(y, apart & self._fits("x", "y")))
+
+    def rest_pairs(self, entries: DataFrame) -> DataFrame:
+        """Pairs of entries whose sets are not in one group."""
+        x, y = entries.alias("x"), entries.hint("merge").alias("y")
         apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.root") != F.col("y.root"))
         return self._distinct(x.join(y, apart & self._fits("x", "y")))
 
@@ -209,14 +231,7 @@ class _Join:
         )
         pairs = pairs.where(shared >= self.spec.required(F.col("n_a"), F.col("n_b"))).select("a", "b")
         pairs = stored(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-        wanted = stored(self.classes.join(wanted.hint("merge"), "sig").select("doc_id", "sig"), "wanted")
-        few = wanted.count() <= self.spec.broadcast_ids
-        ids = wanted.select("doc_id").distinct()
-        texts = self.texts.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id").select("text")
-        spec = self.spec
-        sets = map_arrow(texts, lambda b: _set_rows(b, spec), "sig binary, members binary")
-        sets = stored(sets.dropDuplicates(["sig"]), "sets")
+        spec, sets = self.spec, self.sets
         left, right = sets.toDF("a", "left").hint("merge"), sets.toDF("b", "right").hint("merge")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
         return map_arrow(both, lambda b: _verify(b, spec.percent), "a binary, b binary")
@@ -233,18 +248,26 @@ def similar_groups(
 
     The join is exact. Shingles are ordered by how often their bucket occurs, rarest first; sets that
     link must share one of their rarest, at places and with sizes that leave room for the overlap.
-    Buckets of the index are never expanded into all their pairs at once: each entry is first compared
-    with one entry of its bucket (a different one for each shingle), which ties groups of near copies
-    together with as many comparisons as entries. Only entries that are then still in different groups
-    are paired. A pair is compared once, on whole sets, after a bound from counts by cell.
+    Buckets of the index are never expanded into all their pairs at once: in a few turns each entry is
+    compared with one entry of its bucket (a different one for each shingle and turn) that is not in its
+    group yet, which ties near copies together with as many comparisons as entries. Only entries that
+    are then still in different groups are paired. Pairs are compared on whole sets, after a bound from
+    counts by cell.
     """
     spec = spec or JoinSpec()
     join = _Join(docs, spec, id_col, text_col)
-    links = stored(join.links(join.star_pairs()), "links")
-    roots = stored(components(links), "roots")
-    rest = stored(join.links(join.rest_pairs(roots)), "links")
-    if not rest.isEmpty():
-        roots = stored(components(links.union(rest)), "roots")
+    links, roots = None, None
+    for turn in range(spec.hub_rounds + 1):
+        entries = join.named(roots)
+        if roots is not None and entries.isEmpty():
+            break
+        pairs = join.hub_pairs(entries, turn) if turn < spec.hub_rounds else join.rest_pairs(entries)
+        found = stored(join.links(pairs), "links")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            roots = stored(components(links), "roots")
+    if roots is None:
+        roots = join.classes.select(F.col("sig").alias("node"), F.col("sig").alias("root")).limit(0)
     named = join.classes.join(roots.withColumnRenamed("node", "sig").hint("merge"), "sig")
     named = stored(named.select("sig", "root", "doc_id"), "members")
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
