@@ -131,16 +131,13 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, spec: DisclosureSpec, id_
     entities = spans.select("doc_id", "digest", F.concat_ws(":", "kind", "value").alias("entity")).distinct()
     entities = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
     terms = stored(pairs.select("term").distinct(), "terms")
-    n_terms = terms.count()
-    if n_terms == 0:
+    if terms.isEmpty():
         return terms.withColumn("share", F.lit(0.0))
     words = _texts(docs, id_col, text_col).select(
-        "doc_id", F.explode(F.array_distinct(split_words(F.col("text")))).alias("term")
+        F.explode(F.array_distinct(split_words(F.col("text")))).alias("term")
     )
-    if n_terms <= spec.broadcast_rows:
-        counts = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
-    else:
-        counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("docs")).join(terms, "term")
+    # Counted before they are joined: frequent words stay one row each, however many documents have them.
+    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("docs")).join(terms.hint("merge"), "term")
     total = docs.count()
     share = F.col("together") / F.col("docs")
     bits = F.log2(share * total / F.col("entity_docs"))
