@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,14 +28,18 @@ class ModelSpec:
     steps in all tasks at once, whose weights are then averaged. ``batch`` tokens make one step.
     """
 
-    frequent: int = 1 << 20
-    heads: int = 32
-    tails: int = 32
-    features: int = 1 << 14
+    frequent: int = 1 << 18
+    heads: int = 16
+    tails: int = 16
+    features: int = 1 << 12
     rounds: int = 3
-    batch: int = 4096
+    batch: int = 16_384
     rate: float = 0.5
-    flush: int = 400_000
+    flush: int = 300_000
+
+    def __post_init__(self):
+        if self.features & (self.features - 1) or self.tails & (self.tails - 1) or not self.features <= 1 << 16:
+            raise ValueError("features (at most 65536) and tails must be powers of two")
 
     @property
     def classes(self) -> int:
@@ -46,13 +51,9 @@ END = 1 << 61
 
 
 def word_hash(word: bytes, tails: int) -> int:
-    """62 bits; the lowest say which tail class the word's last letters belong to."""
-    tail = xxhash.xxh3_64_intdigest(word[-2:]) % tails
-    return 1 << 62 | (xxhash.xxh3_64_intdigest(word) >> 2) // tails * tails % (1 << 62) + tail
-
-
-def tail_of(hashes: np.ndarray, tails: int) -> np.ndarray:
-    return (hashes & ((1 << 62) - 1)) % tails
+    """62 bits and bit 62; the lowest say which tail class the word's last letters belong to."""
+    tail = (word[-1] * 31 + (word[-2] if len(word) > 1 else 0)) * 0x9E3779B1 >> 16 & (tails - 1)
+    return (xxhash.xxh3_64_intdigest(word) >> 2 | 1 << 62) & -tails | tail
 
 
 @dataclass
@@ -67,62 +68,93 @@ class Vocabulary:
     types: int
 
 
+class Codes(dict):
+    """Place in the vocabulary or hash of each word, remembered; starts anew when it has ``limit`` words."""
+
+    def __init__(self, vocabulary: Vocabulary, spec: ModelSpec, limit: int):
+        super().__init__()
+        self.places = dict(zip(vocabulary.hashes.tolist(), range(len(vocabulary.hashes))))
+        self.tails, self.limit = spec.tails, limit
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        h = word_hash(word, self.tails)
+        code = self[word] = self.places.get(h, h)
+        return code
+
+
 class Coder:
     """Turns words into places in the vocabulary, or hashes where they are not frequent."""
 
     def __init__(self, vocabulary: Vocabulary, spec: ModelSpec, limit: int = 400_000):
-        self.v, self.spec, self.limit = vocabulary, spec, limit
-        self.known: dict[bytes, int] = {}
+        self.v, self.spec = vocabulary, spec
+        self.known = Codes(vocabulary, spec, limit)
         spots = np.searchsorted(vocabulary.hashes, vocabulary.heads)
-        self.classes = spec.heads + tail_of(vocabulary.hashes, spec.tails)
+        self.classes = spec.heads + (vocabulary.hashes & (spec.tails - 1))
         for rank, (spot, h) in enumerate(zip(spots, vocabulary.heads)):
             if spot < len(vocabulary.hashes) and vocabulary.hashes[spot] == h:
                 self.classes[spot] = rank
         self.end = len(vocabulary.hashes)
         self.log_count = np.log10(vocabulary.counts + 1.0)
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        missing = list(set(words).difference(self.known))
-        if missing:
-            h = np.array([word_hash(w, self.spec.tails) for w in missing], "int64")
-            at = np.searchsorted(self.v.hashes, h)
-            if len(self.v.hashes):
-                hit = self.v.hashes[np.minimum(at, len(self.v.hashes) - 1)] == h
-                h = np.where(hit, at, h)
-            self.known.update(zip(missing, h.tolist()))
-        return np.fromiter(map(self.known.__getitem__, words), "int64", len(words))
+    def codes(self, words: Iterable[bytes], n: int) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), "int64", n)
 
     def describe(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Frequent or not, class, and the number that stands for the word in features."""
         frequent = codes < self.end
-        tail = self.spec.heads + tail_of(codes, self.spec.tails)
-        if not self.end:
-            return frequent, tail, tail
-        at = np.where(frequent, codes, 0)
-        return frequent, np.where(frequent, self.classes[at], tail), np.where(frequent, self.v.hashes[at], tail)
-
-
-def context_features(values: np.ndarray, classes: np.ndarray, spec: ModelSpec) -> np.ndarray:
-    """Rows of weights for each token of a text and its end: the word before, the two words before,
-    the word before that one, and the three classes before."""
-    n = len(values) + 1
-    v = np.concatenate([np.zeros(3, "uint64"), values.astype("uint64")])
-    c = np.concatenate([np.zeros(3, "uint64"), classes.astype("uint64") + np.uint64(1)])
+        classes = self.spec.heads + (codes & (self.spec.tails - 1))
+        values = classes.astype("uint64")
+        at = codes[frequent]
+        classes[frequent], values[frequent] = self.classes[at], self.v.hashes[at]
+        return frequent, classes, values
+
+
+@dataclass
+class Encoded:
+    """Some texts side by side; ``first`` is where each one's tokens begin among ``truth``."""
+
+    codes: np.ndarray
+    frequent: np.ndarray
+    truth: np.ndarray
+    rows: np.ndarray
+    words: np.ndarray
+    first: np.ndarray
+
+
+def encode(texts: list[list[bytes]], coder: Coder, spec: ModelSpec) -> Encoded:
+    """Classes of all tokens, and for each the rows of weights that its context asks for: the word before,
+    the one before that (a skip), and the run of three classes before."""
+    counts = np.array([len(t) for t in texts], "int64")
+    codes = coder.codes(chain.from_iterable(texts), int(counts.sum()))
+    frequent, classes, values = coder.describe(codes)
+    # Three blanks stand before each text; words keep their order behind them.
+    number = np.repeat(np.arange(len(texts)), counts)
+    at = np.arange(len(codes)) + 3 * (number + 1)
+    v, c = np.zeros(len(codes) + 3 * len(texts), "uint64"), np.zeros(len(codes) + 3 * len(texts), "uint64")
+    v[at], c[at] = values, classes + 1
+    # Each word and the end after the last are foretold from the three places before.
+    before = np.arange(len(codes) + len(texts)) + 2 * np.repeat(np.arange(1, len(texts) + 1), counts + 1)
     m = MULTIPLIERS
-    keys = (
-        v[2 : 2 + n] * m[1], v[2 : 2 + n] * m[2] + v[1 : 1 + n] * m[3], v[1 : 1 + n] * m[4] + np.uint64(7),
-        c[2 : 2 + n] * m[5] + c[1 : 1 + n] * m[6] + c[:n] * m[7],
-    )
-    return np.stack([(mix(k) >> np.uint64(20)) % np.uint64(spec.features) for k in keys]).astype("int32")
+    word, skip, classes_before = v * m[1], v * m[2] + np.uint64(7), c * m[3]
+    skip[1:] = skip[:-1].copy()
+    classes_before[1:] += c[:-1] * m[4]
+    classes_before[2:] += c[:-2] * m[5]
+    top = np.uint64(64 - (spec.features - 1).bit_length())
+    rows = np.stack([(mix(k) >> top).astype("uint16")[before] for k in (word, skip, classes_before)])
+    truth = np.zeros(len(before), "int64")
+    first = np.cumsum(counts + 1) - (counts + 1)
+    truth[np.arange(len(codes)) + number] = classes
+    return Encoded(codes, frequent, truth, rows, number, first)
 
 
 def log_classes(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """log P(class | context) for each token."""
-    logits = bias + weights[rows[0]]
+    logits = weights.take(rows[0], axis=0)
     for r in rows[1:]:
-        logits += weights[r]
+        logits += weights.take(r, axis=0)
+    logits += bias
     logits -= logits.max(axis=1, keepdims=True)
     logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
     return logits
@@ -132,12 +164,15 @@ def gradient_step(weights, bias, often, rows: np.ndarray, truth: np.ndarray, rat
     """One step up the likelihood; a row's step shrinks with the root of how often it was seen."""
     slope = -np.exp(log_classes(weights, bias, rows))
     slope[np.arange(len(truth)), truth] += 1.0
+    rate = rate / np.sqrt(len(rows))
     for r in rows:
         order = np.argsort(r, kind="stable")
-        used, starts = np.unique(r[order], return_index=True)
-        sums = np.add.reduceat(slope[order], starts, axis=0)
+        ordered = r[order]
+        starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        used = ordered[starts]
+        sums = np.add.reduceat(slope.take(order, axis=0), starts, axis=0)
         often[used] += np.diff(np.append(starts, len(r)))
-        weights[used] += rate * sums / np.sqrt(often[used])[:, None] / np.sqrt(len(rows))
+        weights[used] += sums * (rate / np.sqrt(often[used])).astype("float32")[:, None]
 
 
 def _words(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
@@ -146,6 +181,19 @@ def _words(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
         yield texts[i].as_buffer().to_pybytes().lower().split()
 
 
+def _portions(batch: pa.RecordBatch, tokens: int) -> Iterator[list[list[bytes]]]:
+    """Texts with about so many tokens together."""
+    some, held = [], 0
+    for words in _words(batch):
+        some.append(words)
+        held += len(words) + 1
+        if held >= tokens:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def _count(batches: Iterator[pa.RecordBatch], spec: ModelSpec) -> Iterator[pa.RecordBatch]:
     counts, texts = Counter(), 0
 
@@ -189,7 +237,7 @@ def vocabulary_of(counts: DataFrame, spec: ModelSpec) -> tuple[Vocabulary, int]:
     octave_is = octave >= least if least is not None else F.lit(False)
     top = words.where(octave_is).toPandas().sort_values("h", ignore_index=True)
     heads = top.sort_values(["c", "h"], ascending=[False, True])["h"].to_numpy("int64")[: spec.heads - 1]
-    tail = ((F.col("h").bitwiseAND(F.lit((1 << 62) - 1))) % spec.tails).alias("tail")
+    tail = F.col("h").bitwiseAND(F.lit(spec.tails - 1)).alias("tail")
     mass = np.ones(spec.tails)
     in_tail = words.where(~F.col("h").isin([int(h) for h in heads])) if len(heads) else words
     for r in in_tail.groupBy(tail).agg(F.sum(F.col("c") + 1).alias("mass")).collect():
@@ -202,35 +250,18 @@ def vocabulary_of(counts: DataFrame, spec: ModelSpec) -> tuple[Vocabulary, int]:
     return vocabulary, (1 if least is None else least)
 
 
-def _encode(words: list[bytes], coder: Coder, spec: ModelSpec):
-    codes = coder.codes(words)
-    frequent, classes, values = coder.describe(codes)
-    return codes, frequent, np.append(classes, 0), context_features(values, classes, spec)
-
-
 def _train(batches: Iterator[pa.RecordBatch], shared, spec: ModelSpec) -> Iterator[pa.RecordBatch]:
     vocabulary, start, bias = shared.value
     coder = Coder(vocabulary, spec)
-    weights, often = start.copy(), np.ones(spec.features)
-    rows, truth, held, tokens = [], [], 0, 0
-
-    def step() -> None:
-        r, y = np.concatenate(rows, axis=1), np.concatenate(truth)
-        for at in range(0, len(y), spec.batch):
-            gradient_step(weights, bias, often, r[:, at : at + spec.batch], y[at : at + spec.batch], spec.rate)
-
+    weights, often, tokens = start.copy(), np.ones(spec.features), 0
     for batch in batches:
-        for words in _words(batch):
-            _, _, classes, features = _encode(words, coder, spec)
-            rows.append(features)
-            truth.append(classes)
-            held += len(classes)
-            tokens += len(classes)
-            if held >= spec.batch:
-                step()
-                rows, truth, held = [], [], 0
-    if held:
-        step()
+        for texts in _portions(batch, 4 * spec.batch):
+            e = encode(texts, coder, spec)
+            tokens += len(e.truth)
+            for at in range(0, len(e.truth), spec.batch):
+                gradient_step(
+                    weights, bias, often, e.rows[:, at : at + spec.batch], e.truth[at : at + spec.batch], spec.rate
+                )
     if tokens:
         blocks = np.array_split(weights * np.float32(tokens), 32)
         yield pa.RecordBatch.from_arrays(
@@ -267,21 +298,31 @@ def _score(batches: Iterator[pa.RecordBatch], shared, spec: ModelSpec) -> Iterat
     names = ["doc_id", "row", "n_tokens", "n_frequent", "log_counts", "head_counts", "log_classes", "log_mass", "rare", "times"]
     for batch in batches:
         out: list[list] = [[] for _ in range(8)]
-        for words in _words(batch):
-            codes, frequent, classes, rows = _encode(words, coder, spec)
-            logs = 0.0
-            for at in range(0, len(classes), spec.batch):
-                part = classes[at : at + spec.batch]
-                logs += float(log_classes(weights, bias, rows[:, at : at + spec.batch])[np.arange(len(part)), part].sum(dtype="float64"))
-            own = classes[:-1]
-            seen = coder.log_count[codes[frequent]]
-            rare, times = np.unique(codes[~frequent], return_counts=True)
-            values = (
-                len(classes), int(frequent.sum()), float(seen.sum()), float(seen[own[frequent] < spec.heads].sum()),
-                logs / np.log(10.0), float(log_mass[own[own >= spec.heads] - spec.heads].sum()), rare, times,
-            )
-            for column, value in zip(out, values):
-                column.append(value)
+        for texts in _portions(batch, 4 * spec.batch):
+            e = encode(texts, coder, spec)
+            n = len(texts)
+            logs = np.empty(len(e.truth))
+            for at in range(0, len(logs), spec.batch):
+                part = e.truth[at : at + spec.batch]
+                each = log_classes(weights, bias, e.rows[:, at : at + spec.batch])
+                logs[at : at + spec.batch] = each[np.arange(len(part)), part]
+            own = np.delete(e.truth, np.append(e.first[1:], len(e.truth)) - 1)
+            counted = np.zeros(len(e.codes))
+            counted[e.frequent] = coder.log_count[e.codes[e.frequent]]
+            in_tail = own >= spec.heads
+            total = lambda x: np.bincount(e.words, x, minlength=n)  # noqa: B023, E731
+            for column, values in zip(out, (
+                np.diff(np.append(e.first, len(e.truth))), total(e.frequent), total(counted), total(counted * ~in_tail),
+                np.add.reduceat(logs, e.first) / np.log(10.0), total(np.where(in_tail, log_mass[own - spec.heads], 0.0)),
+            )):
+                column.extend(values.tolist())
+            at = np.flatnonzero(~e.frequent)
+            ends = np.searchsorted(e.words[at], np.arange(n + 1))
+            for k in range(n):
+                rare, times = np.unique(e.codes[at[ends[k] : ends[k + 1]]], return_counts=True)
+                out[6].append(rare)
+                out[7].append(times)
+        out[1] = [int(x) for x in out[1]]
         kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("row"), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=names
