@@ -139,7 +139,8 @@ def position(share: Column, slope: Column) -> Column:
     The demand up to t is ``(1 - slope) t + slope t^2`` of the whole; this is its inverse.
     """
     gap = 1.0 - slope
-    return 2.0 * share / (gap + F.sqrt(gap * gap + 4.0 * slope * share))
+    # A slope of one asks for nothing at the very start, where both sides are zero.
+    return F.coalesce(F.try_divide(2.0 * share, gap + F.sqrt(gap * gap + 4.0 * slope * share)), F.lit(0.0))
 
 
 def _same_source(cells: DataFrame, targets: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ class PassageSpec:
     their ``shingle``-word shingles.
     """
 
-    paragraph: int = 41
-    run: int = 12
+    paragraph: int = 35
+    run: int = 8
     shingle: int = 5
     percent: int = 80
     bands: int = 1
@@ -91,13 +91,17 @@ def _context_rows(batches: Iterator[pa.RecordBatch], spec: PassageSpec) -> Itera
             h = (hashes.of(texts[i].as_buffer().to_pybytes().split()) >> np.uint64(32)).astype("uint32") | np.uint32(1)
             padded = np.concatenate([np.zeros(pad, "uint32"), h, np.zeros(pad, "uint32")])
             doc_id, tid = batch.column("doc_id")[i].as_py(), batch.column("tid")[i].as_py()
+            led = set()
             for place in places[i].as_py():
                 around = padded[place["pos"] : place["pos"] + spec.around]
-                out.append((place["band"], doc_id, tid, place["pos"], around.tobytes()))
+                # A run that the text has again and again leads once.
+                lead = place["lead"] and place["band"] not in led
+                led.add(place["band"])
+                out.append((place["band"], doc_id, tid, place["pos"], lead, around.tobytes()))
         if out:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["band", "doc_id", "tid", "pos", "around"]
+                [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["band", "doc_id", "tid", "pos", "lead", "around"]
             )
 
 
@@ -128,9 +132,13 @@ def matching_spans(left: np.ndarray, right: np.ndarray, spec: PassageSpec) -> tu
         if whole[i, best[i]] and 100 * _jaccard(a, b, spec.shingle) >= spec.percent:
             agree[i, best[i]] = True
     found = agree.any(axis=1)
-    first = np.where(found, agree.argmax(axis=1), -1)
-    end = np.where(found, agree.shape[1] - 1 - agree[:, ::-1].argmax(axis=1) + spec.paragraph, -1)
-    return first, end
+    first = agree.argmax(axis=1)
+    end = agree.shape[1] - 1 - agree[:, ::-1].argmax(axis=1) + spec.paragraph
+    # The stretch begins and ends with a word that both texts have there.
+    place = np.arange(same.shape[1])
+    inside = same & (place >= first[:, None]) & (place < end[:, None])
+    first, end = inside.argmax(axis=1), same.shape[1] - inside[:, ::-1].argmax(axis=1)
+    return np.where(found, first, -1), np.where(found, end, -1)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], spec: PassageSpec) -> Iterator[pa.RecordBatch]:
@@ -162,18 +170,16 @@ def shared_spans(
     anchors = stored(map_arrow(named, lambda b: _anchor_rows(b, spec), _ANCHOR), "anchors")
     shared = anchors.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     shared = stored(anchors.join(shared.hint("merge"), "band"), "shared")
-    places = shared.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("pos", "band")).alias("places"))
+    lead = (F.col("doc_id") == F.col("lo")) | (F.col("doc_id") == F.col("hi"))
+    places = shared.groupBy("doc_id", "tid").agg(
+        F.sort_array(F.collect_set(F.struct("pos", "band", lead.alias("lead")))).alias("places")
+    )
     with_text = named.join(places.hint("merge"), ["doc_id", "tid"])
     context = map_arrow(
-        with_text, lambda b: _context_rows(b, spec), "band long, doc_id long, tid long, pos int, around binary"
+        with_text, lambda b: _context_rows(b, spec), "band long, doc_id long, tid long, pos int, lead boolean, around binary"
     )
     context = stored(context, "contexts")
-    ends = stored(shared.select("band", "lo", "hi").distinct(), "ends")
-    ends = ends.select("band", F.explode(F.array("lo", "hi")).alias("doc_id"))
-    hubs = context.join(ends.hint("merge"), ["band", "doc_id"]).groupBy("band", "doc_id").agg(
-        F.first("around").alias("y")
-    )
-    hubs = stored(hubs.select("band", F.col("doc_id").alias("hub"), "y"), "hubs")
+    hubs = context.where("lead").select("band", F.col("doc_id").alias("hub"), F.col("around").alias("y"))
     pairs = context.alias("a").join(hubs.alias("b").hint("merge"), "band").where("a.doc_id <> b.hub")
     pairs = pairs.select("doc_id", "tid", "pos", "hub", F.col("around").alias("x"), "y")
     spans = map_arrow(pairs, lambda b: _verify(b, spec), "doc_id long, tid long, hub long, start long, end long")
