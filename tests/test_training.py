@@ -28,7 +28,15 @@ from earlywarn.operators.splits import (
     usable_folds,
 )
 from earlywarn.plans.score import score, score_raw
-from earlywarn.plans.train import TrainSpec, draw_trials, train, training_rows, tune_and_train
+from earlywarn.plans.train import (
+    TrainSpec,
+    best_prefix,
+    draw_trials,
+    search,
+    train,
+    training_rows,
+    tune_and_train,
+)
 from earlywarn.sources.registry import ModelNotFound, importance_of, list_runs, load_model
 
 FAST = ModelSpec(LOGREG, params=(("max_iter", 30),), folds=3)
@@ -385,3 +393,21 @@ def test_canonical_schema():
     assert schema.names == SCORING_FIELDS and all(f.nullable for f in schema.fields)
     assert (kinds["idade"], kinds["data_nascimento"], kinds["sexo"]) == ("long", "date", "string")
     assert kinds["nota_enem_redacao"] == "double"
+
+
+def test_patience_keeps_the_best_prefix():
+    falling = [1.0 / (i + 1) for i in range(60)]
+    assert best_prefix(falling) == (60, False)
+    assert best_prefix([*falling, *[0.5] * 50]) == (60, True)
+    assert best_prefix([*falling, *[0.5] * 49, 0.001]) == (110, False)
+    assert best_prefix([3.0, 2.0, 2.5, 2.5], patience=2) == (2, True)
+
+
+def test_slow_learning_rates_keep_more_than_one_tree(students):
+    spec = TrainSpec(
+        model=ModelSpec(GBT, params=(("n_estimators", 20),)), split=SPLIT, trials=3,
+        features=FeatureSpec(numeric=("coeficiente_rendimento",), categorical=(), totals=(), shares=()),
+    )
+    rows = search(students, spec).collect()
+    slow = min(rows, key=lambda r: float(r["params"]["learning_rate"]))
+    assert int(slow["params"]["n_estimators"]) > 1
