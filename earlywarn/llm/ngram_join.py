@@ -148,7 +148,7 @@ class _Join:
         self.classes = stored(each, "classes")
         self.levels = self._levels(rows)
         self.buckets = self._buckets()
-        self.sets = self._sets()
+        self.sets: DataFrame | None = None
 
     def _levels(self, rows: DataFrame) -> bytes:
         """An eighth of a doubling of a bucket's count is one level; one byte per bucket."""
@@ -169,15 +169,23 @@ class _Join:
         before = F.row_number().over(Window.partitionBy("sig").orderBy("pos")) - 1
         return stored(entries.withColumn("before", before), "buckets")
 
-    def _sets(self) -> DataFrame:
-        """Whole sets of the classes that have an entry in some bucket."""
-        wanted = self.classes.join(self.buckets.select("sig").distinct().hint("merge"), "sig").select("doc_id", "sig")
-        ids = stored(wanted.select("doc_id").distinct(), "wanted")
+    def _sets_of(self, pairs: DataFrame) -> DataFrame:
+        """Whole sets of the classes in ``pairs``; texts are read for those not met in an earlier turn."""
+        wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("sig").hint("merge"), "sig", "left_anti")
+        wanted = stored(self.classes.join(wanted.hint("merge"), "sig").select("doc_id", "sig"), "wanted")
+        if wanted.isEmpty() and self.sets is not None:
+            return self.sets
+        ids = wanted.select("doc_id").distinct()
         few = ids.count() <= self.spec.broadcast_ids
         texts = self.texts.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id").select("text")
         spec = self.spec
         sets = map_arrow(texts, lambda b: _set_rows(b, spec), "sig binary, members binary")
-        return stored(sets.dropDuplicates(["sig"]), "sets")
+        sets = sets.join(wanted.select("sig").distinct().hint("merge"), "sig").dropDuplicates(["sig"])
+        sets = stored(sets, "sets")
+        self.sets = sets if self.sets is None else self.sets.union(sets)
+        return self.sets
 
     def _fits(self, x: str, y: str) -> Column:
         """Length, prefix and position filters for an entry of either side."""
@@ -231,7 +239,7 @@ class _Join:
         )
         pairs = pairs.where(shared >= self.spec.required(F.col("n_a"), F.col("n_b"))).select("a", "b")
         pairs = stored(pairs, "pairs")
-        spec, sets = self.spec, self.sets
+        spec, sets = self.spec, self._sets_of(pairs)
         left, right = sets.toDF("a", "left").hint("merge"), sets.toDF("b", "right").hint("merge")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
         return map_arrow(both, lambda b: _verify(b, spec.percent), "a binary, b binary")
