@@ -215,6 +215,7 @@ def test_terms_that_give_a_person_away(spark):
     pick = random.Random(2)
     rows = [(i, f"{prose(i, 30)} {pick.choice(WORDS)} Zebulon bob@site.org {pick.choice(WORDS)} {prose(i + 99, 30)}") for i in range(8)]
     rows += [(50, "a note on Zebulon without an address"), (51, prose(51, 400))]
+    rows += [(1000 + i, prose(1000 + i, 5)) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.spans for r in personal.find_personal(docs).collect()}
     assert [(s.kind, s.start, s.end) for s in found[50]] == [("term", 10, 17)] and found[51] == []
@@ -281,7 +282,8 @@ def test_chain_equals_enumeration():
 
 
 def test_windows_are_filled_to_the_brim():
-    lengths = [random.Random(1).randrange(1, 4096) for _ in range(500)]
+    pick = random.Random(1)
+    lengths = [pick.randrange(1, 4096) for _ in range(500)]
     windows = packing.fill_windows(lengths, 4096)
     assert sorted(i for w in windows for i in w) == list(range(500))
     assert all(sum(lengths[i] for i in w) <= 4096 for w in windows)
