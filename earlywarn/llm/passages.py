@@ -41,6 +41,12 @@ class PassageSpec:
         """Words of all paragraphs that a run can stand in."""
         return self.run + 2 * (self.span - 1)
 
+    @property
+    def slack(self) -> int:
+        """Words at the ends of a paragraph that may differ; one further in costs ``shingle`` shingles."""
+        each = self.paragraph - self.shingle + 1
+        return min(each - -(-2 * each * self.percent // (100 + self.percent)), self.shingle - 1)
+
 
 _ANCHOR = "doc_id long, tid long, pos int, band long"
 
@@ -97,12 +103,45 @@ def _context_rows(batches: Iterator[pa.RecordBatch], spec: PassageSpec) -> Itera
                 # A run that the text has again and again leads once.
                 lead = place["lead"] and place["band"] not in led
                 led.add(place["band"])
-                out.append((place["band"], doc_id, tid, place["pos"], lead, around.tobytes()))
+                out.append((place["band"], doc_id, tid, place["pos"], lead, place["low"], place["crowd"], around.tobytes()))
         if out:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["band", "doc_id", "tid", "pos", "lead", "around"]
-            )
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.binary())
+            names = ["band", "doc_id", "tid", "pos", "lead", "low", "crowd", "around"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+
+def _stretches_apart(
+    band: np.ndarray, left: np.ndarray, right: np.ndarray, spec: PassageSpec,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of words around a run: row, first and end word, hash and fits of the stretches that paragraphs which
+    agree have in common, without those that ``right`` has too.
+
+    Paragraphs agree word by word if all but ``slack`` words at their ends are the same, so two places
+    agree if and only if they have a hash and a bit of ``fits`` in common: bit a is set where the paragraph
+    that begins a words before the stretch lies in the text. The outermost stretches also come with one to
+    ``slack`` more words, which tell how far equal words go.
+    """
+    length, pad, slack = spec.paragraph - spec.slack, spec.span - 1, spec.slack
+    factors, more = np.resize(MULTIPLIERS, spec.around), np.arange(1, slack + 1)
+    starts = np.concatenate([np.arange(slack, pad + 1), slack - more, np.full(slack, pad)])
+    stops = np.concatenate([np.arange(slack, pad + 1) + length, np.full(slack, spec.paragraph), pad + length + more])
+    places = (starts * spec.around + stops).astype("uint64")
+
+    def of(around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sums = np.zeros((len(around), spec.around + 1), "uint64")
+        np.cumsum(around * factors, axis=1, out=sums[:, 1:])
+        key = mix(sums[:, stops] - sums[:, starts] + mix(band[:, None] + places))
+        whole = (around[:, : pad + 1] != 0) & (around[:, spec.paragraph - 1 :] != 0)
+        fits = np.zeros(key.shape, "int32")
+        for a in range(slack + 1):
+            at = np.flatnonzero((starts >= a) & (starts - a + spec.paragraph >= stops))
+            fits[:, at] |= whole[:, starts[at] - a].astype("int32") << a
+        return key, fits
+
+    (key, fits), (other, theirs) = of(left), of(right)
+    fits = np.where(key == other, fits & ~theirs, fits)
+    row, at = np.nonzero(fits)
+    return row, starts[at], stops[at], key[row, at], fits[row, at]
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray, size: int) -> float:
@@ -141,51 +180,108 @@ def matching_spans(left: np.ndarray, right: np.ndarray, spec: PassageSpec) -> tu
     return np.where(found, first, -1), np.where(found, end, -1)
 
 
+_VERIFIED = pa.schema([
+    ("doc_id", pa.int64()), ("tid", pa.int64()), ("hub", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
+    ("band", pa.int64()), ("key", pa.int64()), ("fits", pa.int32()),
+])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], spec: PassageSpec) -> Iterator[pa.RecordBatch]:
+    """Spans that a place shares with a hub's, and (with a key) stretches of it that the smallest id lacks."""
     for batch in batches:
         left, right = (
             np.frombuffer(b"".join(batch.column(c).to_pylist()), "uint32").reshape(-1, spec.around) for c in ("x", "y")
         )
+        doc_id, tid, hub, hub_tid, band = (
+            batch.column(c).to_numpy() for c in ("doc_id", "tid", "hub", "hub_tid", "band")
+        )
+        at, hub_at = (batch.column(c).to_numpy().astype("int64") - (spec.span - 1) for c in ("pos", "hub_pos"))
+        crowd = batch.column("low").to_numpy(zero_copy_only=False) & batch.column("crowd").to_numpy(zero_copy_only=False)
         first, end = matching_spans(left, right, spec)
-        keep = pa.array(first >= 0)
-        columns = [batch.column(c).filter(keep) for c in ("doc_id", "tid", "hub")]
-        at = batch.column("pos").to_numpy() - (spec.span - 1)
-        spans = [pa.array((at + x).astype("int64")).filter(keep) for x in (first, end)]
-        yield pa.RecordBatch.from_arrays(columns + spans, names=["doc_id", "tid", "hub", "start", "end"])
+        some = np.flatnonzero((first >= 0) & (doc_id != hub))
+        # Of many that share with the smallest id, not all may share with the largest: its own span is kept apart.
+        back = some[crowd[some]]
+        apart = np.flatnonzero(crowd)
+        row, start, stop, key, fits = _stretches_apart(band[apart].view("uint64"), left[apart], right[apart], spec)
+        row = apart[row]
+        found = [
+            np.concatenate(c) for c in (
+                (doc_id[some], hub[back], doc_id[row]), (tid[some], hub_tid[back], tid[row]),
+                (hub[some], hub[back], doc_id[row]),
+                ((at + first)[some], (hub_at + first)[back], at[row] + start),
+                ((at + end)[some], (hub_at + end)[back], at[row] + stop),
+            )
+        ]
+        spans = len(some) + len(back)
+        last = [band[row], key.view("int64"), fits.astype("int32")]
+        last = [pa.concat_arrays([pa.nulls(spans, t), pa.array(c, t)]) for c, t in zip(last, _VERIFIED.types[5:])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found] + last, schema=_VERIFIED)
 
 
 def shared_spans(
     docs: DataFrame, spec: PassageSpec | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
-    """All rows (doc_id, tid), and ``doc_id, tid, hub, start, end``: words that document ``hub`` has too.
-
-    ``hub`` is the smallest or largest id of those that share a run, so copies of a passage are compared
-    with two of them and never with one another; the rows of a hot passage are counts combined map-side
-    and a join that adaptive execution can split.
+    """All rows (doc_id, tid), and ``doc_id, tid, hub, start, end``: words that document ``hub`` has too,
+    or, where ``hub`` is the document itself, that some other has.
+
+    First ``hub`` is the smallest or largest id of those that share a run, at its first place there. Where
+    a run has more places, those with other words round it than the smallest id are grouped by these words
+    (``_stretches_apart``), and each has the smallest and the largest id of its groups as hubs. So copies
+    are compared with a few others and never all with one another; the rows of a hot passage are counts
+    combined map-side and joins that adaptive execution can split.
     """
     spec = spec or PassageSpec()
     text = text_of(text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
     named = texts.where(F.col("doc_id").isNotNull())
     anchors = stored(map_arrow(named, lambda b: _anchor_rows(b, spec), _ANCHOR), "anchors")
-    shared = anchors.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    shared = anchors.groupBy("band").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.count(F.lit(1)) > 2).alias("crowd")
+    ).where("lo < hi")
     shared = stored(anchors.join(shared.hint("merge"), "band"), "shared")
     lead = (F.col("doc_id") == F.col("lo")) | (F.col("doc_id") == F.col("hi"))
     places = shared.groupBy("doc_id", "tid").agg(
-        F.sort_array(F.collect_set(F.struct("pos", "band", lead.alias("lead")))).alias("places")
+        F.sort_array(F.collect_set(F.struct(
+            "pos", "band", lead.alias("lead"), (F.col("doc_id") == F.col("lo")).alias("low"), "crowd"
+        ))).alias("places")
     )
     with_text = named.join(places.hint("merge"), ["doc_id", "tid"])
     context = map_arrow(
-        with_text, lambda b: _context_rows(b, spec), "band long, doc_id long, tid long, pos int, lead boolean, around binary"
+        with_text, lambda b: _context_rows(b, spec),
+        "band long, doc_id long, tid long, pos int, lead boolean, low boolean, crowd boolean, around binary",
     )
     context = stored(context, "contexts")
-    hubs = context.where("lead").select("band", F.col("doc_id").alias("hub"), F.col("around").alias("y"))
-    pairs = context.alias("a").join(hubs.alias("b").hint("merge"), "band").where("a.doc_id <> b.hub")
-    pairs = pairs.select("doc_id", "tid", "pos", "hub", F.col("around").alias("x"), "y")
-    spans = map_arrow(pairs, lambda b: _verify(b, spec), "doc_id long, tid long, hub long, start long, end long")
+    hubs = context.where("lead").select(
+        "band", "low", F.col("doc_id").alias("hub"), F.col("tid").alias("hub_tid"), F.col("pos").alias("hub_pos"),
+        F.col("around").alias("y"),
+    )
+    pairs = context.withColumnRenamed("around", "x").drop("lead", "low").join(hubs.hint("merge"), "band")
+    pairs = pairs.where("doc_id <> hub OR (low AND crowd)")
+    schema = "doc_id long, tid long, hub long, start long, end long, band long, key long, fits int"
+    found = stored(map_arrow(pairs, lambda b: _verify(b, spec), schema), "verified")
+    spans = found.where("key IS NULL").select("doc_id", "tid", "hub", "start", "end")
+    spans = spans.union(_same_surroundings(found.where("key IS NOT NULL"), spec))
     return texts.select("doc_id", "tid"), stored(spans.distinct(), "spans")
 
 
+def _same_surroundings(stretches: DataFrame, spec: PassageSpec) -> DataFrame:
+    """Stretches that other documents have round the same run, with the smallest and largest id of these."""
+    fit = range(spec.slack + 1)
+    has = [F.col("fits").bitwiseAND(F.lit(1 << a)) != 0 for a in fit]
+    ends = stretches.groupBy("band", "key").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
+        *[F.min(F.when(has[a], F.col("doc_id"))).alias(f"lo_{a}") for a in fit],
+        *[F.max(F.when(has[a], F.col("doc_id"))).alias(f"hi_{a}") for a in fit],
+    ).where("lo < hi").drop("lo", "hi")
+    # Read again, so that adaptive execution can split the rows of a hot stretch.
+    ends = stored(ends, "ends")
+    hubs = F.array(*[F.when(has[a], F.col(f"{end}_{a}")) for a in fit for end in ("lo", "hi")])
+    spans = stretches.drop("hub").join(ends.hint("merge"), ["band", "key"]).select(
+        "doc_id", "tid", F.explode(F.array_distinct(hubs)).alias("hub"), "start", "end"
+    )
+    return spans.where("hub <> doc_id")
+
+
 def repeated_passages(
     docs: DataFrame, spec: PassageSpec | None = None, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -203,7 +299,7 @@ def repeated_passages(
     # Both ends of a link have the passage; the far end is found from its own anchors.
     roots = components(spans.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
     roots = stored(roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id")), "roots")
-    links = spans.select("doc_id", F.col("hub").alias("other"))
+    links = spans.where("hub <> doc_id").select("doc_id", F.col("hub").alias("other"))
     links = links.union(links.select("other", "doc_id")).distinct().groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_links")
     )

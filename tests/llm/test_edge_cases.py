@@ -211,6 +211,27 @@ def test_near_passages_are_found(spark):
     assert all(d == c + 1 for d, c in got) and len(got) >= 0.9 * near
 
 
+def test_frequent_run_in_many_surroundings(spark):
+    pick = random.Random(9)
+    word = lambda: "".join(pick.choices("abcdefghijklmnop", k=6))
+    some = lambda n: " ".join(word() for _ in range(n))
+    loose = passages.PassageSpec(paragraph=8)
+    run = min((some(8) for _ in range(20_000)), key=lambda r: passages._anchors(
+        r.encode().split(), loose, passages.WordHashes())[0][1][0])
+    text = lambda: f"{some(20)} {run} {some(20)}"
+    pair, three, place, left, right = text(), text(), text(), some(27), some(27)
+    rows = [(0, f"{text()} {place}"), (900, text()), (100, place), *[(i, text()) for i in range(500, 530)]]
+    rows += [(10, pair), (11, pair), *[(i, three) for i in (20, 21, 22)]]
+    rows += [(30, f"{left} {run} {some(27)}"), (31, f"{left} {run} {right}"), (32, f"{some(27)} {run} {right}")]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    rows = {r.doc_id: r for r in got.collect()}
+    root = {d: r.component_id for d, r in rows.items() if r.n_links}
+    assert root == {0: 0, 100: 0, 10: 10, 11: 10, 20: 20, 21: 20, 22: 20, 30: 30, 31: 30, 32: 30}
+    assert all(rows[d].n_passages == 1 for d in root if d != 31)
+    assert [rows[d].removed for d in (100, 10, 11, 21, 22)] == ["0:48", "", "0:48", "0:48", "0:48"]
+    assert (rows[31].removed, rows[32].removed) == ("0:35", "27:62")
+
+
 def test_terms_that_give_a_person_away(spark):
     pick = random.Random(2)
     rows = [(i, f"{prose(i, 30)} {pick.choice(WORDS)} Zebulon bob@site.org {pick.choice(WORDS)} {prose(i + 99, 30)}") for i in range(8)]
