@@ -28,10 +28,10 @@ class ModelSpec:
     steps in all tasks at once, whose weights are then averaged. ``batch`` tokens make one step.
     """
 
-    frequent: int = 1 << 18
-    heads: int = 16
-    tails: int = 16
-    features: int = 1 << 12
+    frequent: int = 1 << 20
+    heads: int = 32
+    tails: int = 32
+    features: int = 1 << 14
     rounds: int = 3
     batch: int = 16_384
     rate: float = 0.5
@@ -105,7 +105,7 @@ class Coder:
         """Frequent or not, class, and the number that stands for the word in features."""
         frequent = codes < self.end
         classes = self.spec.heads + (codes & (self.spec.tails - 1))
-        values = classes.astype("uint64")
+        values = codes.astype("uint64")
         at = codes[frequent]
         classes[frequent], values[frequent] = self.classes[at], self.v.hashes[at]
         return frequent, classes, values
@@ -125,7 +125,7 @@ class Encoded:
 
 def encode(texts: list[list[bytes]], coder: Coder, spec: ModelSpec) -> Encoded:
     """Classes of all tokens, and for each the rows of weights that its context asks for: the word before,
-    the one before that (a skip), and the run of three classes before."""
+    the one before that (a skip), the two words before, and the run of three classes before."""
     counts = np.array([len(t) for t in texts], "int64")
     codes = coder.codes(chain.from_iterable(texts), int(counts.sum()))
     frequent, classes, values = coder.describe(codes)
@@ -137,12 +137,13 @@ def encode(texts: list[list[bytes]], coder: Coder, spec: ModelSpec) -> Encoded:
     # Each word and the end after the last are foretold from the three places before.
     before = np.arange(len(codes) + len(texts)) + 2 * np.repeat(np.arange(1, len(texts) + 1), counts + 1)
     m = MULTIPLIERS
-    word, skip, classes_before = v * m[1], v * m[2] + np.uint64(7), c * m[3]
+    word, skip, pair, classes_before = v * m[1], v * m[2] + np.uint64(7), v * m[6], c * m[3]
+    pair[1:] += v[:-1] * m[7]
     skip[1:] = skip[:-1].copy()
     classes_before[1:] += c[:-1] * m[4]
     classes_before[2:] += c[:-2] * m[5]
     top = np.uint64(64 - (spec.features - 1).bit_length())
-    rows = np.stack([(mix(k) >> top).astype("uint16")[before] for k in (word, skip, classes_before)])
+    rows = np.stack([(mix(k) >> top).astype("uint16")[before] for k in (word, skip, pair, classes_before)])
     truth = np.zeros(len(before), "int64")
     first = np.cumsum(counts + 1) - (counts + 1)
     truth[np.arange(len(codes)) + number] = classes

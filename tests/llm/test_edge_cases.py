@@ -268,6 +268,18 @@ def test_model_sums_to_one(spark):
     assert all(s < 0 for s in got.values()) and sum(10**got[1000 + i] for i in range(len(vocabulary))) < 1
 
 
+def test_contexts_tell_pairs_and_rare_words_apart():
+    spec = language_model.ModelSpec()
+    empty = np.empty(0, "int64")
+    seen = language_model.Vocabulary(empty, empty, empty, np.ones(spec.classes), 0, 0)
+    coder = language_model.Coder(seen, spec)
+    texts = [b"ab ab zz", b"ab cab zz", b"cab ab zz", b"cab cab zz"]
+    e = language_model.encode([t.split() for t in texts], coder, spec)
+    # What foretells the third word: all are rare and of one class, but no two contexts are the same.
+    third = e.rows[:, e.first + 2]
+    assert [len(set(r.tolist())) for r in third] == [2, 2, 4, 1]
+
+
 def test_gradient_steps_raise_the_likelihood():
     rng = np.random.default_rng(1)
     spec = language_model.ModelSpec(features=64)
