@@ -17,6 +17,8 @@ from earlywarn.llm.packing import pack_documents
 from earlywarn.llm.passages import repeated_passages
 from earlywarn.llm.personal import find_personal
 from earlywarn.llm.rules import fit_rules, judge
+from earlywarn.llm.token_store import read_tokens, write_tokens
+from earlywarn.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,3 +171,10 @@ def op7_quality_rules(spark, sf_dir):
 @query("op8_packing")
 def op8_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_store")
+def op11_token_store(spark, sf_dir):
+    path = scratch_path(spark, "token-store")
+    write_tokens(table(spark, sf_dir, "documents"), path)
+    return read_tokens(spark, path, with_ids=False)
