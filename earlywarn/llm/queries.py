@@ -18,6 +18,7 @@ from earlywarn.llm.passages import repeated_passages
 from earlywarn.llm.personal import find_personal
 from earlywarn.llm.rules import fit_rules, judge
 from earlywarn.llm.token_store import read_tokens, write_tokens
+from earlywarn.llm.whitening import whiten
 from earlywarn.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,3 +179,8 @@ def op11_token_store(spark, sf_dir):
     path = scratch_path(spark, "token-store")
     write_tokens(table(spark, sf_dir, "documents"), path)
     return read_tokens(spark, path, with_ids=False)
+
+
+@query("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
