@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from earlywarn.llm.alignment import align_tokens
 from earlywarn.llm.exact_dedup import exact_groups
 from earlywarn.llm.language_model import score_texts
 from earlywarn.llm.licenses import scan_licenses
@@ -184,3 +185,8 @@ def op11_token_store(spark, sf_dir):
 @query("op12_whitening")
 def op12_whitening(spark, sf_dir):
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark, sf_dir):
+    return align_tokens(table(spark, sf_dir, "documents"))

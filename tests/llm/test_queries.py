@@ -40,8 +40,8 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert rows_of(df.columns, df.collect()) == rows_of(names, cur.fetchall())
 
 
-def test_ten_operators_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+def test_thirteen_operators_are_registered():
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 def test_line_quality_on_held_out_documents(spark, sf_dir, docs):
