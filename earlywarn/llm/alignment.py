@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ class AlignSpec:
 
     byte_level: str | None = None
     sentence_piece: str | None = None
-    cache_chunks: int = 400_000
+    cache_chunks: int = 250_000
     hot_pairs: int = 1 << 18
 
 
@@ -109,23 +108,24 @@ def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Aligned:
-    """What one unit of text gives; ``good`` is false when a vocabulary does not give its bytes back."""
+    """What units of text give, one after another.
 
-    good: bool = False
-    n_a: int = 0
-    n_b: int = 0
-    n_groups: int = 0
-    n_links: int = 0
-    text: bytes = b""
-    keys: np.ndarray | None = None
-    times: np.ndarray | None = None
+    ``counts``: good, n_a, n_b, n_groups, n_links; a unit that either vocabulary does not give back byte
+    for byte is not good and has zeros. ``texts``: its groups. ``sizes``: how many keys it has.
+    """
+
+    counts: np.ndarray
+    texts: list[bytes]
+    sizes: np.ndarray
+    keys: np.ndarray
+    times: np.ndarray
 
 
 class Vocabularies:
     def __init__(self, spec: AlignSpec):
         import sentencepiece
 
-        self.a = ByteLevelIds(spec.byte_level, plain_specials=True, limit=300_000)
+        self.a = ByteLevelIds(spec.byte_level, plain_specials=True, limit=200_000)
         path = spec.sentence_piece
         if path is None:
             import public_tokenizers
@@ -149,47 +149,51 @@ class Vocabularies:
         #: Cutting at spaces is right only if no piece reaches over one.
         self.divides = self.a.divides and not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def align(self, units: list[bytes]) -> list[Aligned]:
-        """Each unit follows a space that belongs to it."""
-        out = [Aligned() for _ in units]
-        blobs = list(self.a.texts([b" " + u for u in units]))
-        pieces = self.b.encode([u.decode("utf-8", "replace") for u in units], num_threads=1)
-        good = []
-        for i, (u, blob, ids) in enumerate(zip(units, blobs, pieces)):
-            whole = b" " + u
-            a = np.frombuffer(blob, self.a.dtype).tolist()
-            if b"".join([self.bytes_a[k] for k in a]) == whole == b"".join([self.bytes_b[k] for k in ids]):
-                good.append(i)
-        if not good:
-            return out
-        ids_a = np.frombuffer(b"".join([blobs[i] for i in good]), self.a.dtype).astype("int64")
-        ids_b = np.fromiter(chain.from_iterable(pieces[i] for i in good), "int64")
-        count_b = np.array([len(pieces[i]) for i in good])
-        in_a, in_b, _ = group_labels(np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b]))
+    def align(self, units: list[bytes]) -> Aligned:
+        """Units that each follow a space; ``chunks_of`` says what may be encoded together.
+
+        If the bytes of a unit get lost, each is aligned on its own.
+        """
+        joined = b" ".join(units)
+        ids_a = np.frombuffer(next(self.a.texts([b" " + joined])), self.a.dtype).astype("int64")
+        ids_b = np.array(self.b.encode(joined.decode("utf-8", "replace"), num_threads=1), "int64")
+        back = (b"".join(map(w.__getitem__, i.tolist())) for w, i in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
+        if any(b != b" " + joined for b in back):
+            if len(units) == 1:
+                none = np.zeros(0, "int64")
+                return Aligned(np.zeros((1, 5), "int64"), [b""], np.zeros(1, "int64"), none, none)
+            return together([self.align([u]) for u in units])
+        ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
+        in_a, in_b, _ = group_labels(ends_a, ends_b)
         groups = int(in_b[-1]) + 1
         size_a, size_b = np.bincount(in_a, minlength=groups), np.bincount(in_b, minlength=groups)
         to_a, to_b = np.cumsum(size_a), np.cumsum(size_b)
-        # A unit's last token closes a group, so groups lie inside units.
-        to_unit = in_b[np.cumsum(count_b) - 1] + 1
-        from_unit = np.concatenate([[0], to_unit[:-1]])
-        links = np.add.reduceat(size_a * size_b, from_unit)
-        shown_a, shown_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        # A token of both ends with each unit, so groups lie inside units.
+        ends = np.cumsum([len(u) + 1 for u in units])
+        last = np.searchsorted(ends_b[to_b - 1], ends)
+        first = np.concatenate([[0], last[:-1] + 1])
+        shown = self._show(ids_a, ids_b, to_a, to_b)
+        counts = [np.ones(len(units), "int64"), *[np.add.reduceat(x, first) for x in (size_a, size_b)]]
+        counts += [last + 1 - first, np.add.reduceat(size_a * size_b, first)]
+        owners = np.repeat(np.arange(len(units)), last + 1 - first)
+        unit, keys, times = self._pairs(in_a, ids_a, in_b, ids_b, owners)
+        return Aligned(
+            np.stack(counts, axis=1), [";".join(shown[i:j]).encode() for i, j in zip(first.tolist(), (last + 1).tolist())],
+            np.bincount(unit, minlength=len(units)), keys, times,
+        )
+
+    @staticmethod
+    def _show(ids_a: np.ndarray, ids_b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> list[str]:
+        """The ids of every group."""
+        a, b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
         shown, a0, b0 = [], 0, 0
         for a1, b1 in zip(to_a.tolist(), to_b.tolist()):
-            shown.append(f"{','.join(shown_a[a0:a1])}|{','.join(shown_b[b0:b1])}")
+            if a1 - a0 == 1 == b1 - b0:
+                shown.append(f"{a[a0]}|{b[b0]}")
+            else:
+                shown.append(f"{','.join(a[a0:a1])}|{','.join(b[b0:b1])}")
             a0, b0 = a1, b1
-        units_of = np.repeat(np.arange(len(good)), to_unit - from_unit)
-        pairs = self._pairs(in_a, ids_a, in_b, ids_b, units_of)
-        at = np.searchsorted(pairs[0], np.arange(len(good) + 1))
-        ends = to_unit.tolist()
-        for k, (i, g0, g1) in enumerate(zip(good, from_unit.tolist(), ends)):
-            one = out[i]
-            one.good, one.n_groups, one.n_links = True, g1 - g0, int(links[k])
-            one.n_a = int(to_a[g1 - 1] - (to_a[g0 - 1] if g0 else 0))
-            one.n_b = int(count_b[k])
-            one.text = ";".join(shown[g0:g1]).encode()
-            one.keys, one.times = pairs[1][at[k] : at[k + 1]], pairs[2][at[k] : at[k + 1]]
-        return out
+        return shown
 
     def _pairs(self, in_a, ids_a, in_b, ids_b, units_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Unit, key and times of all links, by unit; repeated ids of a group are counted before they meet."""
@@ -213,6 +217,13 @@ class Vocabularies:
         return keys // key_space, keys % key_space, times
 
 
+def together(parts: list[Aligned]) -> Aligned:
+    return Aligned(
+        np.concatenate([p.counts for p in parts]), [t for p in parts for t in p.texts],
+        *(np.concatenate([getattr(p, c) for p in parts]) for c in ("sizes", "keys", "times")),
+    )
+
+
 class ChunkMemory:
     """Alignments of chunks, learned as they come; ``limit`` of them, then memory starts anew."""
 
@@ -223,29 +234,23 @@ class ChunkMemory:
 
     def forget(self) -> None:
         self.codes: dict[bytes, int] = {}
-        self.texts: list[bytes] = []
-        self.counts = np.zeros((0, 5), "int64")  # good, n_a, n_b, n_groups, n_links
-        self.keys = self.times = np.zeros(0, "int64")
+        none = np.zeros(0, "int64")
+        self.units = Aligned(np.zeros((0, 5), "int64"), [], none, none, none)
         self.ends = np.zeros(1, "int64")  # where each chunk's keys end, after a zero
 
     def learn(self, chunks: set[bytes]) -> None:
         if len(self.codes) > self.limit:
             self.forget()
         new = [c for c in chunks if c not in self.codes]
-        counts, keys, times = [self.counts], [self.keys], [self.times]
-        sizes: list[int] = []
-        for some in portions(new, 1 << 19):
-            aligned = self.words.align(some)
-            for c, one in zip(some, aligned):
-                self.codes[c] = len(self.codes)
-                self.texts.append(one.text)
-            counts.append(np.array([(x.good, x.n_a, x.n_b, x.n_groups, x.n_links) for x in aligned], "int64"))
-            keys += [x.keys for x in aligned if x.good]
-            times += [x.times for x in aligned if x.good]
-            sizes += [len(x.keys) if x.good else 0 for x in aligned]
+        # What opens or ends with a space or the like could reach over into its neighbours.
+        alone = {c for c in new if not c or c[0] in BLANK or c.startswith(b" ") or c.endswith(b" ")}
+        parts = [self.units]
+        for some in [*portions([c for c in new if c not in alone], 1 << 19), *[[c] for c in alone]]:
+            parts.append(self.words.align(some))
+            self.codes.update(zip(some, range(len(self.codes), len(self.codes) + len(some))))
         if new:
-            self.counts, self.keys, self.times = (np.concatenate(x) for x in (counts, keys, times))
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.units = together(parts)
+            self.ends = np.concatenate([[0], np.cumsum(self.units.sizes)])
 
     def align(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:
         """For each text: n_a, n_b, n_groups, n_links; the digest of its groups; its keys and their times."""
@@ -253,20 +258,20 @@ class ChunkMemory:
         cut = [chunks_of(t) if t and self.words.divides else [] for t in texts]
         self.learn(set().union(*cut))
         codes = [np.fromiter(map(self.codes.__getitem__, c), "int64", len(c)) for c in cut]
+        units = self.units
         for text, own in zip(texts, codes):
-            if len(own) and self.counts[own, 0].all():
-                joined = b";".join(map(self.texts.__getitem__, own.tolist()))
+            if len(own) and units.counts[own, 0].all():
+                joined = b";".join(map(units.texts.__getitem__, own.tolist()))
                 kinds, often = np.unique(own, return_counts=True)
-                n = self.ends[kinds + 1] - self.ends[kinds]
+                n = units.sizes[kinds]
                 at = _ranges(self.ends[kinds], n)
-                keys, times = _sum_by(self.keys[at], self.times[at] * np.repeat(often, n))
-                yield self.counts[own, 1:].sum(axis=0), hashlib.sha256(joined).hexdigest(), keys, times
+                keys, times = _sum_by(units.keys[at], units.times[at] * np.repeat(often, n))
+                yield units.counts[own, 1:].sum(axis=0), hashlib.sha256(joined).hexdigest(), keys, times
                 continue
             # Bytes lost in a chunk are nearly always lost in the text; the text itself decides.
-            one = self.words.align([text])[0] if text else Aligned()
-            if one.good:
-                total = np.array([one.n_a, one.n_b, one.n_groups, one.n_links])
-                yield total, hashlib.sha256(one.text).hexdigest(), one.keys, one.times
+            one = self.words.align([text]) if text else None
+            if one is not None and one.counts[0, 0]:
+                yield one.counts[0, 1:], hashlib.sha256(one.texts[0]).hexdigest(), one.keys, one.times
             else:
                 yield np.zeros(4, "int64"), "", none, none
 
