@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from earlywarn.llm.byte_level import byte_level_ids
+from earlywarn.llm.byte_level import byte_level_ids, column_ids
 from earlywarn.llm.common import map_arrow, text_of
 
 
@@ -53,15 +53,10 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("named", "<i8"), ("start", "<i8"), ("offse
 SHARDS = "range int, shard int, first_id long, last_id long, documents long, tokens long, content binary"
 
 
-def _with_end(texts: list[bytes], spec: StoreSpec) -> Iterator[bytes]:
+def _with_end(batch: pa.RecordBatch, spec: StoreSpec) -> Iterator[bytes]:
     ids = byte_level_ids(spec.tokenizer)
     end = np.array([spec.end_id], ids.dtype).tobytes()
-    return (blob + end for blob in ids.texts(texts))
-
-
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    column = batch.column("text")
-    return [column[i].as_buffer().to_pybytes() for i in range(batch.num_rows)]
+    return (blob + end for blob in column_ids(batch.column("text"), ids))
 
 
 def fit_dictionary(docs: DataFrame, spec: StoreSpec) -> bytes:
@@ -78,7 +73,7 @@ def fit_dictionary(docs: DataFrame, spec: StoreSpec) -> bytes:
     def windows(batches):
         for batch in batches:
             out = []
-            for text, place in zip(_with_end(_texts(batch), spec), batch.column("place").to_pylist()):
+            for text, place in zip(_with_end(batch, spec), batch.column("place").to_pylist()):
                 width = byte_level_ids(spec.tokenizer).dtype.itemsize
                 spare = len(text) // width - spec.sample_ids
                 at = width * (place % (spare + 1)) if spare > 0 else 0
@@ -130,7 +125,7 @@ def _write(batches: Iterator[pa.RecordBatch], spec: StoreSpec, content: bytes) -
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
     for batch in batches:
-        for doc_id, blob in zip(batch.column("doc_id").to_pylist(), _with_end(_texts(batch), spec)):
+        for doc_id, blob in zip(batch.column("doc_id").to_pylist(), _with_end(batch, spec)):
             entries.append((doc_id, start))
             frames.append(compressor.compress(blob))
             start += len(blob) // width

@@ -4,13 +4,14 @@ import struct
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from earlywarn.llm import token_store
-from earlywarn.llm.byte_level import ByteLevelIds
+from earlywarn.llm.byte_level import ByteLevelIds, column_ids
 from earlywarn.llm.queries import QUERIES
 from earlywarn.llm.token_store import StoreSpec, read_tokens, write_tokens
 
@@ -53,6 +54,8 @@ def test_pieces_give_the_ids_of_the_text(parts, plain):
     assert "".join(memory.pieces(text)) == text
     expected = memory.encode([text])[0]
     assert list(memory.texts([text.encode()])) == [expected]
+    whole = memory.encode([text + " a", "b " + text])
+    assert column_ids(pa.array([text, "", text + " a", "b " + text]), memory) == [expected, b"", *whole]
 
 
 MEMORIES = [ByteLevelIds(VOCABULARY, plain_specials=p, limit=50) for p in (False, True)]
