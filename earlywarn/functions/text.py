@@ -64,7 +64,8 @@ def fold_accents(c: Column | str) -> Column:
     lowered = F.lower(raw)
     folds = F.from_json(F.lit(json.dumps(wide)), "map<string,string>")
     spelled = F.array_join(F.transform(F.split(lowered, ""), lambda x: F.coalesce(F.try_element_at(folds, x), x)), "")
-    has_wide = lowered.rlike("[" + "".join(wide) + "]")
+    # Taking characters out looks each up in a hash table; an expression would try them one by one.
+    has_wide = F.length(F.translate(lowered, "".join(wide), "")) < F.length(lowered)
     folded = F.translate(F.when(has_wide, spelled).otherwise(lowered), source, target)
     # Comparing two lengths is far cheaper than the rewriting, and most values are plain ASCII.
     plain = F.octet_length(raw) == F.length(raw)

@@ -6,12 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earlywarn.functions import half_year_index, named, normalise_status
-from earlywarn.operators.lookups import lookup_join
-from earlywarn.operators.ordered import MAX_GROUP_ROWS, next_name, with_followers
+from earlywarn.operators.ordered import MAX_GROUP_ROWS, next_name, with_followers, with_next_event
 from earlywarn.presets import COMPLETED_STATUSES, DROPOUT_STATUSES
 
 
@@ -82,27 +81,19 @@ def label_future_events(df: DataFrame, spec: LabelSpec = LabelSpec()) -> DataFra
 def label_time_range(df: DataFrame, spec: LabelSpec = LabelSpec()) -> DataFrame:
     """The label by time alone: any event in (t, t + horizon], however many rows lie between.
 
-    Events are first reduced to one row per entity and time (combined map-side), the window runs on
-    that reduction, and the verdict is joined back on (entity, time).
+    That is so when the entity's next event after the row is near enough. One pass over each history,
+    backwards, finds it for every row; long histories are cut into ranges.
     """
     _check(df, spec.needed)
     status = normalise_status(spec.status)
     when = F.col(spec.time) if spec.time else half_year_index(spec.year, spec.half)
-    marked = df.withColumn("_t", when.cast("bigint"))
-    steps = (
-        marked.where(F.col(spec.entity).isNotNull() & F.col("_t").isNotNull())
-        .groupBy(spec.entity, "_t")
-        .agg(F.max(F.coalesce(status.isin(list(spec.events)), F.lit(False))).alias("_event"))
-    )
-    w = Window.partitionBy(spec.entity).orderBy("_t").rangeBetween(1, spec.horizon)
-    verdict = steps.select(
-        spec.entity, "_t", F.coalesce(F.max("_event").over(w), F.lit(False)).alias("_hit")
-    )
-    # The verdict is as long as the histories, so it is not copied per salt; the runtime skew join
-    # splits a hot (entity, time) on the row side.
-    joined = lookup_join(marked, verdict, [spec.entity, "_t"], salts=1)
+    marked = df.withColumns({
+        "_t": when.cast("bigint"),
+        "_event": F.coalesce(status.isin(list(spec.events)), F.lit(False)),
+        "_tie": F.xxhash64(*[named(c) for c in spec.tie or df.columns]),
+    })
+    ahead = with_next_event(marked, spec.entity, "_t", "_event", "_next", ["_tie"], spec.max_group_rows)
+    near = F.coalesce(F.col("_next") - F.col("_t") <= spec.horizon, F.lit(False))
     valid = ~F.coalesce(status.isin(list(spec.terminals)), F.lit(False))
-    out = joined.withColumns(
-        {spec.label: F.coalesce(F.col("_hit"), F.lit(False)).cast("double"), spec.valid: valid}
-    )
+    out = ahead.withColumns({spec.label: near.cast("double"), spec.valid: valid})
     return out.select(*[named(c) for c in [*df.columns, spec.label, spec.valid]])

@@ -97,26 +97,44 @@ def score_histogram(
     )
 
 
-def top_decile_lift(df: DataFrame, score: str, label: str, tiles: int = 10) -> DataFrame:
-    """Share of positives among the best-scored 1/``tiles`` of the rows, against the base rate.
-
-    The cut is exact. Rows that share the score at the cut count in proportion, so the result does
-    not depend on how ties are ordered.
-    """
-    steps = score_steps(df, score, label)
+def _top_share(tiles: int) -> dict[str, Column]:
+    """Measures of the best-scored 1/``tiles`` of the rows, as aggregations of a score ladder."""
     n = F.col("pos") + F.col("neg")
     total = F.col("pos_all") + F.col("neg_all")
     above = total - (F.col("pos_upto") + F.col("neg_upto"))
     size = F.ceil(total / F.lit(float(tiles)))
     taken = F.greatest(F.least(size - above, n), F.lit(0))
-    hits = F.sum(F.col("pos") * taken / n)
-    rows = F.sum(taken)
+    hits, rows = F.sum(F.col("pos") * taken / n), F.sum(taken)
     base = F.first("pos_all") / (F.first("pos_all") + F.first("neg_all"))
-    return steps.agg(
-        rows.cast("bigint").alias("top_rows"),
-        F.try_divide(hits, rows).cast("double").alias("top_rate"),
-        base.cast("double").alias("base_rate"),
-        F.try_divide(F.try_divide(hits, rows), base).cast("double").alias("lift"),
+    return {
+        "top_rows": rows.cast("bigint"),
+        "top_rate": F.try_divide(hits, rows).cast("double"),
+        "base_rate": base.cast("double"),
+        "lift": F.try_divide(F.try_divide(hits, rows), base).cast("double"),
+    }
+
+
+def top_decile_lift(df: DataFrame, score: str, label: str, tiles: int = 10) -> DataFrame:
+    """Share of positives among the best-scored 1/``tiles`` of the rows, against the base rate.
+
+    The cut is exact. Rows that share the score at the cut count in proportion, so the result does
+    not depend on how ties are ordered.
+    """
+    return score_steps(df, score, label).agg(*[c.alias(name) for name, c in _top_share(tiles).items()])
+
+
+def rank_quality(df: DataFrame, score: str, label: str, tiles: int = 10) -> DataFrame:
+    """ROC AUC, PR AUC, Brier score and top-share measures in one row, from one ladder of distinct scores."""
+    p = F.col("score")
+    error = F.col("pos") * F.pow(F.lit(1.0) - p, F.lit(2.0)) + F.col("neg") * p * p
+    rows = F.sum("pos") + F.sum("neg")
+    base = F.try_divide(F.sum("pos"), rows)
+    return score_steps(df, score, label).agg(
+        F.coalesce(F.first("pos_all"), F.lit(0)).alias("positives"),
+        F.coalesce(F.first("neg_all"), F.lit(0)).alias("negatives"),
+        _auc().alias("roc_auc"), _average_precision().alias("pr_auc"),
+        F.try_divide(F.sum(error), rows).alias("brier_score"), (base * (F.lit(1.0) - base)).alias("brier_base_rate"),
+        *[c.alias(name) for name, c in _top_share(tiles).items() if name != "base_rate"],
     )
 
 
@@ -134,14 +152,5 @@ def confusion(df: DataFrame, score: str, label: str, cut: float = 0.5) -> DataFr
 
 def holdout_metrics(df: DataFrame, score: str, label: str) -> dict[str, float | None]:
     """All hold-out measures from one reduction to distinct scores."""
-    p = F.col("score")
-    error = F.col("pos") * F.pow(F.lit(1.0) - p, F.lit(2.0)) + F.col("neg") * p * p
-    rows = F.sum("pos") + F.sum("neg")
-    base = F.try_divide(F.sum("pos"), rows)
-    row = score_steps(df, score, label).agg(
-        _auc().alias("roc_auc"),
-        _average_precision().alias("pr_auc"),
-        F.try_divide(F.sum(error), rows).alias("brier_score"),
-        (base * (F.lit(1.0) - base)).alias("brier_base_rate"),
-    )
+    row = rank_quality(df, score, label).select("roc_auc", "pr_auc", "brier_score", "brier_base_rate")
     return row.first().asDict()

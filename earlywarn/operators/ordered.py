@@ -56,22 +56,30 @@ def with_followers(
     handled by its own task, and only the first ``depth`` rows of a range are handed to the range
     before it. ``None`` skips the check, for input known to be short per key.
     """
-    if max_group_rows is None:
+    split = _split_long(df, keys, max_group_rows)
+    if split is None:
         return _with_leads(df, keys, order, values, depth)
+    usual, heavy, ranges = split
+    out = _ranged_leads(heavy, keys, order, values, depth, ranges)
+    return _with_leads(usual, keys, order, values, depth).unionByName(out)
+
+
+def _split_long(df, keys, max_group_rows) -> tuple[DataFrame, DataFrame, int] | None:
+    """Rows of ordinary keys, rows of keys longer than ``max_group_rows``, and into how many ranges the
+    latter go; None without such keys."""
+    if max_group_rows is None:
+        return None
     sizes = df.where(F.col(keys[0]).isNotNull()).groupBy(*keys).count()
     long_keys = sizes.where(F.col("count") > max_group_rows)
     found = long_keys.agg(F.count("*").alias("n"), F.sum("count").alias("rows")).first()
     if not found["n"]:
-        return _with_leads(df, keys, order, values, depth)
-
+        return None
     picked = long_keys.drop("count")
     if found["n"] <= MAX_BROADCAST_KEYS:
         picked = F.broadcast(picked)
     usual = df.join(picked, list(keys), "left_anti").select(*[named(c) for c in df.columns])
     heavy = df.join(picked, list(keys), "left_semi").select(*[named(c) for c in df.columns])
-    ranges = math.ceil(2 * found["rows"] / max_group_rows)
-    out = _ranged_leads(heavy, keys, order, values, depth, ranges)
-    return _with_leads(usual, keys, order, values, depth).unionByName(out)
+    return usual, heavy, math.ceil(2 * found["rows"] / max_group_rows)
 
 
 def _ranged_leads(df, keys, order, values, depth, ranges) -> DataFrame:
@@ -112,3 +120,77 @@ def _ranged_leads(df, keys, order, values, depth, ranges) -> DataFrame:
         next_name(v, k): F.lead(v, k).over(inside) for v in values for k in range(1, depth + 1)
     }
     return both.withColumns(leads).where(~F.col("_borrowed")).drop("_borrowed", "_range")
+
+
+def _later(keys: Sequence[str], time: str):
+    # Backwards in time, so that the frame only ever grows and a history is passed over once.
+    return Window.partitionBy(*keys).orderBy(F.col(time).desc()).rangeBetween(Window.unboundedPreceding, -1)
+
+
+def with_next_event(
+    df: DataFrame,
+    key: str,
+    time: str,
+    event: str,
+    output: str,
+    tie: Sequence[str],
+    max_group_rows: int | None = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Append the time of the key's first event later than the row: a minimum over the rows after it.
+
+    ``time`` is a whole number, ``event`` a boolean. Rows without a key or a time get NULL. Rows of a key
+    longer than ``max_group_rows`` are cut into ranges of (key, time, tie), each the work of one task; a
+    range takes over, from the ranges after it, the first event later than its rows. Nothing is joined
+    back to the rows but one line per range.
+    """
+    orphan = F.col(key).isNull() | F.col(time).isNull()
+    at = F.when(F.col(event) & ~orphan, F.col(time))
+    split = _split_long(df, [key], max_group_rows)
+    usual = df if split is None else split[0]
+    spread = F.when(orphan, F.pmod(F.xxhash64(*tie), F.lit(4096))).otherwise(F.lit(0))
+    marked = usual.withColumn("_spread", spread)
+    plain = marked.withColumn(
+        output, F.when(~orphan, F.min(at).over(_later([key, "_spread"], time)))
+    ).drop("_spread")
+    if split is None:
+        return plain
+    _, heavy, ranges = split
+    timed = heavy.where(~orphan)
+    untimed = heavy.where(orphan).withColumn(output, F.lit(None).cast(df.schema[time].dataType))
+    out = _ranged_next_event(timed, key, time, at, output, tie, ranges).unionByName(untimed)
+    return plain.unionByName(out.select(*map(named, plain.columns)))
+
+
+def _ranged_next_event(df, key, time, at, output, tie, ranges) -> DataFrame:
+    # The place last, so that even equal rows can be divided.
+    order = [F.col(key), F.col(time), *_order(tie), F.col("_row")]
+    dealt = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(ranges, *order)
+    # The range a row falls in must not change between the uses below, hence the checkpoint.
+    ranged = pin(dealt.withColumn("_range", F.spark_partition_id()).drop("_row"))
+    local = ranged.withColumn(output, F.min(at).over(_later([key, "_range"], time)))
+    # One line for each range of a key. A moment may fill several ranges, so the first event of a range
+    # is kept twice: of all its rows, and of those later than its first moment.
+    first = F.min(time).over(Window.partitionBy(key, "_range"))
+    lines = ranged.withColumn("_opens", first).groupBy(key, "_range").agg(
+        F.min(time).alias("_from"), F.max(time).alias("_to"), F.min(at).alias("_any"),
+        F.min(F.when(F.col(time) > F.col("_opens"), at)).alias("_late"),
+    )
+    along = Window.partitionBy(key).orderBy("_range")
+    backwards = Window.partitionBy(key).orderBy(F.col("_range").desc())
+    carried = F.min("_any").over(backwards.rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.withColumn("_carry", carried)
+    # For rows at a range's last moment: the next range that reaches beyond it follows the last range
+    # that ends at it.
+    following = {c: F.lead(c).over(along) for c in ("_from", "_any", "_late", "_carry")}
+    beyond = F.when(
+        following["_from"] > F.col("_to"), F.least(following["_any"], following["_carry"])
+    ).otherwise(F.least(following["_late"], following["_carry"]))
+    lines = lines.withColumn("_beyond", beyond)
+    same_end = Window.partitionBy(key, "_to").orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    lines = lines.select(key, "_range", "_to", "_carry", F.last("_beyond").over(same_end).alias("_beyond"))
+    # Ordered ranges meet at one key at most, so the lines are as few as the long keys and the ranges.
+    placed = local.join(lines, [key, "_range"])
+    later = F.when(F.col(time) == F.col("_to"), F.col("_beyond")).otherwise(F.col("_carry"))
+    return placed.withColumn(output, F.least(output, later)).drop("_range", "_to", "_carry", "_beyond")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,28 +49,36 @@ class _Bracket:
 def exact_medians(
     df: DataFrame, columns: Sequence[str], final_values: int = FINAL_VALUES
 ) -> dict[str, float | None]:
-    """Median of each double column (mean of the middle two), NULLs ignored, None when all NULL.
+    """Median of each double column (mean of the middle two), NULLs ignored, None when all NULL."""
+    middle = lambda n: ((n - 1) // 2,) if n % 2 else (n // 2 - 1, n // 2)
+    found = exact_ranks(df, columns, 0.5, middle, final_values)
+    return {c: sum(found[c]) / len(found[c]) if found[c] else None for c in columns}
 
-    Every step is a single aggregation over all columns at once, combined map-side. Sketch quantiles
-    bracket the middle; exact counts below, at and between the bracket ends say which side holds the
-    wanted rank, so the sketch only affects how fast the bracket shrinks, never the answer. Two
-    passes settle columns of up to a few million values, three or four any size.
+
+def exact_ranks(
+    df: DataFrame, columns: Sequence[str], share: float, ranks_of: Callable[[int], Sequence[int]],
+    final_values: int = FINAL_VALUES,
+) -> dict[str, list[float]]:
+    """The values at ``ranks_of(n)`` among the n values of each double column, which lie near ``share``.
+
+    Ranks count from 0 and ascend; NULLs are ignored. Every step is a single aggregation over all columns
+    at once, combined map-side. Sketch quantiles bracket the ranks; exact counts below, at and between
+    the bracket ends say which side holds a wanted rank, so the sketch only affects how fast the bracket
+    shrinks, never the answer. Two passes settle columns of up to a few million values, three or four
+    any size.
     """
     if not columns:
         return {}
-    middle = [0.5 - _MARGIN, 0.5 + _MARGIN]
+    around = [max(0.0, share - _MARGIN), min(1.0, share + _MARGIN)]
     first = df.agg(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(c, middle, _ACCURACY).alias(f"q{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(c, around, _ACCURACY).alias(f"q{i}") for i, c in enumerate(columns)],
     ).first()
     found: dict[tuple[str, int], float] = {}
-    wanted: dict[str, tuple[int, ...]] = {}
-    brackets = []
-    for i, c in enumerate(columns):
-        n = first[f"n{i}"]
-        if n:
-            wanted[c] = ((n - 1) // 2,) if n % 2 else (n // 2 - 1, n // 2)
-            brackets.append(_Bracket(c, wanted[c], n, ends=tuple(first[f"q{i}"])))
+    wanted = {c: tuple(ranks_of(first[f"n{i}"])) if first[f"n{i}"] else () for i, c in enumerate(columns)}
+    brackets = [
+        _Bracket(c, wanted[c], first[f"n{i}"], ends=tuple(first[f"q{i}"])) for i, c in enumerate(columns) if wanted[c]
+    ]
     while brackets:
         brackets = _settle(df, brackets, found, final_values)
         stuck = [b for b in brackets if b.size > final_values]
@@ -80,10 +88,7 @@ def exact_medians(
             ).first()
             for b, ends in zip(stuck, row, strict=True):
                 b.ends = tuple(ends)
-    out: dict[str, float | None] = {c: None for c in columns}
-    for c, ranks in wanted.items():
-        out[c] = sum(found[c, r] for r in ranks) / len(ranks)
-    return out
+    return {c: [found[c, r] for r in ranks] for c, ranks in wanted.items()}
 
 
 def _settle(

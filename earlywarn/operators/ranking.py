@@ -8,6 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from earlywarn.session import pin
+
 MAX_RANGES = 2000
 
 
@@ -56,7 +58,11 @@ def running_totals(
 
 def score_steps(df: DataFrame, score: str, label: str) -> DataFrame:
     """Distinct scores with their positives and negatives, and running totals of both. Rows without a
-    score or a label do not count."""
+    score or a label do not count.
+
+    The reduction is stored once: cutting it into ranges, the ranges' totals and the running totals
+    read what is stored, so the scores themselves are read, and computed, a single time.
+    """
     usable = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
     steps = (
         df.where(usable & F.col(label).isNotNull())
@@ -66,4 +72,4 @@ def score_steps(df: DataFrame, score: str, label: str) -> DataFrame:
             F.sum(F.lit(1) - F.col(label).cast("bigint")).alias("neg"),
         )
     )
-    return running_totals(steps, "score", ["pos", "neg"])
+    return running_totals(pin(steps), "score", ["pos", "neg"])

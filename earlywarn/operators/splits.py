@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from earlywarn.functions import time_index
 from earlywarn.operators.filters import UnusableData
+from earlywarn.operators.quantiles import exact_ranks
 from earlywarn.session import pin
 
 TRAIN, VALIDATION, TEST = "train", "val", "test"
@@ -95,14 +97,49 @@ def hash_fraction(keys: Sequence[str | Column], seed: int = 42) -> Column:
 
 
 def random_split(keys: Sequence[str], seed: int = 42, holdout: float = 0.2) -> Column:
-    """Hashed train/validation split.
+    """Hashed train/validation split: membership depends on the key alone, and reruns agree.
 
-    Membership depends on the key alone, so each class is split in the same proportion without
-    ordering or counting it, and reruns agree.
+    Each class is split in the same proportion only in expectation; :func:`quota_split` keeps to it.
     """
     return F.when(hash_fraction(keys, seed) < holdout, F.lit(VALIDATION)).otherwise(F.lit(TRAIN))
 
 
+def hash_place(keys: Sequence[str | Column], seed: int = 42) -> Column:
+    """A row's place in a stable pseudo-random order: 52 bits, which a double holds exactly."""
+    text = F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys],
+                       F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
+
+
+def quota_split(
+    df: DataFrame, keys: Sequence[str], label: str, seed: int = 42, holdout: float = 0.2,
+    classes: Sequence[int] = (0, 1),
+) -> Column:
+    """Stratified train/validation split: of a class of n rows exactly round(holdout * n) validate.
+
+    Those are the rows of the class that come first in a hashed order of their keys. The place of the
+    last of them is found for all classes at once, by sketches and exact counts: two or three
+    aggregations, no sort and no window. Rows of one key never part, so ``keys`` should tell rows
+    apart; where they do not, the quota is met up to the rows of one key. Rows without a listed class
+    train. Halves round away from zero.
+    """
+    place = hash_place(keys, seed)
+    y = F.col(label)
+    names = [f"_c{i}" for i in range(len(classes))]
+    places = df.select(*[F.when(y == c, place).alias(name) for c, name in zip(classes, names, strict=True)])
+
+    def last(n: int) -> list[int]:
+        taken = math.floor(holdout * n + 0.5)
+        return [taken - 1] if taken else []
+
+    found = exact_ranks(places, names, holdout, last)
+    side = F.lit(False)
+    for c, name in zip(classes, names, strict=True):
+        if found[name]:
+            side = side | F.coalesce((y == c) & (place <= F.lit(found[name][0])), F.lit(False))
+    return F.when(side, F.lit(VALIDATION)).otherwise(F.lit(TRAIN))
+
+
 def hash_fold(keys: Sequence[str], folds: int, seed: int = 42) -> Column:
     return F.floor(hash_fraction(keys, seed) * F.lit(folds)).cast("int")
 
@@ -134,21 +171,31 @@ def automatic_split(
     half: str | None = "semestre_ingresso",
     seed: int = 42,
     min_rows: int = MIN_SIDE_ROWS,
+    label: str | None = None,
 ) -> tuple[Column, str]:
-    """The split column and the strategy used: by time, or hashed when time cannot be used."""
+    """The split column and the strategy used: by time, or at random when time cannot be used.
+
+    With a ``label`` the random split is stratified by it, else it follows the keys' hash alone.
+    """
+
+    def at_random() -> tuple[Column, str]:
+        if label is None:
+            return random_split(keys, seed), "random"
+        return quota_split(df, keys, label, seed), "random"
+
     if year not in df.columns:
-        return random_split(keys, seed), "random"
+        return at_random()
     half = half if half in df.columns else None
     periods = period_counts(df, year, half)
     cut = cutoff_time(periods).first()
     if cut["periods"] < 2:
-        return random_split(keys, seed), "random"
+        return at_random()
     late = F.coalesce(F.col("t") >= cut["cutoff"], F.lit(False))
     sizes = periods.agg(
         F.coalesce(F.sum(F.when(late, F.col("n"))), F.lit(0)),
         F.coalesce(F.sum(F.when(~late, F.col("n"))), F.lit(0)),
     ).first()
     if min(sizes) < min_rows:
-        return random_split(keys, seed), "random"
+        return at_random()
     after = F.coalesce(time_index(year, half) >= cut["cutoff"], F.lit(False))
     return F.when(after, F.lit(VALIDATION)).otherwise(F.lit(TRAIN)), "time"

@@ -133,7 +133,9 @@ def used_columns(rows: DataFrame, spec: TrainSpec) -> DataFrame:
 def split_column(rows: DataFrame, spec: TrainSpec) -> tuple[Column, str]:
     if spec.split is not None:
         return spec.split.column(spec.year), "configured_years"
-    column, how = automatic_split(rows, spec.keys, spec.year, spec.half, spec.model.seed)
+    column, how = automatic_split(
+        rows, spec.keys, spec.year, spec.half, spec.model.seed, label=spec.label
+    )
     return column, f"automatic_{how}"
 
 

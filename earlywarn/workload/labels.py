@@ -18,6 +18,7 @@ from earlywarn.operators.splits import (
     distinct_sorted,
     hash_fold,
     period_counts,
+    quota_split,
     random_split,
 )
 from earlywarn.session import scratch_path
@@ -74,6 +75,28 @@ def label_time_range_(spark, sf_dir):
     return df.select("o_orderkey", "target_evasao", "is_target_valid")
 
 
+@query(
+    "label_hot_entities",
+    """WITH h AS (
+  SELECT *, year(o_orderdate) * 2 + CASE WHEN month(o_orderdate) <= 6 THEN 0 ELSE 1 END AS t,
+         o_orderkey % 1000 < 3 AS e FROM orders),
+s AS (SELECT o_orderpriority, t, max(CASE WHEN e THEN 1 ELSE 0 END) AS e FROM h GROUP BY ALL),
+v AS (SELECT o_orderpriority, t, coalesce(max(e) OVER (PARTITION BY o_orderpriority ORDER BY t
+        RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING), 0) AS hit FROM s)
+SELECT o_orderkey, CAST(hit AS DOUBLE) AS target_evasao, NOT e AS is_target_valid
+FROM h JOIN v USING (o_orderpriority, t)""",
+)
+def label_hot_entities(spark, sf_dir):
+    """Five entities hold all rows, so every history is cut into ranges; events are rare."""
+    status = F.when(F.col("o_orderkey") % 1000 < 3, "f").otherwise("o")
+    history = order_history(spark, sf_dir).withColumn("status", status)
+    spec = LabelSpec(
+        entity="o_orderpriority", year="year", half="half", status="status", tie=("o_orderkey",),
+        events=("f",), terminals=("f",), horizon=1, max_group_rows=1000,
+    )
+    return label_time_range(history, spec).select("o_orderkey", "target_evasao", "is_target_valid")
+
+
 EVENT_LABEL = LabelSpec(
     entity="user_id", time="day", status="event_type", tie=("ts", "event_id"),
     events=("error",), terminals=("error",), horizon=3,
@@ -192,10 +215,22 @@ HASH_SQL = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|42'), 1, 8) AS
 
 @query(
     "stratified_split",
+    """WITH r AS (SELECT doc_id, toxic, count(*) OVER (PARTITION BY toxic) AS n,
+    row_number() OVER (PARTITION BY toxic ORDER BY substr(md5(CAST(doc_id AS VARCHAR) || '|42'), 1, 13)) AS k
+  FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, toxic, CASE WHEN k <= round(n / 5e0) THEN 'val' ELSE 'train' END AS split FROM r""",
+)
+def stratified_split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return docs.select("doc_id", "toxic", quota_split(docs, ["doc_id"], "toxic").alias("split"))
+
+
+@query(
+    "hashed_split",
     f"""SELECT doc_id, toxic, CASE WHEN {HASH_SQL} < 0.2e0 THEN 'val' ELSE 'train' END AS split
 FROM documents JOIN labels USING (doc_id)""",
 )
-def stratified_split(spark, sf_dir):
+def hashed_split(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return docs.select("doc_id", "toxic", random_split(["doc_id"]).alias("split"))
 

@@ -11,6 +11,7 @@ from earlywarn.operators.metrics import (
     brier,
     confusion,
     pr_auc,
+    rank_quality,
     reliability,
     roc_auc,
     score_histogram,
@@ -117,6 +118,25 @@ def decile_lift(spark, sf_dir):
     return df.select("top_rows", *[r6(c).alias(c) for c in ("top_rate", "base_rate", "lift")])
 
 
+@query(
+    "rank_quality",
+    f"""WITH {_SCORED},
+g AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM scored GROUP BY p),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(pos + neg) OVER w AS k, sum(pos) OVER () AS np, sum(neg) OVER () AS nn,
+        sum(neg) OVER w - neg AS neg_above FROM g WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT *, greatest(least(ceil((np + nn) / 10e0) - (k - pos - neg), pos + neg), 0) AS taken FROM c)
+SELECT CAST(max(np) AS BIGINT) AS positives, CAST(max(nn) AS BIGINT) AS negatives,
+  round(1 - sum(CAST(pos AS DOUBLE) * (neg_above + neg / 2e0)) / (max(np) * CAST(max(nn) AS DOUBLE)), 6) AS roc_auc,
+  round(sum(pos * (tp / CAST(k AS DOUBLE))) / max(np), 6) AS pr_auc,
+  round(sum(pos * (1 - p) * (1 - p) + neg * p * p) / sum(pos + neg), 6) AS brier_score,
+  round(sum(taken * pos / CAST(pos + neg AS DOUBLE)) / sum(taken) / (max(np) / CAST(max(np) + max(nn) AS DOUBLE)), 6) AS lift
+FROM t""",
+)
+def rank_quality_(spark, sf_dir):
+    df = rank_quality(scored_orders(spark, sf_dir), "p", "y")
+    return df.select("positives", "negatives", *[r6(c).alias(c) for c in ("roc_auc", "pr_auc", "brier_score", "lift")])
+
+
 @query(
     "isotonic_calibrator",
     f"""WITH {_SCORED},

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from earlywarn.operators.labels import LabelSpec, label_future_events, label_time_range
-from earlywarn.operators.ordered import with_followers
+from earlywarn.operators.ordered import with_followers, with_next_event
 
 SCHEMA = "n int, codigo_aluno string, ano_referencia int, periodo_referencia int, situacao string"
 SPEC = LabelSpec(tie=("n",))
@@ -122,3 +122,46 @@ def test_default_order_is_stable(spark):
     b = label_future_events(df.repartition(3, "n"), LabelSpec(max_group_rows=1)).collect()
     assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str)
     assert a[0].__fields__ == [*df.columns, "target_evasao", "is_target_valid"]
+
+
+@pytest.mark.parametrize("horizon", [1, 3])
+def test_time_range_against_brute_force(spark, horizon):
+    import random
+
+    rng = random.Random(horizon)
+    statuses = ["Regular", "Regular", "Regular", "Desistente", None, "Formado"]
+    # One entity holds a third of the rows, and one moment of it a third of those, partly in equal rows.
+    rows = [
+        (rng.choice(["a", "b", "c", "d", None, *["hot"] * 3]), rng.choice([None, *range(2012, 2020)]), rng.choice([1, 2]),
+         rng.choice(statuses)) for _ in range(300)
+    ]
+    rows += [("hot", 2015, 2, s) for s in ["Desistente"] * 25 + ["Regular"] * 30]
+    table = [(i, *r) for i, r in enumerate(rows)]
+    at = {i: None if y is None else 2 * y + h for i, _, y, h, _ in table}
+    want = {
+        i: float(k is not None and at[i] is not None and any(
+            k == k2 and s2 == "Desistente" and at[j] is not None and 0 < at[j] - at[i] <= horizon
+            for j, k2, _, _, s2 in table
+        )) for i, k, _, _, _ in table
+    }
+    for limit in (None, 150, 40, 10, 3):
+        spec = replace(SPEC, horizon=horizon, max_group_rows=limit)
+        out = label_time_range(history(spark, rows).repartition(5), spec)
+        assert {r["n"]: r["target_evasao"] for r in out.collect()} == want
+
+
+def test_equal_rows_of_one_entity_spread_over_ranges(spark):
+    df = spark.range(0, 900).select(
+        F.lit("hot").alias("k"), F.lit(1).cast("bigint").alias("t"), F.lit(True).alias("e"), F.lit(0).alias("tie")
+    ).unionByName(spark.sql("SELECT 'hot' AS k, 2L AS t, true AS e, 0 AS tie"))
+    out = with_next_event(df, "k", "t", "e", "next", ["tie"], max_group_rows=100)
+    assert out.where("t = 1").select("next").distinct().collect() == [(2,)]
+    assert out.where("t = 2").collect()[0]["next"] is None
+    tasks = out.withColumn("task", F.spark_partition_id()).groupBy("task").count().agg(F.max("count")).first()[0]
+    assert tasks < 450
+
+
+def test_time_range_reads_a_history_once_and_joins_nothing_back(spark):
+    df = label_time_range(history(spark, CASES["gap"][0]), replace(SPEC, max_group_rows=None))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") == 1 and "Join" not in plan

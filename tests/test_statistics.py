@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 
@@ -14,7 +15,9 @@ from earlywarn.operators.metrics import (
 )
 from earlywarn.operators.profile import column_profile, distinct_counts, label_stats, missing_fractions
 from earlywarn.operators.quantiles import exact_medians
-from earlywarn.operators.ranking import running_totals
+from earlywarn.operators.quantiles import exact_ranks
+from earlywarn.operators.ranking import running_totals, score_steps
+from earlywarn.operators.splits import hash_place, quota_split
 from earlywarn.operators.report import key_figures, roll_up_sources, top_importance, top_scored
 
 
@@ -158,3 +161,60 @@ def test_missing_scores_do_not_count(spark):
     )
     row = roc_auc(df, "p", "y").first()
     assert (row["roc_auc"], row["positives"], row["negatives"]) == (1.0, 1, 1)
+
+
+@pytest.mark.parametrize("final_values", [5, 300, 20_000])
+def test_exact_ranks(spark, final_values):
+    df = spark.range(0, 3000).select(
+        ((F.col("id") * 7919) % 2999).cast("double").alias("a"), F.when(F.col("id") % 3 > 0, F.lit(4.0)).alias("b"),
+        F.lit(None).cast("double").alias("c"),
+    )
+    found = exact_ranks(df, ["a", "b", "c"], 0.2, lambda n: (n // 5, n // 5 + 1), final_values)
+    values = sorted(r.a for r in df.select("a").collect())
+    assert found == {"a": [values[600], values[601]], "b": [4.0, 4.0], "c": []}
+
+
+def test_quota_split_keeps_to_every_class(spark):
+    df = spark.range(0, 50_000).select(
+        F.col("id"), F.when(F.col("id") % 11 == 0, 1).when(F.col("id") % 1000 == 1, F.lit(None)).otherwise(0).alias("y")
+    )
+    split = quota_split(df, ["id"], "y")
+    out = df.withColumn("s", split)
+    counts = {(r.y, r.s): r["count"] for r in out.groupBy("y", "s").count().collect()}
+    for y in (0, 1):
+        n = counts[y, "train"] + counts[y, "val"]
+        assert counts[y, "val"] == math.floor(0.2 * n + 0.5)
+    assert (None, "val") not in counts
+    # The class's first rows in hashed order, and the plan holds no sort, window or shuffle.
+    edge = out.withColumn("h", hash_place(["id"])).where("y = 1").groupBy("s").agg(F.min("h"), F.max("h")).collect()
+    sides = {r.s: r for r in edge}
+    assert sides["val"][2] < sides["train"][1]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Sort", "Window", "Exchange"))
+    again = df.repartition(7).withColumn("s", split).exceptAll(out)
+    assert again.isEmpty()
+
+
+def test_quota_split_without_rows_or_with_one_class(spark):
+    df = spark.range(0, 40).select("id", F.lit(1).alias("y"))
+    assert df.withColumn("s", quota_split(df, ["id"], "y")).where("s = 'val'").count() == 8
+    none = df.limit(0)
+    assert none.withColumn("s", quota_split(none, ["id"], "y")).count() == 0
+    few = df.limit(2)
+    assert few.withColumn("s", quota_split(few, ["id"], "y")).where("s = 'val'").count() == 0
+
+
+def test_scores_are_read_once_for_all_rank_measures(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    spark.range(0, 500).select((F.col("id") % 97 / 97.0).alias("p"), (F.col("id") % 5 == 0).cast("int").alias("y")).write.parquet(path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    scores = spark.read.parquet(path).mapInArrow(count, "p double, y int")
+    steps = score_steps(scores, "p", "y")
+    assert steps.agg(F.sum("pos"), F.max("neg_all")).first()[:] == (100, 400)
+    assert seen.value == 500 and "parquet" not in steps._jdf.queryExecution().executedPlan().toString()

@@ -110,6 +110,13 @@ def test_automatic_split(spark, students):
     assert automatic_split(few.where("ano_ingresso = 2020"), ["k"])[1] == "random"
 
 
+def test_random_fallback_is_stratified(students):
+    column, how = automatic_split(students.drop("ano_ingresso"), ["codigo_aluno"], label="target_evasao")
+    assert how == "random"
+    rates = students.where("target_evasao IN (0, 1)").withColumn("s", column).groupBy("s").agg(F.avg("target_evasao")).collect()
+    assert {r["s"] for r in rates} == {"train", "val"} and abs(rates[0][1] - rates[1][1]) < 0.05
+
+
 def test_hash_folds_cover_and_balance(students):
     counts = students.groupBy(hash_fold(["codigo_aluno"], 5).alias("f"), "target_evasao").count().collect()
     assert {r["f"] for r in counts} == set(range(5)) and min(r["count"] for r in counts) > 40
