@@ -17,7 +17,7 @@ from pyspark.ml.classification import (
     LogisticRegressionModel,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.ml.util import (
     DefaultParamsReader,
@@ -36,11 +36,13 @@ from earlywarn.operators.features import (
     FeatureEncoder,
     FeatureEncoderModel,
     FeatureSpec,
+    fit_complements,
     kept,
     prepare,
     restore,
 )
 from earlywarn.operators.filters import check_labels, require_both_classes
+from earlywarn.operators.lookups import lookup_join
 from earlywarn.operators.splits import hash_fold, usable_folds
 from earlywarn.session import scratch_path
 
@@ -215,11 +217,12 @@ def fit_member(
     features: FeatureSpec,
     spec: ModelSpec,
     counts: dict[str, int],
+    encoder: FeatureEncoderModel | None = None,
 ) -> Member:
-    """Encoder and classifier on prepared rows. The classifier keeps its own compact copy of the
-    vectors while it iterates, so they are not cached here as well."""
+    """Encoder, unless there is one already, and classifier on prepared rows. The classifier keeps its
+    own compact copy of the vectors while it iterates, so they are not cached here as well."""
     require_both_classes(counts, "training")
-    encoder = FeatureEncoder(spec=features, labelCol=label).fit_prepared(prepared)
+    encoder = encoder or FeatureEncoder(spec=features, labelCol=label).fit_prepared(prepared)
     y = prepared.withColumn("_y", kept(label))
     rows = with_balanced_weights(encoder.assemble(y, "_features"), "_y", counts)
     total = float(counts["negative"] + counts["positive"])
@@ -290,9 +293,10 @@ def fit_ensemble(
             prepared.unpersist()
     wanted = dict.fromkeys([*_inputs(df, features), *keys, label])
     prepared, fold, outside = _folded(df.select(*wanted), label, keys, features, spec, counts)
+    encoders = fit_complements(prepared, features, label, fold, len(outside))
 
     def one(k: int) -> Member:
-        fitted = fit_member(prepared.where(fold != k), label, features, spec, outside[k])
+        fitted = fit_member(prepared.where(fold != k), label, features, spec, outside[k], encoders[k])
         held = fitted.score_prepared(prepared.where(fold == k), "_p")
         held = held.select("_p", kept(label).alias("_y"))
         fitted.calibrator = fit_calibrator(held, "_y", spec.method)
@@ -317,21 +321,49 @@ def out_of_fold_scores(
     spec: ModelSpec,
     output: str = "prob_evasao",
 ) -> DataFrame:
-    """Every row scored exactly once, by a model that did not see it."""
+    """Every row scored exactly once, by a model that did not see it, in one pass over the rows."""
     prepared, fold, outside = _folded(df, label, keys, features, spec, None)
+    encoders = fit_complements(prepared, features, label, fold, len(outside))
 
     def one(k: int) -> Member:
-        return fit_member(prepared.where(fold != k), label, features, spec, outside[k])
+        return fit_member(prepared.where(fold != k), label, features, spec, outside[k], encoders[k])
 
     try:
         members = in_parallel([lambda k=k: one(k) for k in range(len(outside))], spec.parallelism)
     finally:
         prepared.unpersist()
-    parts = [
-        restore(m.score_prepared(prepared.where(fold == k), output), [output])
-        for k, m in enumerate(members)
-    ]
-    return reduce(DataFrame.unionByName, parts).withColumnRenamed("_fold", "fold")
+    scored = score_by_member(prepared, "k__fold", members, output)
+    return restore(scored, [output]).withColumnRenamed("_fold", "fold")
+
+
+def score_by_member(prepared: DataFrame, member: str, members: Sequence[Member], output: str) -> DataFrame:
+    """Append to each prepared row the probability of the one member that its column ``member`` numbers.
+
+    A row is encoded by its own member alone: the other members get a vector of zeros, which costs next
+    to nothing, and their answer is not used. Category encodings are looked up by member and value
+    together, so a column is one join however many members there are. A row without a member, or of
+    one that is not there, has no probability.
+    """
+    ready = prepared
+    for c in sorted({c for m in members for c in m.encoder.state["target"]}):
+        tables = [
+            m.encoder.encoding_of(c).withColumn(member, F.lit(k))
+            for k, m in enumerate(members) if c in m.encoder.state["target"]
+        ]
+        rows = sum(m.encoder.state["encoding_rows"] for m in members)
+        ready = lookup_join(ready, reduce(DataFrame.unionByName, tables), [member, f"x_{c}"], rows=rows)
+    chosen = F.lit(None).cast("double")
+    columns = [*prepared.columns]
+    for k, m in enumerate(members):
+        mine = named(member) == F.lit(k)
+        own = F.array(*[c.cast("double") for c in m.encoder.encoded_columns()])
+        zeros = F.array_repeat(F.lit(0.0), len(m.encoder.lineage))
+        vector = array_to_vector(F.when(mine, own).otherwise(zeros))
+        raw = m.classifier.transform(ready.withColumn("_features", vector))
+        scored = raw.withColumn("_p", positive_probability("_prob", list(range(m.classifier.numClasses))))
+        ready = m._calibrate(scored).select(*map(named, ready.columns), F.col("_cal").alias(f"_member{k}"))
+        chosen = F.when(mine, F.col(f"_member{k}")).otherwise(chosen)
+    return ready.select(*map(named, columns), chosen.alias(output))
 
 
 class CalibratedModel(Model, MLWritable, MLReadable):

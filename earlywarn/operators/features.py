@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from typing import Any
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earlywarn.functions import clean_categories, named, present_sum, share
-from earlywarn.operators.encoders import MISSING, EncoderSpec, category_counts, smoothed_mean
+from earlywarn.operators.encoders import MISSING, EncoderSpec, category_counts, long_form, smoothed_mean
 from earlywarn.operators.lookups import lookup_join
 from earlywarn.operators.quantiles import exact_medians
 from earlywarn.operators.schema import drop_technical, ensure_typed
@@ -135,6 +136,136 @@ def numeric_statistics(df: DataFrame, columns: Sequence[str]) -> list[NumericSta
     ]
 
 
+def _state(spec: FeatureSpec, stats: Sequence[NumericStats]) -> dict[str, Any]:
+    """What an encoder knows before it has seen categories."""
+    return {
+        "spec": spec.to_dict(),
+        "numeric": [[c, s.fill, s.mean, s.std] for c, s in zip(spec.all_numeric, stats, strict=True)],
+        "empty": [c for c, s in zip(spec.all_numeric, stats, strict=True) if s.empty],
+        "onehot": {},
+        "target": [],
+        "prior": 0.0,
+        "encoding_rows": 0,
+    }
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Count, mean and summed squared deviation of some values; moments of disjoint rows add up."""
+
+    n: int = 0
+    mean: float = 0.0
+    squares: float = 0.0
+
+    def __add__(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        if not n:
+            return self
+        gap = other.mean - self.mean
+        return Moments(
+            n, self.mean + gap * other.n / n, self.squares + other.squares + gap * gap * self.n * other.n / n
+        )
+
+
+def complement_statistics(
+    df: DataFrame, columns: Sequence[str], fold: Column, folds: int
+) -> list[list[NumericStats]]:
+    """:func:`numeric_statistics` of the rows outside each fold, for all folds in the same passes.
+
+    The medians of all complements are bracketed and counted side by side. Mean and deviation follow
+    from one line of moments per fold: those of the other folds are merged, never subtracted, and the
+    imputed values join them as so many equal values.
+    """
+    if not columns:
+        return [[] for _ in range(folds)]
+    apart = {(k, i): F.when(fold != k, F.col(c)).alias(f"c{k}_{i}") for k in range(folds) for i, c in enumerate(columns)}
+    names = [f"c{k}_{i}" for k, i in apart]
+    medians = exact_medians(df.select(*apart.values()), names)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(columns):
+        aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.var_pop(c).alias(f"v{i}")]
+    lines = {r["fold"]: r for r in df.groupBy(fold.alias("fold")).agg(*aggs).collect() if r["fold"] is not None}
+    out: list[list[NumericStats]] = []
+    for k in range(folds):
+        others = [r for f, r in lines.items() if f != k]
+        rows = sum(r["rows"] for r in others)
+        own = []
+        for i in range(len(columns)):
+            median = medians[f"c{k}_{i}"]
+            fill = float(median or 0.0)
+            total = Moments()
+            for r in others:
+                if r[f"n{i}"]:
+                    total += Moments(r[f"n{i}"], r[f"m{i}"], r[f"v{i}"] * r[f"n{i}"])
+            total += Moments(rows - total.n, fill, 0.0)
+            std = math.sqrt(total.squares / total.n) if total.n else 0.0
+            own.append(NumericStats(fill, total.mean, std or 1.0, median is None))
+        out.append(own)
+    return out
+
+
+def fit_complements(
+    prepared: DataFrame, spec: FeatureSpec, label: str, fold: Column, folds: int, output: str = "features"
+) -> list[FeatureEncoderModel]:
+    """An encoder for each fold, fitted on all other folds' rows, in passes that do not grow with the folds.
+
+    ``prepared`` went through :func:`prepare` and kept the label and the fold. Categories are counted
+    once, with their counts and label sums in each fold; those outside a fold are the total less the
+    fold's own, which is exact for whole numbers.
+    """
+    rows = prepared.withColumn("_y", kept(label).cast("double"))
+    stats = complement_statistics(rows, [f"x_{c}" for c in spec.all_numeric], fold, folds)
+    states = [_state(spec, s) for s in stats]
+    models = [FeatureEncoderModel(state)._set(outputCol=output) for state in states]
+    if not spec.categorical:
+        return models
+    columns = [f"x_{c}" for c in spec.categorical]
+    counted = long_form(rows, columns, [F.col("_y"), fold.alias("_f")]).groupBy("feature", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("y"),
+        *[F.count_if(F.col("_f") == k).alias(f"n{k}") for k in range(folds)],
+        *[F.coalesce(F.sum(F.when(F.col("_f") == k, F.col("_y"))), F.lit(0.0)).alias(f"y{k}") for k in range(folds)],
+    )
+    # Everything below, and scoring, reads this table; the rows are not needed any more.
+    counted = pin(counted)
+    left_n = [F.col("n") - F.col(f"n{k}") for k in range(folds)]
+    left_y = [F.col("y") - F.col(f"y{k}") for k in range(folds)]
+    sizes = {
+        r["feature"]: r
+        for r in counted.groupBy("feature").agg(
+            *[F.count_if(left_n[k] > 0).alias(f"k{k}") for k in range(folds)],
+            *[F.sum(left_n[k]).alias(f"n{k}") for k in range(folds)],
+            *[F.sum(left_y[k]).alias(f"y{k}") for k in range(folds)],
+        ).collect()
+    }
+    few = [
+        (k, c) for k in range(folds) for c in columns
+        if c in sizes and sizes[c][f"k{k}"] <= spec.encoder.max_onehot
+    ]
+    wanted = F.lit(False)
+    for k, c in few:
+        wanted = wanted | ((F.col("feature") == c) & (left_n[k] > 0))
+    # At most max_onehot values for each fold and column come back.
+    known = counted.where(wanted).select("feature", "value", *[n.alias(f"n{k}") for k, n in enumerate(left_n)])
+    known = known.orderBy("feature", "value").collect()
+    for k, model in enumerate(models):
+        state = model.state
+        many = [c for c in columns if c in sizes and (k, c) not in few]
+        state["onehot"] = {c[2:]: [] for c in columns if c not in many}
+        for r in known:
+            if (k, r["feature"]) in few and r[f"n{k}"]:
+                state["onehot"][r["feature"][2:]].append(r["value"])
+        if many:
+            size = sizes[many[0]]
+            state["target"] = [c[2:] for c in many]
+            state["prior"] = size[f"y{k}"] / size[f"n{k}"]
+            state["encoding_rows"] = sum(sizes[c][f"k{k}"] for c in many)
+            encoded = smoothed_mean(left_n[k], left_y[k] / left_n[k], F.lit(state["prior"]), spec.encoder)
+            model.encodings = counted.where(F.col("feature").isin(many) & (left_n[k] > 0)).select(
+                F.expr("substring(feature, 3)").alias("feature"), "value", encoded.alias("encoded")
+            )
+    return models
+
+
 def impute_and_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     stats = numeric_statistics(df, columns)
     return df.withColumns({c: s.apply(F.col(c)) for c, s in zip(columns, stats, strict=True)})
@@ -174,17 +305,7 @@ class FeatureEncoder(Estimator):
         rows = prepared.withColumn("_y", label.cast("double"))
         numeric = [f"x_{c}" for c in spec.all_numeric]
         stats = numeric_statistics(rows, numeric)
-        state: dict[str, Any] = {
-            "spec": spec.to_dict(),
-            "numeric": [
-                [c, s.fill, s.mean, s.std] for c, s in zip(spec.all_numeric, stats, strict=True)
-            ],
-            "empty": [c for c, s in zip(spec.all_numeric, stats, strict=True) if s.empty],
-            "onehot": {},
-            "target": [],
-            "prior": 0.0,
-            "encoding_rows": 0,
-        }
+        state = _state(spec, stats)
         encodings = None
         if spec.categorical:
             encodings = self._fit_categories(rows, state)
@@ -258,10 +379,18 @@ class FeatureEncoderModel(Model, MLWritable, MLReadable):
         """Append encoded columns ``f0 … fn`` in lineage order."""
         ready = prepared
         for c in self.state["target"]:
-            table = self.encodings.where(F.col("feature") == c).select(
-                F.col("value").alias(f"x_{c}"), F.col("encoded").alias(f"t_{c}")
-            )
-            ready = lookup_join(ready, table, [f"x_{c}"], rows=self.state["encoding_rows"])
+            ready = lookup_join(ready, self.encoding_of(c), [f"x_{c}"], rows=self.state["encoding_rows"])
+        columns = map(named, prepared.columns)
+        return ready.select(*columns, *[c.alias(f"f{i}") for i, c in enumerate(self.encoded_columns())])
+
+    def encoding_of(self, column: str) -> DataFrame:
+        """Value and encoding of a column that is encoded by its label mean."""
+        return self.encodings.where(F.col("feature") == column).select(
+            F.col("value").alias(f"x_{column}"), F.col("encoded").alias(f"t_{column}")
+        )
+
+    def encoded_columns(self) -> list[Column]:
+        """Expressions over prepared rows that have the ``t_`` columns of :meth:`encoding_of`."""
         out = []
         for name, fill, mean, std in self.state["numeric"]:
             out.append(NumericStats(fill, mean, std).apply(F.col(f"x_{name}")))
@@ -269,8 +398,7 @@ class FeatureEncoderModel(Model, MLWritable, MLReadable):
             out += [(F.col(f"x_{source}") == F.lit(v)).cast("double") for v in values]
         for c in self.state["target"]:
             out.append(F.coalesce(F.col(f"t_{c}"), F.lit(float(self.state["prior"]))))
-        columns = map(named, prepared.columns)
-        return ready.select(*columns, *[c.alias(f"f{i}") for i, c in enumerate(out)])
+        return out
 
     def assemble(self, prepared: DataFrame, output: str) -> DataFrame:
         """Append the feature vector to prepared rows."""

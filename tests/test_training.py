@@ -11,11 +11,22 @@ from earlywarn.operators.calibration import (
     CalibratedModel,
     ModelSpec,
     fit_ensemble,
+    fit_member,
     out_of_fold_scores,
     positive_probability,
+    score_by_member,
 )
 from earlywarn.operators.encoders import EncoderSpec
-from earlywarn.operators.features import FeatureEncoder, FeatureEncoderModel, FeatureSpec, engineer
+from earlywarn.operators.features import (
+    FeatureEncoder,
+    FeatureEncoderModel,
+    FeatureSpec,
+    Moments,
+    engineer,
+    fit_complements,
+    kept,
+    prepare,
+)
 from earlywarn.operators.filters import UnusableData
 from earlywarn.operators.metrics import holdout_metrics
 from earlywarn.operators.splits import (
@@ -418,3 +429,80 @@ def test_slow_learning_rates_keep_more_than_one_tree(students):
     rows = search(students, spec).collect()
     slow = min(rows, key=lambda r: float(r["params"]["learning_rate"]))
     assert int(slow["params"]["n_estimators"]) > 1
+
+
+@pytest.mark.parametrize("max_onehot", [20, 2])
+def test_complements_equal_single_fits(students, max_onehot):
+    spec = FeatureSpec(encoder=EncoderSpec(max_onehot=max_onehot))
+    marked = students.withColumn("_fold", hash_fold(["codigo_aluno"], 3))
+    prepared = prepare(marked, spec, marked.columns).persist()
+    for k, model in enumerate(fit_complements(prepared, spec, "target_evasao", kept("_fold"), 3)):
+        alone = FeatureEncoder(spec=spec, labelCol="target_evasao").fit_prepared(prepared.where(kept("_fold") != k))
+        for (name, *mine), (other, *theirs) in zip(model.state["numeric"], alone.state["numeric"], strict=True):
+            assert name == other and mine == pytest.approx(theirs, rel=1e-9, abs=1e-12)
+        for part in ("empty", "onehot", "target", "encoding_rows", "spec"):
+            assert model.state[part] == alone.state[part]
+        assert model.state["prior"] == pytest.approx(alone.state["prior"], rel=1e-12)
+        if alone.encodings is not None:
+            mine, theirs = (
+                {(r.feature, r.value): r.encoded for r in m.encodings.collect()} for m in (model, alone)
+            )
+            assert mine == pytest.approx(theirs, rel=1e-9)
+    prepared.unpersist()
+
+
+def test_statistics_of_all_folds_read_as_often_as_those_of_two(spark, students):
+    def reads(folds):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        marked = students.withColumn("_fold", hash_fold(["codigo_aluno"], folds))
+        prepared = prepare(marked, FeatureSpec(), marked.columns)
+        fit_complements(prepared.mapInArrow(count, prepared.schema), FeatureSpec(), "target_evasao", kept("_fold"), folds)
+        return seen.value
+
+    assert reads(6) == reads(2) <= 5 * 900
+
+
+def test_moments_merge_like_their_rows():
+    rng = random.Random(5)
+    parts = [[rng.gauss(1e6, 1) for _ in range(n)] for n in (40, 1, 0, 300)]
+    total = Moments()
+    for part in parts:
+        if part:
+            mean = sum(part) / len(part)
+            total += Moments(len(part), mean, sum((x - mean) ** 2 for x in part))
+    values = [x for part in parts for x in part]
+    mean = sum(values) / len(values)
+    assert total.n == len(values) and total.mean == pytest.approx(mean)
+    assert total.squares == pytest.approx(sum((x - mean) ** 2 for x in values), rel=1e-6)
+    assert Moments() + Moments() == Moments()
+
+
+@pytest.mark.parametrize("spec", [FAST, ModelSpec(GBT, params=(("n_estimators", 4), ("max_depth", 2)), folds=2)])
+def test_out_of_fold_is_one_scan_by_each_rows_own_member(spark, students, tmp_path, spec):
+    path = str(tmp_path / "students")
+    students.write.parquet(path)
+    rows = spark.read.parquet(path)
+    features = FeatureSpec(encoder=EncoderSpec(max_onehot=5))
+    marked = rows.withColumn("_fold", hash_fold(["codigo_aluno"], spec.folds))
+    prepared = prepare(marked, features, marked.columns)
+    encoders = fit_complements(prepared, features, "target_evasao", kept("_fold"), spec.folds)
+    counts = {"negative": 450, "positive": 450}
+    members = [
+        fit_member(prepared.where(kept("_fold") != k), "target_evasao", features, spec, counts, encoders[k])
+        for k in range(spec.folds)
+    ]
+    routed = score_by_member(prepared, "k__fold", members, "p")
+    plan = routed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    mine = {r.k_codigo_aluno: r.p for r in routed.select("k_codigo_aluno", "p").collect()}
+    apart = {}
+    for k, m in enumerate(members):
+        own = m.score_prepared(prepared.where(kept("_fold") == k), "p")
+        apart |= {r.k_codigo_aluno: r.p for r in own.select("k_codigo_aluno", "p").collect()}
+    assert len(mine) == 900 and mine == pytest.approx(apart, rel=1e-12)
