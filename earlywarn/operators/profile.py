@@ -204,3 +204,63 @@ def numeric_drift(
     both = stats(before, "before").join(stats(after, "after"), "column")
     shift = F.try_divide(F.col("mean_after") - F.col("mean_before"), F.col("std_before"))
     return both.withColumn("shift", shift)
+
+
+def distribution_drift(
+    before: DataFrame, after: DataFrame, columns: Sequence[str], bins: int = 10, floor: float = 1e-6
+) -> DataFrame:
+    """How far each number's distribution moved: PSI, largest gap, and the shares beyond the earlier range.
+
+    The earlier batch sets the bins: ``bins`` of equal width from its least to its greatest value, one
+    below, one above and one for missing values (NULL and NaN). Both batches then pass one flagged scan
+    into one histogram, whose counts add up, so it can be merged with those of other batches. ``psi``
+    sums over all bins with shares of at least ``floor``; ``largest_gap`` is the largest difference of
+    the cumulated shares of present values at the bins' ends. A column without a value in the earlier
+    batch has a single bin for whatever comes; a batch without rows has shares of zero.
+    """
+    names = list(columns)
+
+    def numbers(df: DataFrame, old: bool) -> DataFrame:
+        xs = [F.nanvl(named(c).cast("double"), F.lit(None).cast("double")).alias(f"_x{i}") for i, c in enumerate(names)]
+        return df.select(F.lit(old).alias("_old"), *xs)
+
+    both = numbers(before, True).unionByName(numbers(after, False))
+    edges = both.where("_old").agg(
+        *[F.min(f"_x{i}").alias(f"lo{i}") for i in range(len(names))],
+        *[F.max(f"_x{i}").alias(f"hi{i}") for i in range(len(names))],
+    ).first()
+
+    def bin_of(i: int) -> Column:
+        x, lo, hi = F.col(f"_x{i}"), edges[f"lo{i}"], edges[f"hi{i}"]
+        if lo is None:
+            return F.when(x.isNull(), -1).otherwise(bins + 1)
+        inside = F.lit(1)
+        if hi > lo:
+            inside = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins))), F.lit(bins - 1)).cast("int") + 1
+        return F.when(x.isNull(), -1).when(x < lo, 0).when(x > hi, bins + 1).otherwise(inside)
+
+    pairs = F.array(*[F.struct(F.lit(i).alias("_i"), bin_of(i).alias("bin")) for i in range(len(names))])
+    histogram = both.select("_old", F.inline(pairs)).groupBy("_i", "bin").agg(
+        F.count_if("_old").alias("n_before"), F.count_if(~F.col("_old")).alias("n_after")
+    )
+    # From here on, bins + 3 rows a column at most.
+    every = Window.partitionBy("_i")
+    upto = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shown = F.when(F.col("bin") >= 0, 1).otherwise(0)
+    shares = {}
+    for side in ("before", "after"):
+        n = F.col(f"n_{side}")
+        shares[f"p_{side}"] = F.coalesce(F.try_divide(n, F.sum(n).over(every)), F.lit(0.0))
+        shares[f"c_{side}"] = F.coalesce(
+            F.try_divide(F.sum(n * shown).over(upto), F.sum(n * shown).over(every)), F.lit(0.0)
+        )
+    p, q = F.greatest("p_before", F.lit(floor)), F.greatest("p_after", F.lit(floor))
+    beyond = F.col("bin").isin(0, bins + 1)
+    out = histogram.withColumns(shares).groupBy("_i").agg(
+        F.sum((q - p) * F.log(q / p)).alias("psi"), F.max(F.abs(F.col("c_after") - F.col("c_before"))).alias("largest_gap"),
+        F.sum(F.when(beyond, F.col("p_after")).otherwise(0.0)).alias("beyond"),
+        F.sum(F.when(F.col("bin") == -1, F.col("p_before")).otherwise(0.0)).alias("missing_before"),
+        F.sum(F.when(F.col("bin") == -1, F.col("p_after")).otherwise(0.0)).alias("missing_after"),
+    )
+    listed = F.array(*map(F.lit, names))
+    return out.select(F.get(listed, F.col("_i")).alias("column"), "psi", "largest_gap", "beyond", "missing_before", "missing_after")

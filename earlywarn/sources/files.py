@@ -208,6 +208,54 @@ def check_contract(
     return sorted(set(required) - set(critical) - present)
 
 
+def contract_report(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    required: Sequence[str] = tuple(REQUIRED_COLUMNS),
+    critical: Sequence[str] = tuple(CRITICAL_COLUMNS),
+    encoding: str = "UTF-8",
+) -> DataFrame:
+    """(file, rule, column, rows): one row for each rule that a file below ``path`` breaks.
+
+    Where :func:`check_contract` stops at the first fault of one table, this looks at every file of a
+    landing zone in one job and stops at none: names other than ``.csv``, headers that cannot be read,
+    critical and other required columns that are missing, columns named twice, files without rows.
+    ``rows`` are the lines after the header. Spark's readers do not list files of no bytes at all. Headers are read alone; lines are counted where they lie
+    and combined before anything moves.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    # Readers spell a file's name in two ways; the listing knows both.
+    files = listed.select(F.col("path").alias("file"), F.col("_metadata.file_path").alias("_uri"))
+    lines = spark.read.option("recursiveFileLookup", True).text(paths).where(F.trim("value") != "")
+    counts = lines.groupBy(F.col("_metadata.file_path").alias("_uri")).agg(F.count(F.lit(1)).alias("_lines"))
+    headers = header_catalogue(spark, paths, encoding=encoding).groupBy("file").agg(
+        F.collect_list("header").alias("_headers")
+    )
+    known = files.join(headers, "file", "left").join(counts, "_uri", "left")
+    has = F.coalesce("_headers", F.array().cast("array<string>"))
+    rows = F.greatest(F.coalesce("_lines", F.lit(0)) - 1, F.lit(0)).cast("bigint")
+    sure = set(critical)
+    missing = [(c, "critical column missing" if c in sure else "column missing") for c in dict.fromkeys([*critical, *required])]
+
+    def fault(broken: Column, rule: str, column: str = "") -> Column:
+        return F.when(broken, F.struct(F.lit(rule).alias("rule"), F.lit(column).alias("column")))
+
+    readable = F.col("_headers").isNotNull()
+    twice = F.filter(F.array_distinct(has), lambda h: F.size(F.filter(has, lambda o: o == h)) > 1)
+    faults = F.concat(
+        F.array(
+            fault(~F.lower("file").endswith(".csv"), "not a .csv file"),
+            fault(~readable & (F.coalesce("_lines", F.lit(0)) > 0), "header unreadable"),
+            fault(rows == 0, "no rows"),
+            *[fault(readable & ~F.array_contains(has, c), rule, c) for c, rule in missing],
+        ),
+        F.transform(twice, lambda h: F.struct(F.lit("column repeated").alias("rule"), h.alias("column"))),
+    )
+    broken = known.select("file", rows.alias("rows"), F.explode(F.filter(faults, lambda f: f.isNotNull())).alias("_f"))
+    return broken.select("file", "_f.rule", "_f.column", "rows")
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"').csv(path)
 

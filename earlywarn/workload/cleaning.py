@@ -37,6 +37,7 @@ from earlywarn.session import scratch_path
 from earlywarn.sources.files import (
     DROP,
     header_catalogue,
+    contract_report,
     malformed_rows,
     read_delimited,
     unreadable_files,
@@ -554,6 +555,38 @@ def header_scan(spark, sf_dir):
     return found.unionByName(bad)
 
 
+@query(
+    "contract_report",
+    """WITH f AS (SELECT o_orderkey % 4 AS k, count(*) AS n FROM orders GROUP BY 1)
+SELECT 'half' AS name, 'critical column missing' AS rule, 'o_orderstatus' AS "column", n AS rows FROM f WHERE k = 1
+UNION ALL SELECT 'half', 'column missing', 'o_totalprice', n FROM f WHERE k = 1
+UNION ALL SELECT 'plain', 'not a .csv file', '', n FROM f WHERE k = 2
+UNION ALL SELECT 'twice', 'not a .csv file', '', n FROM f WHERE k = 3
+UNION ALL SELECT 'twice', 'column repeated', 'o_custkey', n FROM f WHERE k = 3
+UNION ALL SELECT 'empty', 'no rows', '', 0 WHERE (SELECT count(*) FROM orders) > 0""",
+)
+def contract_report_(spark, sf_dir):
+    """A landing zone of five folders, four of which break their contract in one way or another."""
+    root = scratch_path(spark, "landing")
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    orders = table(spark, sf_dir, "orders").select(*names, (F.col("o_orderkey") % 4).alias("k"))
+
+    def part(k):
+        return orders.where(F.col("k") == k).select(*names).repartition(2, "o_orderkey")
+
+    write_delimited(part(0), f"{root}/whole")
+    write_delimited(part(1).select(*names[:2]), f"{root}/half", sep=";")
+    write_delimited(part(0).limit(0).coalesce(1), f"{root}/empty")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    for k, folder, head in ((2, "plain", names), (3, "twice", [*names, "o_custkey"])):
+        cells = F.concat_ws(",", *[F.col(c).cast("string") for c in head])
+        line = F.concat(F.when(first, F.lit(",".join(head) + "\n")).otherwise(F.lit("")), cells)
+        part(k).select(line.alias("value")).write.text(f"{root}/{folder}")
+    found = contract_report(spark, f"{root}/*", required=names, critical=names[:3])
+    name = F.element_at(F.split("file", "/"), -2).alias("name")
+    return found.groupBy(name, "rule", "column").agg(F.sum("rows").alias("rows"))
+
+
 @query(
     "malformed_rows",
     """SELECT o_orderkey, o_orderpriority, 'kept' AS kind FROM orders WHERE o_orderkey % 7 > 1
@@ -567,9 +600,11 @@ def broken_and_kept(spark, sf_dir):
         F.when(F.col("o_orderkey") % 7 == 0, F.concat_ws(",", *cells, F.lit("more")))
         .when(F.col("o_orderkey") % 7 == 1, F.concat_ws(",", *cells[:2])).otherwise(F.concat_ws(",", *cells))
     )
-    lines = table(spark, sf_dir, "orders").select(line.alias("value"))
-    head = spark.range(1).select(F.lit("key,filler,priority").alias("value"))
-    head.unionByName(lines).coalesce(1).write.text(path)
+    # Each task writes a file of its own, whose first line is the header.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    head = F.when(first, F.lit("key,filler,priority\n")).otherwise(F.lit(""))
+    lines = table(spark, sf_dir, "orders").repartition(4, "o_orderkey").select(line.alias("line"))
+    lines.select(F.concat(head, "line").alias("value")).write.text(path)
     good = read_delimited(spark, path, bad_rows=DROP).select(
         F.col("key").try_cast("bigint").alias("o_orderkey"),
         F.replace("priority", F.lit(', "q"'), F.lit("")).alias("o_orderpriority"), F.lit("kept").alias("kind"),

@@ -8,6 +8,7 @@ from earlywarn.operators.profile import (
     category_drift,
     column_profile,
     distinct_counts,
+    distribution_drift,
     high_missing,
     missing_fractions,
     numeric_drift,
@@ -209,3 +210,31 @@ def drift_of_numbers(spark, sf_dir):
     )
     df = numeric_drift(before, after, ["value"], label="is_error")
     return df.select("column", *[r6(c).alias(c) for c in df.columns if c != "column"])
+
+
+@query(
+    "distribution_drift",
+    f"""WITH {_HALVES}, r AS (
+  SELECT TRUE AS old, CASE WHEN value >= 5 THEN value END AS value, user_id % 97 * 1e0 AS user FROM a
+  UNION ALL SELECT FALSE, CASE WHEN value >= 4 THEN value * 1.1 END, user_id % 101 * 1e0 FROM b),
+l AS (SELECT old, unnest(['value', 'user']) AS "column", unnest([value, user]) AS x FROM r),
+e AS (SELECT "column", min(x) AS lo, max(x) AS hi FROM l WHERE old GROUP BY 1),
+h AS (SELECT "column", old, CASE WHEN x IS NULL THEN -1 WHEN x < lo THEN 0 WHEN x > hi THEN 11
+        ELSE least(floor((x - lo) / (hi - lo) * 10e0), 9) + 1 END AS bin FROM l JOIN e USING ("column")),
+c AS (SELECT "column", bin, CAST(count_if(old) AS DOUBLE) AS nb, CAST(count_if(NOT old) AS DOUBLE) AS na FROM h GROUP BY ALL),
+s AS (SELECT *, nb / sum(nb) OVER k AS p, na / sum(na) OVER k AS q,
+        sum(CASE WHEN bin >= 0 THEN nb ELSE 0 END) OVER u / sum(CASE WHEN bin >= 0 THEN nb ELSE 0 END) OVER k AS cb,
+        sum(CASE WHEN bin >= 0 THEN na ELSE 0 END) OVER u / sum(CASE WHEN bin >= 0 THEN na ELSE 0 END) OVER k AS ca
+      FROM c WINDOW k AS (PARTITION BY "column"), u AS (PARTITION BY "column" ORDER BY bin ROWS UNBOUNDED PRECEDING))
+SELECT "column", round(sum((greatest(q, 1e-6) - greatest(p, 1e-6)) * ln(greatest(q, 1e-6) / greatest(p, 1e-6))), 6) AS psi,
+  round(max(abs(ca - cb)), 6) AS largest_gap, round(sum(CASE WHEN bin IN (0, 11) THEN q ELSE 0 END), 6) AS beyond,
+  round(sum(CASE WHEN bin = -1 THEN p ELSE 0 END), 6) AS missing_before,
+  round(sum(CASE WHEN bin = -1 THEN q ELSE 0 END), 6) AS missing_after FROM s GROUP BY 1""",
+)
+def drift_of_distributions(spark, sf_dir):
+    value, user = F.col("value"), F.col("user_id")
+    before, after = _halves(spark, sf_dir)
+    before = before.select(F.when(value >= 5, value).alias("value"), (user % 97).alias("user"))
+    after = after.select(F.when(value >= 4, value * 1.1).alias("value"), (user % 101).alias("user"))
+    df = distribution_drift(before, after, ["value", "user"])
+    return df.select("column", *[r6(c).alias(c) for c in df.columns if c != "column"])

@@ -158,3 +158,59 @@ def test_arriving_files_of_any_layout_equal_the_batch(spark, tmp_path):
     got = sorted((r["a"], r["b"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     batch = sorted((r["a"], r["b"]) for r in read_delimited(spark, str(landing)).collect())
     assert got == batch == [("1", 'say "hi", x'), ("2", "p;q")]
+
+
+def test_contract_report_names_every_fault_of_every_file(spark, tmp_path):
+    from earlywarn.sources.files import contract_report
+
+    files = {
+        "good one.csv": "a,b\n1,2\n\n3,4\n", "semicolons.csv": "b;c;c\n1;2;3\n", "head.csv": "a,b\n", "nothing.csv": "",
+        "list.txt": "a,b\n1,2\n", "latin.csv": "ação,b\n1,2\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode("latin-1"))
+    found = contract_report(spark, str(tmp_path), required=["a", "b"], critical=["a"]).collect()
+    got = sorted((r.file.rsplit("/", 1)[1].replace("%20", " "), r.rule, r["column"], r.rows) for r in found)
+    assert got == sorted([
+        ("semicolons.csv", "critical column missing", "a", 1), ("semicolons.csv", "column repeated", "c", 1),
+        ("head.csv", "no rows", "", 0), ("list.txt", "not a .csv file", "", 1),
+        ("latin.csv", "header unreadable", "", 1),
+    ])
+
+
+def test_a_replayed_batch_repeats_its_manifest(spark, tmp_path, monkeypatch):
+    from pyspark.sql import Row
+
+    from earlywarn.sources.files import write_delimited
+    from earlywarn.streaming import arrivals
+
+    folder, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    newest = ["m1"]
+    monkeypatch.setattr(arrivals, "list_runs", lambda s, r: s.createDataFrame([Row(model_id=newest[0], version="1")]))
+    monkeypatch.setattr(arrivals, "load_model", lambda m, r: m)
+
+    def arrive(name, values):
+        write_delimited(spark.createDataFrame([(v,) for v in values], "v string").coalesce(1), f"{folder}/{name}")
+
+    def go(fail=False):
+        def transform(model, rows):
+            if fail:
+                raise RuntimeError("killed after the manifest")
+            return rows.withColumn("p", F.lit(model))
+
+        query = arrivals.run_files_with_model(spark, f"{folder}/*", ["v"], "registry", target, state, transform=transform)
+        try:
+            query.awaitTermination()
+        except Exception:
+            assert fail
+
+    arrive("a", ["1", "2"])
+    go(fail=True)
+    newest[0] = "m2"  # saved before the batch is replayed
+    go()
+    arrive("b", ["3"])
+    go()
+    rows = spark.read.parquet(f"{target}/scored").collect()
+    assert sorted((r.v, r.p, r.model_id) for r in rows) == [("1", "m1", "m1"), ("2", "m1", "m1"), ("3", "m2", "m2")]
+    manifest = spark.read.json(f"{target}/manifest").collect()
+    assert sorted((r.model_id, len(r.files)) for r in manifest) == [("m1", 1), ("m2", 1)]

@@ -218,3 +218,21 @@ def test_scores_are_read_once_for_all_rank_measures(spark, tmp_path):
     steps = score_steps(scores, "p", "y")
     assert steps.agg(F.sum("pos"), F.max("neg_all")).first()[:] == (100, 400)
     assert seen.value == 500 and "parquet" not in steps._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distribution_drift_of_odd_columns(spark):
+    from earlywarn.operators.profile import distribution_drift
+
+    before = spark.createDataFrame([(1.0, None, 5.0), (2.0, None, 5.0), (None, None, 5.0), (float("nan"), None, 5.0)], "a double, b double, c double")
+    after = spark.createDataFrame([(0.0, 3.0, 5.0), (9.0, None, 6.0), (2.0, None, 5.0)], "a double, b double, c double")
+    got = {r["column"]: r for r in distribution_drift(before, after, ["a", "b", "c"]).collect()}
+    assert got["a"].beyond == pytest.approx(2 / 3) and (got["a"].missing_before, got["a"].missing_after) == (0.5, 0.0)
+    assert got["a"].largest_gap == pytest.approx(1 / 3) or got["a"].largest_gap == pytest.approx(1 / 2)
+    assert got["b"].beyond == pytest.approx(1 / 3) and got["b"].missing_before == 1.0
+    assert got["c"].beyond == pytest.approx(1 / 3) and got["c"].largest_gap == pytest.approx(1 / 3)
+    same = {r["column"]: r for r in distribution_drift(before, before, ["a", "b", "c"]).collect()}
+    assert all(r.psi == 0.0 and r.largest_gap == 0.0 and r.beyond == 0.0 for r in same.values())
+    none = distribution_drift(before, before.limit(0), ["a"]).first()
+    assert none.psi > 0 and none.missing_after == 0.0
+    plan = distribution_drift(before, after, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1 and "Join" not in plan
