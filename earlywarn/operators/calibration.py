@@ -350,8 +350,10 @@ def score_by_member(prepared: DataFrame, member: str, members: Sequence[Member],
             m.encoder.encoding_of(c).withColumn(member, F.lit(k))
             for k, m in enumerate(members) if c in m.encoder.state["target"]
         ]
-        rows = sum(m.encoder.state["encoding_rows"] for m in members)
-        ready = lookup_join(ready, reduce(DataFrame.unionByName, tables), [member, f"x_{c}"], rows=rows)
+        rows, size = (sum(m.encoder.state[s] for m in members) for s in ("encoding_rows", "encoding_bytes"))
+        ready = lookup_join(
+            ready, reduce(DataFrame.unionByName, tables), [member, f"x_{c}"], rows=rows, size=size
+        )
     chosen = F.lit(None).cast("double")
     columns = [*prepared.columns]
     for k, m in enumerate(members):

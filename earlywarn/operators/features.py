@@ -146,9 +146,15 @@ def _state(spec: FeatureSpec, stats: Sequence[NumericStats]) -> dict[str, Any]:
         "target": [],
         "prior": 0.0,
         "encoding_rows": 0,
+        "encoding_bytes": 0,
     }
 
 
+def _value_bytes() -> Column:
+    """What the encodings of a column take up at most: name, value and number of each category."""
+    return F.sum(F.coalesce(F.octet_length("value"), F.lit(0)) + 64).alias("bytes")
+
+
 @dataclass(frozen=True)
 class Moments:
     """Count, mean and summed squared deviation of some values; moments of disjoint rows add up."""
@@ -235,6 +241,7 @@ def fit_complements(
             *[F.count_if(left_n[k] > 0).alias(f"k{k}") for k in range(folds)],
             *[F.sum(left_n[k]).alias(f"n{k}") for k in range(folds)],
             *[F.sum(left_y[k]).alias(f"y{k}") for k in range(folds)],
+            _value_bytes(),
         ).collect()
     }
     few = [
@@ -259,6 +266,7 @@ def fit_complements(
             state["target"] = [c[2:] for c in many]
             state["prior"] = size[f"y{k}"] / size[f"n{k}"]
             state["encoding_rows"] = sum(sizes[c][f"k{k}"] for c in many)
+            state["encoding_bytes"] = sum(sizes[c]["bytes"] for c in many)
             encoded = smoothed_mean(left_n[k], left_y[k] / left_n[k], F.lit(state["prior"]), spec.encoder)
             model.encodings = counted.where(F.col("feature").isin(many) & (left_n[k] > 0)).select(
                 F.expr("substring(feature, 3)").alias("feature"), "value", encoded.alias("encoded")
@@ -322,7 +330,7 @@ class FeatureEncoder(Estimator):
                 r["feature"]: r
                 for r in stats.groupBy("feature")
                 .agg(F.count("*").alias("k"), F.sum("n").alias("rows"),
-                     F.sum(F.col("n") * F.col("mean")).alias("y"))
+                     F.sum(F.col("n") * F.col("mean")).alias("y"), _value_bytes())
                 .collect()
             }
             few = [c for c in columns if c in sizes and sizes[c]["k"] <= spec.encoder.max_onehot]
@@ -336,6 +344,7 @@ class FeatureEncoder(Estimator):
             state["target"] = [c[2:] for c in many]
             state["prior"] = sizes[many[0]]["y"] / sizes[many[0]]["rows"]
             state["encoding_rows"] = sum(sizes[c]["k"] for c in many)
+            state["encoding_bytes"] = sum(sizes[c]["bytes"] for c in many)
             encoded = smoothed_mean(F.col("n"), F.col("mean"), F.lit(state["prior"]), spec.encoder)
             # Scoring must not depend on the training rows any more.
             return pin(
@@ -379,7 +388,10 @@ class FeatureEncoderModel(Model, MLWritable, MLReadable):
         """Append encoded columns ``f0 … fn`` in lineage order."""
         ready = prepared
         for c in self.state["target"]:
-            ready = lookup_join(ready, self.encoding_of(c), [f"x_{c}"], rows=self.state["encoding_rows"])
+            ready = lookup_join(
+                ready, self.encoding_of(c), [f"x_{c}"], rows=self.state["encoding_rows"],
+                size=self.state.get("encoding_bytes"),
+            )
         columns = map(named, prepared.columns)
         return ready.select(*columns, *[c.alias(f"f{i}") for i, c in enumerate(self.encoded_columns())])
 

@@ -1,9 +1,10 @@
 """Header matching for a whole landing zone: (file, position, header) -> canonical field.
 
 Per (file, field) the first of these wins: an exact alias, the special rule for the field, the number
-of hint words in the header, a fuzzy name score. Every stage is a row-wise expression on a header, and the
-choice of the best header is one maximum per field in a single aggregation by file. That combines
-map-side, so no task ever holds all headers of a file, and needs neither a join nor an explode.
+of hint words in the header, a fuzzy name score. Files of one source share most of their headers, so a
+dictionary of distinct headers is scored, once each, and joined to their occurrences. The choice of the
+best header is one maximum per field in a single aggregation by file, which combines map-side: no task
+ever holds all headers of a file.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earlywarn.functions import normalise_header
+from earlywarn.operators.lookups import lookup_join
 from earlywarn.presets import (
     FUZZY_THRESHOLD,
     HEADER_ALIASES,
@@ -23,6 +25,7 @@ from earlywarn.presets import (
     SCORING_FIELDS,
     TRAINING_FIELDS,
 )
+from earlywarn.session import pin
 
 
 @dataclass(frozen=True)
@@ -50,21 +53,31 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Letters and digits that spellings are compared by before any edit distance, each a bit of a number.
+_BAG = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _bag(text: str) -> int:
+    return sum(1 << i for i, c in enumerate(_BAG) if c in text)
+
+
 def _spell(df: DataFrame) -> DataFrame:
     """Add the forms of the header that the scores look at."""
-    words = df.selectExpr("*", "translate(norm, '_', ' ') AS plain", "length(norm) AS size")
+    bits = " | ".join(f"IF(contains(norm, '{c}'), {1 << i}L, 0L)" for i, c in enumerate(_BAG))
+    words = df.selectExpr("*", "translate(norm, '_', ' ') AS plain", "length(norm) AS size", f"{bits} AS bag")
     return words.selectExpr("*", "array_join(array_sort(split(plain, ' ')), ' ') AS sorted")
 
 
 def _fuzzy_sql(name: str, spec: MatchSpec) -> str:
     """0-100 from the edit distance, the better of the plain and the word-sorted spelling.
 
-    The distance is at least the difference in length, which rules most pairs out without computing
-    it: those score NULL.
+    The distance is at least the difference in length, and at least the number of letters that only one
+    of the two has. Most pairs are ruled out by these without computing it: they score NULL.
     """
-    n, words = len(name), name.replace("_", " ")
+    n, words, bag = len(name), name.replace("_", " "), _bag(name)
     ordered = " ".join(sorted(words.split(" ")))
-    return f"""CASE WHEN abs(size - {n}) <= greatest(size, {n}) * {1.0 - spec.threshold / 100.0!r}D
+    least = f"greatest(abs(size - {n}), bit_count(bag & {~bag}L), bit_count({bag}L & ~bag))"
+    return f"""CASE WHEN {least} <= greatest(size, {n}) * {1.0 - spec.threshold / 100.0!r}D
         THEN 100D * (1D - least(levenshtein({_text(words)}, plain), levenshtein({_text(ordered)}, sorted))
                           / CAST(greatest(size, {n}) AS DOUBLE)) END"""
 
@@ -96,6 +109,20 @@ def _fit_sql(i: int, name: str, spec: MatchSpec) -> str:
     return "CASE " + " ".join(f"WHEN {test} THEN {then}" for test, then in rules) + " END"
 
 
+def header_dictionary(catalogue: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
+    """``header, c0, c1, …``: how well each distinct header fits each field, stored.
+
+    Spellings that normalise alike are scored once.
+    """
+    fields = list(enumerate(spec.fields))
+    heads = catalogue.where(F.col("header").isNotNull()).select("header").distinct()
+    heads = pin(heads.select("header", normalise_header("header").alias("norm")))
+    spelled = _spell(heads.select("norm").distinct())
+    graded = spelled.selectExpr("*", *[f"{_fuzzy_sql(name, spec)} AS z{i}" for i, name in fields])
+    fitted = graded.selectExpr("norm", *[f"{_fit_sql(i, name, spec)} AS c{i}" for i, name in fields])
+    return pin(heads.join(fitted, "norm").drop("norm"))
+
+
 def match_headers(catalogue: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:
     """One row per file and field: the chosen header (NULL when none fits), stage and grade.
 
@@ -103,11 +130,9 @@ def match_headers(catalogue: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFr
     fields; an alias that points nowhere does not take its header out of the later stages.
     """
     fields = list(enumerate(spec.fields))
-    base = catalogue.select("file", "position", "header", normalise_header("header").alias("norm"))
-    spelled = _spell(base).selectExpr("*", *[f"{_fuzzy_sql(name, spec)} AS z{i}" for i, name in fields])
-    fitted = spelled.selectExpr(
-        "file", "position", "header", *[f"{_fit_sql(i, name, spec)} AS c{i}" for i, name in fields]
-    )
+    dictionary = header_dictionary(catalogue, spec)
+    listed = catalogue.select("file", "position", "header")
+    fitted = lookup_join(listed, dictionary, ["header"], rows=dictionary.count())
     # Ordered by stage, then grade, then the earliest header.
     full = "named_struct('stage', {0}.stage, 'grade', {0}.grade, 'early', -position, 'header', header)"
     scored = fitted.selectExpr(

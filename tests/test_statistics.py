@@ -236,3 +236,48 @@ def test_distribution_drift_of_odd_columns(spark):
     assert none.psi > 0 and none.missing_after == 0.0
     plan = distribution_drift(before, after, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Union") == 1 and "Join" not in plan
+
+
+@pytest.fixture
+def crowded(spark):
+    """A third of the rows under one key, a third without a key, the rest under keys of their own."""
+    k = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id"))
+    return spark.range(0, 9000).select("id", k.cast("bigint").alias("k"))
+
+
+def test_hot_keys_are_found_and_only_they_are_copied(spark, crowded, monkeypatch):
+    from earlywarn.operators import lookups
+
+    hashes = dict(crowded.select("k", F.xxhash64("k")).distinct().collect())
+    assert set(lookups.hot_keys(crowded, ["k"])) == {hashes[7], hashes[None]}
+    table = spark.range(0, 6000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert lookups.hot_keys(table.select("k"), ["k"]) == [] == lookups.hot_keys(table.limit(0), ["k"])
+    want = crowded.join(table, "k", "left").select("id", "k", "v")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    copied = []
+    original = lookups.F.explode
+    monkeypatch.setattr(lookups.F, "explode", lambda c: copied.append(c) or original(c))
+    for rows in (None, 6000):
+        monkeypatch.setattr(lookups, "MAX_BROADCAST_BYTES", 1000)  # few rows, too many bytes
+        got = lookups.lookup_join(crowded, table.mapInArrow(count, table.schema), ["k"], rows=rows).select("id", "k", "v")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == 9000
+    assert len(copied) == 2
+    copies = table.withColumn("_s", F.xxhash64("k").isin(lookups.hot_keys(crowded, ["k"])))
+    assert copies.where("_s").count() == 1  # 15 more rows, not 15 times the table
+    plain = lookups.lookup_join(crowded, table, ["k"], salts=1).select("id", "k", "v")
+    assert plain.exceptAll(want).isEmpty()
+
+
+def test_a_table_of_long_values_is_not_broadcast(spark):
+    from earlywarn.operators import lookups
+
+    long = spark.range(0, 20).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 5_000_000).alias("v"))
+    assert lookups.table_bytes(long) > lookups.MAX_BROADCAST_BYTES
+    joined = lookups.lookup_join(spark.range(0, 5).toDF("k"), long, ["k"], rows=20, salts=1)
+    assert "broadcast" not in joined._jdf.queryExecution().logical().toString()
