@@ -43,6 +43,7 @@ from earlywarn.operators.splits import (
     VALIDATION,
     YearSplit,
     automatic_split,
+    hash_fraction,
     years_present,
 )
 from earlywarn.presets import COMPLETED_STATUSES, DROPOUT_STATUSES
@@ -278,12 +279,42 @@ def best_prefix(losses: Sequence[float], patience: int = PATIENCE) -> tuple[int,
     return best + 1, False
 
 
+# A rung keeps one trial in so many, and gives those it keeps so many times the trees and rows.
+HALVING = 3
+# Earlier rungs use at least so many rows, if there are as many, and so many trees: with less, settings
+# cannot be told apart.
+RUNG_ROWS = 20_000
+RUNG_TREES = 5
+
+
+@dataclass(frozen=True)
+class Rung:
+    trials: int
+    trees: int
+    share: float
+
+
+def rungs(trials: int, most_trees: int, rows: int) -> list[Rung]:
+    """How many trials grow how many trees on what share of the training rows, cheapest first. The last
+    rung has all trees and all rows."""
+    steps = min(2, int(math.log(max(trials, 1), HALVING) + 1e-9))
+    out = []
+    for step in range(steps):
+        part = HALVING ** (steps - step)
+        share = min(1.0, max(1.0 / part, RUNG_ROWS / max(rows, 1)))
+        out.append(Rung(-(-trials // HALVING**step), min(most_trees, max(RUNG_TREES, min(most_trees, 2 * PATIENCE) // part)), share))
+    return [*out, Rung(-(-trials // HALVING**steps), most_trees, 1.0)]
+
+
 def search(df: DataFrame, spec: TrainSpec) -> DataFrame:
     """Try ``spec.trials`` boosted-tree settings on one split; one row per trial, best first.
 
     The split and the encoders do not depend on the trial, so they are computed once and the
-    assembled vectors are kept. A trial grows its trees in doubling budgets until ``PATIENCE`` of them
-    bring no gain on the later side (all prefixes are measured in one pass) and keeps the best prefix.
+    assembled vectors are kept. All trials start small, with few trees on a hashed share of the training
+    rows; only the best third of a rung goes on to the next, with three times of both. The few that
+    reach the last rung see all rows and grow their trees in doubling budgets until ``PATIENCE`` of them
+    bring no gain on the later side (all prefixes are measured in one pass), and keep the best prefix.
+    ``rung`` is the last rung a trial reached and ``loss`` what it had there; ties keep the earlier draw.
     """
     rows = used_columns(training_rows(df, spec), spec).persist()
     check_labels(rows, spec.label)
@@ -294,48 +325,63 @@ def search(df: DataFrame, spec: TrainSpec) -> DataFrame:
     ).fit(train_rows)
     marked = train_rows.withColumn("_held", F.lit(False)).unionByName(
         held.withColumn("_held", F.lit(True))
-    )
+    ).withColumn("_place", hash_fraction(spec.keys, spec.model.seed + 1))
     weighted = with_balanced_weights(encoder.transform(marked), spec.label, counts)
     vectors = sized_tasks(
-        weighted.select("_features", "_label", "_weight", "_held"), sum(counts.values())
+        weighted.select("_features", "_label", "_weight", "_held", "_place"), sum(counts.values())
     ).persist()
 
-    def attempt(params: dict[str, Any]) -> tuple[float | None, int]:
-        def grown(trees: int):
-            options = {**params, "n_estimators": trees}
-            trial = replace(spec.model, kind=GBT, params=tuple(options.items()))
-            return build_classifier(trial, 0.0).fit(vectors.where("NOT _held"))
+    def grown(params: dict[str, Any], trees: int, share: float):
+        options = {**params, "n_estimators": trees}
+        trial = replace(spec.model, kind=GBT, params=tuple(options.items()))
+        return build_classifier(trial, 0.0).fit(vectors.where(~F.col("_held") & (F.col("_place") < share)))
 
-        most = int(spec.model.options.get("n_estimators", 1000))
+    def loss_of(fitted) -> float:
+        scored = fitted.transform(vectors.where("_held"))
+        slim = scored.select(positive_probability("_prob", [0, 1]).alias("p"), "_label")
+        auc = roc_auc(slim, "p", "_label").first()["roc_auc"]
+        return 0.5 if auc is None else 1.0 - auc
+
+    def full(params: dict[str, Any], most: int) -> tuple[float, int]:
         trees = min(most, 2 * PATIENCE)
         while True:
-            fitted = grown(trees)
+            fitted = grown(params, trees, 1.0)
             best, ended = best_prefix(fitted.evaluateEachIteration(vectors.where("_held")))
             if ended or trees == most:
                 break
             trees = min(most, 2 * trees)
         # Trees are seeded by their number, so a fit of the best size is the best prefix.
-        fitted = fitted if best == trees else grown(best)
-        scored = fitted.transform(vectors.where("_held"))
-        slim = scored.select(positive_probability("_prob", [0, 1]).alias("p"), "_label")
-        return roc_auc(slim, "p", "_label").first()["roc_auc"], fitted.getNumTrees
+        fitted = fitted if best == trees else grown(params, best, 1.0)
+        return loss_of(fitted), fitted.getNumTrees
+
+    def attempt(params: dict[str, Any], rung: Rung, last: bool) -> tuple[float, int]:
+        if last:
+            return full(params, rung.trees)
+        return loss_of(grown(params, rung.trees, rung.share)), rung.trees
 
     draws = draw_trials(spec.trials, spec.model.seed)
+    ladder = rungs(spec.trials, int(spec.model.options.get("n_estimators", 1000)), sum(counts.values()))
+    reached: dict[int, tuple[int, float, int]] = {}
+    alive = list(range(spec.trials))
     try:
-        scores = in_parallel([lambda d=d: attempt(d) for d in draws], spec.model.parallelism)
+        for k, rung in enumerate(ladder):
+            # The best of the rung before; sorting is stable, so ties keep the order of the draws.
+            alive = sorted(alive, key=lambda i: reached[i][1] if i in reached else 0.0)[: rung.trials]
+            last = k == len(ladder) - 1
+            jobs = [lambda i=i: attempt(draws[i], rung, last) for i in alive]  # noqa: B023
+            found = in_parallel(jobs, spec.model.parallelism)
+            reached.update({i: (k, *result) for i, result in zip(alive, found, strict=True)})
     finally:
         vectors.unpersist()
         rows.unpersist()
     # The number of trees at the early stop is part of the setting, for the final fit to repeat.
     table = [
-        (i, 0.5 if auc is None else 1.0 - auc,
-         {k: str(v) for k, v in {**d, "n_estimators": trees}.items()})
-        for i, ((auc, trees), d) in enumerate(zip(scores, draws, strict=True))
+        (i, k, loss, {n: str(v) for n, v in {**draws[i], "n_estimators": trees}.items()})
+        for i, (k, loss, trees) in sorted(reached.items())
     ]
-    spark = df.sparkSession
-    return spark.createDataFrame(table, "trial int, loss double, params map<string,string>").orderBy(
-        "loss", "trial"
-    )
+    return df.sparkSession.createDataFrame(
+        table, "trial int, rung int, loss double, params map<string,string>"
+    ).orderBy(F.desc("rung"), "loss", "trial")
 
 
 def tune_and_train(

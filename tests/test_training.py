@@ -43,6 +43,7 @@ from earlywarn.plans.train import (
     TrainSpec,
     best_prefix,
     draw_trials,
+    rungs,
     search,
     train,
     training_rows,
@@ -506,3 +507,35 @@ def test_out_of_fold_is_one_scan_by_each_rows_own_member(spark, students, tmp_pa
         own = m.score_prepared(prepared.where(kept("_fold") == k), "p")
         apart |= {r.k_codigo_aluno: r.p for r in own.select("k_codigo_aluno", "p").collect()}
     assert len(mine) == 900 and mine == pytest.approx(apart, rel=1e-12)
+
+
+def test_rungs_grow_as_trials_drop():
+    assert [(r.trials, r.trees, r.share) for r in rungs(20, 1000, 10_000_000)] == [
+        (20, 11, pytest.approx(1 / 9)), (7, 33, pytest.approx(1 / 3)), (3, 1000, 1.0)
+    ]
+    assert [(r.trials, r.trees, r.share) for r in rungs(3, 6, 500)] == [(3, 5, 1.0), (1, 6, 1.0)]
+    assert [r.trials for r in rungs(1, 10, 500)] == [1]
+
+
+def test_halving_finds_as_good_a_trial_with_fewer_trees(students, monkeypatch):
+    from earlywarn.plans import train as plans
+
+    grown = []
+    original = plans.build_classifier
+
+    def counting(spec, total):
+        grown.append(spec.options["n_estimators"])
+        return original(spec, total)
+
+    monkeypatch.setattr(plans, "build_classifier", counting)
+    spec = TrainSpec(keys=("codigo_aluno",), model=ModelSpec(GBT, params=(("n_estimators", 27),)), trials=9, split=SPLIT)
+    found = search(students, spec).collect()
+    halved, grown[:] = sum(grown), []
+    assert sorted(r.trial for r in found) == list(range(9))
+    assert [r.rung for r in found] == [2] + [1] * 2 + [0] * 6
+    assert search(students, spec).collect() == found
+    grown.clear()
+    monkeypatch.setattr(plans, "HALVING", 10)  # every trial at once
+    whole = search(students, spec).collect()
+    assert {r.rung for r in whole} == {0} and halved < 0.5 * sum(grown)
+    assert found[0].loss <= whole[0].loss + 0.03
