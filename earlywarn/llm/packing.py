@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from array import array
 from bisect import bisect_right, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from sys import byteorder
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +33,13 @@ class PackSpec:
     tiers: tuple[int, ...] = (4096, 2048, 1024, 512)
     group_pieces: int = 2048
     step_sequences: int = 16
-    cache_words: int = 500_000
+    cache_words: int = 1_000_000
 
 
 _LOADED: dict[str, object] = {}
 _WORD_IDS: dict[str, dict[bytes, bytes]] = {}
+#: Which ids end a word; none in a vocabulary without such a mark.
+_ENDS: dict[str, np.ndarray] = {}
 
 
 def _tokenizer(path: str | None):
@@ -52,53 +54,91 @@ def _tokenizer(path: str | None):
     if path not in _LOADED:
         _LOADED[path] = Tokenizer.from_file(path)
         _WORD_IDS[path] = {}
+        words = _LOADED[path].get_vocab(with_added_tokens=True)
+        _ENDS[path] = np.zeros(max(words.values()) + 1, bool)
+        _ENDS[path][[i for w, i in words.items() if w.endswith("</w>")]] = True
     return _LOADED[path], path
 
 
-#: Marks that are tokens of their own after a letter; a run of them is one piece of text.
-_TAIL = b".,;:!?"
+#: Letters of ASCII and Latin-1, and the marks that are tokens of their own after a letter; a run of them
+#: is one piece of text.
+_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+_CORE = re.compile(rb"(" + _LETTERS + rb")([.,;:!?]*)")
+_LOWER = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 def _core(word: bytes) -> tuple[bytes, bytes] | None:
-    """A word of ASCII letters in lower case, and the marks after it: the vocabulary ignores case and
+    """A word of letters in lower case, and the marks after it: the vocabulary ignores case and
     always divides there, so both are encoded apart and many spellings share a core."""
-    core = word.rstrip(_TAIL)
-    return (core.lower(), word[len(core) :]) if core.isalpha() else None
+    found = _CORE.fullmatch(word)
+    if found is None:
+        return None
+    core, marks = found.groups()
+    return core.lower() if core.isascii() else core.decode().lower().encode(), marks
 
 
-def token_blobs(texts: Iterable[bytes], spec: PackSpec) -> Iterator[bytes]:
+def token_blobs(texts: pa.Array, spec: PackSpec) -> Iterator[bytes]:
     """Each text's ids as little-endian 32-bit numbers, end id last.
 
     The vocabulary's rules never look across white space, so ids of words are remembered and joined.
+    Texts are split and their words numbered by column operations, a few million bytes at a time, so
+    that only the distinct words of each portion are looked up.
     """
-    tokenizer, path = _tokenizer(spec.tokenizer)
     end = np.uint32(spec.end_id).astype("<u4").tobytes()
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy()) >> 22
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+    for start, stop in zip(cuts, cuts[1:]):
+        lists = pc.ascii_split_whitespace(texts.slice(start, stop - start))
+        numbered = lists.flatten().dictionary_encode()
+        blobs = _word_blobs(numbered.dictionary.cast(pa.binary()).to_pylist(), spec)
+        flat = np.frombuffer(b"".join(blobs), "<u4")
+        until = np.cumsum(np.fromiter(map(len, blobs), "int64", len(blobs))) // 4
+        until = np.concatenate([[0], until])
+        codes = numbered.indices.to_numpy()
+        length = until[codes + 1] - until[codes]
+        total = np.concatenate([[0], np.cumsum(length)])
+        at = np.repeat((until[codes] - total[:-1]).astype("int32"), length)  # a portion has far fewer ids than 2^31
+        at += np.arange(len(at), dtype="int32")
+        content = flat.take(at, mode="clip").tobytes() if len(at) else b""
+        offsets = lists.offsets.to_numpy()
+        edges = (total[offsets - offsets[0]] * 4).tolist()
+        for a, b in zip(edges, edges[1:]):
+            yield content[a:b] + end
+
+
+def _word_blobs(words: list[bytes], spec: PackSpec) -> list[bytes]:
+    """The ids of distinct words; what is not remembered is encoded in one go."""
+    tokenizer, path = _tokenizer(spec.tokenizer)
     known = _WORD_IDS[path]
 
-    def encode(words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            encoded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for word, e in zip(some, encoded):
-                ids = array("I", e.ids)
-                if byteorder == "big":
-                    ids.byteswap()
-                known[word] = ids.tobytes()
-
-    for text in texts:
-        words = text.split()
-        if len(known) > spec.cache_words:
-            known.clear()
-        missing = set(words).difference(known)
-        if missing:
-            parts = {w: _core(w) for w in missing}
-            encode(list({
-                part for w, core in parts.items() for part in (core or (w,)) if part and part not in known
-            }))
-            for word, core in parts.items():
-                if core:
-                    known[word] = known[core[0]] + (known[core[1]] if core[1] else b"")
-        yield b"".join([known[w] for w in words]) + end
+    def encode(some: list[bytes]) -> list[bytes]:
+        encoded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def encode_cores(some: list[bytes]) -> list[bytes]:
+        """Letters alone are one piece, whose last token alone has the mark of a word's end: many go into
+        one call and are told apart by it."""
+        out: list[bytes] = []
+        for blob in encode([b" ".join(some[i : i + 64]) for i in range(0, len(some), 64)]):
+            last = (4 * (np.flatnonzero(_ENDS[path][np.frombuffer(blob, "<u4")]) + 1)).tolist()
+            out += [blob[a:b] for a, b in zip([0, *last], last)]
+        return out
+
+    if len(known) > spec.cache_words:
+        known.clear()
+    known[b""] = b""
+    parts = {w: _core(w) for w in words if w not in known}
+    if parts:
+        wanted = {part for w, core in parts.items() for part in (core or (w,)) if part and part not in known}
+        cores = [w for w in wanted if _LOWER.fullmatch(w)] if _ENDS[path].any() else []
+        others = list(wanted.difference(cores))
+        for some, how in ((cores, encode_cores), (others, encode)):
+            for at in range(0, len(some), 4096):
+                known.update(zip(some[at : at + 4096], how(some[at : at + 4096])))
+        for word, core in parts.items():
+            if core:
+                known[word] = known[core[0]] + (known[core[1]] if core[1] else b"")
+    return list(map(known.__getitem__, words))
 
 
 _PIECES = pa.schema([
@@ -111,7 +151,7 @@ def _cut(batches: Iterator[pa.RecordBatch], spec: PackSpec, with_ids: bool) -> I
     window = max(spec.tiers)
     for batch in batches:
         out: list[list] = [[] for _ in _PIECES]
-        texts = (batch.column("text")[i].as_buffer().to_pybytes() for i in range(batch.num_rows))
+        texts = batch.column("text")
         ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
         for doc_id, row, blob in zip(ids, rows, token_blobs(texts, spec)):
             total = len(blob) // 4
