@@ -5,8 +5,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_right, insort
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -175,21 +175,86 @@ def cut_documents(
     return map_arrow(texts, lambda batches: _cut(batches, spec, with_ids), schema)
 
 
-def fill_windows(lengths: list[int], window: int) -> list[list[int]]:
-    """Best fit, longest first: each window opens with the longest piece left, whose tier needs it
-    most; its gap is then filled with the longest piece of any shorter tier that still fits."""
-    left: list[tuple[int, int]] = []
-    for i, n in enumerate(lengths):
-        insort(left, (n, i))
-    windows = []
-    while left:
-        n, i = left.pop()
-        members, room = [i], window - n
-        while room and left and left[0][0] <= room:
-            n, i = left.pop(bisect_right(left, (room, len(lengths))) - 1)
-            members.append(i)
-            room -= n
-        windows.append(members)
+class _Pool:
+    """Pieces by length, to be taken one by one."""
+
+    def __init__(self, lengths: list[int]):
+        self.of: dict[int, list[int]] = {}
+        for i, n in reversed(list(enumerate(lengths))):
+            self.of.setdefault(n, []).append(i)
+        self.lengths = sorted(self.of)
+
+    def take(self, n: int) -> int:
+        members = self.of[n]
+        i = members.pop()
+        if not members:
+            del self.of[n]
+            del self.lengths[bisect_left(self.lengths, n)]
+        return i
+
+    def give(self, n: int, i: int) -> None:
+        if n not in self.of:
+            self.of[n] = []
+            insort(self.lengths, n)
+        self.of[n].append(i)
+
+    def fill(self, room: int, tries: int = 32) -> tuple[list[tuple[int, int]], int]:
+        """Take pieces for a gap, and say what is left of it: one or two that fill it exactly if there are
+        such, else the longest that fits and so on."""
+        taken: list[tuple[int, int]] = []
+        while room:
+            top = bisect_right(self.lengths, room)
+            if not top:
+                break
+            longest = self.lengths[top - 1]
+            pair = [longest]
+            if longest < room:
+                for n in self.lengths[max(0, top - tries) : top][::-1]:
+                    rest = room - n
+                    if rest in self.of and (rest != n or len(self.of[n]) > 1):
+                        pair = [n, rest]
+                        break
+            for n in pair:
+                taken.append((n, self.take(n)))
+                room -= n
+        return taken, room
+
+
+def fill_windows(lengths: list[int], tiers: Sequence[int]) -> list[tuple[int, list[int]]]:
+    """``(context, pieces)`` for each sequence.
+
+    A piece's tier is the smallest context that holds it. Pieces of the longest tier come first, each
+    opening a long window, whose gap is filled from the shorter tiers. Then each shorter tier packs
+    windows of its own size, opened by its longest pieces and filled from itself and the tiers below;
+    such a window stands if nothing of it is left over, since a sequence of its own size needs no
+    padding. Pieces that found no such company fill long windows in the end.
+    """
+    pool, sizes = _Pool(lengths), sorted(tiers)
+    windows: list[tuple[int, list[int]]] = []
+
+    def long_windows(least: int) -> None:
+        while pool.lengths and pool.lengths[-1] > least:
+            n = pool.lengths[-1]
+            i = pool.take(n)
+            taken, _ = pool.fill(sizes[-1] - n)
+            windows.append((sizes[-1], [i, *[j for _, j in taken]]))
+
+    long_windows(sizes[-2] if len(sizes) > 1 else 0)
+    rest: list[tuple[int, int]] = []
+    for below, size in list(zip([0, *sizes], sizes[:-1]))[::-1]:
+        while pool.lengths and pool.lengths[-1] > below:
+            n = pool.lengths[-1]
+            i = pool.take(n)
+            taken, left = pool.fill(size - n)
+            if left:
+                rest.append((n, i))
+                for m, j in taken:
+                    pool.give(m, j)
+            else:
+                windows.append((size, [i, *[j for _, j in taken]]))
+    for n, i in rest:
+        pool.give(n, i)
+    long_windows(0)
     return windows
 
 
@@ -198,34 +263,39 @@ def _pack(pieces: pd.DataFrame, spec: PackSpec) -> pd.DataFrame:
     pieces = pieces.sort_values(["doc_id", "row", "start"], na_position="last", ignore_index=True)
     lengths = pieces["length"].tolist()
     group = int(pieces["group"].iloc[0])
-    windows = fill_windows(lengths, max(spec.tiers))
+    windows = fill_windows(lengths, spec.tiers)
     # Attention costs grow with the square of a piece: deal the dearest sequences out first, to and fro.
-    cost = [sum(lengths[i] ** 2 for i in w) for w in windows]
+    cost = [sum(lengths[i] ** 2 for i in w) for _, w in windows]
     order = sorted(range(len(windows)), key=lambda k: (-cost[k], k))
     steps = -(-len(windows) // spec.step_sequences)
     step_of = [0] * len(windows)
     for place, k in enumerate(order):
         lap, at = divmod(place, steps)
         step_of[k] = at if lap % 2 == 0 else steps - 1 - at
-    sequence, offset, step = (np.zeros(len(pieces), "int64") for _ in range(3))
-    for k, members in enumerate(windows):
+    sequence, offset, step, context = (np.zeros(len(pieces), "int64") for _ in range(4))
+    for k, (size, members) in enumerate(windows):
         at = 0
         for i in members:
             sequence[i], offset[i], step[i] = group << 24 | k, at, group << 24 | step_of[k]
+            context[i] = size
             at += lengths[i]
-    return pieces[["doc_id", "row", "start"]].assign(sequence_id=sequence, offset=offset, step=step)
+    return pieces[["doc_id", "row", "start"]].assign(
+        sequence_id=sequence, offset=offset, step=step, context=context.astype("int32")
+    )
 
 
 def pack_documents(
     docs: DataFrame, spec: PackSpec | None = None, id_col: str = "doc_id", text_col: str = "text",
     with_ids: bool = False,
 ) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, tier, sequence_id, offset, step``.
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, tier, sequence_id, offset, step, context``.
 
     A document's ids are those of its words and the end id; null counts as empty, so it is the end id
-    alone. Documents are cut at full windows only. Every piece goes to the tier of the smallest
-    context that holds it; windows open with pieces of the long tier, and their gaps are filled from
-    the shorter tiers, best fit first. ``step`` numbers balanced groups of sequences. Repeated rows and
+    alone. Documents are cut at full windows only. Every piece goes to the ``tier`` of the smallest
+    context that holds it. Long windows open with pieces of the long tier, and their gaps are filled from
+    the shorter tiers; each shorter tier then packs windows of its own size, of which the full ones stand
+    (see :func:`fill_windows`). ``context`` is the size of a sequence; only those of the longest have
+    padding. ``step`` numbers groups of sequences with balanced costs. Repeated rows and
     ids are packed once each, in any order; ``with_ids`` adds the ids themselves. Empty tables give no
     rows; other columns are not read.
 
@@ -240,7 +310,7 @@ def pack_documents(
     names = ("doc_id", "row", "start", "length")
     placed = pieces.select(*names, group).groupBy("group").applyInPandas(
         lambda pdf: _pack(pdf, spec),
-        "doc_id long, row long, start long, sequence_id long, offset long, step long",
+        "doc_id long, row long, start long, sequence_id long, offset long, step long, context int",
     )
     placed = stored(placed.drop("doc_id"), "placed")
     tier = F.lit(max(spec.tiers))
@@ -248,6 +318,6 @@ def pack_documents(
         tier = F.when(F.col("length") <= size, size).otherwise(tier)
     out = pieces.join(placed, ["row", "start"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", tier.alias("tier"), "sequence_id", "offset",
-        "step", *(["ids"] if with_ids else []),
+        "step", "context", *(["ids"] if with_ids else []),
     )
     return out

@@ -314,13 +314,31 @@ def test_chain_equals_enumeration():
     assert np.isclose(norm, want_norm)
 
 
-def test_windows_are_filled_to_the_brim():
+TIERS = (4096, 2048, 1024, 512)
+
+
+@pytest.mark.parametrize("tiers", [TIERS, (4096,), (64, 8)])
+def test_windows_are_filled_to_the_brim(tiers):
     pick = random.Random(1)
-    lengths = [pick.randrange(1, 4096) for _ in range(500)]
-    windows = packing.fill_windows(lengths, 4096)
-    assert sorted(i for w in windows for i in w) == list(range(500))
-    assert all(sum(lengths[i] for i in w) <= 4096 for w in windows)
-    assert len(windows) <= sum(lengths) / 4096 * 1.05 + 1
+    lengths = [pick.randrange(1, max(tiers)) for _ in range(500)]
+    windows = packing.fill_windows(lengths, tiers)
+    assert sorted(i for _, w in windows for i in w) == list(range(500))
+    for size, w in windows:
+        total = sum(lengths[i] for i in w)
+        assert total <= max(tiers) if size == max(tiers) else total == size
+    assert sum(size for size, _ in windows) <= sum(lengths) * 1.05 + max(tiers)
+
+
+def test_short_pieces_form_short_windows_and_long_gaps_are_filled_first():
+    windows = packing.fill_windows([4000, 96, 500, 12, 1000, 24, 3, 2000, 40], TIERS)
+    assert sorted((size, sorted(w)) for size, w in windows) == [
+        (512, [2, 3]), (1024, [4, 5]), (4096, [0, 1]), (4096, [6, 7, 8])
+    ]
+    assert packing.fill_windows([], TIERS) == [] and packing.fill_windows([7], TIERS) == [(4096, [0])]
+    pick = random.Random(2)
+    lengths = [int(pick.lognormvariate(6, 1)) % 4096 + 1 for _ in range(2000)]
+    by_size = {size for size, _ in packing.fill_windows(lengths, TIERS)}
+    assert by_size == set(TIERS) and {size for size, _ in packing.fill_windows(lengths, (4096,))} == {4096}
 
 
 def test_rules_find_planted_conditions():
