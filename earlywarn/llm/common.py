@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,47 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`stored` that nothing reads any more, because what was made of them is
+    stored too. Shuffle files of finished jobs go when the driver's collector finds them unused."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path is not None:
+            session = table.sparkSession
+            where = session._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(session._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver drop plans that are no longer held, so that Spark deletes their shuffle files; with a
+    large heap it might otherwise keep those of all turns of a loop."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def with_places(docs: DataFrame, names: list[str], from_files: bool) -> DataFrame:
+    """``docs`` with its columns renamed to ``names``, and ``_file, _at``: where a row stands in its file.
+
+    Places are the same whenever and by however many tasks the files are read. ``from_files`` says that
+    ``docs`` reads files row by row (columns and filters at most); other rows are written first.
+    """
+    def placed(df: DataFrame) -> DataFrame:
+        return df.select(
+            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")
+        )
+
+    named = docs.toDF(*names)
+    if from_files:
+        try:
+            return placed(named)
+        except AnalysisException:  # not files after all
+            pass
+    return placed(stored(named, "placed"))
 
 
 def reachable(spark: SparkSession) -> None:

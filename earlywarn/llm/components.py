@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earlywarn.llm.common import stored
+from earlywarn.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     graph = stored(edges.select(high.alias("u"), low.alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
-        graph = stored(_small_star(_large_star(graph)), "edges")
+        last, graph = graph, stored(_small_star(_large_star(graph)), "edges")
+        discard(last)
         now = graph.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if now == before:
             break

@@ -20,7 +20,8 @@ from earlywarn.llm.hashing import MULTIPLIERS, mix
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """``frequent``: the words whose counts every task gets, as two arrays; all others are joined.
+    """``frequent``: the words whose counts every task gets, as two arrays; all others are joined, so
+    it moves work between tasks and joins and changes no score.
 
     The end and the ``heads`` - 1 most frequent words are classes of their own, all other words fall
     into ``tails`` classes by their last letters. ``features`` rows of weights are shared by hash.
@@ -28,7 +29,7 @@ class ModelSpec:
     steps in all tasks at once, whose weights are then averaged. ``batch`` tokens make one step.
     """
 
-    frequent: int = 1 << 20
+    frequent: int = 1 << 17
     heads: int = 32
     tails: int = 32
     features: int = 1 << 14
@@ -222,10 +223,10 @@ def count_words(texts: DataFrame, spec: ModelSpec) -> DataFrame:
     return stored(each.groupBy("h").agg(F.sum("c").alias("c")), "counts")
 
 
-def vocabulary_of(counts: DataFrame, spec: ModelSpec) -> tuple[Vocabulary, int]:
-    """What tasks are sent, and the least count of a frequent word.
+def vocabulary_of(counts: DataFrame, spec: ModelSpec) -> tuple[Vocabulary, int | None]:
+    """What tasks are sent, and the least quarter octave of counts whose words are all sent (null if none is).
 
-    The least count follows from a histogram by quarter octaves, so at most ``frequent`` rows come back.
+    It follows from a histogram by quarter octaves, so at most ``frequent`` rows and the heads come back.
     """
     words = counts.where(F.col("h") != END)
     octave = F.floor(4 * F.log2("c")).cast("int")
@@ -235,9 +236,16 @@ def vocabulary_of(counts: DataFrame, spec: ModelSpec) -> tuple[Vocabulary, int]:
         if held + r.n > spec.frequent:
             break
         held, least = held + r.n, r.o
-    octave_is = octave >= least if least is not None else F.lit(False)
-    top = words.where(octave_is).toPandas().sort_values("h", ignore_index=True)
-    heads = top.sort_values(["c", "h"], ascending=[False, True])["h"].to_numpy("int64")[: spec.heads - 1]
+    first = words.orderBy(F.desc("c"), "h").limit(spec.heads - 1).collect() if spec.heads > 1 else []
+    heads = np.array([r.h for r in first], "int64")
+    wanted = F.col("h").isin(heads.tolist()) if len(heads) else F.lit(False)
+    if least is not None:
+        wanted = wanted | (octave >= least)
+    # Columns, not rows: a word takes 16 bytes here.
+    top = words.where(wanted).select("h", "c").toArrow()
+    hashes, times = (top.column(c).to_numpy() for c in ("h", "c"))
+    order = np.argsort(hashes)
+    hashes, times = hashes[order].astype("int64"), times[order].astype("int64")
     tail = F.col("h").bitwiseAND(F.lit(spec.tails - 1)).alias("tail")
     mass = np.ones(spec.tails)
     in_tail = words.where(~F.col("h").isin([int(h) for h in heads])) if len(heads) else words
@@ -245,10 +253,9 @@ def vocabulary_of(counts: DataFrame, spec: ModelSpec) -> tuple[Vocabulary, int]:
         mass[r.tail] += r.mass
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     vocabulary = Vocabulary(
-        top["h"].to_numpy("int64"), top["c"].to_numpy("int64"), np.concatenate([[END], heads]).astype("int64"),
-        mass, int(total[0] or 0), int(total[1]),
+        hashes, times, np.concatenate([[END], heads]).astype("int64"), mass, int(total[0] or 0), int(total[1]),
     )
-    return vocabulary, (1 if least is None else least)
+    return vocabulary, least
 
 
 def _train(batches: Iterator[pa.RecordBatch], shared, spec: ModelSpec) -> Iterator[pa.RecordBatch]:
@@ -378,11 +385,12 @@ def score_texts(
         # Bound to this round's weights; the next round makes its own.
         blocks = map_arrow(slice_, _with(_train, shared, step), "block int, tokens long, weights binary")
         weights = _averaged(blocks, spec, weights)
+        shared.unpersist()
     shared = context.broadcast((vocabulary, weights, bias))
     scored = stored(map_arrow(texts.select("doc_id", "row", "text"), _with(_score, shared, spec), _SCORED), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
     rare = rare.select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    others = counts.where(F.floor(4 * F.log2("c")).cast("int") < least) if len(vocabulary.hashes) else counts
+    others = counts if least is None else counts.where(F.floor(4 * F.log2("c")).cast("int") < least)
     rare = rare.join(others.hint("merge"), "h").groupBy("row").agg(
         F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_logs")
     )

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earlywarn.llm.common import NOT_SPACE, stored, text_of, with_row_numbers, word_count
+from earlywarn.llm.common import NOT_SPACE, stored, text_of, with_places, with_row_numbers, word_count
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,8 @@ def mix_plan(
     in ``keep``. Null texts have no words, null sources form a source; empty tables give no rows.
 
     A hot source is divided into cells by hash: cell totals are cumulated first, then the documents
-    of each cell, so no task holds a source. The text itself is never shuffled unless ``keep`` asks.
+    of each cell, so no task holds a source. Text is read once for its size and digest, and never
+    shuffled; ``keep`` is for short columns.
     """
     spec = spec or MixSpec()
     kept = [F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep or [])]
@@ -96,8 +97,7 @@ def mix_plan(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         size.alias("size"), order.alias("order"), F.md5(text_of(text_col)).alias("digest"), *kept,
     ).withColumn("cell", F.substring("order", 1, spec.cell_digits))
-    if not keep:
-        rows = stored(rows, "sizes")
+    rows = stored(rows, "sizes")
     cells = stored(rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")), "cells")
     per_source = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
     targets = stored(source_targets(per_source, spec), "targets")
@@ -152,23 +152,32 @@ def _same_source(cells: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mixed_documents(
     docs: DataFrame, spec: MixSpec | None = None, id_col: str = "doc_id", text_col: str = "text",
-    source_col: str = "source",
+    source_col: str = "source", from_files: bool = False,
 ) -> DataFrame:
     """The mix itself: the rows of ``docs`` in training order, repeated as the plan says.
 
     The last copy of a document may be cut after the words that are still wanted, keeping the text
     up to there as it is. Columns are those of ``docs``.
+
+    The plan is made of ids and sizes and written; texts meet it once, by their place in their file, and
+    are range-sorted once. ``from_files``: ``docs`` reads a table's files row by row; anything else is
+    written first, so that rows have a place.
     """
     names = docs.columns
-    plan = mix_plan(docs, spec, id_col, text_col, source_col, keep=names)
     inner = [f"_c{i}" for i in range(len(names))]
-    plan = plan.toDF("_id", "_source", "_size", "_ssize", "_target", "_taken", "_positions", *inner)
-    copies = plan.select("*", F.posexplode("_positions").alias("_copy", "_position"))
+    rows = with_places(docs, inner, from_files)
+    named = dict(zip(names, inner))
+    plan = mix_plan(rows, spec, named[id_col], named[text_col], named[source_col], keep=["_file", "_at"])
+    copies = plan.select(
+        "_file", "_at", F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"),
+        F.posexplode("positions").alias("_copy", "_position"),
+    )
+    copies = stored(copies, "copies")
     wanted = F.least(F.col("_size"), F.col("_taken") - F.col("_size") * F.col("_copy"))
-    text = F.col(inner[names.index(text_col)])
+    text = F.col(named[text_col])
     # Every piece is a word with the space before it.
     pieces = F.split(text, f"(?<={NOT_SPACE})(?=[\\x20\\x09-\\x0D])")
     cut = F.when(wanted < F.col("_size"), F.array_join(F.slice(pieces, 1, wanted.cast("int")), "")).otherwise(text)
-    out = copies.withColumn(inner[names.index(text_col)], cut)
+    out = rows.join(copies.hint("merge"), ["_file", "_at"]).withColumn(named[text_col], cut)
     out = out.orderBy("_position", F.col("_id"), "_copy")
     return out.select(*[F.col(i).alias(n) for i, n in zip(inner, names)])

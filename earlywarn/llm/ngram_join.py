@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earlywarn.llm.common import map_arrow, stored, text_of
+from earlywarn.llm.common import collect_garbage, discard, map_arrow, stored, text_of, with_places
 from earlywarn.llm.components import components
 from earlywarn.llm.hashing import WordHashes, shingles
 
@@ -24,7 +24,8 @@ class JoinSpec:
     table of so many bytes that every task gets. ``cells`` divide a set for the bound on overlaps.
     ``broadcast_ids``: up to so many candidate ids are sent to all tasks, more are joined by shuffle.
     ``hub_rounds``: how often entries are compared with one of their bucket before all that are still
-    apart are paired.
+    apart are paired. In the first half of these turns the order of hubs is the same for all buckets, so that
+    copies, which share most buckets, meet the same few; in the other half each bucket has its own.
     """
 
     words: int = 3
@@ -39,7 +40,7 @@ class JoinSpec:
         return F.ceil(F.lit(self.percent) * (a + b) / F.lit(100.0 + self.percent) - F.lit(1e-9))
 
 
-_SKETCH = "doc_id long, n long, sig binary, cells array<int>, bucket array<int>, seen array<int>"
+_SKETCH = "doc_id long, file string, at long, n long, sig binary, cells array<int>, bucket array<int>, seen array<int>"
 _INDEX = "token long, sig binary, n int, pos int, early boolean"
 
 
@@ -60,7 +61,7 @@ def _signature(members: np.ndarray) -> bytes:
 def _sketch(batches: Iterator[pa.RecordBatch], spec: JoinSpec) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end how often this task saw each bucket."""
     hashes, counts = WordHashes(), np.zeros(spec.buckets, "int64")
-    names = ["doc_id", "n", "sig", "cells", "bucket", "seen"]
+    names = ["doc_id", "file", "at", "n", "sig", "cells", "bucket", "seen"]
     ints = pa.list_(pa.int32())
     for batch in batches:
         n, sigs, cells = [], [], []
@@ -71,14 +72,14 @@ def _sketch(batches: Iterator[pa.RecordBatch], spec: JoinSpec) -> Iterator[pa.Re
             np.add.at(counts, _bucket(members, spec), 1)
         none = pa.nulls(batch.num_rows, ints)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()),
+            [*(batch.column(c) for c in names[:3]), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()),
              pa.array(cells, ints), none, none], names=names,
         )
     found = np.flatnonzero(counts)
     for at in range(0, len(found), 1 << 16):
         part = found[at : at + (1 << 16)]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, ints),
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, ints),
              pa.array([part], ints), pa.array([np.minimum(counts[part], 2**31 - 1)], ints)], names=names,
         )
 
@@ -136,12 +137,23 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         )
 
 
+def _shared_cells(x: str, y: str) -> Column:
+    """What two sets share at most, by how many members each has in every cell."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+
+
 class _Join:
-    def __init__(self, docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str):
+    """``placed``: ``docs`` has ``_file, _at``, which then go with its rows."""
+
+    def __init__(self, docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str, placed: bool = False):
         self.spec = spec
         self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-        rows = stored(map_arrow(self.texts, lambda b: _sketch(b, spec), _SKETCH), "sketches")
-        self.rows = rows.where("n >= 0").select("doc_id", "n", "sig")
+        file, at = (F.col("_file"), F.col("_at")) if placed else (F.lit(None).cast("string"), F.lit(None).cast("long"))
+        texts = docs.select(
+            F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), file.alias("file"), at.alias("at")
+        )
+        rows = stored(map_arrow(texts, lambda b: _sketch(b, spec), _SKETCH), "sketches")
+        self.rows = rows.where("n >= 0").select("doc_id", "n", "sig", "file", "at")
         each = rows.where("n > 0").groupBy("sig").agg(
             F.min("doc_id").alias("doc_id"), F.first("n").cast("int").alias("n"), F.first("cells").alias("cells")
         )
@@ -149,6 +161,18 @@ class _Join:
         self.levels = self._levels(rows)
         self.buckets = self._buckets()
         self.sets: DataFrame | None = None
+        self.compared: DataFrame | None = None
+        self.turn_tables: list[DataFrame] = []
+
+    def _turn(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that only this turn reads."""
+        self.turn_tables.append(stored(df, name))
+        return self.turn_tables[-1]
+
+    def end_turn(self) -> None:
+        discard(*self.turn_tables)
+        self.turn_tables = []
+        collect_garbage(self.texts.sparkSession)
 
     def _levels(self, rows: DataFrame) -> bytes:
         """An eighth of a doubling of a bucket's count is one level; one byte per bucket."""
@@ -167,14 +191,16 @@ class _Join:
         entries = index.join(shared.select("token").hint("merge"), "token").dropDuplicates(["token", "sig"])
         # Only shared shingles can be common; how many of them stand before this one in the set.
         before = F.row_number().over(Window.partitionBy("sig").orderBy("pos")) - 1
-        return stored(entries.withColumn("before", before), "buckets")
+        buckets = stored(entries.withColumn("before", before), "buckets")
+        discard(index)
+        return buckets
 
     def _sets_of(self, pairs: DataFrame) -> DataFrame:
         """Whole sets of the classes in ``pairs``; texts are read for those not met in an earlier turn."""
         wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("sig").hint("merge"), "sig", "left_anti")
-        wanted = stored(self.classes.join(wanted.hint("merge"), "sig").select("doc_id", "sig"), "wanted")
+        wanted = self._turn(self.classes.join(wanted.hint("merge"), "sig").select("doc_id", "sig"), "wanted")
         if wanted.isEmpty() and self.sets is not None:
             return self.sets
         ids = wanted.select("doc_id").distinct()
@@ -204,41 +230,46 @@ class _Join:
         if roots is None:
             return self.buckets.withColumn("root", F.col("sig"))
         entries = self.buckets.join(roots.withColumnRenamed("node", "sig").hint("merge"), "sig", "left")
-        entries = stored(entries.withColumn("root", F.coalesce("root", "sig")), "named")
+        entries = self._turn(entries.withColumn("root", F.coalesce("root", "sig")), "named")
         h = F.xxhash64("root")
         mixed = entries.groupBy("token").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi")
-        return stored(entries.join(mixed.select("token").hint("merge"), "token"), "mixed")
+        return self._turn(entries.join(mixed.select("token").hint("merge"), "token"), "mixed")
 
     def hub_pairs(self, entries: DataFrame, turn: int) -> DataFrame:
-        """Every entry with one of its bucket from another group, another one in each bucket and turn."""
+        """Every entry with one of its bucket from another group, another one in each turn."""
         parts = ("sig", "n", "pos", "early", "before", "root")
-        entry = F.struct(F.xxhash64("token", "sig", F.lit(turn)).alias("by"), *parts)
-        hubs = stored(entries.groupBy("token").agg(F.min(entry).alias("hub")), "hubs")
+        own = ("token",) if 2 * turn >= self.spec.hub_rounds else ()
+        entry = F.struct(F.xxhash64(*own, "sig", F.lit(turn)).alias("by"), *parts)
+        hubs = self._turn(entries.groupBy("token").agg(F.min(entry).alias("hub")), "hubs")
         hubs = hubs.select("token", *[F.col(f"hub.{c}").alias(c) for c in parts])
         x, y = entries.alias("x"), hubs.hint("merge").alias("y")
         apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
         return self._distinct(x.join(y, apart & self._fits("x", "y")))
 
     def rest_pairs(self, entries: DataFrame) -> DataFrame:
-        """Pairs of entries whose sets are not in one group."""
+        """Pairs of entries whose sets are not in one group; the bound from cells is part of the join, so
+        that near copies which cannot link are not even written as pairs."""
+        cells = self.classes.select("sig", "cells").hint("merge")
+        entries = self._turn(entries.join(cells, "sig"), "rest")
         x, y = entries.alias("x"), entries.hint("merge").alias("y")
         apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.root") != F.col("y.root"))
-        return self._distinct(x.join(y, apart & self._fits("x", "y")))
+        bound = _shared_cells("x.cells", "y.cells") >= self.spec.required(F.col("x.n"), F.col("y.n"))
+        return self._distinct(x.join(y, apart & self._fits("x", "y") & bound))
 
     def _distinct(self, pairs: DataFrame) -> DataFrame:
         a, b = F.least("x.sig", "y.sig"), F.greatest("x.sig", "y.sig")
-        return pairs.select(a.alias("a"), b.alias("b")).distinct()
+        pairs = pairs.select(a.alias("a"), b.alias("b")).distinct()
+        return pairs if self.compared is None else pairs.join(self.compared.hint("merge"), ["a", "b"], "left_anti")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that really link, each compared once, after a bound from the cells of both sets."""
+        """The pairs that really link, each compared once in all turns, after a bound from the cells of both sets."""
+        pairs = stored(pairs, "compared")
+        self.compared = pairs if self.compared is None else self.compared.union(pairs)
         of = self.classes.select("sig", "n", "cells")
         for side in ("a", "b"):
             pairs = pairs.join(of.toDF(side, f"n_{side}", f"cells_{side}").hint("merge"), side)
-        shared = F.aggregate(
-            F.zip_with("cells_a", "cells_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v
-        )
-        pairs = pairs.where(shared >= self.spec.required(F.col("n_a"), F.col("n_b"))).select("a", "b")
-        pairs = stored(pairs, "pairs")
+        pairs = pairs.where(_shared_cells("cells_a", "cells_b") >= self.spec.required(F.col("n_a"), F.col("n_b"))).select("a", "b")
+        pairs = self._turn(pairs, "pairs")
         spec, sets = self.spec, self._sets_of(pairs)
         left, right = sets.toDF("a", "left").hint("merge"), sets.toDF("b", "right").hint("merge")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
@@ -264,41 +295,62 @@ def similar_groups(
     """
     spec = spec or JoinSpec()
     join = _Join(docs, spec, id_col, text_col)
+    groups = _groups(join)
+    out = join.rows.join(groups.hint("merge"), "sig", "left")
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("group", "doc_id").alias("component_id")
+    )
+
+
+def _groups(join: _Join) -> DataFrame:
+    """``sig, root, group``: for each distinct set, a set that stands for its group, and the group's smallest id."""
     links, roots = None, None
-    for turn in range(spec.hub_rounds + 1):
+    for turn in range(join.spec.hub_rounds + 1):
         entries = join.named(roots)
         if roots is not None and entries.isEmpty():
+            join.end_turn()
             break
-        pairs = join.hub_pairs(entries, turn) if turn < spec.hub_rounds else join.rest_pairs(entries)
+        pairs = join.hub_pairs(entries, turn) if turn < join.spec.hub_rounds else join.rest_pairs(entries)
         found = stored(join.links(pairs), "links")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
-            roots = stored(components(links), "roots")
+            last, roots = roots, stored(components(links), "roots")
+            discard(last)
+        join.end_turn()
+    discard(join.buckets)
     if roots is None:
         roots = join.classes.select(F.col("sig").alias("node"), F.col("sig").alias("root")).limit(0)
     named = join.classes.join(roots.withColumnRenamed("node", "sig").hint("merge"), "sig")
     named = stored(named.select("sig", "root", "doc_id"), "members")
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
-    grouped = named.join(least.hint("merge"), "root").select("sig", "least")
+    grouped = named.join(least.hint("merge"), "root").select("sig", "root", "least")
     # Equal sets without other links form a group too.
     own = join.classes.select("sig", F.col("doc_id").alias("own"))
-    groups = stored(own.join(grouped.hint("merge"), "sig", "left").select("sig", F.coalesce("least", "own").alias("group")), "groups")
-    out = join.rows.join(groups.hint("merge"), "sig", "left")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("group", "doc_id").alias("component_id")
-    )
+    return stored(own.join(grouped.hint("merge"), "sig", "left").select(
+        "sig", F.coalesce("root", "sig").alias("root"), F.coalesce("least", "own").alias("group")
+    ), "groups")
 
 
 def keep_one_per_group(
     docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc_id", text_col: str = "text",
+    from_files: bool = False,
 ) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest id; columns as they were.
+    """``docs`` with one row of each group, that of the smallest id (null last); columns as they were.
 
-    Rows with a null id, and rows of one repeated id, are kept as one each when their group is theirs.
+    Groups are of texts, whatever ids their rows have: of rows with one id, those go whose text is near to
+    another row's that stays. Rows without shingles all stay. ``from_files``: ``docs`` reads a table's files row by
+    row; anything else is written first, so that rows have a place.
     """
-    groups = similar_groups(docs, spec, id_col, text_col)
-    gone = groups.where("n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct()
-    gone = stored(gone, "gone")
-    names = [F.col(f"d.`{c}`") for c in docs.columns]
-    kept = docs.alias("d").join(gone.alias("g"), F.col(f"d.`{id_col}`") == F.col("g.doc_id"), "left_anti")
-    return kept.select(*names)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    named = dict(zip(docs.columns, names))
+    placed = with_places(docs, names, from_files)
+    join = _Join(placed, spec or JoinSpec(), named[id_col], named[text_col], placed=True)
+    groups = _groups(join)
+    rows = join.rows.where("n > 0").join(groups.hint("merge"), "sig")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sig", "file", "at")
+    rows = stored(rows.select("root", order.alias("order")), "grouped")
+    best = stored(rows.groupBy("root").agg(F.min("order").alias("best")), "best")
+    gone = rows.join(best.hint("merge"), "root").where("order.file <> best.file OR order.at <> best.at")
+    gone = stored(gone.select(F.col("order.file").alias("_file"), F.col("order.at").alias("_at")), "gone")
+    kept = placed.join(gone, ["_file", "_at"], "left_anti")
+    return kept.select(*[F.col(n).alias(c) for c, n in named.items()])

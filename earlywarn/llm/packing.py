@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earlywarn.llm.common import map_arrow, stored, text_of
+from earlywarn.llm.common import map_arrow, stored, text_of, with_places, with_row_numbers
 
 
 @dataclass(frozen=True)
@@ -141,9 +141,13 @@ def _word_blobs(words: list[bytes], spec: PackSpec) -> list[bytes]:
     return list(map(known.__getitem__, words))
 
 
+_PIECE = (
+    "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, file string, at long"
+)
 _PIECES = pa.schema([
     ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
     ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()),
+    ("file", pa.string()), ("at", pa.int64()),
 ])
 
 
@@ -153,11 +157,14 @@ def _cut(batches: Iterator[pa.RecordBatch], spec: PackSpec, with_ids: bool) -> I
         out: list[list] = [[] for _ in _PIECES]
         texts = batch.column("text")
         ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
-        for doc_id, row, blob in zip(ids, rows, token_blobs(texts, spec)):
+        files, places = batch.column("file").to_pylist(), batch.column("at").to_pylist()
+        for doc_id, row, file, at, blob in zip(ids, rows, files, places, token_blobs(texts, spec)):
             total = len(blob) // 4
             for start in range(0, total, window):
                 piece = blob[4 * start : 4 * (start + window)]
-                values = (doc_id, row, start, len(piece) // 4, zlib.crc32(piece), total, piece if with_ids else None)
+                values = (
+                    doc_id, row, start, len(piece) // 4, zlib.crc32(piece), total, piece if with_ids else None, file, at
+                )
                 for column, value in zip(out, values):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _PIECES.types)], schema=_PIECES)
@@ -165,14 +172,20 @@ def _cut(batches: Iterator[pa.RecordBatch], spec: PackSpec, with_ids: bool) -> I
 
 def cut_documents(
     docs: DataFrame, spec: PackSpec, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+    in_order: bool = False,
 ) -> DataFrame:
-    """Pieces of at most one window: ``doc_id, row, start, length, ids_crc32, doc_tokens, ids``."""
+    """Pieces of at most one window: ``doc_id, row, start, length, ids_crc32, doc_tokens, ids``, and
+    ``file, at`` of their row if the order of the files matters."""
+    file, at = F.lit(None).cast("string"), F.lit(None).cast("long")
+    if in_order:
+        names = [f"_c{i}" for i in range(len(docs.columns))]
+        id_col, text_col = (names[docs.columns.index(c)] for c in (id_col, text_col))
+        docs, file, at = with_places(docs, names, from_files=True), F.col("_file"), F.col("_at")
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"),
-        F.monotonically_increasing_id().alias("row"),
+        F.monotonically_increasing_id().alias("row"), file.alias("file"), at.alias("at"),
     )
-    schema = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-    return map_arrow(texts, lambda batches: _cut(batches, spec, with_ids), schema)
+    return map_arrow(texts, lambda batches: _cut(batches, spec, with_ids), _PIECE)
 
 
 class _Pool:
@@ -260,7 +273,7 @@ def fill_windows(lengths: list[int], tiers: Sequence[int]) -> list[tuple[int, li
 
 def _pack(pieces: pd.DataFrame, spec: PackSpec) -> pd.DataFrame:
     """Sequences, offsets and steps for the pieces of one group."""
-    pieces = pieces.sort_values(["doc_id", "row", "start"], na_position="last", ignore_index=True)
+    pieces = pieces.sort_values(["place", "doc_id", "row", "start"], na_position="last", ignore_index=True)
     lengths = pieces["length"].tolist()
     group = int(pieces["group"].iloc[0])
     windows = fill_windows(lengths, spec.tiers)
@@ -279,14 +292,14 @@ def _pack(pieces: pd.DataFrame, spec: PackSpec) -> pd.DataFrame:
             sequence[i], offset[i], step[i] = group << 24 | k, at, group << 24 | step_of[k]
             context[i] = size
             at += lengths[i]
-    return pieces[["doc_id", "row", "start"]].assign(
+    return pieces[["row", "start", "place"]].assign(
         sequence_id=sequence, offset=offset, step=step, context=context.astype("int32")
     )
 
 
 def pack_documents(
     docs: DataFrame, spec: PackSpec | None = None, id_col: str = "doc_id", text_col: str = "text",
-    with_ids: bool = False,
+    with_ids: bool = False, in_order: bool = False,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, tier, sequence_id, offset, step, context``.
 
@@ -302,22 +315,38 @@ def pack_documents(
     Tokenising is one pass without a shuffle, written once. Then only numbers move: pieces are dealt by
     hash into groups of about ``group_pieces``, so a group's size does not depend on the data, and one
     part-filled window per group is all the padding that splitting the work costs.
+
+    With ``in_order`` the rows' order in their files is the order of training: pieces are numbered in it
+    (``place``), each group is a range of numbers, and sequences and steps of a later range have higher
+    numbers. ``copy`` is the place of the first piece of the same row, which tells repeats of a document
+    apart. Part files go by their number, others by name.
     """
     spec = spec or PackSpec()
     pieces = stored(cut_documents(docs, spec, id_col, text_col, with_ids), "pieces")
     groups = max(1, -(-pieces.count() // spec.group_pieces))
-    group = F.pmod(F.xxhash64("row", "start"), F.lit(groups)).alias("group")
     names = ("doc_id", "row", "start", "length")
-    placed = pieces.select(*names, group).groupBy("group").applyInPandas(
+    if in_order:
+        part = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+        numbered = pieces.select(*names, "file", "at", part.alias("part"))
+        numbered = with_row_numbers(
+            numbered, [F.col("part").asc_nulls_last(), F.col("file"), F.col("at"), F.col("start")], "place"
+        )
+        group = F.expr(f"place div {spec.group_pieces}")
+    else:
+        numbered = pieces.withColumn("place", F.lit(0).cast("long"))
+        group = F.pmod(F.xxhash64("row", "start"), F.lit(groups))
+    placed = numbered.select(*names, "place", group.alias("group")).groupBy("group").applyInPandas(
         lambda pdf: _pack(pdf, spec),
-        "doc_id long, row long, start long, sequence_id long, offset long, step long, context int",
+        "row long, start long, place long, sequence_id long, offset long, step long, context int",
     )
-    placed = stored(placed.drop("doc_id"), "placed")
+    placed = stored(placed, "placed")
     tier = F.lit(max(spec.tiers))
     for size in sorted(spec.tiers, reverse=True):
         tier = F.when(F.col("length") <= size, size).otherwise(tier)
+    # All pieces of a row but its last are full windows, and they stand side by side.
+    copy = F.col("place") - F.expr(f"start div {max(spec.tiers)}")
     out = pieces.join(placed, ["row", "start"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", tier.alias("tier"), "sequence_id", "offset",
-        "step", "context", *(["ids"] if with_ids else []),
+        "step", "context", *(["ids"] if with_ids else []), *(["place", copy.alias("copy")] if in_order else []),
     )
     return out

@@ -1,13 +1,15 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from earlywarn.llm import exact_dedup, language_model, licenses, line_quality, mixing, packing, passages, personal, rules
+from earlywarn.llm import exact_dedup, language_model, licenses, line_quality, mixing, ngram_join, packing, passages, personal, rules
 from earlywarn.llm.components import components
 from earlywarn.llm.ngram_join import JoinSpec, keep_one_per_group, similar_groups
 from test_queries import base_of
@@ -130,6 +132,60 @@ def test_mix_meets_targets_and_repeats_agree(spark):
     assert all(texts[r.doc_id].startswith(r.text) for r in mixed)
 
 
+def test_packing_follows_the_order_of_the_mix(spark, tmp_path):
+    rows = [(i, prose(i, 30 + i % 900), ["x", "y"][i % 4 == 0]) for i in range(300)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, source string")
+    mixed = mixing.mixed_documents(docs)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    order = [(r.doc_id, r.text) for r in mixed.collect()]
+    reread = spark.read.parquet(str(tmp_path / "mixed"))
+    spec = packing.PackSpec(group_pieces=64, step_sequences=2)
+    pieces = packing.pack_documents(reread, spec, with_ids=True, in_order=True).orderBy("place").collect()
+    assert [p.place for p in pieces] == list(range(len(pieces)))
+    assert [p.doc_id for p in pieces if p.start == 0] == [d for d, _ in order]
+    # Steps of later pieces never come before those of an earlier range, and ids of a copy come out whole.
+    for a, b in zip(pieces, pieces[64:]):
+        assert a.step < b.step and a.sequence_id < b.sequence_id
+    copies = {}
+    for p in pieces:
+        copies.setdefault(p.copy, []).append(p)
+    ids = [b"".join(p.ids for p in copies[c]) for c in sorted(copies)]
+    texts = spark.createDataFrame([(t,) for _, t in order], "text string").coalesce(1).toArrow()["text"]
+    assert ids == [b for chunk in texts.chunks for b in packing.token_blobs(chunk, spec)]
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark, tmp_path):
+    near, other, third = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, near), (2, near + " tail"), (2, other), (None, third), (None, third + " end"), (7, ""), (7, None), (8, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, near), (2, other), (7, ""), (7, None)]
+    docs.write.parquet(str(tmp_path / "docs"))
+    for df, straight in ((docs, False), (spark.read.parquet(str(tmp_path / "docs")), True)):
+        kept = keep_one_per_group(df, JoinSpec(words=5, percent=80), from_files=straight).collect()
+        named = [(r.doc_id, r.text) for r in kept if r.doc_id is not None]
+        unnamed = [r.text for r in kept if r.doc_id is None]
+        assert sorted(named, key=str) == sorted(want, key=str)
+        assert len(unnamed) == 1 and unnamed[0].startswith(third)
+
+
+def test_no_pair_is_compared_twice(spark):
+    base = prose(5, 60).split()
+    texts = []
+    for i in range(80):
+        words = list(base)
+        for k in range(i % 5):
+            words[(7 * i + 11 * k) % 60] = f"x{i}y{k}"
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    join = ngram_join._Join(docs, JoinSpec(), "doc_id", "text")
+    ngram_join._groups(join)
+    pairs = join.compared
+    assert pairs.count() == pairs.distinct().count() > 0
+    want = brute_groups(dict(texts), 3, 90)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(docs).collect()}
+    assert got == want
+
+
 def test_schedule_is_met_at_every_time(spark):
     share = [i / 50 for i in range(51)]
     df = spark.createDataFrame([(s, a) for s in share for a in (-1.0, -0.5, 0.0, 0.5, 1.0)], "share double, slope double")
@@ -268,6 +324,18 @@ def test_model_sums_to_one(spark):
     assert all(s < 0 for s in got.values()) and sum(10**got[1000 + i] for i in range(len(vocabulary))) < 1
 
 
+def test_scores_do_not_depend_on_what_is_sent_to_tasks(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    train = F.col("doc_id") % 7 != 2
+    spec = language_model.ModelSpec(heads=8, tails=4, features=1024, rounds=1)
+    all_rows = []
+    for frequent in (1, 60, 1 << 17):
+        scored = language_model.score_texts(docs, train, replace(spec, frequent=frequent))
+        all_rows.append(scored.orderBy("doc_id").toPandas())
+    for other in all_rows[1:]:
+        pd.testing.assert_frame_equal(all_rows[0], other, rtol=1e-9)
+
+
 def test_contexts_tell_pairs_and_rare_words_apart():
     spec = language_model.ModelSpec()
     empty = np.empty(0, "int64")
