@@ -26,6 +26,7 @@ class JoinSpec:
     ``hub_rounds``: how often entries are compared with one of their bucket before all that are still
     apart are paired. In the first half of these turns the order of hubs is the same for all buckets, so that
     copies, which share most buckets, meet the same few; in the other half each bucket has its own.
+    ``suffix_depth``: how often the suffix filter halves two sets before they are intersected.
     """
 
     words: int = 3
@@ -34,6 +35,7 @@ class JoinSpec:
     cells: int = 64
     broadcast_ids: int = 500_000
     hub_rounds: int = 4
+    suffix_depth: int = 4
 
     def required(self, a: Column, b: Column) -> Column:
         """Shared shingles that sets of these sizes need at least."""
@@ -124,13 +126,41 @@ def _set_rows(batches: Iterator[pa.RecordBatch], spec: JoinSpec) -> Iterator[pa.
         )
 
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def apart_at_least(x: np.ndarray, y: np.ndarray, most: int, depth: int) -> int:
+    """The suffix filter: a lower bound on how many members only one of two sorted sets has.
+
+    The middle member of one set cuts both; what one part has more than its counterpart has no partner, and
+    each pair of parts is cut again, ``depth`` times or until the bound is above ``most``.
+    """
+    if not depth or not len(x) or not len(y) or abs(len(x) - len(y)) > most:
+        return abs(len(x) - len(y))
+    half = len(y) // 2
+    at = int(np.searchsorted(x, y[half]))
+    lost = int(at == len(x) or x[at] != y[half])
+    high_x, high_y = x[at + 1 - lost :], y[half + 1 :]
+    high = abs(len(high_x) - len(high_y))
+    low = apart_at_least(x[:at], y[:half], most - lost - high, depth - 1)
+    if low + lost + high > most:
+        return low + lost + high
+    return low + lost + apart_at_least(high_x, high_y, most - low - lost, depth - 1)
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int, depth: int) -> bool:
+    """Whether two sorted sets share ``percent`` per cent of their union; intersected if the suffix filter lets them."""
+    total = len(x) + len(y)
+    most = total - 2 * -(-percent * total // (100 + percent))
+    if apart_at_least(x, y, most, depth) > most:
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (total - shared)
+
+
+def _verify(batches: Iterator[pa.RecordBatch], spec: JoinSpec) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         links = []
         for i in range(batch.num_rows):
             x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "uint64") for c in ("left", "right"))
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            links.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            links.append(linked(x, y, spec.percent, spec.suffix_depth))
         keep = pa.array(links, pa.bool_())
         yield pa.RecordBatch.from_arrays(
             [batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"]
@@ -205,7 +235,9 @@ class _Join:
             return self.sets
         ids = wanted.select("doc_id").distinct()
         few = ids.count() <= self.spec.broadcast_ids
-        texts = self.texts.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id").select("text")
+        ids = (F.broadcast(ids) if few else ids.hint("merge")).withColumnRenamed("doc_id", "wanted")
+        # Texts without an id have sets too.
+        texts = self.texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text")
         spec = self.spec
         sets = map_arrow(texts, lambda b: _set_rows(b, spec), "sig binary, members binary")
         sets = sets.join(wanted.select("sig").distinct().hint("merge"), "sig").dropDuplicates(["sig"])
@@ -273,7 +305,7 @@ class _Join:
         spec, sets = self.spec, self._sets_of(pairs)
         left, right = sets.toDF("a", "left").hint("merge"), sets.toDF("b", "right").hint("merge")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        return map_arrow(both, lambda b: _verify(b, spec.percent), "a binary, b binary")
+        return map_arrow(both, lambda b: _verify(b, spec), "a binary, b binary")
 
 
 def similar_groups(
@@ -291,7 +323,7 @@ def similar_groups(
     compared with one entry of its bucket (a different one for each shingle and turn) that is not in its
     group yet, which ties near copies together with as many comparisons as entries. Only entries that
     are then still in different groups are paired. Pairs are compared on whole sets, after a bound from
-    counts by cell.
+    counts by cell and the suffix filter.
     """
     spec = spec or JoinSpec()
     join = _Join(docs, spec, id_col, text_col)
