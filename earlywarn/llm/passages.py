@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from earlywarn.llm.common import map_arrow, stored, text_of
+from earlywarn.llm.common import collect_garbage, discard, map_arrow, stored, text_of
 from earlywarn.llm.components import components
 from earlywarn.llm.hashing import MULTIPLIERS, WordHashes, mix
 
@@ -47,12 +47,31 @@ class PassageSpec:
         each = self.paragraph - self.shingle + 1
         return min(each - -(-2 * each * self.percent // (100 + self.percent)), self.shingle - 1)
 
+    @property
+    def half(self) -> int:
+        """Words that paragraphs which agree share on one side of their run at least, the one or the other."""
+        return max(0, -(-(self.paragraph - self.slack - self.run) // 2))
+
+
+_ANCHOR = "doc_id long, tid long, pos int, band long, before int, after int"
+
 
-_ANCHOR = "doc_id long, tid long, pos int, band long"
+def _with_half(h: np.ndarray, first: np.ndarray, spec: PassageSpec) -> np.ndarray:
+    """31 bits for the run and half of these words, from each place; zero where the text doesn't have them."""
+    size = spec.run + spec.half
+    factors, steps = np.resize(MULTIPLIERS, size), np.arange(size)
+    out = np.zeros(len(first), "int32")
+    whole = np.flatnonzero((first >= 0) & (first + size <= len(h)))
+    for at in range(0, len(whole), 1 << 14):
+        part = whole[at : at + (1 << 14)]
+        sums = (h[first[part][:, None] + steps] * factors).sum(axis=1)
+        out[part] = (mix(sums) >> np.uint64(33)).astype("int32") | 1
+    return out
 
 
-def _anchors(words: list[bytes], spec: PassageSpec, hashes: WordHashes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each band, where the least runs of all paragraphs stand, and their hashes."""
+def _anchors(words: list[bytes], spec: PassageSpec, hashes: WordHashes) -> list[tuple[np.ndarray, ...]]:
+    """For each band, where the least runs of all paragraphs stand, their hashes, and those of each with the words
+    before and with the words after it."""
     if len(words) < spec.paragraph:
         return []
     h = hashes.of(words)
@@ -68,7 +87,7 @@ def _anchors(words: list[bytes], spec: PassageSpec, hashes: WordHashes) -> list[
         for at in range(0, len(views), 1 << 16):
             least[at : at + (1 << 16)] = views[at : at + (1 << 16)].argmin(axis=1)
         at = np.unique(least + np.arange(len(views)))
-        out.append((at, value[at]))
+        out.append((at, value[at], _with_half(h, at - spec.half, spec), _with_half(h, at, spec)))
     return out
 
 
@@ -78,13 +97,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], spec: PassageSpec) -> Iterat
         texts, ids, tids = batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("tid").to_pylist()
         rows = []
         for i in range(batch.num_rows):
-            for at, value in _anchors(texts[i].as_buffer().to_pybytes().split(), spec, hashes):
+            for at, value, before, after in _anchors(texts[i].as_buffer().to_pybytes().split(), spec, hashes):
                 rows.append((np.full(len(at), ids[i], "int64"), np.full(len(at), tids[i], "int64"),
-                             at.astype("int32"), value.view("int64")))
+                             at.astype("int32"), value.view("int64"), before, after))
         if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c)) for c in zip(*rows)], names=["doc_id", "tid", "pos", "band"]
-            )
+            names = ["doc_id", "tid", "pos", "band", "before", "after"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=names)
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch], spec: PassageSpec) -> Iterator[pa.RecordBatch]:
@@ -103,10 +121,10 @@ def _context_rows(batches: Iterator[pa.RecordBatch], spec: PassageSpec) -> Itera
                 # A run that the text has again and again leads once.
                 lead = place["lead"] and place["band"] not in led
                 led.add(place["band"])
-                out.append((place["band"], doc_id, tid, place["pos"], lead, place["low"], place["crowd"], around.tobytes()))
+                out.append((place["band"], doc_id, tid, place["pos"], lead, place["low"], place["crowd"], place["wide"], around.tobytes()))
         if out:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.binary())
-            names = ["band", "doc_id", "tid", "pos", "lead", "low", "crowd", "around"]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.bool_()] * 4, pa.binary())
+            names = ["band", "doc_id", "tid", "pos", "lead", "low", "crowd", "wide", "around"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
 
@@ -201,7 +219,7 @@ def _verify(batches: Iterator[pa.RecordBatch], spec: PassageSpec) -> Iterator[pa
         some = np.flatnonzero((first >= 0) & (doc_id != hub))
         # Of many that share with the smallest id, not all may share with the largest: its own span is kept apart.
         back = some[crowd[some]]
-        apart = np.flatnonzero(crowd)
+        apart = np.flatnonzero(crowd & batch.column("wide").to_numpy(zero_copy_only=False))
         row, start, stop, key, fits = _stretches_apart(band[apart].view("uint64"), left[apart], right[apart], spec)
         row = apart[row]
         found = [
@@ -226,8 +244,9 @@ def shared_spans(
 
     First ``hub`` is the smallest or largest id of those that share a run, at its first place there. Where
     a run has more places, those with other words round it than the smallest id are grouped by these words
-    (``_stretches_apart``), and each has the smallest and the largest id of its groups as hubs. So copies
-    are compared with a few others and never all with one another; the rows of a hot passage are counts
+    (``_stretches_apart``), and each has the smallest and the largest id of its groups as hubs. That is done
+    for places only that share the run and ``half`` words before or after it with another document: all that
+    agree do, and most places of a frequent run don't. So copies are compared with a few others and never all with one another; the rows of a hot passage are counts
     combined map-side and joins that adaptive execution can split.
     """
     spec = spec or PassageSpec()
@@ -238,30 +257,49 @@ def shared_spans(
     shared = anchors.groupBy("band").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.count(F.lit(1)) > 2).alias("crowd")
     ).where("lo < hi")
-    shared = stored(anchors.join(shared.hint("merge"), "band"), "shared")
     lead = (F.col("doc_id") == F.col("lo")) | (F.col("doc_id") == F.col("hi"))
-    places = shared.groupBy("doc_id", "tid").agg(
-        F.sort_array(F.collect_set(F.struct(
-            "pos", "band", lead.alias("lead"), (F.col("doc_id") == F.col("lo")).alias("low"), "crowd"
-        ))).alias("places")
+    shared = stored(anchors.join(shared.hint("merge"), "band").select(
+        *anchors.columns, lead.alias("lead"), (F.col("doc_id") == F.col("lo")).alias("low"), "crowd"
+    ), "shared")
+    discard(anchors)
+    halves = {side: _in_two(shared, side) for side in ("before", "after")}
+    wide, flagged = F.lit(False), shared
+    for side, half in halves.items():
+        flagged = flagged.join(half.withColumn(f"same_{side}", F.lit(True)).hint("merge"), ["band", side], "left")
+        wide = wide | F.col(f"same_{side}").isNotNull()
+    places = flagged.groupBy("doc_id", "tid").agg(
+        F.sort_array(F.collect_set(F.struct("pos", "band", "lead", "low", "crowd", wide.alias("wide")))).alias("places")
     )
     with_text = named.join(places.hint("merge"), ["doc_id", "tid"])
     context = map_arrow(
         with_text, lambda b: _context_rows(b, spec),
-        "band long, doc_id long, tid long, pos int, lead boolean, low boolean, crowd boolean, around binary",
+        "band long, doc_id long, tid long, pos int, lead boolean, low boolean, crowd boolean, wide boolean, around binary",
     )
     context = stored(context, "contexts")
+    discard(shared, *halves.values())
+    collect_garbage(docs.sparkSession)
     hubs = context.where("lead").select(
         "band", "low", F.col("doc_id").alias("hub"), F.col("tid").alias("hub_tid"), F.col("pos").alias("hub_pos"),
         F.col("around").alias("y"),
     )
     pairs = context.withColumnRenamed("around", "x").drop("lead", "low").join(hubs.hint("merge"), "band")
-    pairs = pairs.where("doc_id <> hub OR (low AND crowd)")
+    pairs = pairs.where("doc_id <> hub OR (low AND crowd AND wide)")
     schema = "doc_id long, tid long, hub long, start long, end long, band long, key long, fits int"
     found = stored(map_arrow(pairs, lambda b: _verify(b, spec), schema), "verified")
+    discard(context)
+    collect_garbage(docs.sparkSession)
     spans = found.where("key IS NULL").select("doc_id", "tid", "hub", "start", "end")
     spans = spans.union(_same_surroundings(found.where("key IS NOT NULL"), spec))
-    return texts.select("doc_id", "tid"), stored(spans.distinct(), "spans")
+    spans = stored(spans.distinct(), "spans")
+    discard(found)
+    return texts.select("doc_id", "tid"), spans
+
+
+def _in_two(shared: DataFrame, side: str) -> DataFrame:
+    """The runs with words before (or after) them that two documents have."""
+    some = shared.where(F.col("crowd") & (F.col(side) != 0)).groupBy("band", side)
+    ends = some.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return stored(ends.select("band", side), "halves")
 
 
 def _same_surroundings(stretches: DataFrame, spec: PassageSpec) -> DataFrame:

@@ -6,6 +6,8 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -186,6 +188,20 @@ def test_no_pair_is_compared_twice(spark):
     assert got == want
 
 
+@given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)), st.integers(0, 40), st.integers(0, 6))
+def test_suffix_filter_never_says_too_much(a, b, most, depth):
+    x, y = (np.array(sorted(s), "uint64") for s in (a, b))
+    assert ngram_join.apart_at_least(x, y, most, depth) <= len(a ^ b)
+    if a and b:
+        assert ngram_join.linked(x, y, 80, depth) == (100 * len(a & b) >= 80 * len(a | b))
+
+
+def test_suffix_filter_parts_sets_that_share_a_few():
+    x, y = np.arange(0, 200, 2, dtype="uint64"), np.arange(1, 201, 2, dtype="uint64")
+    assert ngram_join.apart_at_least(x, y, 20, 6) > 20
+    assert ngram_join.apart_at_least(x, x, 20, 6) == 0
+
+
 def test_schedule_is_met_at_every_time(spark):
     share = [i / 50 for i in range(51)]
     df = spark.createDataFrame([(s, a) for s in share for a in (-1.0, -0.5, 0.0, 0.5, 1.0)], "share double, slope double")
@@ -252,6 +268,20 @@ def test_passage_spans_are_exact(messy):
     assert rows[5].n_passages == rows[12].n_passages == 0
 
 
+def test_places_that_agree_share_words_before_or_after_their_run():
+    spec, rng = passages.PassageSpec(), np.random.RandomState(4)
+    pad, length = spec.span - 1, spec.paragraph - spec.slack
+    for start in range(spec.slack, pad + 1):
+        left, right = (rng.randint(1, 1 << 62, spec.around).astype("uint64") for _ in range(2))
+        right[start : start + length] = left[start : start + length]
+        same = [
+            passages._with_half(left, np.array([at]), spec) == passages._with_half(right, np.array([at]), spec)
+            for at in (pad - spec.half, pad)
+        ]
+        assert any(same)
+    assert passages._with_half(left, np.array([-1, spec.around - 3]), spec).tolist() == [0, 0]
+
+
 def test_near_passages_are_found(spark):
     pick, rows, near = random.Random(5), [], 0
     while near < 60:
