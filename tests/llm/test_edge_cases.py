@@ -268,20 +268,6 @@ def test_passage_spans_are_exact(messy):
     assert rows[5].n_passages == rows[12].n_passages == 0
 
 
-def test_places_that_agree_share_words_before_or_after_their_run():
-    spec, rng = passages.PassageSpec(), np.random.RandomState(4)
-    pad, length = spec.span - 1, spec.paragraph - spec.slack
-    for start in range(spec.slack, pad + 1):
-        left, right = (rng.randint(1, 1 << 62, spec.around).astype("uint64") for _ in range(2))
-        right[start : start + length] = left[start : start + length]
-        same = [
-            passages._with_half(left, np.array([at]), spec) == passages._with_half(right, np.array([at]), spec)
-            for at in (pad - spec.half, pad)
-        ]
-        assert any(same)
-    assert passages._with_half(left, np.array([-1, spec.around - 3]), spec).tolist() == [0, 0]
-
-
 def test_near_passages_are_found(spark):
     pick, rows, near = random.Random(5), [], 0
     while near < 60:
