@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from earlywarn.session import pin
 
 # A history longer than this is cut into ranges; below it one task sorts it comfortably.
 MAX_GROUP_ROWS = 5_000_000
+# A task sorts about so many rows of long histories, in as many ranges as these make.
+TASK_ROWS = 500_000
 # Keys this few fit in every executor many times over.
 MAX_BROADCAST_KEYS = 200_000
 
@@ -52,9 +55,9 @@ def with_followers(
 
     ``order`` must be a total order within a key. Ordinary keys go through one window. A count over
     the key column alone (combined map-side, before anything wide moves) finds keys longer than
-    ``max_group_rows``; their rows are range-partitioned on (key, order) instead, each range is
-    handled by its own task, and only the first ``depth`` rows of a range are handed to the range
-    before it. ``None`` skips the check, for input known to be short per key.
+    ``max_group_rows``; their rows are range-partitioned on (key, order) instead and cut into ranges
+    (see :func:`_in_ranges`), each range is a window of its own, and only the first ``depth`` rows of a
+    range are handed to the range before it. ``None`` skips the check, for input known to be short per key.
     """
     split = _split_long(df, keys, max_group_rows)
     if split is None:
@@ -64,9 +67,17 @@ def with_followers(
     return _with_leads(usual, keys, order, values, depth).unionByName(out)
 
 
-def _split_long(df, keys, max_group_rows) -> tuple[DataFrame, DataFrame, int] | None:
-    """Rows of ordinary keys, rows of keys longer than ``max_group_rows``, and into how many ranges the
-    latter go; None without such keys."""
+@dataclass(frozen=True)
+class _Ranges:
+    """How rows of long keys are cut: into so many tasks, and each task's rows into ranges of so many."""
+
+    tasks: int
+    rows: int
+
+
+def _split_long(df, keys, max_group_rows) -> tuple[DataFrame, DataFrame, _Ranges] | None:
+    """Rows of ordinary keys, rows of keys longer than ``max_group_rows``, and how the latter are cut into
+    ranges; None without such keys."""
     if max_group_rows is None:
         return None
     sizes = df.where(F.col(keys[0]).isNotNull()).groupBy(*keys).count()
@@ -79,17 +90,26 @@ def _split_long(df, keys, max_group_rows) -> tuple[DataFrame, DataFrame, int] |
         picked = F.broadcast(picked)
     usual = df.join(picked, list(keys), "left_anti").select(*[named(c) for c in df.columns])
     heavy = df.join(picked, list(keys), "left_semi").select(*[named(c) for c in df.columns])
-    return usual, heavy, math.ceil(2 * found["rows"] / max_group_rows)
+    # Ranges may be many, tasks are not: every task costs the driver a sample of its rows and a result.
+    usable = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(usable, math.ceil(found["rows"] / TASK_ROWS))
+    return usual, heavy, _Ranges(min(tasks, math.ceil(2 * found["rows"] / max_group_rows)), max_group_rows)
+
+
+def _in_ranges(df: DataFrame, order: list[Column], ranges: _Ranges) -> DataFrame:
+    """Add ``_range``: rows in ``order`` are dealt to tasks, and a task's sorted rows cut after every
+    ``ranges.rows`` of them; later rows are in the same range or one of a higher number.
+
+    The range a row falls in must not change between its uses, hence the checkpoint.
+    """
+    dealt = df.repartitionByRange(ranges.tasks, *order).sortWithinPartitions(*order)
+    placed = dealt.withColumn("_range", F.monotonically_increasing_id())
+    task, place = F.shiftright("_range", 33), F.col("_range").bitwiseAND(F.lit((1 << 33) - 1))
+    return pin(placed.withColumn("_range", F.shiftleft(task, 33) + F.floor(place / ranges.rows)))
 
 
 def _ranged_leads(df, keys, order, values, depth, ranges) -> DataFrame:
-    key_cols = [F.col(k) for k in keys]
-    # The range a row falls in must not change between the uses below, hence the checkpoint.
-    ranged = pin(
-        df.repartitionByRange(ranges, *key_cols, *_order(order)).withColumn(
-            "_range", F.spark_partition_id()
-        )
-    )
+    ranged = _in_ranges(df, [*[F.col(k) for k in keys], *_order(order)], ranges)
     inside = Window.partitionBy(*keys, "_range").orderBy(*_order(order))
     needed = list(dict.fromkeys([*keys, *order, *values]))
     heads = (
@@ -139,7 +159,7 @@ def with_next_event(
     """Append the time of the key's first event later than the row: a minimum over the rows after it.
 
     ``time`` is a whole number, ``event`` a boolean. Rows without a key or a time get NULL. Rows of a key
-    longer than ``max_group_rows`` are cut into ranges of (key, time, tie), each the work of one task; a
+    longer than ``max_group_rows`` are cut into ranges of (key, time, tie), each a window of its own; a
     range takes over, from the ranges after it, the first event later than its rows. Nothing is joined
     back to the rows but one line per range.
     """
@@ -164,9 +184,8 @@ def with_next_event(
 def _ranged_next_event(df, key, time, at, output, tie, ranges) -> DataFrame:
     # The place last, so that even equal rows can be divided.
     order = [F.col(key), F.col(time), *_order(tie), F.col("_row")]
-    dealt = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(ranges, *order)
-    # The range a row falls in must not change between the uses below, hence the checkpoint.
-    ranged = pin(dealt.withColumn("_range", F.spark_partition_id()).drop("_row"))
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    ranged = _in_ranges(numbered, order, ranges).drop("_row")
     local = ranged.withColumn(output, F.min(at).over(_later([key, "_range"], time)))
     # One line for each range of a key. A moment may fill several ranges, so the first event of a range
     # is kept twice: of all its rows, and of those later than its first moment.

@@ -165,3 +165,22 @@ def test_time_range_reads_a_history_once_and_joins_nothing_back(spark):
     df = label_time_range(history(spark, CASES["gap"][0]), replace(SPEC, max_group_rows=None))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") == 1 and "Join" not in plan
+
+
+def test_short_ranges_do_not_multiply_tasks(spark):
+    # 20,000 rows of one entity in ranges of ten: four thousand tasks if each had its own.
+    df = spark.range(0, 20_000, 1, 3).select(
+        F.lit("hot").alias("k"), (F.col("id") % 2_500).alias("t"), (F.col("id") % 997 == 0).alias("e"), F.col("id").alias("tie")
+    )
+    context = spark.sparkContext
+    plain = with_next_event(df, "k", "t", "e", "next", ["tie"], max_group_rows=None)
+    leads = with_followers(df, ["k"], ["t", "tie"], ["e"], 2, max_group_rows=None)
+    context.setJobGroup("short-ranges", "ranges of ten rows")
+    cut = with_next_event(df, "k", "t", "e", "next", ["tie"], max_group_rows=10)
+    cut_leads = with_followers(df, ["k"], ["t", "tie"], ["e"], 2, max_group_rows=10)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("short-ranges") for s in tracker.getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s is not None) <= 16
+    assert cut.exceptAll(plain).isEmpty() and plain.exceptAll(cut).isEmpty()
+    assert cut_leads.exceptAll(leads).isEmpty() and leads.exceptAll(cut_leads).isEmpty()
