@@ -321,7 +321,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared, spec: ModelSpec) -> Iterat
             total = lambda x: np.bincount(e.words, x, minlength=n)  # noqa: B023, E731
             for column, values in zip(out, (
                 np.diff(np.append(e.first, len(e.truth))), total(e.frequent), total(counted), total(counted * ~in_tail),
-                np.add.reduceat(logs, e.first) / np.log(10.0), total(np.where(in_tail, log_mass[own - spec.heads], 0.0)),
+                np.add.reduceat(logs, e.first) / np.log(10.0), total(np.where(in_tail, log_mass[np.maximum(own - spec.heads, 0)], 0.0)),
             )):
                 column.extend(values.tolist())
             at = np.flatnonzero(~e.frequent)
