@@ -26,6 +26,8 @@ class PackSpec:
     ``tiers``: context sizes, the longest is the window. ``group_pieces``: pieces that one task packs
     together (a mean; pieces are dealt by hash). ``step_sequences``: sequences of a training step.
     ``cache_words``: distinct words whose ids a worker remembers before it starts anew.
+    ``order_pieces``: where order counts, so many consecutive pieces fill sequences together, and
+    ``order_steps``: so many consecutive steps share sequences by their costs.
     """
 
     tokenizer: str | None = None
@@ -34,6 +36,8 @@ class PackSpec:
     group_pieces: int = 2048
     step_sequences: int = 16
     cache_words: int = 1_000_000
+    order_pieces: int = 256
+    order_steps: int = 2
 
 
 _LOADED: dict[str, object] = {}
@@ -271,20 +275,49 @@ def fill_windows(lengths: list[int], tiers: Sequence[int]) -> list[tuple[int, li
     return windows
 
 
-def _pack(pieces: pd.DataFrame, spec: PackSpec) -> pd.DataFrame:
+def fill_in_order(lengths: list[int], tiers: Sequence[int], at_once: int) -> list[tuple[int, list[int]]]:
+    """:func:`fill_windows` for pieces in the order of training, so many at a time; sequences follow it.
+
+    A window that a portion leaves with room to spare is taken apart and filled again with the next portion,
+    once for a piece, so a sequence holds pieces of two neighbouring portions at most.
+    """
+    windows: list[tuple[int, list[int]]] = []
+    waiting: list[int] = []
+    for start in range(0, len(lengths), at_once):
+        some = [*waiting, *range(start, min(start + at_once, len(lengths)))]
+        found = [(size, [some[i] for i in w]) for size, w in fill_windows([lengths[i] for i in some], tiers)]
+        found.sort(key=lambda w: (sum(w[1]) / len(w[1]), w[1]))
+        waiting = []
+        for size, members in found:
+            spare = size - sum(lengths[i] for i in members)
+            if spare * 32 > size and min(members) >= start and start + at_once < len(lengths):
+                waiting += members
+            else:
+                windows.append((size, members))
+    return windows
+
+
+def _pack(pieces: pd.DataFrame, spec: PackSpec, in_order: bool = False) -> pd.DataFrame:
     """Sequences, offsets and steps for the pieces of one group."""
     pieces = pieces.sort_values(["place", "doc_id", "row", "start"], na_position="last", ignore_index=True)
     lengths = pieces["length"].tolist()
     group = int(pieces["group"].iloc[0])
-    windows = fill_windows(lengths, spec.tiers)
+    if in_order:
+        windows = fill_in_order(lengths, spec.tiers, spec.order_pieces)
+    else:
+        windows = fill_windows(lengths, spec.tiers)
     # Attention costs grow with the square of a piece: deal the dearest sequences out first, to and fro.
     cost = [sum(lengths[i] ** 2 for i in w) for _, w in windows]
-    order = sorted(range(len(windows)), key=lambda k: (-cost[k], k))
-    steps = -(-len(windows) // spec.step_sequences)
     step_of = [0] * len(windows)
-    for place, k in enumerate(order):
-        lap, at = divmod(place, steps)
-        step_of[k] = at if lap % 2 == 0 else steps - 1 - at
+    together = spec.order_steps * spec.step_sequences if in_order else len(windows)
+    before = 0
+    for start in range(0, len(windows), together):
+        some = range(start, min(start + together, len(windows)))
+        steps = -(-len(some) // spec.step_sequences)
+        for place, k in enumerate(sorted(some, key=lambda k: (-cost[k], k))):
+            lap, at = divmod(place, steps)
+            step_of[k] = before + (at if lap % 2 == 0 else steps - 1 - at)
+        before += steps
     sequence, offset, step, context = (np.zeros(len(pieces), "int64") for _ in range(4))
     for k, (size, members) in enumerate(windows):
         at = 0
@@ -318,7 +351,8 @@ def pack_documents(
 
     With ``in_order`` the rows' order in their files is the order of training: pieces are numbered in it
     (``place``), each group is a range of numbers, and sequences and steps of a later range have higher
-    numbers. ``copy`` is the place of the first piece of the same row, which tells repeats of a document
+    numbers. Inside a group ``order_pieces`` consecutive pieces fill sequences together (see
+    :func:`fill_in_order`), and costs are balanced between ``order_steps`` consecutive steps. ``copy`` is the place of the first piece of the same row, which tells repeats of a document
     apart. Part files go by their number, others by name.
     """
     spec = spec or PackSpec()
@@ -336,7 +370,7 @@ def pack_documents(
         numbered = pieces.withColumn("place", F.lit(0).cast("long"))
         group = F.pmod(F.xxhash64("row", "start"), F.lit(groups))
     placed = numbered.select(*names, "place", group.alias("group")).groupBy("group").applyInPandas(
-        lambda pdf: _pack(pdf, spec),
+        lambda pdf: _pack(pdf, spec, in_order),
         "row long, start long, place long, sequence_id long, offset long, step long, context int",
     )
     placed = stored(placed, "placed")

@@ -156,6 +156,29 @@ def test_packing_follows_the_order_of_the_mix(spark, tmp_path):
     assert ids == [b for chunk in texts.chunks for b in packing.token_blobs(chunk, spec)]
 
 
+def test_packing_follows_the_order_inside_a_group(spark, tmp_path):
+    rows = [(i, prose(i, 30 + 7 * i % 900)) for i in range(400)]
+    spec = packing.PackSpec(step_sequences=2, order_pieces=16)
+    steps = []
+    for name, some in (("forth", rows), ("back", rows[::-1])):
+        spark.createDataFrame(some, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / name))
+        reread = spark.read.parquet(str(tmp_path / name))
+        pieces = packing.pack_documents(reread, spec, in_order=True).orderBy("place").collect()
+        # All are in one group, and still sequences and steps follow the rows.
+        assert {p.sequence_id >> 24 for p in pieces} == {0}
+        assert all(a.sequence_id < b.sequence_id for a, b in zip(pieces, pieces[32:]))
+        assert all(a.step < b.step for a, b in zip(pieces, pieces[96:]))
+        steps.append({p.doc_id: p.step for p in pieces})
+        sequences = {}
+        for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+            at = sequences.get(p.sequence_id, 0)
+            assert p.offset == at and at + p.length <= p.context
+            sequences[p.sequence_id] = at + p.length
+        for k in range(max(p.step for p in pieces) + 1):
+            assert 1 <= len({p.sequence_id for p in pieces if p.step == k}) <= 2
+    assert steps[0][0] < steps[0][399] and steps[1][0] > steps[1][399]
+
+
 def test_one_row_of_each_group_stays_whatever_its_id(spark, tmp_path):
     near, other, third = prose(1, 80), prose(2, 80), prose(3, 80)
     rows = [(1, near), (2, near + " tail"), (2, other), (None, third), (None, third + " end"), (7, ""), (7, None), (8, near)]
