@@ -180,14 +180,21 @@ def _grid(scored: DataFrame, label: str) -> DataFrame:
 
 
 def fit_calibrator(scored: DataFrame, label: str, method: str):
-    """Fit on held-out rows carrying the raw probability ``_p``."""
-    grid = _grid(scored, label)
+    """Fit on held-out rows carrying the raw probability ``_p``, which are scored and reduced once."""
+    if method not in (ISOTONIC, SIGMOID):
+        raise ValueError(f"unknown calibration method {method!r}")
+    grid = _grid(scored, label).persist()
+    try:
+        return _fit_on_grid(grid, method)
+    finally:
+        grid.unpersist()
+
+
+def _fit_on_grid(grid: DataFrame, method: str):
     if method == ISOTONIC:
         return IsotonicRegression(
             featuresCol="_p", labelCol="_y", weightCol="_n", predictionCol="_cal"
         ).fit(grid)
-    if method != SIGMOID:
-        raise ValueError(f"unknown calibration method {method!r}")
     n = grid.agg(
         F.sum(F.col("_n") * F.col("_y")).alias("pos"), F.sum("_n").alias("all")
     ).first()

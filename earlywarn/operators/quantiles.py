@@ -14,6 +14,8 @@ FINAL_VALUES = 20_000
 _ACCURACY = 10_000
 _MARGIN = 0.001
 _SPREAD = 2 * _MARGIN + 4 / _ACCURACY
+# One task merges the sketches of all others, which takes longer than making them if there are many.
+_SKETCHES_PER_CORE = 2
 
 
 @dataclass
@@ -70,7 +72,9 @@ def exact_ranks(
     if not columns:
         return {}
     around = [max(0.0, share - _MARGIN), min(1.0, share + _MARGIN)]
-    first = df.agg(
+    # Partitions are merged, never added; every core still has sketches to make.
+    sketched = df.coalesce(_SKETCHES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    first = sketched.agg(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
         *[F.percentile_approx(c, around, _ACCURACY).alias(f"q{i}") for i, c in enumerate(columns)],
     ).first()
@@ -83,7 +87,7 @@ def exact_ranks(
         brackets = _settle(df, brackets, found, final_values)
         stuck = [b for b in brackets if b.size > final_values]
         if stuck:
-            row = df.agg(
+            row = sketched.agg(
                 *[F.percentile_approx(b.inside(), b.around(), _ACCURACY) for b in stuck]
             ).first()
             for b, ends in zip(stuck, row, strict=True):

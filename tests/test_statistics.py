@@ -281,3 +281,15 @@ def test_a_table_of_long_values_is_not_broadcast(spark):
     assert lookups.table_bytes(long) > lookups.MAX_BROADCAST_BYTES
     joined = lookups.lookup_join(spark.range(0, 5).toDF("k"), long, ["k"], rows=20, salts=1)
     assert "broadcast" not in joined._jdf.queryExecution().logical().toString()
+
+
+def test_sketches_are_as_few_as_cores_can_make(spark):
+    df = spark.range(0, 3_000, 1, 48).select((F.col("id") * 7919 % 3_000).cast("double").alias("x"))
+    context = spark.sparkContext
+    context.setJobGroup("sketches", "many small partitions")
+    found = exact_medians(df, ["x"], final_values=100)
+    tracker = context.statusTracker()
+    first = min(tracker.getJobIdsForGroup("sketches"))
+    tasks = [tracker.getStageInfo(s).numTasks for s in tracker.getJobInfo(first).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {"x": 1499.5} and max(tasks) <= 2 * context.defaultParallelism

@@ -10,6 +10,7 @@ from earlywarn.operators.calibration import (
     SIGMOID,
     CalibratedModel,
     ModelSpec,
+    fit_calibrator,
     fit_ensemble,
     fit_member,
     out_of_fold_scores,
@@ -539,3 +540,20 @@ def test_halving_finds_as_good_a_trial_with_fewer_trees(students, monkeypatch):
     whole = search(students, spec).collect()
     assert {r.rung for r in whole} == {0} and halved < 0.5 * sum(grown)
     assert found[0].loss <= whole[0].loss + 0.03
+
+
+@pytest.mark.parametrize("method", ["isotonic", "sigmoid"])
+def test_held_out_rows_are_scored_once_for_a_calibrator(spark, method):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(0, 2_000, 1, 4).select(
+        ((F.col("id") * 37 % 2_000 + 0.5) / 2_000).alias("_p"), (F.col("id") * 11 % 2_000 < F.col("id")).cast("double").alias("_y")
+    )
+    scored = rows.mapInPandas(noted, rows.schema)
+    fit_calibrator(scored, "_y", method)
+    assert seen.value == 2_000
