@@ -27,6 +27,7 @@ class ModelSpec:
     into ``tails`` classes by their last letters. ``features`` rows of weights are shared by hash.
     ``rounds``: the training documents are divided in so many parts; each is one round of gradient
     steps in all tasks at once, whose weights are then averaged. ``batch`` tokens make one step.
+    ``task_tokens``: a task of a round learns from about so many at least, as it returns all weights.
     """
 
     frequent: int = 1 << 17
@@ -37,6 +38,7 @@ class ModelSpec:
     batch: int = 16_384
     rate: float = 0.5
     flush: int = 300_000
+    task_tokens: int = 500_000
 
     def __post_init__(self):
         if self.features & (self.features - 1) or self.tails & (self.tails - 1) or not self.features <= 1 << 16:
@@ -151,15 +153,34 @@ def encode(texts: list[list[bytes]], coder: Coder, spec: ModelSpec) -> Encoded:
     return Encoded(codes, frequent, truth, rows, number, first)
 
 
-def log_classes(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """log P(class | context) for each token."""
-    logits = weights.take(rows[0], axis=0)
-    for r in rows[1:]:
-        logits += weights.take(r, axis=0)
-    logits += bias
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+def log_classes(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, at_once: int = 1024) -> np.ndarray:
+    """log P(class | context) for each token; so many at a time stay in a core's cache."""
+    out = np.empty((rows.shape[1], weights.shape[1]), weights.dtype)
+    for start in range(0, len(out), at_once):
+        logits, some = out[start : start + at_once], rows[:, start : start + at_once]
+        weights.take(some[0], axis=0, out=logits, mode="clip")  # rows are within bounds
+        for r in some[1:]:
+            logits += weights.take(r, axis=0)
+        logits += bias
+        logits -= logits.max(axis=1, keepdims=True)
+        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    return out
+
+
+def sums_by_row(values: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int = 16) -> np.ndarray:
+    """Sums of the rows ``values[order]`` in runs from ``starts`` on. Short runs, which are many, are added up side
+    by side, first members, second members and so on; the few long ones one by one."""
+    sums = values.take(order[starts], axis=0)
+    short = sizes <= most
+    some = np.flatnonzero(short & (sizes > 1))
+    k = 1
+    while len(some):
+        sums[some] += values.take(order[starts[some] + k], axis=0)
+        k += 1
+        some = some[sizes[some] > k]
+    for i in np.flatnonzero(~short).tolist():
+        sums[i] = values.take(order[starts[i] : starts[i] + sizes[i]], axis=0).sum(axis=0)
+    return sums
 
 
 def gradient_step(weights, bias, often, rows: np.ndarray, truth: np.ndarray, rate: float) -> None:
@@ -172,8 +193,9 @@ def gradient_step(weights, bias, often, rows: np.ndarray, truth: np.ndarray, rat
         ordered = r[order]
         starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         used = ordered[starts]
-        sums = np.add.reduceat(slope.take(order, axis=0), starts, axis=0)
-        often[used] += np.diff(np.append(starts, len(r)))
+        sizes = np.diff(np.append(starts, len(r)))
+        sums = sums_by_row(slope, order, starts, sizes)
+        often[used] += sizes
         weights[used] += sums * (rate / np.sqrt(often[used])).astype("float32")[:, None]
 
 
@@ -378,9 +400,12 @@ def score_texts(
     weights = np.zeros((spec.features, spec.classes), "float32")
     context = docs.sparkSession.sparkContext
     reachable(docs.sparkSession)
+    # Partitions are merged, never added; every core keeps a task.
+    tasks = max(context.defaultParallelism, -(-vocabulary.tokens // (spec.rounds * spec.task_tokens)))
     for part in range(spec.rounds):
         shared = context.broadcast((vocabulary, weights, bias))
         slice_ = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(spec.rounds)) == part).select("text")
+        slice_ = slice_.coalesce(tasks)
         step = replace(spec, rate=spec.rate / (1 + part))
         # Bound to this round's weights; the next round makes its own.
         blocks = map_arrow(slice_, _with(_train, shared, step), "block int, tokens long, weights binary")

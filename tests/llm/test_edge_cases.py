@@ -387,6 +387,38 @@ def test_contexts_tell_pairs_and_rare_words_apart():
     assert [len(set(r.tolist())) for r in third] == [2, 2, 4, 1]
 
 
+def test_sums_of_rows_with_few_and_many_members():
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(3000, 8)).astype("float32")
+    of = np.minimum(rng.geometric(0.02, 3000), 90)
+    of[:700] = 5
+    order = np.argsort(of, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
+    sizes = np.diff(np.append(starts, len(of)))
+    assert sizes.max() > 700 and sizes.min() < 16
+    want = [values[of == k].astype("float64").sum(axis=0) for k in of[order][starts]]
+    for most in (1, 16, 10_000):
+        np.testing.assert_allclose(language_model.sums_by_row(values, order, starts, sizes, most), want, rtol=1e-4, atol=1e-4)
+
+
+def test_small_tasks_learn_together(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 40)) for i in range(300)], "doc_id long, text string").repartition(40)
+    tasks, averaged = [], language_model._averaged
+
+    def noted(blocks, spec, start):
+        tasks.append(blocks.rdd.getNumPartitions())
+        return averaged(blocks, spec, start)
+
+    monkeypatch.setattr(language_model, "_averaged", noted)
+    spec = language_model.ModelSpec(features=256, rounds=2)
+    got = language_model.score_texts(docs, F.col("doc_id") % 7 != 2, spec).collect()
+    assert len(got) == 300 and all(r.score < 0 for r in got)
+    assert tasks == [spark.sparkContext.defaultParallelism] * 2
+    tasks.clear()
+    language_model.score_texts(docs, F.col("doc_id") % 7 != 2, replace(spec, task_tokens=100)).collect()
+    assert min(tasks) == 40  # every task has enough
+
+
 def test_gradient_steps_raise_the_likelihood():
     rng = np.random.default_rng(1)
     spec = language_model.ModelSpec(features=64)
