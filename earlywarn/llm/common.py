@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +76,19 @@ def reachable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
+    """Within, tables are sent to Python in batches of few bytes whatever rows hold: with long texts the ten thousand
+    rows of a batch take more of an executor's memory, in both processes, than all else there."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 #: Rows that ``map_arrow`` functions see at a time; what they hold besides the batch stays small.
 SLICE = 1_000
 

@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earlywarn.llm.common import collect_garbage, discard, map_arrow, stored, text_of, with_places
+from earlywarn.llm.common import collect_garbage, discard, map_arrow, small_batches, stored, text_of, with_places
 from earlywarn.llm.components import components
-from earlywarn.llm.hashing import WordHashes, shingles
+from earlywarn.llm.hashing import SequenceHashes
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,7 @@ class JoinSpec:
     apart are paired. In the first half of these turns the order of hubs is the same for all buckets, so that
     copies, which share most buckets, meet the same few; in the other half each bucket has its own.
     ``suffix_depth``: how often the suffix filter halves two sets before they are intersected.
+    ``remembered``: so many shingles that stand before an entry tell whether two sets have met already.
     """
 
     words: int = 3
@@ -36,6 +37,7 @@ class JoinSpec:
     broadcast_ids: int = 500_000
     hub_rounds: int = 4
     suffix_depth: int = 4
+    remembered: int = 4
 
     def required(self, a: Column, b: Column) -> Column:
         """Shared shingles that sets of these sizes need at least."""
@@ -46,10 +48,16 @@ _SKETCH = "doc_id long, file string, at long, n long, sig binary, cells array<in
 _INDEX = "token long, sig binary, n int, pos int, early boolean"
 
 
-def _sets(batch: pa.RecordBatch, spec: JoinSpec, hashes: WordHashes) -> Iterator[np.ndarray]:
-    texts = batch.column("text")
+def _sets(batch: pa.RecordBatch, spec: JoinSpec, hashes: SequenceHashes) -> Iterator[np.ndarray]:
+    texts, some, held = batch.column("text"), [], 0
     for i in range(batch.num_rows):
-        yield shingles(texts[i].as_buffer().to_pybytes().lower().split(), spec.words, hashes)
+        some.append(texts[i].as_buffer())
+        held += len(some[-1])
+        if held >= 1 << 20:
+            yield from hashes.shingles(some, spec.words)
+            some, held = [], 0
+    if some:
+        yield from hashes.shingles(some, spec.words)
 
 
 def _bucket(members: np.ndarray, spec: JoinSpec) -> np.ndarray:
@@ -62,7 +70,7 @@ def _signature(members: np.ndarray) -> bytes:
 
 def _sketch(batches: Iterator[pa.RecordBatch], spec: JoinSpec) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end how often this task saw each bucket."""
-    hashes, counts = WordHashes(), np.zeros(spec.buckets, "int64")
+    hashes, counts = SequenceHashes(), np.zeros(spec.buckets, "int64")
     names = ["doc_id", "file", "at", "n", "sig", "cells", "bucket", "seen"]
     ints = pa.list_(pa.int32())
     for batch in batches:
@@ -88,7 +96,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], spec: JoinSpec) -> Iterator[pa.Re
 
 def _index(batches: Iterator[pa.RecordBatch], spec: JoinSpec, levels: bytes) -> Iterator[pa.RecordBatch]:
     """The rarest shingles of each set: enough that two sets that link share one of them."""
-    hashes, rank, done = WordHashes(), np.frombuffer(levels, "uint8"), set()
+    hashes, rank, done = SequenceHashes(), np.frombuffer(levels, "uint8"), set()
     t = spec.percent
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
@@ -117,7 +125,7 @@ def _index(batches: Iterator[pa.RecordBatch], spec: JoinSpec, levels: bytes) ->
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], spec: JoinSpec) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    hashes = SequenceHashes()
     for batch in batches:
         found = list(_sets(batch, spec, hashes))
         yield pa.RecordBatch.from_arrays(
@@ -218,11 +226,14 @@ class _Join:
         index = stored(map_arrow(self.texts, lambda b: _index(b, spec, levels), _INDEX), "index")
         h = F.xxhash64("sig")
         shared = index.groupBy("token").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi")
-        entries = index.join(shared.select("token").hint("merge"), "token").dropDuplicates(["token", "sig"])
+        shared = stored(shared.select("token"), "shared")
+        collect_garbage(index.sparkSession)
+        entries = index.join(shared.hint("merge"), "token").dropDuplicates(["token", "sig"])
         # Only shared shingles can be common; how many of them stand before this one in the set.
         before = F.row_number().over(Window.partitionBy("sig").orderBy("pos")) - 1
         buckets = stored(entries.withColumn("before", before), "buckets")
-        discard(index)
+        discard(index, shared)
+        collect_garbage(index.sparkSession)
         return buckets
 
     def _sets_of(self, pairs: DataFrame) -> DataFrame:
@@ -265,7 +276,9 @@ class _Join:
         entries = self._turn(entries.withColumn("root", F.coalesce("root", "sig")), "named")
         h = F.xxhash64("root")
         mixed = entries.groupBy("token").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi")
-        return self._turn(entries.join(mixed.select("token").hint("merge"), "token"), "mixed")
+        entries = self._turn(entries.join(mixed.select("token").hint("merge"), "token"), "mixed")
+        discard(self.turn_tables[-2])
+        return entries
 
     def hub_pairs(self, entries: DataFrame, turn: int) -> DataFrame:
         """Every entry with one of its bucket from another group, another one in each turn."""
@@ -279,14 +292,22 @@ class _Join:
         return self._distinct(x.join(y, apart & self._fits("x", "y")))
 
     def rest_pairs(self, entries: DataFrame) -> DataFrame:
+        return self._distinct(self.met_once(entries))
+
+    def met_once(self, entries: DataFrame) -> DataFrame:
         """Pairs of entries whose sets are not in one group; the bound from cells is part of the join, so
-        that near copies which cannot link are not even written as pairs."""
+        that near copies which cannot link are not even written as pairs. Two sets are paired at the first
+        shingle that both have among their rarest (where the filters allow most), not again at each of the
+        next: entries carry up to ``remembered`` shingles that stand before them."""
         cells = self.classes.select("sig", "cells").hint("merge")
+        last = Window.partitionBy("sig").orderBy("pos").rowsBetween(-self.spec.remembered, -1)
+        entries = entries.withColumn("passed", F.collect_list("token").over(last))
         entries = self._turn(entries.join(cells, "sig"), "rest")
         x, y = entries.alias("x"), entries.hint("merge").alias("y")
         apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.root") != F.col("y.root"))
         bound = _shared_cells("x.cells", "y.cells") >= self.spec.required(F.col("x.n"), F.col("y.n"))
-        return self._distinct(x.join(y, apart & self._fits("x", "y") & bound))
+        first = ~F.arrays_overlap("x.passed", "y.passed")
+        return x.join(y, apart & self._fits("x", "y") & first & bound)
 
     def _distinct(self, pairs: DataFrame) -> DataFrame:
         a, b = F.least("x.sig", "y.sig"), F.greatest("x.sig", "y.sig")
@@ -296,6 +317,7 @@ class _Join:
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that really link, each compared once in all turns, after a bound from the cells of both sets."""
         pairs = stored(pairs, "compared")
+        self.end_turn()  # of the entries; what follows has tables of its own
         self.compared = pairs if self.compared is None else self.compared.union(pairs)
         of = self.classes.select("sig", "n", "cells")
         for side in ("a", "b"):
@@ -326,8 +348,9 @@ def similar_groups(
     counts by cell and the suffix filter.
     """
     spec = spec or JoinSpec()
-    join = _Join(docs, spec, id_col, text_col)
-    groups = _groups(join)
+    with small_batches(docs.sparkSession):
+        join = _Join(docs, spec, id_col, text_col)
+        groups = _groups(join)
     out = join.rows.join(groups.hint("merge"), "sig", "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("group", "doc_id").alias("component_id")
@@ -376,8 +399,9 @@ def keep_one_per_group(
     names = [f"_c{i}" for i in range(len(docs.columns))]
     named = dict(zip(docs.columns, names))
     placed = with_places(docs, names, from_files)
-    join = _Join(placed, spec or JoinSpec(), named[id_col], named[text_col], placed=True)
-    groups = _groups(join)
+    with small_batches(docs.sparkSession):
+        join = _Join(placed, spec or JoinSpec(), named[id_col], named[text_col], placed=True)
+        groups = _groups(join)
     rows = join.rows.where("n > 0").join(groups.hint("merge"), "sig")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sig", "file", "at")
     rows = stored(rows.select("root", order.alias("order")), "grouped")

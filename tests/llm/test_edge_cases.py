@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from earlywarn.llm import exact_dedup, language_model, licenses, line_quality, mixing, ngram_join, packing, passages, personal, rules
+from earlywarn.llm import common, exact_dedup, hashing, language_model, licenses, line_quality, mixing, ngram_join, packing, passages, personal, rules
 from earlywarn.llm.components import components
 from earlywarn.llm.ngram_join import JoinSpec, keep_one_per_group, similar_groups
 from test_queries import base_of
@@ -254,6 +254,48 @@ def brute_groups(texts, words, percent):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
+def test_sets_are_paired_at_their_first_shared_shingle_only(spark):
+    base = prose(5, 100).split()
+    texts = [(i, " ".join([*base[:90], *prose(200 + i, 10).split()])) for i in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    spec = JoinSpec(percent=70)
+    join = ngram_join._Join(docs, spec, "doc_id", "text")
+    entries = join.named(None)
+    assert entries.groupBy("token").count().count() > 5
+    met = join.met_once(entries).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
+    assert met.count() == met.distinct().count() == 66
+
+
+@given(st.lists(st.text(st.sampled_from("abA \t\n\v\f\r\x1c\x85\u00e9\u3000"), max_size=30), max_size=8), st.sampled_from([1, 2, 3, 5]))
+def test_word_sequences_are_hashed_as_sets(texts, size):
+    for at_once in (4, 1 << 15):
+        found = list(hashing.SequenceHashes(at_once).shingles([t.encode() for t in texts], size))
+        assert len(found) == len(texts)
+        for text, hashes in zip(texts, found):
+            words = text.encode().lower().split()
+            runs = {tuple(words[i : i + size]) for i in range(max(len(words) - size + 1, min(len(words), 1)))}
+            assert len(hashes) == len(runs) and (hashes[1:] > hashes[:-1]).all()
+        assert len({h.tobytes() for h in found}) == len(
+            {frozenset(tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, min(len(w), 1)))) for w in (t.encode().lower().split() for t in texts)}
+        )
+
+
+def test_batches_of_long_texts_are_small(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(3_000, numPartitions=1).select(F.repeat(F.lit("word "), 1_000).alias("text"))
+    rows = "n long"
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    with common.small_batches(spark, "1m"):
+        assert max(r.n for r in docs.mapInArrow(sizes, rows).collect()) < 400
+    assert spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("words,percent", [(3, 90), (5, 80), (1, 50)])
 def test_join_equals_all_pairs(spark, words, percent):
     pick = random.Random(3)
