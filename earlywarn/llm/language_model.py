@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -71,20 +71,14 @@ class Vocabulary:
     types: int
 
 
-class Codes(dict):
-    """Place in the vocabulary or hash of each word, remembered; starts anew when it has ``limit`` words."""
-
-    def __init__(self, vocabulary: Vocabulary, spec: ModelSpec, limit: int):
-        super().__init__()
-        self.places = dict(zip(vocabulary.hashes.tolist(), range(len(vocabulary.hashes))))
-        self.tails, self.limit = spec.tails, limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = word_hash(word, self.tails)
-        code = self[word] = self.places.get(h, h)
-        return code
+def word_hashes(words: list[bytes], tails: int) -> np.ndarray:
+    """:func:`word_hash` of many words."""
+    ends = np.cumsum(np.fromiter(map(len, words), "int64", len(words)))
+    letters = np.frombuffer(b"".join(words), "uint8").astype("int64")
+    before = np.where(np.diff(ends, prepend=0) > 1, letters[ends - 2], 0)
+    tail = (letters[ends - 1] * 31 + before) * 0x9E3779B1 >> 16 & (tails - 1)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "uint64", len(words))
+    return (h >> np.uint64(2)).astype("int64") & -tails | 1 << 62 | tail
 
 
 class Coder:
@@ -92,7 +86,7 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary, spec: ModelSpec, limit: int = 400_000):
         self.v, self.spec = vocabulary, spec
-        self.known = Codes(vocabulary, spec, limit)
+        self.known, self.limit = {}, limit
         spots = np.searchsorted(vocabulary.hashes, vocabulary.heads)
         self.classes = spec.heads + (vocabulary.hashes & (spec.tails - 1))
         for rank, (spot, h) in enumerate(zip(spots, vocabulary.heads)):
@@ -102,7 +96,23 @@ class Coder:
         self.log_count = np.log10(vocabulary.counts + 1.0)
 
     def codes(self, words: Iterable[bytes], n: int) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, words), "int64", n)
+        """Codes of words, remembered; what is new is hashed and looked up together."""
+        words = list(words)
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), "int64", n)
+        spots = np.flatnonzero(out < 0)
+        if len(spots):
+            missing = list(map(words.__getitem__, spots.tolist()))
+            new = list(dict.fromkeys(missing))
+            h = word_hashes(new, self.spec.tails)
+            at = np.searchsorted(self.v.hashes, h)
+            there = at < self.end
+            there[there] = self.v.hashes[at[there]] == h[there]
+            found = dict(zip(new, np.where(there, at, h).tolist()))
+            out[spots] = np.fromiter(map(found.__getitem__, missing), "int64", len(missing))
+            if len(self.known) + len(found) > self.limit:
+                self.known.clear()
+            self.known.update(found)
+        return out
 
     def describe(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Frequent or not, class, and the number that stands for the word in features."""
@@ -156,14 +166,16 @@ def encode(texts: list[list[bytes]], coder: Coder, spec: ModelSpec) -> Encoded:
 def log_classes(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, at_once: int = 1024) -> np.ndarray:
     """log P(class | context) for each token; so many at a time stay in a core's cache."""
     out = np.empty((rows.shape[1], weights.shape[1]), weights.dtype)
+    spare = np.empty((min(at_once, len(out)), weights.shape[1]), weights.dtype)
     for start in range(0, len(out), at_once):
         logits, some = out[start : start + at_once], rows[:, start : start + at_once]
         weights.take(some[0], axis=0, out=logits, mode="clip")  # rows are within bounds
+        part = spare[: len(logits)]
         for r in some[1:]:
-            logits += weights.take(r, axis=0)
+            logits += weights.take(r, axis=0, out=part, mode="clip")
         logits += bias
         logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        logits -= np.log(np.exp(logits, out=part).sum(axis=1, keepdims=True))
     return out
 
 
@@ -190,7 +202,8 @@ def sums_by_row(values: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes
 
 def gradient_step(weights, bias, often, rows: np.ndarray, truth: np.ndarray, rate: float) -> None:
     """One step up the likelihood; a row's step shrinks with the root of how often it was seen."""
-    slope = -np.exp(log_classes(weights, bias, rows))
+    slope = log_classes(weights, bias, rows)
+    np.negative(np.exp(slope, out=slope), out=slope)
     slope[np.arange(len(truth)), truth] += 1.0
     rate = rate / np.sqrt(len(rows))
     for r in rows:
@@ -201,7 +214,8 @@ def gradient_step(weights, bias, often, rows: np.ndarray, truth: np.ndarray, rat
         sizes = np.diff(np.append(starts, len(r)))
         sums = sums_by_row(slope, order, starts, sizes)
         often[used] += sizes
-        weights[used] += sums * (rate / np.sqrt(often[used])).astype("float32")[:, None]
+        sums *= (rate / np.sqrt(often[used])).astype("float32")[:, None]
+        weights[used] += sums
 
 
 def _words(batch: pa.RecordBatch) -> Iterator[list[bytes]]:

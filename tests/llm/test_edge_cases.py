@@ -280,6 +280,20 @@ def test_word_sequences_are_hashed_as_sets(texts, size):
         )
 
 
+def test_words_hashed_together_have_the_hashes_of_each():
+    pick = random.Random(2)
+    words = [bytes(pick.choice(b"abz\xc3\xff") for _ in range(pick.choice([1, 2, 9]))) for _ in range(500)]
+    each = [language_model.word_hash(w, 32) for w in words]
+    assert language_model.word_hashes(words, 32).tolist() == each
+    known = np.array(sorted(set(each))[::2])
+    seen = language_model.Vocabulary(known, np.ones(len(known)), known[:0], np.ones(32), 1, 1)
+    coder = language_model.Coder(seen, language_model.ModelSpec(heads=1), limit=7)
+    places = {h: i for i, h in enumerate(known.tolist())}
+    for at in range(0, 500, 11):
+        some = words[at : at + 11]
+        assert coder.codes(iter(some), len(some)).tolist() == [places.get(h, h) for h in each[at : at + 11]]
+
+
 def test_batches_of_long_texts_are_small(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
