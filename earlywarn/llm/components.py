@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earlywarn.llm.common import discard, stored
+from earlywarn.llm.common import collect_garbage, discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         last, graph = graph, stored(_small_star(_large_star(graph)), "edges")
         discard(last)
+        collect_garbage(edges.sparkSession)  # a round leaves the shuffle files of half a dozen exchanges
         now = graph.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if now == before:
             break

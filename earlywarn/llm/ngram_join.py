@@ -21,7 +21,8 @@ class JoinSpec:
     """Texts are sets of ``words``-word shingles; two link at ``percent`` per cent of their union.
 
     ``buckets`` (a power of two) counts how often shingles occur, by hash: the order of rarity, and a
-    table of so many bytes that every task gets. ``cells`` divide a set for the bound on overlaps.
+    table of so many bytes that every task gets. ``cells`` divide a set for the bound on overlaps, ``bits`` (a
+    power of two) for the one on differences: a bit is the parity of the members that fall on it.
     ``broadcast_ids``: up to so many candidate ids are sent to all tasks, more are joined by shuffle.
     ``hub_rounds``: how often entries are compared with one of their bucket before all that are still
     apart are paired. In the first half of these turns the order of hubs is the same for all buckets, so that
@@ -34,6 +35,7 @@ class JoinSpec:
     percent: int = 90
     buckets: int = 1 << 18
     cells: int = 64
+    bits: int = 512
     broadcast_ids: int = 500_000
     hub_rounds: int = 4
     suffix_depth: int = 4
@@ -43,8 +45,16 @@ class JoinSpec:
         """Shared shingles that sets of these sizes need at least."""
         return F.ceil(F.lit(self.percent) * (a + b) / F.lit(100.0 + self.percent) - F.lit(1e-9))
 
+    @property
+    def few_members(self) -> int:
+        """Sets of up to so many can differ in a quarter of the bits at most and still link: parities tell well."""
+        return self.bits * (100 + self.percent) // (8 * (100 - self.percent)) if self.percent < 100 else 1 << 30
 
-_SKETCH = "doc_id long, file string, at long, n long, sig binary, cells array<int>, bucket array<int>, seen array<int>"
+
+_SKETCH = (
+    "doc_id long, file string, at long, n long, sig binary, cells array<int>, odd array<bigint>, bucket array<int>, "
+    "seen array<int>"
+)
 _INDEX = "token long, sig binary, n int, pos int, early boolean"
 
 
@@ -68,28 +78,35 @@ def _signature(members: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(members.tobytes())
 
 
+def _parities(members: np.ndarray, spec: JoinSpec) -> np.ndarray:
+    at = (members >> np.uint64(8)).astype("int64") & (spec.bits - 1)
+    return np.packbits(np.bincount(at, minlength=spec.bits).astype("uint8") & 1).view("int64")
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], spec: JoinSpec) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end how often this task saw each bucket."""
     hashes, counts = SequenceHashes(), np.zeros(spec.buckets, "int64")
-    names = ["doc_id", "file", "at", "n", "sig", "cells", "bucket", "seen"]
-    ints = pa.list_(pa.int32())
+    names = ["doc_id", "file", "at", "n", "sig", "cells", "odd", "bucket", "seen"]
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
     for batch in batches:
-        n, sigs, cells = [], [], []
+        n, sigs, cells, odd = [], [], [], []
         for members in _sets(batch, spec, hashes):
             n.append(len(members))
             sigs.append(_signature(members))
             cells.append(np.bincount((members % np.uint64(spec.cells)).astype("int64"), minlength=spec.cells))
+            odd.append(_parities(members, spec))
             np.add.at(counts, _bucket(members, spec), 1)
         none = pa.nulls(batch.num_rows, ints)
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in names[:3]), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()),
-             pa.array(cells, ints), none, none], names=names,
+             pa.array(cells, ints), pa.array(odd, longs), none, none], names=names,
         )
     found = np.flatnonzero(counts)
     for at in range(0, len(found), 1 << 16):
         part = found[at : at + (1 << 16)]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, ints),
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()),
+             pa.nulls(1, pa.binary()), pa.nulls(1, ints), pa.nulls(1, longs),
              pa.array([part], ints), pa.array([np.minimum(counts[part], 2**31 - 1)], ints)], names=names,
         )
 
@@ -180,6 +197,12 @@ def _shared_cells(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
 
 
+def _apart(x: str, y: str, longs: int) -> Column:
+    """In how many members two sets differ at least: each turns one parity."""
+    bits = [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(longs)]
+    return sum(bits[1:], bits[0])
+
+
 class _Join:
     """``placed``: ``docs`` has ``_file, _at``, which then go with its rows."""
 
@@ -193,7 +216,8 @@ class _Join:
         rows = stored(map_arrow(texts, lambda b: _sketch(b, spec), _SKETCH), "sketches")
         self.rows = rows.where("n >= 0").select("doc_id", "n", "sig", "file", "at")
         each = rows.where("n > 0").groupBy("sig").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n").cast("int").alias("n"), F.first("cells").alias("cells")
+            F.min("doc_id").alias("doc_id"), F.first("n").cast("int").alias("n"), F.first("cells").alias("cells"),
+            F.first("odd").alias("odd"),
         )
         self.classes = stored(each, "classes")
         self.levels = self._levels(rows)
@@ -268,6 +292,14 @@ class _Join:
         most = earlier + F.least(nx - px, ny - py)
         return length & early & (most >= self.spec.required(nx, ny))
 
+    def _may_link(self, x: str, y: str, sep: str) -> Column:
+        """Bounds from the parities of both sets and, where carried, their cells; linking sets always pass."""
+        nx, ny = F.col(f"{x}{sep}n").cast("long"), F.col(f"{y}{sep}n").cast("long")
+        least = self.spec.required(nx, ny)
+        apart = _apart(f"{x}{sep}odd", f"{y}{sep}odd", self.spec.bits // 64)
+        cells = _shared_cells(f"{x}{sep}cells", f"{y}{sep}cells") >= least
+        return (apart <= nx + ny - 2 * least) & F.coalesce(cells, F.lit(True))
+
     def named(self, roots: DataFrame | None) -> DataFrame:
         """The entries of buckets whose sets are not all in one group yet, with their groups."""
         if roots is None:
@@ -295,19 +327,20 @@ class _Join:
         return self._distinct(self.met_once(entries))
 
     def met_once(self, entries: DataFrame) -> DataFrame:
-        """Pairs of entries whose sets are not in one group; the bound from cells is part of the join, so
-        that near copies which cannot link are not even written as pairs. Two sets are paired at the first
+        """Pairs of entries whose sets are not in one group; the bounds from parities and cells (carried by sets
+        that are too large for the former) are part of the join, so that near copies which cannot link are not
+        even written as pairs. Two sets are paired at the first
         shingle that both have among their rarest (where the filters allow most), not again at each of the
         next: entries carry up to ``remembered`` shingles that stand before them."""
-        cells = self.classes.select("sig", "cells").hint("merge")
+        cells = F.when(F.col("n") > self.spec.few_members, F.col("cells")).alias("cells")
+        sketches = self.classes.select("sig", "odd", cells).hint("merge")
         last = Window.partitionBy("sig").orderBy("pos").rowsBetween(-self.spec.remembered, -1)
         entries = entries.withColumn("passed", F.collect_list("token").over(last))
-        entries = self._turn(entries.join(cells, "sig"), "rest")
+        entries = self._turn(entries.join(sketches, "sig"), "rest")
         x, y = entries.alias("x"), entries.hint("merge").alias("y")
         apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.root") != F.col("y.root"))
-        bound = _shared_cells("x.cells", "y.cells") >= self.spec.required(F.col("x.n"), F.col("y.n"))
         first = ~F.arrays_overlap("x.passed", "y.passed")
-        return x.join(y, apart & self._fits("x", "y") & first & bound)
+        return x.join(y, apart & self._fits("x", "y") & first & self._may_link("x", "y", "."))
 
     def _distinct(self, pairs: DataFrame) -> DataFrame:
         a, b = F.least("x.sig", "y.sig"), F.greatest("x.sig", "y.sig")
@@ -315,14 +348,15 @@ class _Join:
         return pairs if self.compared is None else pairs.join(self.compared.hint("merge"), ["a", "b"], "left_anti")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that really link, each compared once in all turns, after a bound from the cells of both sets."""
+        """The pairs that really link, each compared once in all turns, after bounds from sketches of both sets."""
         pairs = stored(pairs, "compared")
         self.end_turn()  # of the entries; what follows has tables of its own
         self.compared = pairs if self.compared is None else self.compared.union(pairs)
-        of = self.classes.select("sig", "n", "cells")
+        of = self.classes.select("sig", "n", "cells", "odd")
         for side in ("a", "b"):
-            pairs = pairs.join(of.toDF(side, f"n_{side}", f"cells_{side}").hint("merge"), side)
-        pairs = pairs.where(_shared_cells("cells_a", "cells_b") >= self.spec.required(F.col("n_a"), F.col("n_b"))).select("a", "b")
+            names = (side, *[f"{side}_{c}" for c in of.columns[1:]])
+            pairs = pairs.join(of.toDF(*names).hint("merge"), side)
+        pairs = pairs.where(self._may_link("a", "b", "_")).select("a", "b")
         pairs = self._turn(pairs, "pairs")
         spec, sets = self.spec, self._sets_of(pairs)
         left, right = sets.toDF("a", "left").hint("merge"), sets.toDF("b", "right").hint("merge")
@@ -344,8 +378,8 @@ def similar_groups(
     Buckets of the index are never expanded into all their pairs at once: in a few turns each entry is
     compared with one entry of its bucket (a different one for each shingle and turn) that is not in its
     group yet, which ties near copies together with as many comparisons as entries. Only entries that
-    are then still in different groups are paired. Pairs are compared on whole sets, after a bound from
-    counts by cell and the suffix filter.
+    are then still in different groups are paired. Pairs are compared on whole sets, after bounds from
+    parities, counts by cell and the suffix filter.
     """
     spec = spec or JoinSpec()
     with small_batches(docs.sparkSession):

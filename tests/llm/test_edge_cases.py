@@ -266,6 +266,31 @@ def test_sets_are_paired_at_their_first_shared_shingle_only(spark):
     assert met.count() == met.distinct().count() == 66
 
 
+def test_near_copies_that_cannot_link_are_hardly_paired(spark):
+    rng, base = np.random.RandomState(7), prose(5, 150).split()
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.choice(150, 2 + i % 7, replace=False):
+            words[k] = f"x{i}y{k}"
+        texts.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in texts]
+    links = sum(5 * len(a & b) >= 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    spec = JoinSpec(words=5, percent=80)
+    join = ngram_join._Join(docs, spec, "doc_id", "text")
+    assert links <= join.met_once(join.named(None)).count() <= 2 * links  # more than 6 times by cells alone
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(docs, spec).collect()}
+    assert got == brute_groups(dict(texts), 5, 80)
+
+
+@given(st.sets(st.integers(0, 1 << 40), max_size=80), st.sets(st.integers(0, 1 << 40), max_size=80))
+def test_parities_never_say_too_much(a, b):
+    x, y = (np.array(sorted(hashing.mix(np.array(list(s), "uint64"))), "uint64") for s in (a, b))
+    p, q = (ngram_join._parities(s, JoinSpec()) for s in (x, y))
+    assert sum(bin(int(v) & (1 << 64) - 1).count("1") for v in p ^ q) <= len(a ^ b)
+
+
 @given(st.lists(st.text(st.sampled_from("abA \t\n\v\f\r\x1c\x85\u00e9\u3000"), max_size=30), max_size=8), st.sampled_from([1, 2, 3, 5]))
 def test_word_sequences_are_hashed_as_sets(texts, size):
     for at_once in (4, 1 << 15):
