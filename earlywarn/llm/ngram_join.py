@@ -252,7 +252,15 @@ class _Join:
         shared = index.groupBy("token").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi")
         shared = stored(shared.select("token"), "shared")
         collect_garbage(index.sparkSession)
-        entries = index.join(shared.hint("merge"), "token").dropDuplicates(["token", "sig"])
+        # Size, place and whether early as one number: most of these rows are shuffled only to find no partner.
+        last = F.col("pos").cast("long") * 2 + F.col("early").cast("long")
+        packed = index.select("token", "sig", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(last).alias("packed"))
+        entries = packed.join(shared.hint("merge"), "token").dropDuplicates(["token", "sig"])
+        last = F.col("packed").bitwiseAND(F.lit((1 << 32) - 1))
+        entries = entries.select(
+            "token", "sig", F.shiftright("packed", 32).cast("int").alias("n"), F.shiftright(last, 1).cast("int").alias("pos"),
+            (last.bitwiseAND(F.lit(1)) == 1).alias("early"),
+        )
         # Only shared shingles can be common; how many of them stand before this one in the set.
         before = F.row_number().over(Window.partitionBy("sig").orderBy("pos")) - 1
         buckets = stored(entries.withColumn("before", before), "buckets")
